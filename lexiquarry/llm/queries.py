@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import quality_rules, sharding
+from lexiquarry.llm import language_id, line_dedup, mixing, quality_rules, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_mixing": mixing.op3_mixing,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_language_id": language_id.op9_language_id,
 }
 
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op8_line_dedup": line_dedup.OP8_SQL,
 }
