@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import language_id, line_dedup, mixing, quality_rules, sharding
+from lexiquarry.llm import fingerprints, language_id, line_dedup, mixing, quality_rules, sharding, toxicity, warc_fixity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_mixing": mixing.op3_mixing,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_language_id": language_id.op9_language_id,
+    "op10_warc_fixity": warc_fixity.op10_warc_fixity,
 }
 
 SQL = {
