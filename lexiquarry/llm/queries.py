@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import fingerprints, language_id, line_dedup, mixing, quality_rules, sharding, toxicity, warc_fixity
+from lexiquarry.llm import fingerprints, language_id, line_dedup, mixing, quality_rules, sentencepiece_fst, sharding, toxicity, warc_fixity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_mixing": mixing.op3_mixing,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_sentencepiece": sentencepiece_fst.op5_sentencepiece,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_language_id": language_id.op9_language_id,
