@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import fingerprints, language_id, line_dedup, mixing, quality_rules, sentencepiece_fst, sharding, toxicity, warc_fixity
+from lexiquarry.llm import fingerprints, language_id, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_fst, sharding, toxicity, warc_fixity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_sentencepiece": sentencepiece_fst.op5_sentencepiece,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_warc_fixity": warc_fixity.op10_warc_fixity,
