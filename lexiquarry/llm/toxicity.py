@@ -148,11 +148,14 @@ def train(docs: DataFrame, labels: DataFrame, seeds: Mapping[str, tuple[str, ...
     local = spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in few], f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int")
     rows = docs.select("doc_id", "text").join(F.broadcast(local), "doc_id")
 
-    @F.pandas_udf("array<string>")
-    def tokens(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(word_set(t)) for t in texts], dtype=object)
-
-    labelled = rows.select("doc_id", "toxic", tokens("text").alias("words"))
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 64):
+                part = batch.iloc[at : at + 64]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "words": [sorted(word_set(t)) for t in part["text"]]})
+
+    kind = dict(docs.dtypes)["doc_id"]
+    labelled = rows.select("doc_id", "toxic", "text").mapInPandas(tokens, f"doc_id {kind}, toxic int, words array<string>")
     n, n1 = len(few), sum(int(r.toxic) for r in few)
     each = labelled.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").cast("double").alias("a"), F.sum("toxic").cast("double").alias("b"))
     expected = F.col("a") * (n1 / max(n, 1))
