@@ -16,8 +16,10 @@ of its own. Shingles go by how often they occur, rare ones first, so that passag
 that many documents share make no blocks. The order is read from a count sketch of
 fixed size: it may be inexact, as any common order is right.
 
-Round 1 puts each class into two of its blocks, in chunks of CHUNK classes, and
-verifies there; the leaders of the largest groups of a block's chunks meet again.
+Round 1 puts each class into its least and its most crowded block, in chunks of CHUNK
+classes. The vectors tell which members of a chunk have a candidate there at all; only
+these get their sets and are verified. The leaders of the largest groups of a block's
+chunks meet again.
 Round 2 looks at all blocks, but only for pairs that are not connected yet: blocks of
 one component are left out, in others the members outside the largest component meet
 every chunk. No pair that could connect two components goes unverified.
@@ -30,7 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.llm.common import checkpointed, documents
@@ -42,6 +44,8 @@ NODE = 16
 SKETCH_BITS = 21
 SLICES = 64
 BATCH_BYTES = 1 << 21
+#: Up to so many ids of documents whose sets are needed are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 200_000
 
 _MASK = (1 << 64) - 1
 _R = 0x9E3779B97F4A7C15
@@ -132,7 +136,9 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in _parts(batches):
         sets = shingle_sets(part["text"].tolist())
-        yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "n": [len(s) for s in sets], "cls": [class_of(s) if len(s) else None for s in sets]})
+        names = [class_of(s) if len(s) else None for s in sets]
+        vectors = [count_vector(s).tobytes() if len(s) else None for s in sets]
+        yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "n": [len(s) for s in sets], "cls": names, "vector": vectors})
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,12 +165,17 @@ def shingle_order(docs: DataFrame) -> np.ndarray:
     return np.log2(counts + 1.0).astype(np.uint8)
 
 
-def prefix(shingles: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that a linked set shares one of, and their magnitudes."""
+def prefix(shingles: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The shingles that a linked set shares one of."""
     n = len(shingles)
     size = order[(shingles & np.uint64(len(order) - 1)).astype(np.int64)]
     at = np.argsort(size, kind="stable")[: n - (4 * n + 4) // 5 + 1]
-    return shingles[at], size[at]
+    return shingles[at]
+
+
+def short_name(cls: bytes) -> int:
+    """Half of a class's digest: names it in the blocks; classes that share it are told apart later."""
+    return int.from_bytes(cls[:8], "little", signed=True)
 
 
 class Forest:
@@ -246,6 +257,27 @@ def join_block(sets: list[np.ndarray]) -> Forest:
     return forest
 
 
+def _live(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows token, chunk, cls, vector, n, chunks -> those whose vectors leave a candidate in the chunk."""
+    out = []
+    for rows in _groups(batches, ["token", "chunk"]):
+        if len(rows) > 1:
+            vectors = np.array([np.frombuffer(r[3], dtype=np.uint32) for r in rows])
+            sizes = np.array([int(r[4]) for r in rows])
+            tree = RTree(vectors, sizes) if len(rows) > 2 else None
+            for i, r in enumerate(rows):
+                if tree is not None:
+                    near = len(tree.search(vectors[i], int(sizes[i]))) > 1
+                else:
+                    near = links(int(sizes[0]), int(sizes[1]), int(np.minimum(vectors[0], vectors[1]).sum()))
+                if near:
+                    out.append((*r[:3], r[5]))
+        if len(out) >= 20_000:
+            yield pd.DataFrame(out, columns=["token", "chunk", "cls", "chunks"])
+            out = []
+    yield pd.DataFrame(out, columns=["token", "chunk", "cls", "chunks"])
+
+
 def _round_one(level: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Rows token, chunk, cls, hashes -> links to the first of each group found, and (first level) the leader of the largest."""
     names = ["token", "chunk", "a", "b", "hashes"]
@@ -253,6 +285,7 @@ def _round_one(level: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for rows in _groups(batches, ["token", "chunk"]):
+            rows = [r for k, r in enumerate(rows) if not k or r[2] != rows[k - 1][2]]
             forest = join_block([np.frombuffer(r[3], dtype=np.uint64) for r in rows]) if len(rows) > 1 else Forest(1)
             roots = [forest.root(i) for i in range(len(rows))]
             out += [(r[0], r[1], r[2], rows[k][2], None) for k, r in zip(roots, rows) if rows[k] is not r]
@@ -321,14 +354,14 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return vertices.join(labels, "v", "left").select("v", F.coalesce("l", "v").alias("l"))
 
 
-def _by_group(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.repartition(*keys).sortWithinPartitions(*keys)
+def _by_group(df: DataFrame, keys: list[str], *then: str) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys, *then)
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of id and text), n (shingles) and cls (digest of the shingle set; null for an empty one) of each row."""
+    """doc_id, row (hash of id and text), n (shingles), cls (digest of the shingle set) and vector of each row; null for an empty set."""
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    return rows.mapInPandas(_classes, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, n long, cls binary")
+    return rows.mapInPandas(_classes, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, n long, cls binary, vector binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -341,68 +374,85 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Other columns are not read.
     """
     ids = dict(docs.dtypes)["doc_id"]
-    member = checkpointed(classify(docs))
-    classes = checkpointed(member.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    described = classify(docs)
+    member = checkpointed(described.drop("vector"))
+    known = described.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("vector").alias("vector"))
+
+    @F.pandas_udf("long")
+    def shorten(names: pd.Series) -> pd.Series:
+        return pd.Series([short_name(bytes(c)) for c in names], dtype="int64")
+
+    classes = checkpointed(known.withColumn("short", shorten("cls")))
     order = docs.sparkSession.sparkContext.broadcast(shingle_order(docs))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _parts(batches):
-            tokens, sizes, owner = [], [], []
+            tokens, owners = [], []
             for s in shingle_sets(part["text"].tolist()):
                 if len(s):
-                    t, m = prefix(s, order.value)
-                    tokens.append(t.view(np.int64))
-                    sizes.append(m)
-                    owner += [class_of(s)] * len(t)
+                    tokens.append(prefix(s, order.value).view(np.int64))
+                    owners.append(np.full(len(tokens[-1]), short_name(class_of(s))))
             if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "size": np.concatenate(sizes), "cls": owner})
-
-    rows = docs.select("text").mapInPandas(prefixes, "token long, size byte, cls binary").distinct()
-    rows = checkpointed(rows.join(rows.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1"), "token"))
-
-    rank = F.struct("size", "token", "members")
-    homes = rows.groupBy("cls").agg(F.min(rank).alias("x"), F.max(rank).alias("y"))
-    homes = homes.select("cls", F.explode(F.array_distinct(F.array("x", "y"))).alias("h")).select("cls", F.col("h.token").alias("token"), F.col("h.members").alias("members"))
+                yield pd.DataFrame({"token": np.concatenate(tokens), "short": np.concatenate(owners)})
+
+    each = docs.select("text").mapInPandas(prefixes, "token long, short long")
+    sorted_block = Window.partitionBy("token").orderBy("short")
+    whole = sorted_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seen = each.withColumns({"_lo": F.first("short").over(whole), "_hi": F.last("short").over(whole), "_before": F.lag("short").over(sorted_block)})
+    rows = checkpointed(seen.filter((F.col("_lo") != F.col("_hi")) & ~F.col("short").eqNullSafe(F.col("_before"))).select("token", "short"))
+    rows = rows.join(rows.groupBy("token").agg(F.count("*").alias("members")), "token")
+
+    rank = F.struct("members", "token")
+    homes = rows.groupBy("short").agg(F.min(rank).alias("x"), F.max(rank).alias("y"))
+    homes = homes.select("short", F.explode(F.array_distinct(F.array("x", "y"))).alias("h")).select("short", F.col("h.token").alias("token"), F.col("h.members").alias("members"))
     chunks = F.ceil(F.col("members") / CHUNK)
-    homes = homes.select("cls", "token", chunks.cast("int").alias("chunks"), F.pmod(F.xxhash64("cls", "token"), chunks).cast("int").alias("chunk"))
-
-    needed = checkpointed(homes.select("cls").distinct().join(classes.filter("rep IS NOT NULL"), "cls").select(F.col("rep").alias("doc_id"), "cls"))
+    placed = homes.join(classes.select("short", "cls", "vector", "n"), "short")
+    own_chunk = F.pmod(F.xxhash64("cls", "token"), chunks).cast("int")
+    placed = placed.select("token", own_chunk.alias("chunk"), "cls", "vector", "n", chunks.cast("int").alias("chunks"))
+    live = checkpointed(_by_group(placed, ["token", "chunk"]).mapInPandas(_live, "token long, chunk int, cls binary, chunks int"))
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _parts(batches):
             sets = shingle_sets(part["text"].tolist())
-            found = [(c, s.tobytes(), count_vector(s).tobytes()) for s, c in zip(sets, part["cls"]) if len(s) and class_of(s) == bytes(c)]
-            yield pd.DataFrame(found, columns=["cls", "hashes", "vector"])
+            found = [(c, s.tobytes()) for s, c in zip(sets, part["cls"]) if len(s) and class_of(s) == bytes(c)]
+            yield pd.DataFrame(found, columns=["cls", "hashes"])
 
-    texts = docs.select("doc_id", "text").join(needed, "doc_id")
-    sets = checkpointed(texts.mapInPandas(sets_of, "cls binary, hashes binary, vector binary").dropDuplicates(["cls"]))
+    def sets_for(names: DataFrame) -> DataFrame:
+        """The sets of the classes named, from the text of one document each."""
+        needed = checkpointed(names.distinct().join(classes, "cls").select(F.col("rep").alias("doc_id"), "cls"))
+        few = needed.count() <= BROADCAST_IDS
+        same = docs["doc_id"].eqNullSafe(needed["doc_id"])
+        texts = docs.select("doc_id", "text").join(F.broadcast(needed) if few else needed, same).select("cls", "text")
+        return texts.mapInPandas(sets_of, "cls binary, hashes binary")
 
     shape = "token long, chunk int, a binary, b binary, hashes binary"
-    first = homes.join(sets.select("cls", "hashes"), "cls").select("token", "chunk", "cls", "hashes", "chunks")
-    found = checkpointed(_by_group(first, ["token", "chunk"]).mapInPandas(_round_one(0), shape))
+    first = live.join(sets_for(live.select("cls")), "cls").select("token", "chunk", "cls", "hashes", "chunks")
+    found = checkpointed(_by_group(first, ["token", "chunk"], "cls").mapInPandas(_round_one(0), shape))
     again = found.filter("b IS NULL").select("token", F.expr(f"chunk div {CHUNK}").cast("int").alias("chunk"), F.col("a").alias("cls"), "hashes", F.lit(1).alias("chunks"))
-    upper = _by_group(again, ["token", "chunk"]).mapInPandas(_round_one(1), shape)
+    upper = _by_group(again, ["token", "chunk"], "cls").mapInPandas(_round_one(1), shape)
     edges = checkpointed(found.union(upper).filter("b IS NOT NULL").select("a", "b"))
 
     vertices = classes.select(F.col("cls").alias("v"))
     labels = checkpointed(components(edges, vertices))
     crowd = labels.groupBy("l").agg(F.count("*").alias("crowd"))
-    marked = labels.join(crowd, "l").select(F.col("v").alias("cls"), F.col("l").alias("comp"), "crowd")
-    inside = rows.select("token", "cls", "members").join(marked, "cls")
+    marked = labels.join(crowd, "l").join(classes.select(F.col("cls").alias("v"), "short"), "v")
+    marked = marked.select("short", F.col("v").alias("cls"), F.col("l").alias("comp"), "crowd")
+    inside = checkpointed(rows.join(marked, "short").select("token", "cls", "members", "comp", "crowd"))
     mixed = inside.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("crowd", "comp")).alias("top")).filter("lo != hi").select("token", F.col("top.comp").alias("base"))
-    open_rows = inside.join(mixed, "token").join(sets.select("cls", "vector"), "cls").join(classes.select("cls", "n"), "cls")
-    own = F.pmod(F.xxhash64("cls", "token"), chunks).cast("int")
-    places = F.when(F.col("comp") == F.col("base"), F.array(own)).otherwise(F.sequence(F.lit(0), (chunks - 1).cast("int")))
-    dealt = open_rows.withColumn("own", own).select("token", F.explode(places).alias("chunk"), "cls", "comp", "vector", "n", "own", "base")
+    open_rows = inside.join(mixed, "token").join(classes.select("cls", "vector", "n"), "cls").withColumn("own", own_chunk)
+    places = F.when(F.col("comp") == F.col("base"), F.array("own")).otherwise(F.sequence(F.lit(0), (chunks - 1).cast("int")))
+    dealt = open_rows.select("token", F.explode(places).alias("chunk"), "cls", "comp", "vector", "n", "own", "base")
     dealt = dealt.select("token", "chunk", "cls", "comp", "vector", "n", (F.col("own") != F.col("chunk")).alias("guest"), "base")
     pairs = checkpointed(_by_group(dealt, ["token", "chunk"]).mapInPandas(_round_two, "a binary, b binary").distinct())
 
-    asked = pairs.select("a").distinct().join(sets.select(F.col("cls").alias("a"), "hashes"), "a").select("a", F.lit(None).cast("binary").alias("b"), "hashes")
-    other = pairs.join(sets.select(F.col("cls").alias("b"), "hashes"), "b").select("a", "b", "hashes")
-    checked = asked.union(other).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInPandas(_verify, "a binary, b binary")
-    more = checkpointed(checked)
-    if not more.isEmpty():
-        labels = checkpointed(components(edges.union(more), vertices))
+    if not pairs.isEmpty():
+        sets = checkpointed(sets_for(pairs.select(F.explode(F.array("a", "b")).alias("cls"))))
+        asked = pairs.select("a").distinct().join(sets.select(F.col("cls").alias("a"), "hashes"), "a").select("a", F.lit(None).cast("binary").alias("b"), "hashes")
+        other = pairs.join(sets.select(F.col("cls").alias("b"), "hashes"), "b").select("a", "b", "hashes")
+        checked = asked.union(other).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInPandas(_verify, "a binary, b binary")
+        more = checkpointed(checked)
+        if not more.isEmpty():
+            labels = checkpointed(components(edges.union(more), vertices))
     least = labels.join(classes.select(F.col("cls").alias("v"), "rep"), "v").groupBy("l").agg(F.min("rep").alias("least"))
     answer = labels.join(least, "l").select(F.col("v").alias("cls"), "least")
     out = member.join(answer, "cls", "left")
