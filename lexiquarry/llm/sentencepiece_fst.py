@@ -10,10 +10,11 @@ arc weights; what they allow is which pieces may follow each other. Merging is l
 a sequence of pieces is the outcome of all merges exactly if each two neighbours, put
 together, are merged back into themselves. So the BPE machine's state is the last
 piece, an arc to the next one exists if the two are such a pair, and one accepting
-path is left. Its agenda (all weights are 0) is a stack, longest pieces first.
+path is left. Its agenda (all weights are 0) is a stack, longest pieces first; the
+path of longest pieces throughout is tried in one go before.
 
-The composition is cut where no piece can span the input, that is between any two
-characters that are neighbours in no piece, and the paths of the parts are kept.
+The composition is cut where no piece can span the input, that is between characters
+that are neighbours in no piece, and the paths of the parts are kept.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import struct
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexiquarry.llm.common import documents
 
@@ -35,7 +38,9 @@ BLANK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Parts of the input whose paths a worker keeps, and the longest part that is kept.
-KEPT, KEPT_CHARS = 400_000, 64
+KEPT, KEPT_CHARS = 300_000, 64
+#: Documents that a worker hands over at a time.
+ROWS = 256
 UNKNOWN_PENALTY = 10.0
 
 
@@ -101,9 +106,14 @@ class Transducer:
         whole = all(BLANK not in t.lstrip(BLANK) for t in self.ids)
         part = rf"[{alone}]|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone else rf"{BLANK}*[^{BLANK}]+|{BLANK}+"
         self.parts = re.compile(part if whole else r"(?s).+").findall
+        self.runs = re.compile(r"[^\W\d_]+|[\W\d_]+").findall
         self.worst = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
+        self.longest = ahocorasick.Automaton()
+        for t in self.ids:
+            self.longest.add_word(t, t)
+        self.longest.make_automaton()
         self.paths = _Paths(self)
 
     def normalise(self, text: str) -> str:
@@ -152,6 +162,19 @@ class Transducer:
     def shortest(self, text: str) -> list[str]:
         return self._shortest_bpe(text) if self.kind == BPE else self._shortest_unigram(text)
 
+    def longest_path(self, text: str) -> list[str] | None:
+        """The path of longest pieces, if BPE accepts it."""
+        path, last, n = [], "", 0
+        for end, piece in self.longest.iter_long(text):
+            n += len(piece)
+            known = self.pairs.get(last)
+            good = known.get(piece) if known is not None else None
+            if n != end + 1 or not (self.follows(last, piece) if good is None else good):
+                return None
+            path.append(piece)
+            last = piece
+        return path if n == len(text) else None
+
     def _shortest_bpe(self, text: str) -> list[str]:
         path, waiting, dead = [], [], set()
         i, last, end = 0, "", len(text)
@@ -224,12 +247,20 @@ class _Paths(dict):
         self.machine = machine
 
     def __missing__(self, part: str) -> tuple[int, ...]:
-        joined = self.machine.joined
-        cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in joined]
-        if cuts:
-            out = tuple(chain.from_iterable([self[part[a:b]] for a, b in zip([0, *cuts], [*cuts, len(part)])]))
+        machine = self.machine
+        runs = machine.runs(part)
+        parts = [runs[0]]
+        for run in runs[1:]:
+            if parts[-1][-1] + run[0] in machine.joined:
+                parts[-1] += run
+            else:
+                parts.append(run)
+        if len(parts) > 1:
+            out = tuple(chain.from_iterable(map(self.__getitem__, parts)))
+        elif machine.kind == BPE and (path := machine.longest_path(part)) is not None:
+            out = tuple(map(machine.ids.__getitem__, path))
         else:
-            out = tuple(chain.from_iterable(map(self.machine.outputs, self.machine.shortest(part))))
+            out = tuple(chain.from_iterable(map(machine.outputs, machine.shortest(part))))
         if len(part) <= KEPT_CHARS:
             if len(self) >= KEPT:
                 self.clear()
@@ -258,23 +289,26 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    @F.pandas_udf("ids array<int>, n_tokens long, n_byte_tokens long, round_trip boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    names = ("ids", "n_tokens", "n_byte_tokens", "round_trip")
+    base = docs.drop(*names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         machine = transducer(shared.value)
         is_byte = np.zeros(len(machine.texts), dtype=bool)
         is_byte[list(machine.values)] = True
-        for texts in batches:
-            ids, n_bytes, same = [], [], []
-            for text in texts:
-                own = machine.encode(text)
-                same.append(machine.decode(own) == (text or ""))
-                ids.append(np.array(own, dtype=np.int32))
-                n_bytes.append(int(is_byte[ids[-1]].sum()))
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "n_tokens": [len(x) for x in ids], "n_byte_tokens": n_bytes, "round_trip": same})
-
-    names = ("ids", "n_tokens", "n_byte_tokens", "round_trip")
-    base = docs.drop(*names)
-    return base.withColumn("_e", run("text")).select(*base.columns, *[F.col(f"_e.{n}").alias(n) for n in names])
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                ids, n_bytes, same = [], [], []
+                for text in part["text"]:
+                    own = machine.encode(text)
+                    same.append(machine.decode(own) == (text or ""))
+                    ids.append(np.array(own, dtype=np.int32))
+                    n_bytes.append(int(is_byte[ids[-1]].sum()))
+                yield part.assign(ids=pd.Series(ids, dtype=object, index=part.index), n_tokens=[len(x) for x in ids], n_byte_tokens=n_bytes, round_trip=same)
+
+    schema = StructType([*base.schema.fields, *StructType.fromDDL("ids array<int>, n_tokens long, n_byte_tokens long, round_trip boolean").fields])
+    return base.mapInPandas(run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
