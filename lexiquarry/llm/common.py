@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -23,7 +24,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "lexiquarry-checkpoints"))
-    return df.checkpoint()
+    kept = df.checkpoint()
+    # What the computation shuffled is of no more use; the cleaner frees it once the
+    # driver's garbage is collected, which may otherwise be long after the disks are full.
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return kept
 
 
 def words(text: Column) -> Column:
