@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 # Honorifics and offices that open a speech, and the languages and
 # spellings of delivery markers.
@@ -117,7 +118,7 @@ def resolve_language(raw: str | None) -> tuple[str | None, bool]:
     return None, False
 
 
-@F.pandas_udf("language string, fuzzy boolean")
+@F.pandas_udf(StructType([StructField("language", StringType()), StructField("fuzzy", BooleanType())]))
 def fuzzy_language(markers: pd.Series) -> pd.DataFrame:
     """resolve_language over a column: for the distinct markers that no exact rule resolves."""
     return pd.DataFrame([resolve_language(m) for m in markers], columns=["language", "fuzzy"])
@@ -172,8 +173,8 @@ def tokens(text: Column) -> Column:
 def matches(text: Column, pattern: str) -> Column:
     """(start, end) of all matches: the pieces between them and their lengths give the offsets."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    pieces = F.split(text, pattern, -1)
-    step = F.transform(found, lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("n")))
+    both = F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n")))
+    step = F.filter(both, lambda x: x["n"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
     def add(state: Column, x: Column) -> Column:
@@ -210,7 +211,8 @@ def highlight(text: Column, query: str, regex: bool = False, limit: int = 200) -
     pattern = f"(?i){pattern}"
     hits = F.slice(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), 1, limit)
     pieces = F.split(text, pattern, limit + 1)
-    both = F.flatten(F.transform(pieces, lambda p, i: F.array(F.struct(p.alias("text"), F.lit(False).alias("hit")), F.struct(F.get(hits, i).alias("text"), F.lit(True).alias("hit")))))
+    pair = lambda p, h: F.array(F.struct(p.alias("text"), F.lit(False).alias("hit")), F.struct(h.alias("text"), F.lit(True).alias("hit")))
+    both = F.flatten(F.zip_with(pieces, hits, pair))
     return F.filter(both, lambda s: s["text"].isNotNull() & (s["text"] != ""))
 
 
@@ -218,7 +220,7 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def name_fold(names: pd.Series) -> pd.Series:
     """Lower-case ASCII letters and digits with single blanks."""
     plain = names.map(lambda n: None if n is None else unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode().lower())

@@ -142,7 +142,7 @@ def lexicon_totals(spark, d):
 _wide = " OR ".join(f"has_{t.name}" for t in LEXICON.active if t.tier == "wide")
 
 
-@query("ocr_delta", f"{WITH_FLAGS} SELECT 'hea_split' AS term, 'wide' AS tier, count(*)::BIGINT AS speeches, count(*) FILTER (NOT ({_wide}))::BIGINT AS extra, array_to_string((SELECT list(row_id ORDER BY row_id) FROM (SELECT row_id FROM flagged WHERE n_hea_split > 0 AND NOT ({_wide}) ORDER BY row_id LIMIT 5)), '|') AS examples FROM flagged WHERE n_hea_split > 0")
+@query("ocr_delta", f"{WITH_FLAGS} SELECT 'hea_split' AS term, 'wide' AS tier, count(*)::BIGINT AS speeches, count(*) FILTER (NOT ({_wide}))::BIGINT AS extra, coalesce(array_to_string((SELECT list(row_id ORDER BY row_id) FROM (SELECT row_id FROM flagged WHERE n_hea_split > 0 AND NOT ({_wide}) ORDER BY row_id LIMIT 5)), '|'), '') AS examples FROM flagged WHERE n_hea_split > 0")
 def ocr_delta(spark, d):
     return lexicon.tolerant_delta(flagged(spark, d), LEXICON).withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), "|"))
 
