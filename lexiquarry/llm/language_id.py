@@ -20,7 +20,7 @@ from lexiquarry.llm.common import documents
 
 DIMENSIONS = 4096
 #: Rows per language that the model is fitted on, and centroids per language.
-SAMPLE, CENTROIDS, ROUNDS = 1200, 4, 8
+SAMPLE, CENTROIDS, ROUNDS = 800, 4, 8
 #: Rejected: a cosine below this share of the language's 1 % quantile in training.
 MARGIN = 0.5
 #: Texts are counted in pieces of so many bytes, so a long one needs no more memory.
@@ -127,7 +127,7 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 def fit(tf: np.ndarray, langs: list[str], centroids: int = CENTROIDS) -> Model:
     """A model of the counts of labelled texts. Languages are taken in code point order."""
-    idf = np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1.0
+    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1.0).astype(np.float32)
     x, names, cents, floors = _unit(np.log1p(tf) * idf), [], [], []
     for lang in sorted(set(langs)):
         own = x[[i for i, v in enumerate(langs) if v == lang]]
@@ -164,7 +164,7 @@ def _packed(tf: np.ndarray) -> bytes:
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    n, out = len(raw) // 6, np.zeros(DIMENSIONS)
+    n, out = len(raw) // 6, np.zeros(DIMENSIONS, dtype=np.float32)
     out[np.frombuffer(raw[: 2 * n], dtype=np.uint16)] = np.frombuffer(raw[2 * n :], dtype=np.float32)
     return out
 
@@ -181,7 +181,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) ->
         return pd.Series([_packed(counts([t])[0]) for t in texts], dtype=object)
 
     rows = training_sample(docs, sample).select("lang", vector("text").alias("tf")).orderBy("lang", "tf").collect()
-    tf = np.array([_unpacked(bytes(r.tf)) for r in rows]).reshape(len(rows), DIMENSIONS)
+    tf = np.zeros((len(rows), DIMENSIONS), dtype=np.float32)
+    for i, r in enumerate(rows):
+        tf[i] = _unpacked(bytes(r.tf))
     return fit(tf, [r.lang for r in rows], centroids)
 
 

@@ -38,7 +38,7 @@ BLANK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Parts of the input whose paths a worker keeps, and the longest part that is kept.
-KEPT, KEPT_CHARS = 300_000, 64
+KEPT, KEPT_CHARS = 200_000, 64
 #: Documents that a worker hands over at a time.
 ROWS = 256
 UNKNOWN_PENALTY = 10.0
