@@ -41,6 +41,8 @@ WORDS = 5
 GROUPS = 64
 CHUNK = 512
 NODE = 16
+#: So many of a class's blocks tell in round 2 that a pair has met before.
+HEADS = 8
 SKETCH_BITS = 21
 SLICES = 64
 BATCH_BYTES = 1 << 21
@@ -116,6 +118,16 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
     return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
 
 
+def packed(vector: np.ndarray) -> bytes:
+    """The counts in the smallest of one, two or four bytes each."""
+    top = int(vector.max(initial=0))
+    return vector.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype={1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // GROUPS]).astype(np.int64)
+
+
 def links(n_a: int, n_b: int, shared: int) -> bool:
     return 9 * shared >= 4 * (n_a + n_b)
 
@@ -137,7 +149,7 @@ def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in _parts(batches):
         sets = shingle_sets(part["text"].tolist())
         names = [class_of(s) if len(s) else None for s in sets]
-        vectors = [count_vector(s).tobytes() if len(s) else None for s in sets]
+        vectors = [packed(count_vector(s)) if len(s) else None for s in sets]
         yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "n": [len(s) for s in sets], "cls": names, "vector": vectors})
 
 
@@ -262,7 +274,7 @@ def _live(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     out = []
     for rows in _groups(batches, ["token", "chunk"]):
         if len(rows) > 1:
-            vectors = np.array([np.frombuffer(r[3], dtype=np.uint32) for r in rows])
+            vectors = np.array([unpacked(r[3]) for r in rows])
             sizes = np.array([int(r[4]) for r in rows])
             tree = RTree(vectors, sizes) if len(rows) > 2 else None
             for i, r in enumerate(rows):
@@ -301,10 +313,14 @@ def _round_one(level: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
 
 
 def _round_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a block whose components differ and whose vectors allow a link; a guest meets home members only."""
+    """Pairs of a block whose components differ and whose vectors allow a link; a guest meets home members only.
+
+    Two members that share one of the first tokens of both meet in that token's block
+    too; they are left to it if it comes before this one.
+    """
     out = []
     for rows in _groups(batches, ["token", "chunk"]):
-        vectors = np.array([np.frombuffer(r[4], dtype=np.uint32) for r in rows])
+        vectors = np.array([unpacked(r[4]) for r in rows])
         sizes = np.array([int(r[5]) for r in rows])
         home = np.array([not r[6] for r in rows])
         at_home = np.flatnonzero(home)
@@ -312,11 +328,12 @@ def _round_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         tree = RTree(vectors[at_home], sizes[at_home])
         base = rows[0][7]
+        earlier = [{t for t in r[8] if t < r[0]} for r in rows]
         for i, r in enumerate(rows):
             if home[i] and r[3] == base:
                 continue
             for j in at_home[tree.search(vectors[i], int(sizes[i]))].tolist():
-                if rows[j][3] != r[3]:
+                if rows[j][3] != r[3] and earlier[i].isdisjoint(earlier[j]):
                     out.append((min(r[2], rows[j][2]), max(r[2], rows[j][2])))
         if len(out) >= 20_000:
             yield pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"])
@@ -439,10 +456,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = marked.select("short", F.col("v").alias("cls"), F.col("l").alias("comp"), "crowd")
     inside = checkpointed(rows.join(marked, "short").select("token", "cls", "members", "comp", "crowd"))
     mixed = inside.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("crowd", "comp")).alias("top")).filter("lo != hi").select("token", F.col("top.comp").alias("base"))
-    open_rows = inside.join(mixed, "token").join(classes.select("cls", "vector", "n"), "cls").withColumn("own", own_chunk)
+    crossed = checkpointed(inside.join(mixed, "token"))
+    heads = crossed.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("token")), 1, HEADS).alias("heads"))
+    open_rows = crossed.join(heads, "cls").join(classes.select("cls", "vector", "n"), "cls").withColumn("own", own_chunk)
     places = F.when(F.col("comp") == F.col("base"), F.array("own")).otherwise(F.sequence(F.lit(0), (chunks - 1).cast("int")))
-    dealt = open_rows.select("token", F.explode(places).alias("chunk"), "cls", "comp", "vector", "n", "own", "base")
-    dealt = dealt.select("token", "chunk", "cls", "comp", "vector", "n", (F.col("own") != F.col("chunk")).alias("guest"), "base")
+    dealt = open_rows.select("token", F.explode(places).alias("chunk"), "cls", "comp", "vector", "n", "own", "base", "heads")
+    dealt = dealt.select("token", "chunk", "cls", "comp", "vector", "n", (F.col("own") != F.col("chunk")).alias("guest"), "base", "heads")
     pairs = checkpointed(_by_group(dealt, ["token", "chunk"]).mapInPandas(_round_two, "a binary, b binary").distinct())
 
     if not pairs.isEmpty():
