@@ -22,11 +22,11 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,10 +38,11 @@ BLANK = "▁"
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 UNIGRAM, BPE = 1, 2
 #: Parts of the input whose paths a worker keeps, and the longest part that is kept.
-KEPT, KEPT_CHARS = 200_000, 64
+KEPT, KEPT_CHARS = 300_000, 64
 #: Documents that a worker hands over at a time.
 ROWS = 256
 UNKNOWN_PENALTY = 10.0
+ID = np.int32
 
 
 def _varint(raw: bytes, i: int) -> tuple[int, int]:
@@ -70,6 +71,10 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+def _pack(ids: list[int]) -> bytes:
+    return np.array(ids, dtype=ID).tobytes()
+
+
 class Transducer:
     """The compiled machines of one model file."""
 
@@ -93,6 +98,10 @@ class Transducer:
         self.scores = {t: s for t, s, k in pieces if k == NORMAL}
         self.bytes = {int(t[1:-1], 16): i for i, (t, _, k) in enumerate(pieces) if k == BYTE}
         self.values = {i: b for b, i in self.bytes.items()}
+        self.packed = {t: _pack([i]) for t, i in self.ids.items()}
+        self.plain = np.array([t.replace(BLANK, " ") for t in self.texts], dtype=object)
+        self.is_byte = np.zeros(len(self.texts), dtype=bool)
+        self.is_byte[list(self.values)] = True
         self.unknown = next((i for i, (_, _, k) in enumerate(pieces) if k == UNKNOWN), 0)
         self.trie: dict = {}
         for t in self.ids:
@@ -159,26 +168,37 @@ class Transducer:
             found.insert(0, text[i])
         return found
 
+    def cut(self, text: str) -> list[str]:
+        """text, cut between runs of letters and of other characters where no piece spans the cut."""
+        runs = self.runs(text)
+        parts = [runs[0]]
+        for run in runs[1:]:
+            if parts[-1][-1] + run[0] in self.joined:
+                parts[-1] += run
+            else:
+                parts.append(run)
+        return parts
+
     def shortest(self, text: str) -> list[str]:
         return self._shortest_bpe(text) if self.kind == BPE else self._shortest_unigram(text)
 
-    def longest_path(self, text: str) -> list[str] | None:
-        """The path of longest pieces, if BPE accepts it."""
-        path, last, n = [], "", 0
-        for end, piece in self.longest.iter_long(text):
-            n += len(piece)
-            known = self.pairs.get(last)
+    def _shortest_bpe(self, text: str) -> list[str]:
+        """Depth first, longest pieces first; while these follow each other, no other arc is looked up."""
+        path, last, i, end, pairs = [], "", 0, len(text), self.pairs
+        for upto, piece in self.longest.iter_long(text):
+            if i + len(piece) <= upto:
+                break
+            known = pairs.get(last)
             good = known.get(piece) if known is not None else None
-            if n != end + 1 or not (self.follows(last, piece) if good is None else good):
-                return None
+            if not (self.follows(last, piece) if good is None else good):
+                break
             path.append(piece)
-            last = piece
-        return path if n == len(text) else None
-
-    def _shortest_bpe(self, text: str) -> list[str]:
-        path, waiting, dead = [], [], set()
-        i, last, end = 0, "", len(text)
-        choices, known = self.arcs(text, 0), self.pairs.get("", {})
+            last, i = piece, upto + 1
+        if i == end:
+            return path
+        waiting: list[list[str] | None] = [None] * len(path)
+        dead = set()
+        choices, known = self.arcs(text, i), pairs.get(last, {})
         while True:
             while choices:
                 piece = choices.pop()
@@ -191,8 +211,10 @@ class Transducer:
                 dead.add((i, last))
                 choices = waiting.pop()
                 i -= len(path.pop())
+                if choices is None:
+                    choices = self.arcs(text, i)[:-1]
                 last = path[-1] if path else ""
-                known = self.pairs.get(last, {})
+                known = pairs.get(last, {})
                 continue
             path.append(piece)
             i += len(piece)
@@ -200,7 +222,7 @@ class Transducer:
                 return path
             waiting.append(choices)
             last = piece
-            choices, known = self.arcs(text, i), self.pairs.get(piece, {})
+            choices, known = self.arcs(text, i), pairs.get(piece, {})
 
     def _shortest_unigram(self, text: str) -> list[str]:
         weight, back = [0.0] + [float("inf")] * len(text), [""] * (len(text) + 1)
@@ -215,52 +237,52 @@ class Transducer:
             i -= len(back[i])
         return path[::-1]
 
-    def outputs(self, piece: str) -> list[int]:
-        known = self.ids.get(piece)
+    def outputs(self, piece: str) -> bytes:
+        known = self.packed.get(piece)
         if known is not None:
-            return [known]
+            return known
         if not self.bytes:
-            return [self.unknown]
-        return [self.bytes[b] for b in piece.encode("utf-8", "replace")]
+            return _pack([self.unknown])
+        return _pack([self.bytes[b] for b in piece.encode("utf-8", "replace")])
+
+    def ids_of(self, text: str | None) -> np.ndarray:
+        found = b"".join(map(self.paths.__getitem__, self.parts(self.normalise(text)))) if text else b""
+        return np.frombuffer(found, dtype=ID)
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.paths.__getitem__, self.parts(self.normalise(text))))) if text else []
+        return self.ids_of(text).tolist()
 
     def pieces(self, ids: list[int]) -> list[str]:
         return [self.texts[i] for i in ids]
 
-    def decode(self, ids: list[int]) -> str:
-        if self.values.keys().isdisjoint(ids):
-            text = "".join(map(self.texts.__getitem__, ids))
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        ids = np.asarray(ids, dtype=ID)
+        if self.is_byte[ids].any():
+            raw = (bytes((self.values[i],)) if i in self.values else self.texts[i].encode("utf-8") for i in ids.tolist())
+            text = b"".join(raw).decode("utf-8", "replace").replace(BLANK, " ")
         else:
-            raw = (bytes((self.values[i],)) if i in self.values else self.texts[i].encode("utf-8") for i in ids)
-            text = b"".join(raw).decode("utf-8", "replace")
-        text = text.replace(BLANK, " ")
+            text = "".join(self.plain[ids].tolist())
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 class _Paths(dict):
-    """Output of the shortest path of each part of an input."""
+    """Output (ids of four bytes each) of the shortest path of each part of an input."""
 
     def __init__(self, machine: Transducer):
         super().__init__()
         self.machine = machine
 
-    def __missing__(self, part: str) -> tuple[int, ...]:
+    def __missing__(self, part: str) -> bytes:
         machine = self.machine
-        runs = machine.runs(part)
-        parts = [runs[0]]
-        for run in runs[1:]:
-            if parts[-1][-1] + run[0] in machine.joined:
-                parts[-1] += run
-            else:
-                parts.append(run)
+        parts = [part] if part[1:].isalpha() and part[:2] in machine.joined else machine.cut(part)
         if len(parts) > 1:
-            out = tuple(chain.from_iterable(map(self.__getitem__, parts)))
-        elif machine.kind == BPE and (path := machine.longest_path(part)) is not None:
-            out = tuple(map(machine.ids.__getitem__, path))
+            out = b"".join(map(self.__getitem__, parts))
         else:
-            out = tuple(chain.from_iterable(map(machine.outputs, machine.shortest(part))))
+            path = machine.shortest(part)
+            try:
+                out = b"".join(map(machine.packed.__getitem__, path))
+            except KeyError:
+                out = b"".join(map(machine.outputs, path))
         if len(part) <= KEPT_CHARS:
             if len(self) >= KEPT:
                 self.clear()
@@ -279,36 +301,36 @@ def transducer(model: bytes) -> Transducer:
     return _compiled[model]
 
 
-def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, keep: list[str] | None = None) -> DataFrame:
     """docs (text) and ids (array of int), n_tokens, n_byte_tokens, round_trip.
 
     round_trip: the ids decode to the text itself. Whole texts are encoded; null and
     empty texts have no ids. A text that holds U+2581 itself decodes to blanks there.
-    Existing columns of these names are replaced, others and repeated rows are kept.
+    Existing columns of these names are replaced, others (or those of keep) and
+    repeated rows are kept. docs may be empty.
     """
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     names = ("ids", "n_tokens", "n_byte_tokens", "round_trip")
-    base = docs.drop(*names)
+    kept = [c for c in docs.columns if c not in names and (keep is None or c in keep)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(shared.value)
-        is_byte = np.zeros(len(machine.texts), dtype=bool)
-        is_byte[list(machine.values)] = True
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                part = batch.iloc[at : at + ROWS]
-                ids, n_bytes, same = [], [], []
-                for text in part["text"]:
-                    own = machine.encode(text)
-                    same.append(machine.decode(own) == (text or ""))
-                    ids.append(np.array(own, dtype=np.int32))
-                    n_bytes.append(int(is_byte[ids[-1]].sum()))
-                yield part.assign(ids=pd.Series(ids, dtype=object, index=part.index), n_tokens=[len(x) for x in ids], n_byte_tokens=n_bytes, round_trip=same)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = part["_input"].to_pylist()
+                found = [machine.ids_of(t) for t in texts]
+                n_tokens = [len(x) for x in found]
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n_tokens]), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
+                n_bytes = pa.array([int(np.count_nonzero(machine.is_byte[x])) for x in found], pa.int64())
+                same = pa.array([machine.decode(x) == (t or "") for x, t in zip(found, texts)], pa.bool_())
+                columns = [part[c] for c in kept] + [ids, pa.array(n_tokens, pa.int64()), n_bytes, same]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
 
-    schema = StructType([*base.schema.fields, *StructType.fromDDL("ids array<int>, n_tokens long, n_byte_tokens long, round_trip boolean").fields])
-    return base.mapInPandas(run, schema)
+    schema = StructType([*(docs.schema[c] for c in kept), *StructType.fromDDL("ids array<int>, n_tokens long, n_byte_tokens long, round_trip boolean").fields])
+    return docs.select(*kept, F.col("text").alias("_input")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -320,10 +342,10 @@ def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = transducer(shared.value)
         for batch in batches:
-            yield pd.Series([None if ids is None else machine.decode(list(ids)) for ids in batch], dtype=object)
+            yield pd.Series([None if ids is None else machine.decode(ids) for ids in batch], dtype=object)
 
     return encoded.withColumn("decoded", run("ids"))
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return encode(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    return encode(documents(spark, sf_dir), keep=["doc_id"])
