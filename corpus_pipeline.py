@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix."""
-    return sentencepiece_fst.encode(docs).select("doc_id", "lang", "source", "n_tokens", "n_byte_tokens", "round_trip", "ids")
+    return sentencepiece_fst.encode(docs, keep=["doc_id", "lang", "source"])
 
 
 STAGES = [
