@@ -22,7 +22,9 @@ these get their sets and are verified. The leaders of the largest groups of a bl
 chunks meet again.
 Round 2 looks at all blocks, but only for pairs that are not connected yet: blocks of
 one component are left out, in others the members outside the largest component meet
-every chunk. No pair that could connect two components goes unverified.
+every chunk. A long set fills GROUPS groups so evenly that the bound says little; the
+pairs found are bounded once more on FINE groups before their sets travel. No pair
+that could connect two components goes unverified.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ from lexiquarry.llm.common import checkpointed, documents
 
 WORDS = 5
 GROUPS = 64
+FINE = 1024
 CHUNK = 512
 NODE = 16
 #: So many of a class's blocks tell in round 2 that a pair has met before.
@@ -114,8 +117,10 @@ def class_of(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
+def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """How many shingles are in each group; groups is a power of two."""
+    group = (shingles >> np.uint64(65 - groups.bit_length())).astype(np.int64)
+    return np.bincount(group, minlength=groups).astype(np.uint32)
 
 
 def packed(vector: np.ndarray) -> bytes:
@@ -124,8 +129,8 @@ def packed(vector: np.ndarray) -> bytes:
     return vector.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype={1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // GROUPS]).astype(np.int64)
+def unpacked(raw: bytes, groups: int = GROUPS) -> np.ndarray:
+    return np.frombuffer(raw, dtype={1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // groups]).astype(np.int64)
 
 
 def links(n_a: int, n_b: int, shared: int) -> bool:
@@ -341,19 +346,44 @@ def _round_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"])
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows a, b, hashes (the set of a in the row without b, else that of b) -> the pairs that link."""
-    own, last, out = None, None, []
-    for batch in batches:
-        for a, b, raw in zip(batch["a"], batch["b"], batch["hashes"]):
-            x = np.frombuffer(raw, dtype=np.uint64)
-            if b is None:
-                own, last = x, a
-            elif a == last and links(len(own), len(x), _shared(own, x)):
-                out.append((a, b))
-        if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
+def _fine(shingles: np.ndarray) -> bytes:
+    return packed(count_vector(shingles, FINE))
+
+
+def _may_link(a: bytes, b: bytes) -> bool:
+    """Whether the overlap bound of two vectors on FINE groups reaches a link."""
+    x, y = unpacked(a, FINE), unpacked(b, FINE)
+    return links(int(x.sum()), int(y.sum()), int(np.minimum(x, y).sum()))
+
+
+def _do_link(a: bytes, b: bytes) -> bool:
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    return links(len(x), len(y), _shared(x, y))
+
+
+def _passing(test: Callable[[bytes, bytes], bool]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows a, b, hashes (what is known of a in the row without b, else of b) -> the pairs that pass the test."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, last = None, None
+        for batch in batches:
             out = []
+            for a, b, raw in zip(batch["a"], batch["b"], batch["hashes"]):
+                if b is None:
+                    own, last = raw, a
+                elif a == last and test(own, raw):
+                    out.append((a, b))
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def passing(pairs: DataFrame, known: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs (a, b) that pass a test of what is known (cls, hashes) of both."""
+    asked = pairs.select("a").distinct().join(known.select(F.col("cls").alias("a"), "hashes"), "a").select("a", F.lit(None).cast("binary").alias("b"), "hashes")
+    other = pairs.join(known.select(F.col("cls").alias("b"), "hashes"), "b").select("a", "b", "hashes")
+    return asked.union(other).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInPandas(_passing(test), "a binary, b binary")
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -428,19 +458,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = placed.select("token", own_chunk.alias("chunk"), "cls", "vector", "n", chunks.cast("int").alias("chunks"))
     live = checkpointed(_by_group(placed, ["token", "chunk"]).mapInPandas(_live, "token long, chunk int, cls binary, chunks int"))
 
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _parts(batches):
-            sets = shingle_sets(part["text"].tolist())
-            found = [(c, s.tobytes()) for s, c in zip(sets, part["cls"]) if len(s) and class_of(s) == bytes(c)]
-            yield pd.DataFrame(found, columns=["cls", "hashes"])
+    def sets_for(names: DataFrame, form: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> DataFrame:
+        """The sets of the classes named (or what form makes of them), from the text of one document each."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in _parts(batches):
+                sets = shingle_sets(part["text"].tolist())
+                found = [(c, form(s)) for s, c in zip(sets, part["cls"]) if len(s) and class_of(s) == bytes(c)]
+                yield pd.DataFrame(found, columns=["cls", "hashes"])
 
-    def sets_for(names: DataFrame) -> DataFrame:
-        """The sets of the classes named, from the text of one document each."""
         needed = checkpointed(names.distinct().join(classes, "cls").select(F.col("rep").alias("doc_id"), "cls"))
         few = needed.count() <= BROADCAST_IDS
         same = docs["doc_id"].eqNullSafe(needed["doc_id"])
         texts = docs.select("doc_id", "text").join(F.broadcast(needed) if few else needed, same).select("cls", "text")
-        return texts.mapInPandas(sets_of, "cls binary, hashes binary")
+        return texts.mapInPandas(run, "cls binary, hashes binary")
 
     shape = "token long, chunk int, a binary, b binary, hashes binary"
     first = live.join(sets_for(live.select("cls")), "cls").select("token", "chunk", "cls", "hashes", "chunks")
@@ -465,13 +496,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = checkpointed(_by_group(dealt, ["token", "chunk"]).mapInPandas(_round_two, "a binary, b binary").distinct())
 
     if not pairs.isEmpty():
-        sets = checkpointed(sets_for(pairs.select(F.explode(F.array("a", "b")).alias("cls"))))
-        asked = pairs.select("a").distinct().join(sets.select(F.col("cls").alias("a"), "hashes"), "a").select("a", F.lit(None).cast("binary").alias("b"), "hashes")
-        other = pairs.join(sets.select(F.col("cls").alias("b"), "hashes"), "b").select("a", "b", "hashes")
-        checked = asked.union(other).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInPandas(_verify, "a binary, b binary")
-        more = checkpointed(checked)
-        if not more.isEmpty():
-            labels = checkpointed(components(edges.union(more), vertices))
+        for form, test in ((_fine, _may_link), (np.ndarray.tobytes, _do_link)):
+            known = checkpointed(sets_for(pairs.select(F.explode(F.array("a", "b")).alias("cls")), form))
+            pairs = checkpointed(passing(pairs, known, test))
+        if not pairs.isEmpty():
+            labels = checkpointed(components(edges.union(pairs), vertices))
     least = labels.join(classes.select(F.col("cls").alias("v"), "rep"), "v").groupBy("l").agg(F.min("rep").alias("least"))
     answer = labels.join(least, "l").select(F.col("v").alias("cls"), "least")
     out = member.join(answer, "cls", "left")
