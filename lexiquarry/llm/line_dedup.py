@@ -5,7 +5,10 @@ lines or MIN_WORDS words. Its fingerprint is the smallest line hash in it: equal
 runs select equal fingerprints, wherever they stand. Fingerprints that are selected
 at one position only are set aside; at the others the match is extended both ways,
 window by window, against the first occurrence of the same window, and the lines of
-every later occurrence go. Built-in Spark functions only.
+every later occurrence go. The windows that start at the lines reach as far left as a
+repeated run does, but may stop short of its end; for that, the shortest run up to each
+line is a window too. Any line of a repeated run lies in a window of one kind or the
+other inside the run. Built-in Spark functions only.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ def _normal(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per window: _row, doc_id, i (first line, blank lines not counted), n (lines), fp, fp_at, key."""
+    """One row per window: _row, doc_id, i (first line, blank lines not counted), n (lines), fp, fp_at, key.
+
+    A run that is the shortest from its first line and up to its last is one window.
+    """
     lines = F.filter(_normal(F.col("text")), lambda x: x != "")
     base = docs.filter(F.col("text").isNotNull()).select("_row", "doc_id", F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w"))).alias("_l"))
 
@@ -44,8 +50,23 @@ def windows(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WO
             n = F.when(total >= min_words, F.lit(k)).otherwise(n)
         return F.struct(i.alias("i"), n.alias("n"))
 
+    def window_to(x: Column, j: Column) -> Column:
+        total = x["w"]
+        stops = [(1, total)]
+        for k in range(1, min_lines):
+            total = total + F.coalesce(F.get("_l", j - k)["w"], F.lit(0))
+            stops.append((k + 1, total))
+        n, words = F.lit(min_lines), total
+        for k, total in reversed(stops[:-1]):
+            n, words = F.when(total >= min_words, F.lit(k)).otherwise(n), F.when(total >= min_words, total).otherwise(words)
+        return F.struct((j - n + 1).alias("i"), n.alias("n"), (words - x["w"]).alias("before"))
+
     starts = F.filter(F.transform("_l", window_at), lambda x: x["i"] + x["n"] <= F.size("_l"))
-    rows = base.withColumn("_h", F.transform("_l", lambda x: x["h"])).select("_row", "doc_id", "_h", F.explode(starts).alias("_s"))
+    # Without its last line it has the words still: not the shortest run from its first line, so not among the starts.
+    ends = F.filter(F.transform("_l", window_to), lambda x: (x["i"] >= 0) & (x["before"] >= min_words))
+    both = F.concat(starts, F.transform(ends, lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n"))))
+    spans = F.when(F.exists("_l", lambda x: x["w"] * (min_lines - 1) >= min_words), both).otherwise(starts)
+    rows = base.withColumn("_h", F.transform("_l", lambda x: x["h"])).select("_row", "doc_id", "_h", F.explode(spans).alias("_s"))
     run = F.slice("_h", F.col("_s.i") + 1, F.col("_s.n"))
     low = F.array_min(run)
     return rows.select("_row", "doc_id", F.col("_s.i").alias("i"), F.col("_s.n").alias("n"), low.alias("fp"), (F.col("_s.i") + F.array_position(run, low) - 1).cast("int").alias("fp_at"), F.xxhash64(run, "_s.n").alias("key"))

@@ -174,6 +174,31 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_whole_runs(spark):
+    """Against the definition: a line goes if a run of 3 lines or 50 words that holds it occurs in an earlier document."""
+    rng = random.Random(11)
+    pool = [" ".join([f"line{k}", *rng.choices(WORDS, k=rng.choice([2, 5, 24, 30, 55]))]) for k in range(30)]
+    texts = {0: [pool[5], *pool[:4]], 1: [pool[6], *pool[:4]]}
+    for i in range(2, 60):
+        source = texts[rng.randrange(i)]
+        a = rng.randrange(len(source))
+        run = source[a : a + rng.randint(1, 5)]
+        rest = rng.sample([x for x in pool if x not in run], 4)
+        at = rng.randint(0, 4)
+        texts[i] = rest[:at] + run + rest[at:]
+    texts[60], texts[61] = ["w " * 60 + "a", "tail one"], ["w " * 60 + "a", "tail two"]
+    texts[62] = list(texts[61])  # its tail repeats the second occurrence of the long line, not the first
+    seen, want = set(), {}
+    for i, lines in texts.items():
+        runs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if b - a >= 3 or sum(len(x.split()) for x in lines[a:b]) >= 50]
+        gone = {j for a, b in runs if tuple(lines[a:b]) in seen for j in range(a, b)}
+        seen |= {tuple(lines[a:b]) for a, b in runs}
+        want[i] = (len(gone), "\n".join(x for j, x in enumerate(lines) if j not in gone))
+    rows = [(i, "\n".join(lines), "en", "a", 0, "x") for i, lines in texts.items()]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert want[62] == (2, "") and {r.doc_id: (r.n_deleted_lines, r.text) for r in out} == want
+
+
 def test_language_id(spark, none):
     rng = random.Random(4)
     sound = {"en": ["th", "ing", "er", "wh", "sh"], "de": ["sch", "ung", "ei", "ä", "pf"]}
