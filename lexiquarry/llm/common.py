@@ -38,17 +38,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
-def global_row_numbers(df: DataFrame, keys: list[str], buckets: int = 4096) -> DataFrame:
+def global_row_numbers(df: DataFrame, keys: list[str], buckets: int = 4096, by: list[str] | None = None) -> DataFrame:
     """One row per input row with its keys, `row_number` (0 to n - 1) and `n_rows`.
 
     Rows are counted by key first, so that a repeated row costs one counter; the
     distinct keys are dealt over a fixed number of hash buckets, numbered inside
     their bucket and shifted by the (few) bucket totals. Only the keys travel.
-    The order is by hash, then by the keys: it doesn't depend on partitioning.
+    The order is by hash, then by the keys: it doesn't depend on partitioning. The
+    hash is of all keys, or of those in by.
     Rows equal in all keys are interchangeable and get adjacent numbers.
     """
     grouped = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    grouped = grouped.withColumn("_h", F.xxhash64(*keys)).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    grouped = grouped.withColumn("_h", F.xxhash64(*(by or keys))).withColumn("_b", F.pmod("_h", F.lit(buckets)))
     totals = grouped.groupBy("_b").agg(F.sum("_n").alias("_t"))
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

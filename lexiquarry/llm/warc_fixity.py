@@ -4,7 +4,11 @@ Records lie in volumes of VOLUME records. A leaf is the hash of a record's bytes
 node hashes up to FAN ordered children with their offset ranges; a volume's root is
 the hash that two replicas compare first. Only below roots and nodes that differ are
 children compared, down to the records. All of it is DataFrame work on hashes: record
-bytes are read once and never shuffled.
+bytes are read once per replica and never shuffled.
+
+The first replica's layout numbers records by id and url, which damage to a record's
+bytes doesn't change. The records of another replica are hashed on their own and take
+the places that the layout has for their id and url.
 """
 
 from __future__ import annotations
@@ -28,16 +32,61 @@ def record_bytes(page_id: Column, url: Column, payload: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
 
 
+def _hashed(pages: DataFrame) -> DataFrame:
+    record = record_bytes(F.col("page_id"), F.col("url"), F.col("html"))
+    return pages.select("page_id", "url", F.sha2(record, 256).alias("leaf"), F.octet_length(record).cast("long").alias("length"))
+
+
+def _place(number: Column) -> list[Column]:
+    return [F.floor(number / F.lit(VOLUME)).cast("long").alias("volume"), F.pmod(number, F.lit(VOLUME)).cast("int").alias("idx")]
+
+
 def layout(pages: DataFrame) -> DataFrame:
     """page_id, url, leaf (SHA-256 of the record), length, volume, idx: where each record of pages lies.
 
-    Records are numbered by hash of id, url and content; repeated records follow
-    each other. Other columns aren't read.
+    Records are numbered by hash of id and url, so that a record's content moves no
+    other one; those with the same id and url follow each other by content. Other
+    columns aren't read.
     """
-    record = record_bytes(F.col("page_id"), F.col("url"), F.col("html"))
-    slim = pages.select("page_id", "url", F.sha2(record, 256).alias("leaf"), F.octet_length(record).cast("long").alias("length"))
-    placed = global_row_numbers(slim, ["page_id", "url", "leaf", "length"])
-    return placed.select("page_id", "url", "leaf", "length", F.expr(f"row_number div {VOLUME}").alias("volume"), F.pmod("row_number", F.lit(VOLUME)).cast("int").alias("idx"))
+    placed = global_row_numbers(_hashed(pages), ["page_id", "url", "leaf", "length"], by=["page_id", "url"])
+    return placed.select("page_id", "url", "leaf", "length", *_place(F.col("row_number")))
+
+
+def replica_layout(pages: DataFrame, records: DataFrame) -> DataFrame:
+    """As layout, for the pages of another replica, at the places that records (a layout) has for them.
+
+    Records with the same id and url take the places of equal content first, the
+    others of them what is left in order. Records that find no place lie in volumes
+    of their own after all others.
+    """
+    key = ["page_id", "url"]
+    number = F.col("volume") * VOLUME + F.col("idx")
+    known = records.groupBy(*key, "leaf").agg(F.min(number).alias("start"), F.count("*").alias("n"))
+    found = _hashed(pages).groupBy(*key, "leaf").agg(F.max("length").alias("length"), F.count("*").alias("c"))
+    a, b = known.alias("a"), found.alias("b")
+    same = F.lit(True)
+    for k in (*key, "leaf"):
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    both = a.join(b, same, "full")
+    both = checkpointed(both.select(*(F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in (*key, "leaf")), "length", "start", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("c", F.lit(0)).alias("c")))
+
+    def spread(first: Column, count: Column) -> Column:
+        return F.explode(F.sequence(first, first + count - 1)).alias("number")
+
+    kept = both.filter("n > 0 AND c > 0").select(*key, "leaf", "length", spread(F.col("start"), F.least("n", "c")))
+    free = both.filter("n > c").select(*key, spread(F.col("start") + F.col("c"), F.col("n") - F.col("c")))
+    homeless = both.filter("c > n").select(*key, "leaf", "length", spread(F.lit(1).cast("long"), F.col("c") - F.col("n"))).drop("number")
+    free = free.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("number"))).alias("f")
+    homeless = homeless.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy("leaf"))).alias("h")
+    fits = F.col("f.r") == F.col("h.r")
+    for k in key:
+        fits = fits & F.col(f"f.{k}").eqNullSafe(F.col(f"h.{k}"))
+    settled = checkpointed(homeless.join(free, fits, "left").select(*(f"h.{k}" for k in (*key, "leaf", "length")), "f.number"))
+    extra = global_row_numbers(settled.filter("number IS NULL").select(*key, "leaf", "length"), [*key, "leaf", "length"], by=key)
+    volumes = records.agg((F.coalesce(F.max("volume"), F.lit(-1)) + 1).alias("_volumes"))
+    extra = extra.crossJoin(F.broadcast(volumes)).select(*key, "leaf", "length", (F.col("_volumes") * VOLUME + F.col("row_number")).alias("number"))
+    placed = kept.union(settled.filter("number IS NOT NULL")).union(extra)
+    return placed.select(*key, "leaf", "length", *_place(F.col("number")))
 
 
 def manifest(records: DataFrame) -> DataFrame:
@@ -89,17 +138,23 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     return bad.select("volume", F.col("idx").cast("int").alias("idx"), status.alias("status"), F.col("a.lo").alias("lo"), F.col("a.hi").alias("hi"), F.col("b.lo").alias("replica_lo"), F.col("b.hi").alias("replica_hi"))
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica of records as a failing disk leaves it: of each 997 record hashes one has other bytes, one is cut by a byte, one is lost."""
-    fate = F.pmod(F.xxhash64("leaf", "idx"), F.lit(997))
-    other = F.when(fate <= 1, F.sha2(F.concat(F.lit("damaged"), F.col("leaf")), 256)).otherwise(F.col("leaf"))
-    return records.filter(fate != 2).withColumn("length", F.when(fate == 1, F.col("length") - 1).otherwise(F.col("length"))).withColumn("leaf", other)
+def damaged(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) as a failing disk leaves them: of each 997 one has another first byte, one is cut by a character, one is lost.
+
+    The replica is made up: there is one copy of pages only.
+    """
+    fate = F.pmod(F.xxhash64("page_id", "url"), F.lit(997))
+    html = F.coalesce("html", F.lit(""))
+    other = F.concat(F.when(html.startswith("X"), "Y").otherwise("X"), F.substring(html, 2, 2**31 - 1))
+    cut = F.left(html, F.length(html) - 1)
+    return pages.filter(fate != 2).select("page_id", "url", F.when(fate == 0, other).when(fate == 1, cut).otherwise(F.col("html")).alias("html"))
 
 
 def op10_warc_fixity(spark, sf_dir: str) -> DataFrame:
-    """Every record of pages and what the audit of a damaged replica says of it."""
-    records = checkpointed(layout(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    first, second = checkpointed(manifest(records)), checkpointed(manifest(damaged(records)))
+    """Every record of pages and what the audit of a damaged replica, hashed from its own bytes, says of it."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    records = checkpointed(layout(pages))
+    first, second = checkpointed(manifest(records)), checkpointed(manifest(replica_layout(damaged(pages), records)))
     found = audit(first, second).select("volume", "idx", "status", "replica_lo", "replica_hi")
     rows = first.join(found, ["volume", "idx"], "left")
     return rows.select("page_id", "volume", "idx", F.col("lo").alias("offset"), "length", F.col("leaf").alias("sha256"), F.coalesce("status", F.lit("intact")).alias("status"))

@@ -222,3 +222,31 @@ def test_warc(spark):
     lost = warc_fixity.audit(first, warc_fixity.manifest(records.filter("page_id IS NULL OR page_id != 5")))
     assert lost.filter("status = 'missing'").count() == 1
     assert warc_fixity.layout(pages.limit(0)).count() == 0
+
+
+def test_warc_replicas(spark, tmp_path):
+    """Two page tables hashed on their own: only what was damaged is reported, and what follows it in its volume as moved."""
+    rows = [(i, f"http://x/{i}", "body " * (i % 50) + str(i)) for i in range(3000)]
+    rows += [(7, "http://x/7", "second of its id"), (8, "http://x/8", "twice"), (8, "http://x/8", "twice"), (None, None, None), (None, None, "no id")]
+    schema = "page_id long, url string, html string"
+    hurt = [(i, u, {40: "B" + (h or "")[1:], 2500: "B" + (h or "")[1:]}.get(i, "Second of its id" if h == "second of its id" else h)) for i, u, h in rows]
+    first, second = (warc_fixity.layout(spark.createDataFrame(x, schema).repartition(n)) for x, n in ((rows, 3), (hurt, 5)))
+    found = warc_fixity.audit(warc_fixity.manifest(first), warc_fixity.manifest(second)).collect()
+    at = {(r.volume, r.idx): r.page_id for r in first.collect()}
+    assert {at[r.volume, r.idx] for r in found if r.status == "corrupt"} >= {40, 2500} and {at[r.volume, r.idx] for r in found} <= {7, 40, 2500}
+
+    lost = [r for r in hurt if r[0] != 1000 and r[2] != "no id"]
+    lost.remove((8, "http://x/8", "twice"))
+    lost.append((9000, "http://x/9000", "new"))
+    replica = warc_fixity.replica_layout(spark.createDataFrame(lost, schema).repartition(4), first)
+    assert replica.count() == len(lost) == replica.select("volume", "idx").distinct().count()
+    found = warc_fixity.audit(warc_fixity.manifest(first), warc_fixity.manifest(replica)).collect()
+    by = {s: sorted(at.get((r.volume, r.idx)) or 0 for r in found if r.status == s) for s in ("corrupt", "missing", "extra")}
+    assert by == {"corrupt": [7, 40, 2500], "missing": [0, 8, 1000], "extra": [0]}
+    same = warc_fixity.replica_layout(spark.createDataFrame(rows, schema).repartition(2), first)
+    assert warc_fixity.audit(warc_fixity.manifest(first), warc_fixity.manifest(same)).count() == 0
+
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/pages.parquet")
+    told = warc_fixity.op10_warc_fixity(spark, str(tmp_path)).collect()
+    fate = {r.page_id: r.f for r in spark.createDataFrame(rows, schema).select("page_id", F.pmod(F.xxhash64("page_id", "url"), F.lit(997)).alias("f")).collect()}
+    assert len(told) == len(rows) and all((r.status == "missing") == (fate[r.page_id] == 2) and (r.status == "corrupt") == (fate[r.page_id] in (0, 1)) for r in told)
