@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import checkpointed, documents
+from lexiquarry.llm.common import SPACE_CHARS, checkpointed, documents
 
 WORDS = 5
 GROUPS = 64
@@ -412,13 +412,14 @@ def classify(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and row (hash of id and text) of each row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, row (hash of id and text) and component of each row of docs (doc_id, text).
 
     component_id is the smallest doc_id that links reach, the row's own included;
     null ids are passed over unless there is no other. Null texts and texts without
     words have no shingles and no links; texts of fewer than five words have one,
-    their whole word sequence. Rows that repeat an id are documents of their own.
-    Other columns are not read.
+    their whole word sequence. Rows that repeat an id are documents of their own, so
+    that several components may have the same component_id; component (a class's digest,
+    null without shingles) tells them apart. Other columns are not read.
     """
     ids = dict(docs.dtypes)["doc_id"]
     described = classify(docs)
@@ -502,24 +503,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not pairs.isEmpty():
             labels = checkpointed(components(edges.union(pairs), vertices))
     least = labels.join(classes.select(F.col("cls").alias("v"), "rep"), "v").groupBy("l").agg(F.min("rep").alias("least"))
-    answer = labels.join(least, "l").select(F.col("v").alias("cls"), "least")
+    answer = labels.join(least, "l").select(F.col("v").alias("cls"), "least", F.col("l").alias("component"))
     out = member.join(answer, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").cast(ids).alias("component_id"), "row")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").cast(ids).alias("component_id"), "row", "component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without those that link to another: of each component the row with the smallest id stays.
 
-    Ties go by the hash of the text. Rows without shingles stay; rows that repeat id
-    and text count once. All columns are kept.
+    Null ids come last, ties go by the hash of the text. Rows without shingles stay;
+    rows that repeat id and text count once, unless they have neither id nor shingles.
+    All columns are kept.
     """
     found = near_duplicates(docs)
     alone = found.filter("n_shingles = 0").select("row")
-    first = found.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.groupBy("component_id").agg(F.min("row").alias("row")).select("row")
-    kept = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(first.union(alone).distinct().withColumnRenamed("row", "_row"), "_row", "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*docs.columns)
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    first = found.filter("n_shingles > 0").groupBy("component").agg(best.alias("best")).select("best.row")
+    nameless = F.col("doc_id").isNull() & (F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACE_CHARS)) == "")
+    kept = docs.filter(~nameless).withColumn("_row", F.xxhash64("doc_id", "text")).join(first.union(alone).distinct().withColumnRenamed("row", "_row"), "_row", "left_semi")
+    return kept.dropDuplicates(["_row"]).select(*docs.columns).union(docs.filter(nameless))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).drop("row")
+    return near_duplicates(documents(spark, sf_dir)).drop("row", "component")

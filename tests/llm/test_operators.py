@@ -164,6 +164,19 @@ def test_jaccard_join(spark, docs, none):
     assert len([r for r in kept if r.doc_id in (3, 60)]) == 1
 
 
+def test_keep_one_repeated_ids(spark):
+    """Texts that don't link are all kept, whatever ids they share."""
+    rng = random.Random(21)
+    a, b, c, d = (" ".join(rng.choices(WORDS, k=40)) for _ in range(4))
+    rows = [(5, a), (5, b), (6, b + " more"), (None, c), (None, d), (None, d + " more"), (None, a), (None, ""), (None, " "), (None, ""), (None, None), (8, ""), (8, "")]
+    out = ngram_join.keep_one(spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in rows], SCHEMA).repartition(3)).collect()
+    got = [(r.doc_id, r.text) for r in out]
+    assert sorted(t for i, t in got if i == 5) == sorted([a, b]) and not any(i == 6 for i, _ in got)
+    nameless = [t for i, t in got if i is None]
+    assert nameless.count(c) == 1 and (d in nameless) + (d + " more" in nameless) == 1 and a not in nameless
+    assert sorted(t or "" for t in nameless if not (t or "").strip()) == ["", "", "", " "] and got.count((8, "")) == 1
+
+
 def test_line_dedup(spark, docs, none):
     run = "first line here\nsecond line here\nthird line here"
     rows = [(1, f"a b c\n{run}\nend one", "en", "a", 0, "x"), (2, f"start two\n{run}\n\nlast", "en", "a", 0, "x"), (3, "\n".join(["same"] * 8), "en", "a", 0, "x")]
