@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,19 +18,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Where it is unset, a local session (one machine, as in tests) gets a temporary
+    folder; on a cluster that is an error, as executors don't share such folders.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "lexiquarry-checkpoints")
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the cluster's shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "lexiquarry-checkpoints"))
-    kept = df.checkpoint()
-    # What the computation shuffled is of no more use; the cleaner frees it once the
-    # driver's garbage is collected, which may otherwise be long after the disks are full.
-    del df
-    gc.collect()
-    sc._jvm.System.gc()
-    return kept
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
 
 
 def words(text: Column) -> Column:

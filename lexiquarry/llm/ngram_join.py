@@ -4,58 +4,65 @@ A document's set is its distinct five-word shingles, hashed to 64 bits; two sets
 if they share 80 % of their union. Texts with equal sets form a class, and only
 classes are joined.
 
-The index is an R-tree over count vectors: shingles are hashed into GROUPS groups and
-the group counts of a set are a point. The sum of coordinate minima of two points
-bounds the overlap of their sets, and of a point and a node's upper corner that with
-every set below the node, so subtrees that can't reach the overlap asked for are left
-out; what survives is verified on the sets themselves.
+The index is an R-tree over count vectors: shingles are hashed into groups and the
+group counts of a set are a point. The sum of coordinate minima of two points bounds
+the overlap of their sets, and of a point and a node's upper corner that with every set
+below the node, so subtrees that can't reach the overlap asked for are left out. Long
+sets fill few groups so evenly that the bound says little: a set of n shingles has at
+least n / PER_GROUP groups. The trees fold the vectors to GROUPS groups; what they leave
+is bounded again on all groups that both vectors have, and then verified on the sets.
 
 The tree is sharded. Linked sets share one of the first n - ceil(0.8 n) + 1 of their
-shingles in any order common to all; each of these shingles is a block with an R-tree
+shingles in any order common to all; each of these shingles is a block with R-trees
 of its own. Shingles go by how often they occur, rare ones first, so that passages
 that many documents share make no blocks. The order is read from a count sketch of
-fixed size: it may be inexact, as any common order is right.
+fixed size: it may be inexact, as any common order is right. Of blocks with the same
+members only one is kept.
 
 Round 1 puts each class into its least and its most crowded block, in chunks of CHUNK
-classes. The vectors tell which members of a chunk have a candidate there at all; only
-these get their sets and are verified. The leaders of the largest groups of a block's
+classes, and connects what links there. The leaders of the largest groups of a block's
 chunks meet again.
-Round 2 looks at all blocks, but only for pairs that are not connected yet: blocks of
-one component are left out, in others the members outside the largest component meet
-every chunk. A long set fills GROUPS groups so evenly that the bound says little; the
-pairs found are bounded once more on FINE groups before their sets travel. No pair
-that could connect two components goes unverified.
+Round 2 looks at all blocks, but only for links between different components. A block's
+members are homes in chunks of CHUNK; those outside the block's largest component also
+visit every chunk, in parties of CHUNK. So no task holds more than one chunk of sets, and a
+crowded block is dealt over many tasks. In both rounds the vectors come first: only members
+that they leave a candidate get their sets and are verified, in the block, and what leaves
+the block are the links of a spanning forest. No pair that could connect two components goes
+unverified.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.llm.common import SPACE_CHARS, checkpointed, documents
 
 WORDS = 5
 GROUPS = 64
-FINE = 1024
-CHUNK = 512
-NODE = 16
-#: So many of a class's blocks tell in round 2 that a pair has met before.
+PER_GROUP = 4
+CHUNK = 128
+NODE = 8
+#: So many of a class's blocks tell in round 2 that a pair meets in an earlier one.
 HEADS = 8
 SKETCH_BITS = 21
 SLICES = 64
-BATCH_BYTES = 1 << 21
-#: Up to so many ids of documents whose sets are needed are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 200_000
+BATCH_BYTES = 1 << 19
+#: Up to so many rows of documents whose sets are needed are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
-_MASK = (1 << 64) - 1
 _R = 0x9E3779B97F4A7C15
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -75,7 +82,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """r ** i and r ** -i modulo 2 ** 64 for i up to n."""
     if not _powers or len(_powers["up"]) <= n:
-        size = max(n + 1, BATCH_BYTES * 2)
+        size = max(n + 1, BATCH_BYTES)
         for name, base in (("up", _R), ("down", pow(_R, -1, 1 << 64))):
             out = np.full(size, np.uint64(base), dtype=np.uint64)
             out[0] = 1
@@ -83,9 +90,32 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A long text in pieces of about BATCH_BYTES, cut between words; each begins with the last WORDS - 1 words before it."""
+    at, back = 0, b""
+    while True:
+        cut = _SPACE.search(raw, at + BATCH_BYTES) if len(raw) - at > BATCH_BYTES else None
+        piece = back + raw[at : cut.start() if cut else len(raw)]
+        yield piece
+        if cut is None:
+            return
+        back, at = b" ".join(piece.split()[1 - WORDS :]) + b" ", cut.end()
+
+
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes (uint64) of each text."""
+    """Sorted distinct shingle hashes (uint64) of each text; a long one is read in pieces."""
     raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    if all(len(r) <= 2 * BATCH_BYTES for r in raw):
+        return _sets(raw)
+    out = []
+    for r in raw:
+        pieces = list(_pieces(r)) if len(r) > 2 * BATCH_BYTES else [r]
+        found = [_sets([x])[0] for x in pieces if len(pieces) == 1 or len(x.split()) >= WORDS]
+        out.append(np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else _sets([r])[0])
+    return out
+
+
+def _sets(raw: list[bytes]) -> list[np.ndarray]:
     data = np.frombuffer((b" ".join(raw) + b" ").translate(_LOWER), dtype=np.uint8)
     doc_at = np.cumsum([0] + [len(r) + 1 for r in raw])
     space = _SPACES[data]
@@ -101,7 +131,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         full += word[k : k + n] * _PLACE[k]
     full = _mix(full)
     out = []
-    for i in range(len(texts)):
+    for i in range(len(raw)):
         a, b = int(edges[i]), int(edges[i + 1])
         if b - a >= WORDS:
             out.append(np.unique(full[a : b - WORDS + 1]))
@@ -117,20 +147,38 @@ def class_of(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """How many shingles are in each group; groups is a power of two."""
+def n_groups(size: int) -> int:
+    """Groups of the vector of a set: a power of two, GROUPS at least."""
+    return max(GROUPS, 1 << (max(size, 1) // PER_GROUP).bit_length())
+
+
+def count_vector(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles are in each group; a group is the first bits of a shingle."""
+    groups = n_groups(len(shingles))
     group = (shingles >> np.uint64(65 - groups.bit_length())).astype(np.int64)
     return np.bincount(group, minlength=groups).astype(np.uint32)
 
 
+def folded(vector: np.ndarray, groups: int) -> np.ndarray:
+    """The counts in fewer groups."""
+    return vector if len(vector) == groups else vector.reshape(groups, -1).sum(axis=1)
+
+
 def packed(vector: np.ndarray) -> bytes:
-    """The counts in the smallest of one, two or four bytes each."""
+    """A byte that tells the width, then the counts in that many bytes each."""
     top = int(vector.max(initial=0))
-    return vector.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes()
+    kind = np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32
+    return bytes((np.dtype(kind).itemsize,)) + vector.astype(kind).tobytes()
+
 
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1).astype(np.int64)
 
-def unpacked(raw: bytes, groups: int = GROUPS) -> np.ndarray:
-    return np.frombuffer(raw, dtype={1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // groups]).astype(np.int64)
+
+def may_link(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
+    """Whether the overlap bound of two vectors reaches a link."""
+    groups = min(len(a), len(b))
+    return links(n_a, n_b, int(np.minimum(folded(a, groups), folded(b, groups)).sum()))
 
 
 def links(n_a: int, n_b: int, shared: int) -> bool:
@@ -150,14 +198,6 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.iloc[begin:]
 
 
-def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in _parts(batches):
-        sets = shingle_sets(part["text"].tolist())
-        names = [class_of(s) if len(s) else None for s in sets]
-        vectors = [packed(count_vector(s)) if len(s) else None for s in sets]
-        yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "n": [len(s) for s in sets], "cls": names, "vector": vectors})
-
-
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
     for part in _parts(batches):
@@ -190,11 +230,6 @@ def prefix(shingles: np.ndarray, order: np.ndarray) -> np.ndarray:
     return shingles[at]
 
 
-def short_name(cls: bytes) -> int:
-    """Half of a class's digest: names it in the blocks; classes that share it are told apart later."""
-    return int.from_bytes(cls[:8], "little", signed=True)
-
-
 class Forest:
     """Union-find over the members of a block."""
 
@@ -212,41 +247,36 @@ class Forest:
 
 
 class RTree:
-    """Count vectors packed into nodes of NODE points of like size; one level of upper corners."""
+    """Count vectors packed into nodes of NODE points or nodes of like size, up to one root node."""
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
         self.at = np.lexsort((vectors[:, : GROUPS // 2].sum(axis=1), sizes))
-        self.vectors, self.sizes = vectors[self.at].astype(np.int64), sizes[self.at].astype(np.int64)
-        first = np.arange(0, len(sizes), NODE)
-        self.corners = np.maximum.reduceat(self.vectors, first, axis=0)
-        self.least = np.minimum.reduceat(self.sizes, first)
+        self.levels = [(vectors[self.at], sizes[self.at])]
+        while len(self.levels[-1][1]) > NODE:
+            points, least = self.levels[-1]
+            first = np.arange(0, len(least), NODE)
+            self.levels.append((np.maximum.reduceat(points, first, axis=0), np.minimum.reduceat(least, first)))
 
     def search(self, vector: np.ndarray, size: int) -> np.ndarray:
         """Members whose overlap bound with the point reaches a link."""
-        vector = vector.astype(np.int64)
-        nodes = np.flatnonzero(9 * np.minimum(self.corners, vector).sum(axis=1) >= 4 * (self.least + size))
-        if not len(nodes):
-            return nodes
-        rows = (nodes[:, None] * NODE + np.arange(NODE)).ravel()
-        rows = rows[rows < len(self.sizes)]
-        good = 9 * np.minimum(self.vectors[rows], vector).sum(axis=1) >= 4 * (self.sizes[rows] + size)
-        return self.at[rows[good]]
-
-
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list[tuple]]:
-    """Rows of each group; batches are sorted by the keys, a group may span batches."""
-    rows, last = [], None
-    k = len(keys)
-    for batch in batches:
-        columns = [batch[c].tolist() for c in [*keys, *(c for c in batch.columns if c not in keys)]]
-        for row in zip(*columns):
-            if row[:k] != last:
-                if rows:
-                    yield rows
-                rows, last = [], row[:k]
-            rows.append(row)
-    if rows:
-        yield rows
+        rows = np.arange(len(self.levels[-1][1]))
+        for points, least in reversed(self.levels):
+            if points is not self.levels[-1][0]:
+                rows = (rows[:, None] * NODE + np.arange(NODE)).ravel()
+                rows = rows[rows < len(least)]
+            rows = rows[9 * np.minimum(points[rows], vector).sum(axis=1) >= 4 * (least[rows] + size)]
+        return self.at[rows]
+
+
+def _groups(batches: Iterator[pd.DataFrame], k: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """The rows of each group of the first k columns, one after another; batches are sorted by them, a group may span batches."""
+    rows = (row for batch in batches for row in zip(*(batch[c].tolist() for c in batch.columns)))
+    return groupby(rows, key=lambda row: row[:k])
+
+
+def _frames(rows: Iterator[tuple], columns: list[str], size: int) -> Iterator[pd.DataFrame]:
+    while part := list(islice(rows, size)):
+        yield pd.DataFrame(part, columns=columns)
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -257,133 +287,132 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def join_block(sets: list[np.ndarray]) -> Forest:
-    """Connects the members of a block that link; pairs that are connected already aren't verified."""
-    forest = Forest(len(sets))
-    sizes = np.array([len(s) for s in sets])
-    if len(sets) == 2:
-        if links(len(sets[0]), len(sets[1]), _shared(sets[0], sets[1])):
-            forest.join(0, 1)
-        return forest
-    vectors = np.array([count_vector(s) for s in sets])
-    tree = RTree(vectors, sizes)
-    for i in range(1, len(sets)):
-        for j in tree.search(vectors[i], int(sizes[i])).tolist():
-            if j < i and forest.root(i) != forest.root(j) and links(int(sizes[i]), int(sizes[j]), _shared(sets[i], sets[j])):
-                forest.join(i, j)
-    return forest
+class Chunk:
+    """Homes of a block: an R-tree over their vectors, and perhaps their sets."""
+
+    def __init__(self, vectors: list[np.ndarray], sizes: list[int]):
+        self.vectors, self.sizes = vectors, sizes
+        self.tree = RTree(np.array([folded(v, GROUPS) for v in vectors]), np.array(sizes))
+
+    def near(self, vector: np.ndarray, size: int) -> Iterator[int]:
+        """Homes whose vectors leave a link with the point."""
+        for j in self.tree.search(folded(vector, GROUPS), size).tolist():
+            if may_link(vector, self.vectors[j], size, self.sizes[j]):
+                yield j
 
 
 def _live(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows token, chunk, cls, vector, n, chunks -> those whose vectors leave a candidate in the chunk."""
-    out = []
-    for rows in _groups(batches, ["token", "chunk"]):
-        if len(rows) > 1:
-            vectors = np.array([unpacked(r[3]) for r in rows])
-            sizes = np.array([int(r[4]) for r in rows])
-            tree = RTree(vectors, sizes) if len(rows) > 2 else None
-            for i, r in enumerate(rows):
-                if tree is not None:
-                    near = len(tree.search(vectors[i], int(sizes[i]))) > 1
-                else:
-                    near = links(int(sizes[0]), int(sizes[1]), int(np.minimum(vectors[0], vectors[1]).sum()))
-                if near:
-                    out.append((*r[:3], r[5]))
-        if len(out) >= 20_000:
-            yield pd.DataFrame(out, columns=["token", "chunk", "cls", "chunks"])
-            out = []
-    yield pd.DataFrame(out, columns=["token", "chunk", "cls", "chunks"])
+
+    def rows() -> Iterator[tuple]:
+        for _, group in _groups(batches, 2):
+            group = list(group)
+            vectors, sizes = [unpacked(r[3]) for r in group], [r[4] for r in group]
+            live = [False] * len(group)
+            if len(group) == 2:
+                live = [may_link(*vectors, *sizes)] * 2
+            elif len(group) > 2:
+                chunk = Chunk(vectors, sizes)
+                for i, (v, n) in enumerate(zip(vectors, sizes)):
+                    if not live[i]:
+                        for j in chunk.near(v, n):
+                            if i != j:
+                                live[i] = live[j] = True
+            yield from ((*r[:3], r[5]) for r, found in zip(group, live) if found)
+
+    return _frames(rows(), ["token", "chunk", "cls", "chunks"], 10_000)
 
 
 def _round_one(level: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows token, chunk, cls, hashes -> links to the first of each group found, and (first level) the leader of the largest."""
-    names = ["token", "chunk", "a", "b", "hashes"]
+    """Rows token, chunk, cls, hashes, chunks -> links to the first of each group found, and (first level) the leader of the largest."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
-        for rows in _groups(batches, ["token", "chunk"]):
-            rows = [r for k, r in enumerate(rows) if not k or r[2] != rows[k - 1][2]]
-            forest = join_block([np.frombuffer(r[3], dtype=np.uint64) for r in rows]) if len(rows) > 1 else Forest(1)
-            roots = [forest.root(i) for i in range(len(rows))]
-            out += [(r[0], r[1], r[2], rows[k][2], None) for k, r in zip(roots, rows) if rows[k] is not r]
-            if level == 0 and rows[0][4] > 1:
-                leader = rows[max(range(len(rows)), key=lambda i: (roots.count(i), -i))]
-                out.append((*leader[:3], None, leader[3]))
-            if len(out) >= 2000:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        yield pd.DataFrame(out, columns=names)
-
-    return run
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for _, group in _groups(batches, 2):
+            group = [next(same) for _, same in groupby(group, key=lambda row: row[2])]
+            forest = join_block([np.frombuffer(r[3], dtype=np.uint64) for r in group])
+            roots = [forest.root(i) for i in range(len(group))]
+            yield from ((r[0], r[1], r[2], group[k][2], None) for k, r in zip(roots, group) if group[k] is not r)
+            if level == 0 and group[0][4] > 1:
+                sizes = Counter(roots)
+                leader = group[max(range(len(group)), key=lambda i: (sizes[i], -i))]
+                yield (*leader[:3], None, leader[3])
 
+    return lambda batches: _frames(rows(batches), ["token", "chunk", "a", "b", "hashes"], 500)
 
-def _round_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a block whose components differ and whose vectors allow a link; a guest meets home members only.
 
-    Two members that share one of the first tokens of both meet in that token's block
-    too; they are left to it if it comes before this one.
-    """
-    out = []
-    for rows in _groups(batches, ["token", "chunk"]):
-        vectors = np.array([unpacked(r[4]) for r in rows])
-        sizes = np.array([int(r[5]) for r in rows])
-        home = np.array([not r[6] for r in rows])
-        at_home = np.flatnonzero(home)
-        if not len(at_home) or len(rows) < 2:
-            continue
-        tree = RTree(vectors[at_home], sizes[at_home])
-        base = rows[0][7]
-        earlier = [{t for t in r[8] if t < r[0]} for r in rows]
-        for i, r in enumerate(rows):
-            if home[i] and r[3] == base:
-                continue
-            for j in at_home[tree.search(vectors[i], int(sizes[i]))].tolist():
-                if rows[j][3] != r[3] and earlier[i].isdisjoint(earlier[j]):
-                    out.append((min(r[2], rows[j][2]), max(r[2], rows[j][2])))
-        if len(out) >= 20_000:
-            yield pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"])
-            out = []
-    yield pd.DataFrame(list(dict.fromkeys(out)), columns=["a", "b"])
-
-
-def _fine(shingles: np.ndarray) -> bytes:
-    return packed(count_vector(shingles, FINE))
-
-
-def _may_link(a: bytes, b: bytes) -> bool:
-    """Whether the overlap bound of two vectors on FINE groups reaches a link."""
-    x, y = unpacked(a, FINE), unpacked(b, FINE)
-    return links(int(x.sum()), int(y.sum()), int(np.minimum(x, y).sum()))
-
-
-def _do_link(a: bytes, b: bytes) -> bool:
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    return links(len(x), len(y), _shared(x, y))
-
-
-def _passing(test: Callable[[bytes, bytes], bool]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows a, b, hashes (what is known of a in the row without b, else of b) -> the pairs that pass the test."""
+def join_block(sets: list[np.ndarray]) -> Forest:
+    """Connects the members of a block that link; pairs that are connected already aren't verified."""
+    forest = Forest(len(sets))
+    sizes = [len(s) for s in sets]
+    chunk = Chunk([count_vector(s) for s in sets], sizes) if len(sets) > 1 else None
+    for i in range(1, len(sets)):
+        for j in chunk.near(chunk.vectors[i], sizes[i]):
+            if j < i and forest.root(i) != forest.root(j) and links(sizes[i], sizes[j], _shared(sets[i], sets[j])):
+                forest.join(i, j)
+    return forest
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, last = None, None
-        for batch in batches:
-            out = []
-            for a, b, raw in zip(batch["a"], batch["b"], batch["hashes"]):
-                if b is None:
-                    own, last = raw, a
-                elif a == last and test(own, raw):
-                    out.append((a, b))
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
 
-    return run
+def _met(visitor: tuple, home: tuple) -> bool:
+    """Whether a visitor looks at a home: components differ; of two that both visit, the lesser looks at the greater."""
+    return visitor[5] != home[5] and (home[5] == home[6] or visitor[4] < home[4])
 
 
-def passing(pairs: DataFrame, known: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """The pairs (a, b) that pass a test of what is known (cls, hashes) of both."""
-    asked = pairs.select("a").distinct().join(known.select(F.col("cls").alias("a"), "hashes"), "a").select("a", F.lit(None).cast("binary").alias("b"), "hashes")
-    other = pairs.join(known.select(F.col("cls").alias("b"), "hashes"), "b").select("a", "b", "hashes")
-    return asked.union(other).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInPandas(_passing(test), "a binary, b binary")
+def _visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows token, chunk, party, guest, cls, comp, base, vector, n, heads -> those whose vectors leave a visitor and a home that may link.
+
+    Two that share one of the first tokens of both meet in that token's block too; they
+    are left to it if it comes before this one.
+    """
+
+    def rows() -> Iterator[tuple]:
+        for _, group in _groups(batches, 3):
+            homes = []
+            for guest, some in groupby(group, key=lambda row: row[3]):
+                if not guest:
+                    homes = list(some)
+                    chunk = Chunk([unpacked(r[7]) for r in homes], [r[8] for r in homes])
+                    earlier = [{t for t in r[9] if t < r[0]} for r in homes]
+                    live = [False] * len(homes)
+                elif homes:
+                    for r in some:
+                        found = [j for j in chunk.near(unpacked(r[7]), r[8]) if _met(r, homes[j]) and earlier[j].isdisjoint(r[9])]
+                        for j in found:
+                            live[j] = True
+                        if found:
+                            yield r[:7]
+                    yield from (h[:7] for h, found in zip(homes, live) if found)
+
+    return _frames(rows(), ["token", "chunk", "party", "guest", "cls", "comp", "base"], 10_000)
+
+
+def _round_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows token, chunk, party, guest, cls, comp, base, hashes -> links of a spanning forest of each group's components."""
+
+    def rows() -> Iterator[tuple]:
+        for _, group in _groups(batches, 3):
+            homes, up = [], {}
+
+            def root(c: bytes) -> bytes:
+                while up.get(c, c) != c:
+                    c = up[c]
+                return c
+
+            for guest, some in groupby(group, key=lambda row: row[3]):
+                some = (next(same) for _, same in groupby(some, key=lambda row: row[4]))
+                if not guest:
+                    homes = list(some)
+                    sets = [np.frombuffer(r[7], dtype=np.uint64) for r in homes]
+                    chunk = Chunk([count_vector(s) for s in sets], [len(s) for s in sets])
+                    continue
+                for r in some if homes else ():
+                    own = np.frombuffer(r[7], dtype=np.uint64)
+                    for j in chunk.near(count_vector(own), len(own)):
+                        a, b = root(r[5]), root(homes[j][5])
+                        if a != b and _met(r, homes[j]) and links(len(own), len(sets[j]), _shared(own, sets[j])):
+                            up[max(a, b)] = min(a, b)
+                            yield r[4], homes[j][4]
+
+    return _frames(rows(), ["a", "b"], 10_000)
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -405,14 +434,42 @@ def _by_group(df: DataFrame, keys: list[str], *then: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *then)
 
 
+def row_names() -> list[Column]:
+    """row and twin: 128 bits that name a row by its doc_id and text."""
+    return [F.xxhash64("doc_id", "text").alias("row"), F.xxhash64(F.lit("twin"), "doc_id", "text").alias("twin")]
+
+
 def classify(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of id and text), n (shingles), cls (digest of the shingle set) and vector of each row; null for an empty set."""
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    return rows.mapInPandas(_classes, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, n long, cls binary, vector binary")
+    """doc_id, row, twin, n (shingles), cls (digest of the shingle set), vector and tokens (first shingles) of each row; null for an empty set."""
+    order = docs.sparkSession.sparkContext.broadcast(shingle_order(docs))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _parts(batches):
+            sets = shingle_sets(part["text"].tolist())
+            columns = {c: part[c] for c in ("doc_id", "row", "twin")} | {"n": [len(s) for s in sets]}
+            some = {"cls": class_of, "vector": lambda s: packed(count_vector(s)), "tokens": lambda s: prefix(s, order.value).view(np.int64)}
+            yield pd.DataFrame(columns | {c: [f(s) if len(s) else None for s in sets] for c, f in some.items()})
+
+    shape = f"doc_id {dict(docs.dtypes)['doc_id']}, row long, twin long, n long, cls binary, vector binary, tokens array<long>"
+    return docs.select("doc_id", "text", *row_names()).mapInPandas(run, shape)
+
+
+def blocks(classes: DataFrame) -> DataFrame:
+    """token, short and members (of the token): the blocks that two or more classes share; of those with the same members, one.
+
+    Blocks are compared by their count, least and greatest member and two checksums of
+    64 bits.
+    """
+    each = classes.select(F.explode("tokens").alias("token"), "short")
+    whole = Window.partitionBy("token")
+    facts = {"members": F.count("*"), "lo": F.min("short"), "hi": F.max("short"), "x": F.bit_xor("short"), "y": F.bit_xor(F.xxhash64("short"))}
+    rows = checkpointed(each.withColumns({k: v.over(whole) for k, v in facts.items()}).filter("lo != hi"))
+    one = rows.groupBy(*facts).agg(F.min("token").alias("token")).select("token")
+    return rows.select("token", "short", "members").join(one, "token", "left_semi")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, row (hash of id and text) and component of each row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, row and twin (hashes of id and text) and component of each row of docs (doc_id, text).
 
     component_id is the smallest doc_id that links reach, the row's own included;
     null ids are passed over unless there is no other. Null texts and texts without
@@ -422,90 +479,71 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null without shingles) tells them apart. Other columns are not read.
     """
     ids = dict(docs.dtypes)["doc_id"]
-    described = classify(docs)
-    member = checkpointed(described.drop("vector"))
-    known = described.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("vector").alias("vector"))
-
-    @F.pandas_udf("long")
-    def shorten(names: pd.Series) -> pd.Series:
-        return pd.Series([short_name(bytes(c)) for c in names], dtype="int64")
-
-    classes = checkpointed(known.withColumn("short", shorten("cls")))
-    order = docs.sparkSession.sparkContext.broadcast(shingle_order(docs))
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _parts(batches):
-            tokens, owners = [], []
-            for s in shingle_sets(part["text"].tolist()):
-                if len(s):
-                    tokens.append(prefix(s, order.value).view(np.int64))
-                    owners.append(np.full(len(tokens[-1]), short_name(class_of(s))))
-            if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "short": np.concatenate(owners)})
-
-    each = docs.select("text").mapInPandas(prefixes, "token long, short long")
-    sorted_block = Window.partitionBy("token").orderBy("short")
-    whole = sorted_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seen = each.withColumns({"_lo": F.first("short").over(whole), "_hi": F.last("short").over(whole), "_before": F.lag("short").over(sorted_block)})
-    rows = checkpointed(seen.filter((F.col("_lo") != F.col("_hi")) & ~F.col("short").eqNullSafe(F.col("_before"))).select("token", "short"))
-    rows = rows.join(rows.groupBy("token").agg(F.count("*").alias("members")), "token")
+    described = checkpointed(classify(docs))
+    member = described.drop("vector", "tokens")
+    first = F.min(F.struct("row", "twin", "n", "vector", "tokens")).alias("first")
+    known = described.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), first).select("cls", "rep", "first.*")
+    classes = checkpointed(known.withColumn("short", F.conv(F.substring(F.hex("cls"), 1, 15), 16, 10).cast("long")))
 
+    rows = checkpointed(blocks(classes))
     rank = F.struct("members", "token")
     homes = rows.groupBy("short").agg(F.min(rank).alias("x"), F.max(rank).alias("y"))
     homes = homes.select("short", F.explode(F.array_distinct(F.array("x", "y"))).alias("h")).select("short", F.col("h.token").alias("token"), F.col("h.members").alias("members"))
-    chunks = F.ceil(F.col("members") / CHUNK)
-    placed = homes.join(classes.select("short", "cls", "vector", "n"), "short")
-    own_chunk = F.pmod(F.xxhash64("cls", "token"), chunks).cast("int")
-    placed = placed.select("token", own_chunk.alias("chunk"), "cls", "vector", "n", chunks.cast("int").alias("chunks"))
+    points = classes.select("short", "cls", "vector", "n")
+
+    def dealt(n: str) -> Column:
+        """How many chunks so many members have."""
+        return F.ceil(F.col(n) / CHUNK).cast("int")
+
+    own = F.pmod(F.xxhash64("cls", "token"), dealt("members")).cast("int")
+    placed = homes.join(points, "short").select("token", own.alias("chunk"), "cls", "vector", "n", dealt("members").alias("chunks"))
     live = checkpointed(_by_group(placed, ["token", "chunk"]).mapInPandas(_live, "token long, chunk int, cls binary, chunks int"))
 
-    def sets_for(names: DataFrame, form: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> DataFrame:
-        """The sets of the classes named (or what form makes of them), from the text of one document each."""
+    def sets_for(names: DataFrame) -> DataFrame:
+        """The sets of the classes named (cls, hashes), from the text of one row each; several times if that row is repeated."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in _parts(batches):
-                sets = shingle_sets(part["text"].tolist())
-                found = [(c, form(s)) for s, c in zip(sets, part["cls"]) if len(s) and class_of(s) == bytes(c)]
-                yield pd.DataFrame(found, columns=["cls", "hashes"])
-
-        needed = checkpointed(names.distinct().join(classes, "cls").select(F.col("rep").alias("doc_id"), "cls"))
-        few = needed.count() <= BROADCAST_IDS
-        same = docs["doc_id"].eqNullSafe(needed["doc_id"])
-        texts = docs.select("doc_id", "text").join(F.broadcast(needed) if few else needed, same).select("cls", "text")
+                found = [(c, s.tobytes()) for s, c in zip(shingle_sets(part["text"].tolist()), part["cls"]) if class_of(s) == bytes(c)]
+                yield pd.DataFrame(dict(found).items(), columns=["cls", "hashes"])
+
+        needed = checkpointed(names.distinct().join(classes, "cls").select("cls", "row", "twin"))
+        few = needed.count() <= BROADCAST_ROWS
+        texts = docs.select("text", *row_names()).join(F.broadcast(needed) if few else needed, ["row", "twin"]).select("cls", "text")
         return texts.mapInPandas(run, "cls binary, hashes binary")
 
     shape = "token long, chunk int, a binary, b binary, hashes binary"
-    first = live.join(sets_for(live.select("cls")), "cls").select("token", "chunk", "cls", "hashes", "chunks")
-    found = checkpointed(_by_group(first, ["token", "chunk"], "cls").mapInPandas(_round_one(0), shape))
+    asked = live.join(sets_for(live.select("cls")), "cls").select("token", "chunk", "cls", "hashes", "chunks")
+    found = checkpointed(_by_group(asked, ["token", "chunk"], "cls").mapInPandas(_round_one(0), shape))
     again = found.filter("b IS NULL").select("token", F.expr(f"chunk div {CHUNK}").cast("int").alias("chunk"), F.col("a").alias("cls"), "hashes", F.lit(1).alias("chunks"))
     upper = _by_group(again, ["token", "chunk"], "cls").mapInPandas(_round_one(1), shape)
     edges = checkpointed(found.union(upper).filter("b IS NOT NULL").select("a", "b"))
 
     vertices = classes.select(F.col("cls").alias("v"))
     labels = checkpointed(components(edges, vertices))
-    crowd = labels.groupBy("l").agg(F.count("*").alias("crowd"))
-    marked = labels.join(crowd, "l").join(classes.select(F.col("cls").alias("v"), "short"), "v")
-    marked = marked.select("short", F.col("v").alias("cls"), F.col("l").alias("comp"), "crowd")
-    inside = checkpointed(rows.join(marked, "short").select("token", "cls", "members", "comp", "crowd"))
-    mixed = inside.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("crowd", "comp")).alias("top")).filter("lo != hi").select("token", F.col("top.comp").alias("base"))
-    crossed = checkpointed(inside.join(mixed, "token"))
-    heads = crossed.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("token")), 1, HEADS).alias("heads"))
-    open_rows = crossed.join(heads, "cls").join(classes.select("cls", "vector", "n"), "cls").withColumn("own", own_chunk)
-    places = F.when(F.col("comp") == F.col("base"), F.array("own")).otherwise(F.sequence(F.lit(0), (chunks - 1).cast("int")))
-    dealt = open_rows.select("token", F.explode(places).alias("chunk"), "cls", "comp", "vector", "n", "own", "base", "heads")
-    dealt = dealt.select("token", "chunk", "cls", "comp", "vector", "n", (F.col("own") != F.col("chunk")).alias("guest"), "base", "heads")
-    pairs = checkpointed(_by_group(dealt, ["token", "chunk"]).mapInPandas(_round_two, "a binary, b binary").distinct())
-
-    if not pairs.isEmpty():
-        for form, test in ((_fine, _may_link), (np.ndarray.tobytes, _do_link)):
-            known = checkpointed(sets_for(pairs.select(F.explode(F.array("a", "b")).alias("cls")), form))
-            pairs = checkpointed(passing(pairs, known, test))
-        if not pairs.isEmpty():
-            labels = checkpointed(components(edges.union(pairs), vertices))
+    heads = rows.groupBy("short").agg(F.slice(F.sort_array(F.collect_list("token")), 1, HEADS).alias("heads"))
+    marked = labels.select(F.col("v").alias("cls"), F.col("l").alias("comp")).join(points, "cls").join(heads, "short")
+    inside = rows.join(marked.select("short", "comp"), "short").groupBy("token", "comp").agg(F.count("*").alias("c"))
+    mixed = inside.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("c", "comp")).alias("top"))
+    mixed = mixed.filter("lo != hi").select("token", F.col("top.comp").alias("base"), F.col("top.c").alias("stay"))
+    crossed = rows.join(mixed, "token").withColumn("guests", F.col("members") - F.col("stay"))
+    crossed = checkpointed(crossed.join(marked, "short").select("token", "cls", "comp", "base", "vector", "n", "heads", own.alias("own"), dealt("members").alias("chunks"), dealt("guests").alias("parties")))
+    party = F.pmod(F.xxhash64("token", "cls"), F.col("parties")).cast("int")
+    at_home = crossed.withColumns({"chunk": F.col("own"), "party": F.explode(F.sequence(F.lit(0), F.col("parties") - 1)), "guest": F.lit(False)})
+    visiting = crossed.filter("comp != base").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "party": party, "guest": F.lit(True)})
+    columns = ["token", "chunk", "party", "guest", "cls", "comp", "base"]
+    met = at_home.select(*columns, "vector", "n", "heads").union(visiting.select(*columns, "vector", "n", "heads"))
+    visits = checkpointed(_by_group(met, columns[:3], "guest").mapInPandas(_visits, "token long, chunk int, party int, guest boolean, cls binary, comp binary, base binary"))
+
+    if not visits.isEmpty():
+        asked = visits.join(sets_for(visits.select("cls")), "cls").select(*columns, "hashes")
+        crossing = checkpointed(_by_group(asked, columns[:3], "guest", "cls").mapInPandas(_round_two, "a binary, b binary"))
+        if not crossing.isEmpty():
+            labels = checkpointed(components(edges.union(crossing), vertices))
     least = labels.join(classes.select(F.col("cls").alias("v"), "rep"), "v").groupBy("l").agg(F.min("rep").alias("least"))
     answer = labels.join(least, "l").select(F.col("v").alias("cls"), "least", F.col("l").alias("component"))
     out = member.join(answer, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").cast(ids).alias("component_id"), "row", "component")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").cast(ids).alias("component_id"), "row", "twin", "component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -513,16 +551,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Null ids come last, ties go by the hash of the text. Rows without shingles stay;
     rows that repeat id and text count once, unless they have neither id nor shingles.
-    All columns are kept.
+    All columns are kept, whatever their names.
     """
     found = near_duplicates(docs)
-    alone = found.filter("n_shingles = 0").select("row")
-    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    first = found.filter("n_shingles > 0").groupBy("component").agg(best.alias("best")).select("best.row")
+    alone = found.filter("n_shingles = 0").select("row", "twin")
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "twin"))
+    first = found.filter("n_shingles > 0").groupBy("component").agg(best.alias("best")).select("best.row", "best.twin")
     nameless = F.col("doc_id").isNull() & (F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACE_CHARS)) == "")
-    kept = docs.filter(~nameless).withColumn("_row", F.xxhash64("doc_id", "text")).join(first.union(alone).distinct().withColumnRenamed("row", "_row"), "_row", "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*docs.columns).union(docs.filter(nameless))
+    named = docs.filter(~nameless).select(F.struct(*docs.columns).alias("whole"), *row_names())
+    kept = named.join(first.union(alone).distinct(), ["row", "twin"], "left_semi").dropDuplicates(["row", "twin"])
+    return kept.select("whole.*").union(docs.filter(nameless))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).drop("row", "component")
+    return near_duplicates(documents(spark, sf_dir)).drop("row", "twin", "component")
