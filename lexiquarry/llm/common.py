@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: White space that parts words, as a regex class and as plain characters.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder."""
+    """df, computed once and kept in the cluster's shared checkpoint folder; what the computation shuffled is deleted."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a new query, as the setting is read when it is made
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def words(text: Column) -> Column:
