@@ -2,19 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and
 returns a DataFrame that is written as Parquet and read again as the next one's docs.
-All but the last return the columns of documents.
+All but the last return the columns of documents. Null ids, texts, languages and sources,
+empty and long texts, repeated rows and further columns are treated as the operators'
+docstrings say; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiquarry.llm import language_id, line_dedup, mixing, ngram_join, sentencepiece_fst
+from lexiquarry.llm import common, language_id, line_dedup, mixing, ngram_join, sentencepiece_fst
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another over documents; what they pass on lies in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "lexiquarry-checkpoints")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.llm.common import documents
@@ -143,19 +143,16 @@ def held_out_column() -> F.Column:
 
 
 def training_sample(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """text and lang of at most `sample` rows per language that aren't held out, by hash of the id."""
+    """doc_id, text and lang of at most `sample` rows per language that aren't held out, by hash of id and text.
+
+    Rows that repeat id, text and lang count once.
+    """
+    name = F.xxhash64("doc_id", "text", F.lit("language_id"))
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out_column())
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    picked = None
-    for lang in languages:
-        order = F.xxhash64("doc_id", F.lit("language_id"))
-        own = rows.filter(F.col("lang") == lang).select("doc_id", order.alias("_o")).orderBy("_o", "doc_id").limit(sample).select("doc_id")
-        picked = own if picked is None else picked.union(own)
-    if picked is None:
-        return rows.select("doc_id", "text", "lang")
-    ids = [r[0] for r in picked.distinct().collect()]
-    few = docs.sparkSession.createDataFrame([(i,) for i in ids], f"doc_id {dict(docs.dtypes)['doc_id']}")
-    return rows.join(F.broadcast(few), "doc_id").select("doc_id", "text", "lang")
+    rows = rows.select("doc_id", "text", "lang", name.alias("name"))
+    ranked = rows.select("lang", "name", F.dense_rank().over(Window.partitionBy("lang").orderBy("name")).alias("place"))
+    picked = ranked.filter(F.col("place") <= sample).select("lang", "name").distinct()
+    return rows.join(F.broadcast(picked), ["lang", "name"]).dropDuplicates(["lang", "name"]).select("doc_id", "text", "lang")
 
 
 def _packed(tf: np.ndarray) -> bytes:

@@ -101,16 +101,20 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     become empty, no row is dropped. Rows that repeat id and text are one document.
     Other columns are kept; those named n_lines or n_deleted_lines are replaced.
     """
-    docs = docs.drop("n_lines", "n_deleted_lines").withColumn("_row", F.xxhash64("doc_id", "text"))
-    joined = docs.join(repeated_lines(docs, min_lines, min_words), "_row", "left")
+    kept = [c for c in docs.columns if c not in ("text", "n_lines", "n_deleted_lines")]
+    rows = docs.select(F.struct(*kept).alias("others"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("_row"))
+    joined = rows.join(repeated_lines(rows, min_lines, min_words), "_row", "left")
     numbers = F.transform(_normal(F.col("text")), lambda x, i: F.when(x != "", i))
     full = F.filter(numbers, lambda i: i.isNotNull())
     lines = joined.withColumn("n_lines", F.coalesce(F.size(full), F.lit(0)).cast("long"))
     lines = lines.withColumn("n_deleted_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
     cut = lines.filter(F.col("_gone").isNotNull()).withColumn("_full", full).withColumn("_all", _lines(F.col("text")))
     keep = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.transform("_gone", lambda i: F.get("_full", i)))
-    cut = cut.withColumn("text", F.array_join(F.transform(keep, lambda i: F.get("_all", i)), "\n")).drop("_full", "_all")
-    return lines.filter(F.col("_gone").isNull()).unionByName(cut).drop("_row", "_gone")
+    cut = cut.withColumn("text", F.array_join(F.transform(keep, lambda i: F.get("_all", i)), "\n"))
+    new = ("text", "n_lines", "n_deleted_lines")
+    both = lines.filter(F.col("_gone").isNull()).select("others", *new).union(cut.select("others", *new))
+    names = [c for c in docs.columns if c not in new[1:]]
+    return both.select(*(F.col("text") if c == "text" else F.col("others")[c].alias(c) for c in names), *new[1:])
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -122,9 +126,9 @@ WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, gene
 norm AS (SELECT doc_id, p, l, trim(regexp_replace(lower(l), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') AS x FROM raw),
 full_lines AS (SELECT doc_id, p, x, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS i, length(x) - length(replace(x, ' ', '')) + 1 AS w FROM norm WHERE x <> ''),
 ahead AS (SELECT *, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, coalesce(lead(w, 1) OVER o, 0) AS w1 FROM full_lines WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-win AS (SELECT doc_id, i, CASE WHEN w >= 50 THEN 1 WHEN w + w1 >= 50 THEN 2 ELSE 3 END AS n, x, x1, x2 FROM ahead),
-ok AS (SELECT doc_id, i, n, CASE n WHEN 1 THEN x WHEN 2 THEN x || chr(10) || x1 ELSE x || chr(10) || x1 || chr(10) || x2 END AS k FROM win
-       WHERE n = 1 OR (n = 2 AND x1 IS NOT NULL) OR (n = 3 AND x2 IS NOT NULL)),
+ok AS (SELECT doc_id, i, 1 AS n, x AS k FROM ahead WHERE w >= 50
+       UNION ALL SELECT doc_id, i, 2, x || chr(10) || x1 FROM ahead WHERE x1 IS NOT NULL AND w + w1 >= 50
+       UNION ALL SELECT doc_id, i, 3, x || chr(10) || x1 || chr(10) || x2 FROM ahead WHERE x2 IS NOT NULL),
 first AS (SELECT k, n, min({'d': doc_id, 'i': i}) AS f FROM ok GROUP BY k, n),
 later AS (SELECT ok.doc_id, CASE WHEN f.d = ok.doc_id THEN greatest(ok.i, f.i + ok.n) ELSE ok.i END AS a, ok.i + ok.n - 1 AS b FROM ok JOIN first USING (k, n) WHERE f.d <> ok.doc_id OR f.i <> ok.i),
 gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM later),

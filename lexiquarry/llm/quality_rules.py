@@ -12,8 +12,8 @@ from lexiquarry.llm.common import SPACE_CHARS, documents, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: A line goes if more documents of its host have it than both limits allow.
-MIN_DOCS, MAX_SHARE = 20, 0.005
+#: A line goes if more than MIN_DOCS documents of its host have it, and more than MAX_SHARE of them or MAX_DOCS.
+MIN_DOCS, MAX_SHARE, MAX_DOCS = 20, 0.005, 10_000
 #: A document is depleted if less than this share of its line characters stays.
 MIN_KEPT = 0.3
 SALTS = 16
@@ -61,19 +61,22 @@ def normal_lines(text: Column) -> Column:
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """Hashes of the lines above the limits: _host, _line, n_docs (distinct documents of the host), host_docs."""
+    """Hashes of the lines above the limits: _host, _line, n_docs (distinct documents of the host), host_docs.
+
+    docs has _row, a hash of id, host and text: rows equal in these are one document.
+    """
     hosts = F.xxhash64(host)
-    seen = docs.select(hosts.alias("_host"), F.explode(F.array_distinct(F.transform(normal_lines(F.col("text")), lambda x: F.xxhash64(x)))).alias("_line"))
-    many = seen.groupBy("_host", "_line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > min_docs)
-    sizes = docs.groupBy(hosts.alias("_host")).agg(F.count("*").alias("host_docs"))
-    return many.join(sizes, "_host").filter(F.col("n_docs") > F.col("host_docs") * max_share)
+    seen = docs.select(hosts.alias("_host"), "_row", F.explode(F.array_distinct(F.transform(normal_lines(F.col("text")), lambda x: F.xxhash64(x)))).alias("_line"))
+    many = seen.groupBy("_host", "_line").agg(F.count_distinct("_row").alias("n_docs")).filter(F.col("n_docs") > min_docs)
+    sizes = docs.groupBy(hosts.alias("_host")).agg(F.count_distinct("_row").alias("host_docs"))
+    return many.join(sizes, "_host").filter(F.col("n_docs") > F.least(F.col("host_docs") * max_share, F.lit(MAX_DOCS)))
 
 
 def line_frequency_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept: float = MIN_KEPT) -> DataFrame:
     """docs and base statistics, line_chars, removed_chars, n_removed_lines, kept, clean_text.
 
-    A line is removed if more than min_docs documents of its host and more than
-    max_share of them have it; a document is depleted, and not kept, if less than
+    A line is removed if more than min_docs documents of its host, and more than
+    max_share of them or MAX_DOCS, have it; a document is depleted, and not kept, if less than
     min_kept of its line characters stays. clean_text is the text without removed
     lines (costs a shuffle of the texts, and only if it is selected). A row is a
     document, except that rows equal in id, host and text share one verdict. Null
@@ -81,7 +84,8 @@ def line_frequency_rules(docs: DataFrame, host: str = "source", min_docs: int =
     names clash with the new ones are replaced.
     """
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_chars", "removed_chars", "n_removed_lines", "kept", "clean_text")
-    docs = docs.drop(*new).withColumn("_row", F.xxhash64("doc_id", host, "text"))
+    whole = docs.drop(*new)
+    docs = whole.select(F.struct(*whole.columns).alias("_whole"), "doc_id", host, "text", F.xxhash64("doc_id", host, "text").alias("_row"))
     often = frequent_lines(docs, host, min_docs, max_share)
     salted = often.select("_host", "_line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     lines = docs.select("_row", F.xxhash64(host).alias("_host"), F.explode(F.transform(normal_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))).alias("_x"))
@@ -93,7 +97,8 @@ def line_frequency_rules(docs: DataFrame, host: str = "source", min_docs: int =
     rows = base_statistics(docs).withColumn("line_chars", F.aggregate(normal_lines(F.col("text")), F.lit(0).cast("long"), lambda a, x: a + F.length(x)))
     out = rows.join(hits, "_row", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("removed_chars", "n_removed_lines")})
     depleted = (F.col("line_chars") - F.col("removed_chars")) < F.col("line_chars") * min_kept
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted).withColumn("clean_text", _without(F.col("text"), F.col("_gone"))).drop("_row", "_gone")
+    done = out.withColumn("kept", ~F.col("base_failed") & ~depleted).withColumn("clean_text", _without(F.col("text"), F.col("_gone")))
+    return done.select(*(F.col("_whole")[c].alias(c) for c in whole.columns), *new)
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -109,16 +114,17 @@ def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+WITH d0 AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+d AS (SELECT *, min(rid) OVER (PARTITION BY doc_id, source, t) AS one FROM d0),
 w AS (SELECT rid, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 win AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) > 8)),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM win) WHERE c > 1),
 cov AS (SELECT rid, sum(least(8, coalesce(nxt - i, 8)))::BIGINT AS n_repeat_words FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM rep) GROUP BY rid),
-raw AS (SELECT rid, doc_id, source, unnest(string_split(regexp_replace(regexp_replace(lower(t), '[0-9]+', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))) AS l FROM d),
-ln AS (SELECT rid, source, trim(l, ' ') AS l FROM raw WHERE trim(l, ' ') <> ''),
-host AS (SELECT source, count(*) AS host_docs FROM documents GROUP BY source),
-often AS (SELECT f.source, f.l FROM (SELECT source, l, count(DISTINCT rid) AS c FROM ln GROUP BY source, l) f JOIN host h ON f.source IS NOT DISTINCT FROM h.source WHERE c > 20 AND c > host_docs * 0.005),
+raw AS (SELECT rid, one, source, unnest(string_split(regexp_replace(regexp_replace(lower(t), '[0-9]+', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))) AS l FROM d),
+ln AS (SELECT rid, one, source, trim(l, ' ') AS l FROM raw WHERE trim(l, ' ') <> ''),
+host AS (SELECT source, count(DISTINCT one) AS host_docs FROM d GROUP BY source),
+often AS (SELECT f.source, f.l FROM (SELECT source, l, count(DISTINCT one) AS c FROM ln GROUP BY source, l) f JOIN host h ON f.source IS NOT DISTINCT FROM h.source WHERE c > 20 AND c > least(host_docs * 0.005, 10000)),
 sums AS (SELECT ln.rid, sum(length(ln.l))::BIGINT AS line_chars, coalesce(sum(length(ln.l)) FILTER (o.l IS NOT NULL), 0)::BIGINT AS removed_chars, count(o.l)::BIGINT AS n_removed_lines
          FROM ln LEFT JOIN often o ON ln.l = o.l AND ln.source IS NOT DISTINCT FROM o.source GROUP BY ln.rid),
 s AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,

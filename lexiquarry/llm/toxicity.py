@@ -3,13 +3,15 @@
 Categories are predicted one after another by logistic regression over word
 presence. Each later model also sees the probabilities of the categories before it;
 in training these come from models that didn't see the row (out of fold), so that
-they look as they will in prediction. Labels give the last category, `toxic`; the
-earlier ones are toxic rows that hold a seed word of the category.
+they look as they will in prediction. Labels give the last category, `toxic`, and the
+first, `poor` (quality 0); those between are kinds of toxic rows, found by clustering
+the labelled toxic rows by their words.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -20,19 +22,17 @@ from pyspark.sql import functions as F
 
 from lexiquarry.llm.common import documents
 
-#: Earlier links of the chain and the words that seed their training labels.
-SEEDS = {
-    "insult": ("idiot", "moron", "loser", "clown"),
-    "contempt": ("pathetic", "worthless", "stupid"),
-    "disgust": ("scum", "trash", "disgusting"),
-}
 #: Labelled rows that the model is fitted on, words that it may use, folds.
 SAMPLE, FEATURES, FOLDS = 10_000, 512, 5
+#: Texts whose words are held at a time.
+ROWS = 64
 #: A feature needs so many rows and so large a chi-square statistic.
 LEAST_ROWS, LEAST_CHI = 4, 15.0
 #: Beginnings of words are features too: inflected forms share them.
 STEMS = (4, 5)
 THRESHOLD = 0.5
+#: Kinds of toxic rows, and rounds of clustering them.
+KINDS, ROUNDS = 3, 10
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -135,53 +135,78 @@ def fit_chain(x: Rows, words: Mapping[str, int], targets: Mapping[str, np.ndarra
     return Chain(dict(words), tuple(targets), tuple(weights)), np.column_stack(seen)
 
 
-def train(docs: DataFrame, labels: DataFrame, seeds: Mapping[str, tuple[str, ...]] = SEEDS, sample: int = SAMPLE, features: int = FEATURES) -> tuple[Chain, pd.DataFrame]:
-    """Fits on at most `sample` labelled rows (by hash of the id); also gives their ids, labels and out-of-fold probabilities.
-
-    Labels (doc_id, toxic) without a value or a document are left out; an id that is
-    labelled twice is toxic if one label says so. The features are the words whose
-    presence tells most about the label (chi-square), `features` at most.
+def kinds(x: Rows, toxic: np.ndarray, k: int = KINDS) -> np.ndarray:
+    """The kind (0 to k - 1) of each toxic row, -1 of others: spherical k-means over the words, from farthest-first starts."""
+    out, at = np.full(x.n, -1), np.flatnonzero(toxic > 0)
+    if not len(at) or not x.width:
+        return out
+    own = x.only(at)
+    dense = np.zeros((own.n, own.width))
+    dense[own.row, own.col] = 1.0
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    centres = dense[:1]
+    while len(centres) < min(k, own.n):
+        centres = np.vstack([centres, dense[(dense @ centres.T).max(axis=1).argmin()]])
+    for _ in range(ROUNDS):
+        nearest = (dense @ centres.T).argmax(axis=1)
+        means = [dense[nearest == j].mean(axis=0) if (nearest == j).any() else centres[j] for j in range(len(centres))]
+        centres = np.array([m / max(np.linalg.norm(m), 1e-12) for m in means])
+    out[at] = (dense @ centres.T).argmax(axis=1)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> tuple[Chain, pd.DataFrame]:
+    """Fits on at most `sample` labelled documents (by hash of the id); also gives their ids, labels and out-of-fold probabilities.
+
+    Labels (doc_id, toxic, quality) without a toxic value or a document are left out; an
+    id that is labelled twice is toxic if one label says so, and poor if one says quality
+    0. Of rows that repeat an id the one whose text has the least hash counts. The
+    features are the words whose presence tells most about the label (chi-square),
+    `features` at most.
     """
-    spark = docs.sparkSession
-    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    few = known.select("doc_id", "toxic", F.xxhash64("doc_id").alias("_o")).orderBy("_o", "doc_id").limit(sample).collect()
-    local = spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in few], f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(local), "doc_id")
+    kind = dict(docs.dtypes)["doc_id"]
+    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
+    known = known.agg(F.max("toxic").cast("int").alias("toxic"), F.coalesce(F.min("quality") == 0, F.lit(False)).cast("int").alias("poor"))
+    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at : at + 64]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "words": [sorted(word_set(t)) for t in part["text"]]})
-
-    kind = dict(docs.dtypes)["doc_id"]
-    labelled = rows.select("doc_id", "toxic", "text").mapInPandas(tokens, f"doc_id {kind}, toxic int, words array<string>")
-    n, n1 = len(few), sum(int(r.toxic) for r in few)
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "toxic": part["toxic"], "poor": part["poor"], "name": part["name"], "words": [sorted(word_set(t)) for t in part["text"]]})
+
+    named = rows.withColumn("name", F.xxhash64("text"))
+    one = named.groupBy("doc_id").agg(F.min("name").alias("name"))
+    single = named.join(F.broadcast(one), ["doc_id", "name"]).dropDuplicates(["doc_id", "name"])
+    labelled = single.select("doc_id", "toxic", "poor", "name", "text").mapInPandas(tokens, f"doc_id {kind}, toxic int, poor int, name long, words array<string>")
+    n, n1 = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     each = labelled.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").cast("double").alias("a"), F.sum("toxic").cast("double").alias("b"))
     expected = F.col("a") * (n1 / max(n, 1))
     chi = F.pow(F.col("b") - expected, 2) / (expected * (F.lit(1.0) - F.col("a") / (n + 1.0)) + 1e-9)
     best = each.filter((F.col("a") >= LEAST_ROWS) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "word").limit(features).collect() if n1 else []
     words = {w: i for i, w in enumerate(sorted(r.word for r in best))}
-    wanted = sorted(set(words) | {w for own in seeds.values() for w in own})
-    held = labelled.select("doc_id", "toxic", F.array_intersect("words", F.array(*[F.lit(w) for w in wanted])).alias("words")).orderBy("doc_id", "words").collect()
-    chain = Chain(words, (), ())
-    x = chain.matrix_of([set(r.words) for r in held])
-    toxic = np.array([float(r.toxic) for r in held])
-    targets = {name: toxic * np.array([float(bool(set(own) & set(r.words))) for r in held]) for name, own in seeds.items()} | {"toxic": toxic}
+    wanted = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    held = labelled.select("doc_id", "toxic", "poor", F.array_intersect("words", wanted).alias("words")).orderBy("doc_id").collect()
+    x = Chain(words, (), ()).matrix_of([set(r.words) for r in held])
+    toxic, poor = (np.array([float(r[c]) for r in held]) for c in ("toxic", "poor"))
+    found = kinds(x, toxic)
+    targets = {"poor": poor} | {f"kind_{k + 1}": (found == k).astype(float) for k in range(KINDS)} | {"toxic": toxic}
     folds = np.array([hash_fold(r.doc_id) for r in held], dtype=int)
     fitted, out = fit_chain(x, words, targets, folds)
     return fitted, pd.DataFrame({"doc_id": [r.doc_id for r in held], "toxic": toxic} | {f"p_{k}": out[:, j] for j, k in enumerate(targets)})
 
 
-def hash_fold(doc_id: int) -> int:
-    return (int(doc_id) * 0x9E3779B97F4A7C15 >> 17) % FOLDS
+def hash_fold(doc_id: object) -> int:
+    return zlib.crc32(str(doc_id).encode()) % FOLDS
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
     """docs and p_<category> of every link and toxic (p_toxic of threshold or more).
 
     Whole texts count. Texts without known words, empty or null, get the chain's
-    probabilities for no word. Existing columns of these names are replaced.
+    probabilities for no word. Repeated rows and other columns are kept; existing columns of
+    these names are replaced. docs may be empty.
     """
     names = [f"p_{k}" for k in chain.names]
     shared = docs.sparkSession.sparkContext.broadcast(chain)
@@ -189,7 +214,8 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame(shared.value.probabilities(shared.value.matrix(texts.tolist())), columns=names)
+            parts = [texts.iloc[at : at + ROWS].tolist() for at in range(0, len(texts), ROWS)] or [[]]
+            yield pd.DataFrame(np.concatenate([shared.value.probabilities(shared.value.matrix(part)) for part in parts]), columns=names)
 
     base = docs.drop(*names, "toxic")
     out = base.withColumn("_p", predict("text"))

@@ -1,9 +1,10 @@
 """Merkle fixity audit of WARC replicas.
 
 Records lie in volumes of VOLUME records. A leaf is the hash of a record's bytes; a
-node hashes up to FAN ordered children with their offset ranges; a volume's root is
-the hash that two replicas compare first. Only below roots and nodes that differ are
-children compared, down to the records. All of it is DataFrame work on hashes: record
+node hashes up to FAN ordered children with their offset ranges, which count from the
+node's own start, so that a record of another length changes the nodes above it and no
+others; a volume's root is the hash that two replicas compare first. Only below roots
+and nodes that differ are children compared, down to the records. All of it is DataFrame work on hashes: record
 bytes are read once per replica and never shuffled.
 
 The first replica's layout numbers records by id and url, which damage to a record's
@@ -100,10 +101,10 @@ def _leaves(listed: DataFrame) -> DataFrame:
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
-    """One level up: node idx div FAN hashes its ordered children and their ranges."""
+    """One level up: node idx div FAN hashes its ordered children and their ranges inside it."""
     grouped = nodes.groupBy("volume", F.expr(f"idx div {FAN}").alias("idx"))
     children = grouped.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sort_array(F.collect_list(F.struct("idx", "lo", "hi", "hash"))).alias("_c"))
-    text = F.array_join(F.transform("_c", lambda c: F.concat_ws(":", c["idx"].cast("string"), c["lo"].cast("string"), c["hi"].cast("string"), c["hash"])), "|")
+    text = F.array_join(F.transform("_c", lambda c: F.concat_ws(":", c["idx"].cast("string"), (c["lo"] - F.col("lo")).cast("string"), (c["hi"] - F.col("lo")).cast("string"), c["hash"])), "|")
     return children.select("volume", "idx", "lo", "hi", F.sha2(text, 256).alias("hash"))
 
 
@@ -121,23 +122,31 @@ def _differing(a: DataFrame, b: DataFrame, below: DataFrame | None) -> DataFrame
         a, b = (x.withColumn("_up", F.expr(f"idx div {FAN}")).join(inside, ["volume", "_up"], "left_semi").drop("_up") for x in (a, b))
     a = a.select("volume", "idx", F.struct("lo", "hi", "hash").alias("a"))
     b = b.select("volume", "idx", F.struct("lo", "hi", "hash").alias("b"))
-    return a.join(b, ["volume", "idx"], "full").filter(~F.col("a").eqNullSafe(F.col("b")))
+    return a.join(b, ["volume", "idx"], "full").filter(~F.col("a.hash").eqNullSafe(F.col("b.hash")))
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     """Records (volume, idx) that differ between two manifests, found by descending both trees.
 
-    Columns: volume, idx, status (`corrupt`: other bytes; `moved`: same bytes in
-    another range; `missing` or `extra`: in the first or second manifest only), lo
-    and hi of the first and of the second (null where there is none).
+    Columns: volume, idx, status (`corrupt`: other bytes; `missing` or `extra`: in the
+    first or second manifest only), lo and hi of the first and of the second (null where
+    there is none). Records that only lie elsewhere, as one before them is longer, shorter
+    or lost, aren't listed; shifts() has them by volume.
     """
     bad = None
     for a, b in list(zip(tree(first), tree(second)))[::-1]:
         bad = _differing(a, b, bad)
-    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("a.hash") != F.col("b.hash"), "corrupt").otherwise("moved")
+    status = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("corrupt")
     return bad.select("volume", F.col("idx").cast("int").alias("idx"), status.alias("status"), F.col("a.lo").alias("lo"), F.col("a.hi").alias("hi"), F.col("b.lo").alias("replica_lo"), F.col("b.hi").alias("replica_hi"))
 
 
+def shifts(first: DataFrame, second: DataFrame) -> DataFrame:
+    """volume and shift: the bytes that each volume of the second manifest has more than the first's, if not as many."""
+    a, b = (x.groupBy("volume").agg(F.sum("length").alias("n")) for x in (first, second))
+    both = a.withColumnRenamed("n", "a").join(b.withColumnRenamed("n", "b"), "volume", "full")
+    return both.select("volume", (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("shift")).filter("shift != 0")
+
+
 def damaged(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) as a failing disk leaves them: of each 997 one has another first byte, one is cut by a character, one is lost.
 
@@ -155,6 +164,6 @@ def op10_warc_fixity(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     records = checkpointed(layout(pages))
     first, second = checkpointed(manifest(records)), checkpointed(manifest(replica_layout(damaged(pages), records)))
-    found = audit(first, second).select("volume", "idx", "status", "replica_lo", "replica_hi")
-    rows = first.join(found, ["volume", "idx"], "left")
-    return rows.select("page_id", "volume", "idx", F.col("lo").alias("offset"), "length", F.col("leaf").alias("sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
+    found = audit(first, second).select("volume", "idx", "status")
+    rows = first.join(found, ["volume", "idx"], "left").join(shifts(first, second), "volume", "left")
+    return rows.select("page_id", "volume", "idx", F.col("lo").alias("offset"), "length", F.col("leaf").alias("sha256"), F.coalesce("status", F.lit("intact")).alias("status"), F.coalesce("shift", F.lit(0)).cast("long").alias("volume_shift"))
