@@ -86,7 +86,7 @@ def has_letter(text: str | None) -> bool:
 
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    return x / np.where(norm > 0, norm, 1).astype(x.dtype)
 
 
 @dataclass(frozen=True)
@@ -126,11 +126,11 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(tf: np.ndarray, langs: list[str], centroids: int = CENTROIDS) -> Model:
-    """A model of the counts of labelled texts. Languages are taken in code point order."""
-    idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1.0).astype(np.float32)
-    x, names, cents, floors = _unit(np.log1p(tf) * idf), [], [], []
+    """A model of the counts of labelled texts. Languages are taken in code point order, one at a time."""
+    idf = (np.log((1 + len(tf)) / (1 + np.count_nonzero(tf, axis=0))) + 1.0).astype(np.float32)
+    names, cents, floors = [], [], []
     for lang in sorted(set(langs)):
-        own = x[[i for i, v in enumerate(langs) if v == lang]]
+        own = _unit(np.log1p(tf[[i for i, v in enumerate(langs) if v == lang]]) * idf)
         c = _clusters(own, centroids)
         names += [lang] * len(c)
         cents.append(c)
@@ -178,10 +178,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) ->
         return pd.Series([_packed(counts([t])[0]) for t in texts], dtype=object)
 
     rows = training_sample(docs, sample).select("lang", vector("text").alias("tf")).orderBy("lang", "tf").collect()
-    tf = np.zeros((len(rows), DIMENSIONS), dtype=np.float32)
-    for i, r in enumerate(rows):
-        tf[i] = _unpacked(bytes(r.tf))
-    return fit(tf, [r.lang for r in rows], centroids)
+    tf, langs = np.zeros((len(rows), DIMENSIONS), dtype=np.float32), [r.lang for r in rows]
+    for i in range(len(rows)):
+        tf[i], rows[i] = _unpacked(bytes(rows[i].tf)), None
+    return fit(tf, langs, centroids)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -419,7 +419,7 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """v and the smallest vertex connected with it, l: rounds of least neighbour and of following the label."""
     pairs = edges.select(F.col("a").alias("v"), F.col("b").alias("u"))
     pairs = checkpointed(pairs.union(pairs.select("u", "v")).distinct())
-    labels = checkpointed(pairs.select("v", F.col("v").alias("l")).distinct())
+    labels = checkpointed(pairs.groupBy("v").agg(F.min(F.least("v", "u")).alias("l")))
     while True:
         near = pairs.join(labels.select(F.col("v").alias("u"), "l"), "u").groupBy("v").agg(F.min("l").alias("m"))
         lower = checkpointed(labels.join(near, "v", "left").select("v", "l", F.least("l", "m").alias("m")))
