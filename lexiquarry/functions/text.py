@@ -5,6 +5,8 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from functools import cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -100,22 +102,25 @@ def exact_language(marker: Column) -> Column:
     return F.get(hits, F.lit(0))
 
 
+#: What resolves a candidate exactly.
+EXACT = SPELLINGS | {name.lower(): name for name in LANGUAGES}
+
+
+@cache
+def nearest_language(candidate: str) -> str | None:
+    """The language whose name is most like the candidate, if it is like enough; the first listed of equals."""
+    likeness = [difflib.SequenceMatcher(None, candidate, name.lower()).ratio() for name in LANGUAGES]
+    most = max(likeness)
+    return LANGUAGES[likeness.index(most)] if most >= LEAST_LIKENESS else None
+
+
 def resolve_language(raw: str | None) -> tuple[str | None, bool]:
-    """(language, was fuzzy): exact candidates anywhere come before the most similar one."""
-    if raw is None:
-        return None, False
-    ascii_only = unicodedata.normalize("NFKD", raw.partition(";")[0]).encode("ascii", "ignore").decode().lower()
-    tokens = re.findall("[a-z]+", ascii_only)
-    candidates = [c for i, t in enumerate(tokens) for c in ((t, t + tokens[i + 1]) if i + 1 < len(tokens) else (t,))]
-    known = {w.lower(): w for w in LANGUAGES}
-    for c in candidates:
-        if c in known or c in SPELLINGS:
-            return known.get(c) or SPELLINGS[c], False
-    for c in candidates:
-        likeness, name = max(((difflib.SequenceMatcher(None, c, low).ratio(), -i, lang) for i, (low, lang) in enumerate(known.items())))[::2]
-        if likeness >= LEAST_LIKENESS:
-            return name, True
-    return None, False
+    """(language, was fuzzy) of a marker: an exact candidate anywhere comes before a similar one."""
+    plain = unicodedata.normalize("NFKD", (raw or "").split(";")[0]).encode("ascii", "ignore").decode()
+    words = re.findall("[a-z]+", plain.lower())
+    candidates = list(chain.from_iterable(zip(words, map(str.__add__, words, [*words[1:], ""]))))
+    exact, near = (next(filter(None, map(rule, candidates)), None) for rule in (EXACT.get, nearest_language))
+    return exact or near, exact is None and near is not None
 
 
 @F.pandas_udf(StructType([StructField("language", StringType()), StructField("fuzzy", BooleanType())]))

@@ -11,6 +11,21 @@ from lexiquarry.operators.tokens import self_reference
 MIN_COUNT = 5
 
 
+def _with_total(counts: DataFrame, by: list[str]) -> DataFrame:
+    """counts (by, word, n) and _tt, the sum of n in the group."""
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_tt"))
+    return counts.join(totals, by) if by else counts.join(F.broadcast(totals))
+
+
+def _ranked(scored: DataFrame, by: list[str], limit: int | None) -> DataFrame:
+    """scored and rank, by g2, ties by word. Without groups, only the rows up to the limit are numbered in one task."""
+    order = [F.desc("g2"), F.col("word")]
+    if not by and limit is not None:
+        scored = scored.orderBy(*order).limit(limit)
+    ranked = scored.withColumn("rank", F.row_number().over((Window.partitionBy(*by) if by else Window).orderBy(*order)))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+
+
 def compare(target: DataFrame, reference: DataFrame, by: list[str], stop: list[str], minimum: int = MIN_COUNT, limit: int | None = None, target_total: Column | None = None, reference_total: Column | None = None) -> DataFrame:
     """Words of target (by, word, n) against a reference (word, n) that contains it.
 
@@ -18,9 +33,8 @@ def compare(target: DataFrame, reference: DataFrame, by: list[str], stop: list[s
     by word). Words below the minimum and stop words are left out of the list, not of
     the totals.
     """
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     whole = reference.agg(F.sum("n").alias("_rt"))
-    counted = target.withColumn("_tt", target_total if target_total is not None else F.sum("n").over(w))
+    counted = target.withColumn("_tt", target_total) if target_total is not None else _with_total(target, by)
     counted = counted.filter((F.col("n") >= minimum) & (~F.col("word").isin(stop) if stop else F.lit(True)))
     joined = counted.join(reference.select("word", F.col("n").alias("_ref")), "word", "left").join(F.broadcast(whole))
     rest = F.greatest(F.coalesce("_ref", F.lit(0)) - F.col("n"), F.lit(0))
@@ -32,8 +46,7 @@ def compare(target: DataFrame, reference: DataFrame, by: list[str], stop: list[s
             "log_ratio": F.round(stats.log_ratio(F.col("target"), F.col("reference"), F.col("_tt"), F.col("_n2")), 3),
         }
     ).drop("_tt", "_n2")
-    ranked = scored.withColumn("rank", F.row_number().over(w.orderBy(F.desc("g2"), "word")))
-    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    return _ranked(scored, by, limit)
 
 
 def node_tokens(tokens: DataFrame, spans: DataFrame, key: str = "row_id") -> DataFrame:
@@ -84,16 +97,14 @@ def keyness(terms: DataFrame, pairs: DataFrame, stop: list[str], by: list[str],
     """Words of the targets of pairs against those of targets and controls."""
     side = lambda c: terms.join(pairs.select(*by, F.col(c).alias("row_id")), "row_id").groupBy(*by, "word").agg(F.sum("n").alias("n"))
     t, c = side("target_id"), side("control_id")
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     totals = c.groupBy(*by).agg(F.sum("n").alias("_ct")) if by else c.agg(F.sum("n").alias("_ct"))
-    t = t.withColumn("_tt", F.sum("n").over(w))
+    t = _with_total(t, by)
     joined = t.filter((F.col("n") >= minimum) & (~F.col("word").isin(stop) if stop else F.lit(True)))
     joined = joined.join(c.withColumnRenamed("n", "_c"), [*by, "word"], "left")
     joined = joined.join(totals, by, "left") if by else joined.join(F.broadcast(totals))
     ref, total = F.coalesce("_c", F.lit(0)), F.coalesce("_ct", F.lit(0))
     scored = joined.select(*by, "word", F.col("n").alias("target"), ref.alias("control"), F.round(stats.log_likelihood(F.col("n"), ref, F.col("_tt"), total), 3).alias("g2"), F.round(stats.log_ratio(F.col("n"), ref, F.col("_tt"), total), 3).alias("log_ratio"))
-    ranked = scored.withColumn("rank", F.row_number().over(w.orderBy(F.desc("g2"), "word")))
-    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    return _ranked(scored, by, limit)
 
 
 def stability(frame: DataFrame, terms: DataFrame, words: DataFrame, is_target: str, strata: list[str], first_seed: int, draws: int) -> DataFrame:

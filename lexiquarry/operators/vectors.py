@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+#: Rows of a block of vectors.
+BLOCK = 4096
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
@@ -39,18 +46,32 @@ def chunks(frame: DataFrame, key: str, tokens: str, most: int, overlap: int) ->
 def neighbours(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, metric: str = "cosine") -> DataFrame:
     """query, neighbour, score, rank: the k nearest of each query, itself left out; ties by id.
 
-    The queries are a stated set: they are cut into blocks that meet the corpus
-    block by block, and each meeting passes on k rows per query.
+    The queries are a stated set. Queries and corpus are cut into blocks of BLOCK rows by
+    hash; each two blocks meet in one task, as a product of matrices, which passes on k
+    rows per query.
     """
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    c = corpus.select(F.col(key).alias("neighbour"), F.col(vector).alias("_c"))
-    if metric == "cosine":
-        q, c = q.withColumn("_q", normalise(F.col("_q"))), c.withColumn("_c", normalise(F.col("_c")))
-        score, best = dot(F.col("_q"), F.col("_c")), F.desc("score")
-    else:
-        gap = F.zip_with("_q", "_c", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
-        score, best = F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x)), F.asc("score")
-    pairs = q.join(c, F.col("query") != F.col("neighbour")).select("query", "neighbour", F.round(score, 9).alias("score"))
+    kind = dict(corpus.dtypes)[key]
+    n_q, n_c = (max(1, -(-x.count() // BLOCK)) for x in (queries, corpus))
+    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    unit = normalise(F.col(vector)) if metric == "cosine" else F.col(vector).cast("array<double>")
+    left = queries.select(F.col(key).alias("id"), unit.alias("v"), block(n_q).alias("a"), every(n_c).alias("b"))
+    right = corpus.select(F.col(key).alias("id"), unit.alias("v"), every(n_q).alias("a"), block(n_c).alias("b"))
+
+    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        ids = c["id"].to_numpy()
+        y = np.stack(c["v"].to_numpy()).astype(float) if len(c) else np.zeros((0, 0))
+        for query, x in zip(q["id"], q["v"]) if len(c) else ():
+            x = np.asarray(x, dtype=float)
+            score = np.round(y @ x if metric == "cosine" else np.sqrt(((y - x) ** 2).sum(axis=1)), 9)
+            order = np.lexsort((ids, -score if metric == "cosine" else score))
+            order = order[ids[order] != query][:k]
+            out += zip([query] * len(order), ids[order], score[order])
+        return pd.DataFrame(out, columns=["query", "neighbour", "score"])
+
+    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, f"query {kind}, neighbour {kind}, score double")
+    best = F.desc("score") if metric == "cosine" else F.asc("score")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(best, "neighbour")))
     return ranked.filter(F.col("rank") <= k)
 

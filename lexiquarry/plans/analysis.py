@@ -42,9 +42,13 @@ def _tokens(spark, d, offsets=False):
     return tokens.token_table(speeches(spark, d), ["row_id"], offsets=offsets)
 
 
-@query("token_offsets", f"{WITH}, p AS (SELECT row_id, regexp_split_to_array(lower(text), '[a-z][a-z''’-]*') AS pieces, regexp_extract_all(lower(text), '[a-z][a-z''’-]*') AS ws FROM speeches WHERE row_id % 50 = 0), e AS (SELECT row_id, unnest(range(1, len(ws) + 1)) AS i, pieces, ws FROM p) SELECT row_id, (i - 1)::INT AS pos, ws[i] AS word, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x))), 0))::INT AS \"start\" FROM e")
+_offsets_sql = """SELECT row_id, i - 1 AS pos, word, sum(length(piece) + length(word)) OVER (PARTITION BY row_id ORDER BY i) - length(word) AS st
+    FROM (SELECT row_id, unnest(range(1, len(ws) + 1)) AS i, unnest(pieces[1:len(ws)]) AS piece, unnest(ws) AS word FROM (SELECT row_id, regexp_split_to_array(lower(text), '[a-z][a-z''’-]*') AS pieces, regexp_extract_all(lower(text), '[a-z][a-z''’-]*') AS ws FROM speeches{where}))"""
+
+
+@query("token_offsets", f"{WITH}, o AS ({_offsets_sql.format(where='')}) SELECT row_id, pos::INT AS pos, word, st::INT AS \"start\" FROM o")
 def token_offsets(spark, d):
-    return tokens.token_table(speeches(spark, d).filter("row_id % 50 = 0"), ["row_id"], offsets=True)
+    return _tokens(spark, d, offsets=True)
 
 
 @query("vocabulary", f"{WITH}, {TERMS_SQL} SELECT word, n::BIGINT AS n FROM vocab")
@@ -82,18 +86,17 @@ def compare_ranked(spark, d):
 
 
 # The node of the collocation queries is the term of_the: two tokens, `of` and `the`.
-_node_sql = """{tok}, offs AS (SELECT row_id, i - 1 AS pos, ws[i] AS word, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x))), 0)) AS st
-    FROM (SELECT row_id, unnest(range(1, len(ws) + 1)) AS i, pieces, ws FROM (SELECT row_id, regexp_split_to_array(lower(text), '[a-z][a-z''’-]*') AS pieces, regexp_extract_all(lower(text), '[a-z][a-z''’-]*') AS ws FROM speeches WHERE contains(lower(text), 'of the') AND row_id % 3 = 0))),
-  {occ}, span AS (SELECT row_id, s, s + n AS e FROM occ WHERE term = 'of_the' AND row_id % 3 = 0),
+_node_sql = """{tok}, offs AS ({offsets}),
+  {occ}, span AS (SELECT row_id, s, s + n AS e FROM occ WHERE term = 'of_the'),
   node AS (SELECT DISTINCT o.row_id, o.pos FROM offs o JOIN span ON o.row_id = span.row_id AND o.st >= span.s AND o.st < span.e),
   near AS (SELECT o.row_id, o.pos, o.word, min(abs(o.pos - node.pos)) AS dist FROM offs o JOIN node ON o.row_id = node.row_id AND abs(o.pos - node.pos) <= 15 GROUP BY ALL)"""
-NODE_SQL = _node_sql.format(tok=TERMS_SQL, occ=OCC_SQL)
+NODE_SQL = _node_sql.format(tok=TERMS_SQL, occ=OCC_SQL, offsets=_offsets_sql.format(where=" WHERE contains(lower(text), 'of the')"))
 
 
 def _near(spark, d):
-    third = speeches(spark, d).filter("row_id % 3 = 0 AND contains(lower(text), 'of the')")
-    toks = tokens.token_table(third, ["row_id"], offsets=True)
-    spans = lexicon.occurrences(third, LEXICON, ["row_id"]).filter("term = 'of_the'")
+    some = speeches(spark, d).filter("contains(lower(text), 'of the')")
+    toks = tokens.token_table(some, ["row_id"], offsets=True)
+    spans = lexicon.occurrences(some, LEXICON, ["row_id"]).filter("term = 'of_the'")
     return lexical.contexts(toks, lexical.node_tokens(toks, spans), 15)
 
 
@@ -341,32 +344,39 @@ def highlight(spark, d):
 
 # --- change points --------------------------------------------------------
 
-_yearly = "y0 AS (SELECT o_orderpriority AS series, year(o_orderdate) || 'Q' || quarter(o_orderdate) AS q, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n FROM orders WHERE year(o_orderdate) < 2001 GROUP BY ALL), y AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY q) - 1 AS i0 FROM y0), p AS (SELECT *, round(k / n, 6) AS r FROM y)"
+_yearly = "y0 AS (SELECT o_orderpriority AS series, year(o_orderdate) || 'Q' || quarter(o_orderdate) AS q, count(*) FILTER (o_orderstatus = 'F') AS k, count(*) AS n FROM orders GROUP BY ALL), y AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY q) - 1 AS i0 FROM y0), p AS (SELECT *, round(k / n, 6) AS r FROM y)"
 
 
 def _quarters(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").filter(F.year("o_orderdate") < 2001)
+    o = spark.read.parquet(f"{d}/orders.parquet")
     y = o.groupBy(F.col("o_orderpriority").alias("series"), text.period(F.col("o_orderdate"), "quarter").alias("q")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("k"), F.count("*").alias("n"))
     return y.withColumns({"i0": F.row_number().over(Window.partitionBy("series").orderBy("q")) - 1, "r": F.round(F.col("k") / F.col("n"), 6)})
 
 
 def _gain_sql() -> str:
-    lengths = ", ".join(map(str, changepoint.interval_lengths(24, 4)))
-    return f"WITH {_yearly}, s AS (SELECT series, i0 + 1 AS i, sum(r) OVER (PARTITION BY series ORDER BY i0) AS s FROM p UNION ALL SELECT DISTINCT series, 0, 0.0 FROM p), g AS (SELECT a.series, a.i AS a, t.i AS t, b.i AS b, (t.i - a.i) * (b.i - t.i) / (b.i - a.i)::DOUBLE * pow((t.s - a.s) / (t.i - a.i) - (b.s - t.s) / (b.i - t.i), 2) AS gain FROM s a JOIN s b ON a.series = b.series AND b.i - a.i IN ({lengths}) JOIN s t ON t.series = a.series AND t.i - a.i >= 4 AND b.i - t.i >= 4)"
+    lengths = ", ".join(f"({n}, {x})" for n in range(8, 81) for x in changepoint.interval_lengths(n, 4))
+    return f"WITH {_yearly}, lens(n, len) AS (VALUES {lengths}), size AS (SELECT max(c) AS n FROM (SELECT count(*) AS c FROM p GROUP BY series)), s AS (SELECT series, i0 + 1 AS i, sum(r) OVER (PARTITION BY series ORDER BY i0) AS s FROM p UNION ALL SELECT DISTINCT series, 0, 0.0 FROM p), g AS (SELECT a.series, a.i AS a, t.i AS t, b.i AS b, (t.i - a.i) * (b.i - t.i) / (b.i - a.i)::DOUBLE * pow((t.s - a.s) / (t.i - a.i) - (b.s - t.s) / (b.i - t.i), 2) AS gain FROM s a JOIN s b ON a.series = b.series AND b.i - a.i IN (SELECT len FROM lens JOIN size USING (n)) JOIN s t ON t.series = a.series AND t.i - a.i >= 4 AND b.i - t.i >= 4)"
+
+
+def _gains(spark, d):
+    """Gains over the series of the orders' quarters; the plan is that of the longest one."""
+    q = _quarters(spark, d)
+    longest = q.agg(F.coalesce(F.max("i0") + 1, F.lit(0))).first()[0]
+    return changepoint.gain_table(q, "r", ["series"], longest, 4)
 
 
 @query("wbs_gains", f"{_gain_sql()} SELECT series, a::INT AS a, t::INT AS t, b::INT AS b, round(gain, 6) AS gain FROM g")
 def wbs_gains(spark, d):
-    g = changepoint.gain_table(_quarters(spark, d), "r", ["series"], 24, 4)
+    g = _gains(spark, d)
     return g.withColumn("gain", F.round("gain", 6))
 
 
 @query("best_split", f"{_gain_sql()} SELECT series, a::INT AS a, t::INT AS t, b::INT AS b, round(gain, 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(gain, 6) DESC, b - a, a, t) AS k FROM g WHERE round(gain, 6) > 0) WHERE k = 1")
 def best_split(spark, d):
-    return changepoint.best_split(changepoint.gain_table(_quarters(spark, d), "r", ["series"], 24, 4), ["series"]).withColumn("gain", F.round("gain", 6))
+    return changepoint.best_split(_gains(spark, d), ["series"]).withColumn("gain", F.round("gain", 6))
 
 
-_cut = "c AS (SELECT a.series, a.i0 AS t, sum(b.k) FILTER (b.i0 < a.i0) AS k1, sum(b.n) FILTER (b.i0 < a.i0) AS n1, sum(b.k) FILTER (b.i0 >= a.i0) AS k2, sum(b.n) FILTER (b.i0 >= a.i0) AS n2, sum(b.k) AS k, sum(b.n) AS n FROM p a JOIN p b USING (series) GROUP BY ALL), d AS (SELECT * FROM c WHERE t BETWEEN 4 AND 20)"
+_cut = "c AS (SELECT a.series, a.i0 AS t, sum(b.k) FILTER (b.i0 < a.i0) AS k1, sum(b.n) FILTER (b.i0 < a.i0) AS n1, sum(b.k) FILTER (b.i0 >= a.i0) AS k2, sum(b.n) FILTER (b.i0 >= a.i0) AS n2, sum(b.k) AS k, sum(b.n) AS n FROM p a JOIN p b USING (series) GROUP BY ALL), d AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY series) AS points FROM c) WHERE t BETWEEN 4 AND points - 4)"
 
 
 def _ll(f: str, k: str, n: str) -> str:
@@ -400,9 +410,9 @@ def rate_intervals(spark, d):
 
 @query("change_points_perm")
 def change_points_perm(spark, d):
-    return changepoint.change_points(_quarters(spark, d), "series", "q", "r", trials=200)
+    return changepoint.change_points(_quarters(spark, d), "series", "q", "r")
 
 
 @query("rate_bootstrap")
 def rate_bootstrap(spark, d):
-    return changepoint.rate_change_points(_quarters(spark, d), "series", "q", "k", "n", "binomial", trials=200)
+    return changepoint.rate_change_points(_quarters(spark, d), "series", "q", "k", "n", "binomial")

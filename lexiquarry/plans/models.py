@@ -65,7 +65,8 @@ def chunk_plan(spark, d):
 
 @query("trustworthiness")
 def trustworthiness(spark, d):
-    e = _embeddings(spark, d).filter("vec_id < 60").withColumn("low", F.slice("embedding", 1, 2))
+    """Of 4,000 vectors at most, drawn by the hash of their id: the measure ranks all pairs of its sample."""
+    e = _embeddings(spark, d).orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(4000).withColumn("low", F.slice("embedding", 1, 2))
     return vectors.trustworthiness(e, "vec_id", "embedding", "low", 5)
 
 
@@ -137,9 +138,9 @@ def intrusion_items(spark, d):
 
 @query("nmf")
 def nmf(spark, d):
-    sample = topics.frozen_sample(speeches(spark, d).withColumn("slice", F.lit("all")), 200, 3, "slice")
+    sample = topics.frozen_sample(speeches(spark, d).withColumn("slice", F.lit("all")), 20_000, 3, "slice")
     t = tokens.document_terms(tokens.token_table(sample, ["row_id"]))
-    return topics.nmf(topics.tfidf(t, features=500), 4, 1, rounds=10)[0]
+    return topics.nmf(topics.tfidf(t, features=5000), 10, 1, rounds=20)[0]
 
 
 @query("cluster_labels")
@@ -151,21 +152,21 @@ def cluster_labels(spark, d):
 
 
 def _tagged(spark, d):
-    t = tokens.token_table(speeches(spark, d).filter("row_id % 40 = 0"), ["row_id"], offsets=True)
+    t = tokens.token_table(speeches(spark, d), ["row_id"], offsets=True)
     return t.select("row_id", "start", (F.col("start") + F.length("word")).cast("int").alias("end"), F.regexp_replace("word", "s$", "").alias("lemma"))
 
 
-_lemma_sql = f"{WITH}, {TERMS_SQL}, a AS (SELECT row_id, pos, word, CASE WHEN regexp_matches(regexp_replace(word, 's$', ''), '^[a-z][a-z''’-]*$') THEN regexp_replace(word, 's$', '') ELSE word END AS lemma FROM tok WHERE row_id % 40 = 0)"
+_lemma_sql = f"{WITH}, {TERMS_SQL}, a AS (SELECT row_id, pos, word, CASE WHEN regexp_matches(regexp_replace(word, 's$', ''), '^[a-z][a-z''’-]*$') THEN regexp_replace(word, 's$', '') ELSE word END AS lemma FROM tok)"
 
 
 @query("lemma_align", f"{_lemma_sql} SELECT row_id, pos::INT AS pos, word, lemma FROM a")
 def lemma_align(spark, d):
-    return lemmas.align(speeches(spark, d).filter("row_id % 40 = 0"), _tagged(spark, d)).select("row_id", "pos", "word", "lemma")
+    return lemmas.align(speeches(spark, d), _tagged(spark, d)).select("row_id", "pos", "word", "lemma")
 
 
 @query("lemma_mapping", f"{_lemma_sql} SELECT lemma, word AS surface, count(*)::BIGINT AS n, count(*) OVER (PARTITION BY lemma)::BIGINT AS forms FROM a GROUP BY lemma, word")
 def lemma_mapping(spark, d):
-    return lemmas.mapping(lemmas.align(speeches(spark, d).filter("row_id % 40 = 0"), _tagged(spark, d)))
+    return lemmas.mapping(lemmas.align(speeches(spark, d), _tagged(spark, d)))
 
 
 # --- views ----------------------------------------------------------------

@@ -59,21 +59,32 @@ def test_gains():
     assert {(0, 12), (0, 6), (6, 12)} <= {(a, b) for a, _, b in changepoint.split_plan(12, 3).tolist()}
 
 
-def test_change_points():
-    labels = [str(y) for y in range(1992, 2024)]
-    found = changepoint.find_change_points(np.array([1.0] * 16 + [6.0] * 16), labels, trials=99)
-    assert found[0]["label"] == "2008" and found[0]["p_value"] == 0.01 and found[0]["before"] == 1 and found[0]["after"] == 6
-    bump = changepoint.find_change_points(np.array([1.0] * 11 + [5.0] * 10 + [1.0] * 11), labels, trials=199)
-    assert {"2003", "2013"} <= {b["label"] for b in bump}
-    assert changepoint.find_change_points(np.ones(32), labels, trials=50) == []
-
-
-def test_rate_change():
-    labels = [str(y) for y in range(1992, 2024)]
-    r = changepoint.test_rate_change([5] * 16 + [200] * 16, [100] * 16 + [1000] * 16, labels, "binomial", trials=99)
-    assert r["label"] == "2008" and r["gain"] == pytest.approx(279.801063, abs=1e-5) and r["before"] == 0.05 and r["after"] == 0.2
-    with pytest.raises(ValueError):
-        changepoint.test_rate_change([2], [1], ["a"], "binomial")
+LABELS = [str(y) for y in range(1992, 2024)]
+
+
+def yearly(spark, values, exposure=None):
+    rows = [("s", x, float(v), int(v), n) for x, v, n in zip(LABELS, values, exposure or [1] * len(values))]
+    return spark.createDataFrame(rows, "name string, year string, value double, k long, n long").repartition(2)
+
+
+def test_change_points(spark):
+    found = changepoint.change_points(yearly(spark, [1] * 16 + [6] * 16), "name", "year", "value", trials=99).collect()
+    assert [(r["index"], r.label, r.p_value, r.before, r.after) for r in found] == [(16, "2008", 0.01, 1, 6)]
+    bump = changepoint.change_points(yearly(spark, [1] * 11 + [5] * 10 + [1] * 11), "name", "year", "value", trials=199).collect()
+    assert {"2003", "2013"} <= {r.label for r in bump}
+    steps = changepoint.change_points(yearly(spark, [1] * 11 + [4] * 10 + [9] * 11), "name", "year", "value", trials=199).collect()
+    assert [r.label for r in steps] == ["2003", "2013"]
+    assert changepoint.change_points(yearly(spark, [1] * 32), "name", "year", "value", trials=50).count() == 0
+    assert changepoint.change_points(yearly(spark, [1, 9, 1]), "name", "year", "value", trials=50).count() == 0
+
+
+def test_rate_change(spark):
+    r = changepoint.rate_change_points(yearly(spark, [5] * 16 + [200] * 16, [100] * 16 + [1000] * 16), "name", "year", "k", "n", "binomial", trials=99).first()
+    assert r.label == "2008" and r.gain == pytest.approx(279.801063, abs=1e-5) and r.before == 0.05 and r.after == 0.2 and r.ratio == 4 and r.accepted
+    p = changepoint.rate_change_points(yearly(spark, [2] * 16 + [20] * 16, [100_000] * 32), "name", "year", "k", "n", "poisson", trials=99).first()
+    assert p.label == "2008" and p.accepted
+    with pytest.raises(Exception, match="out of range"):
+        changepoint.rate_change_points(yearly(spark, [2] * 8, [1] * 8), "name", "year", "k", "n", "binomial").collect()
 
 
 def test_span_merge_keeps_touching_apart(spark):
@@ -111,10 +122,26 @@ def test_grid_and_refusals(spark):
         quality.gate(["bad"])
 
 
-def test_shapes():
-    promised = quality.shape({"a": [1, None], "b": {"x": 1.0}})
-    assert not list(quality.shape_differences(promised, quality.shape({"a": [1], "b": {"x": 1.0}, "c": 1})))
-    assert list(quality.shape_differences(promised, quality.shape({"a": ["x"]}))) == [".a[]: expected int|null, found str", "(root).b: missing"]
+def test_shapes(spark):
+    promised = quality.shape({"a": [1, None], "b": {"x": {"y": 1.0}}})
+    assert quality.shape_differences(promised, quality.shape({"a": [1], "b": {"x": {"y": 2.0}}, "c": 1})) == []
+    assert quality.shape_differences(promised, quality.shape({"a": [], "b": {"x": {"y": 2.0}}})) == []
+    assert quality.shape_differences(promised, quality.shape({"a": ["x"]})) == [".a[] holds str", ".b is missing"]
+    names = quality.shape({"by": {"one": {"n": 1}}}, frozenset({"by"}))
+    assert quality.shape_differences(names, quality.shape({"by": {"two": {"n": 2}}}, frozenset({"by"}))) == []
+    a, b = (spark.createDataFrame([], x) for x in ("x int, y array<struct<z:string>>", "x long, y array<struct<w:string>>"))
+    assert quality.schema_differences(a, a) == [] and quality.schema_differences(a, b) == [".x holds bigint", ".y[].z is missing"]
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6)).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<float>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for metric, score in (("cosine", -(unit @ unit.T)), ("euclidean", np.linalg.norm(x[:, None] - x[None], axis=2))):
+        np.fill_diagonal(score, np.inf)
+        got = vectors.neighbours(d.filter("id % 50 = 0"), d, "id", "v", 3, metric).collect()
+        assert {(r["query"], r["rank"], r.neighbour) for r in got} == {(i, k + 1, int(j)) for i in range(0, 300, 50) for k, j in enumerate(score[i].argsort()[:3])}
 
 
 @settings(max_examples=25, deadline=None)
