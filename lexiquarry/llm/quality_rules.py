@@ -85,7 +85,9 @@ def line_frequency_rules(docs: DataFrame, host: str = "source", min_docs: int =
     """
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_chars", "removed_chars", "n_removed_lines", "kept", "clean_text")
     whole = docs.drop(*new)
-    docs = whole.select(F.struct(*whole.columns).alias("_whole"), "doc_id", host, "text", F.xxhash64("doc_id", host, "text").alias("_row"))
+    # Under names of their own, so that columns of any name are kept and those not asked for are left unread.
+    own = [(f"_kept{i}", c) for i, c in enumerate(whole.columns)]
+    docs = whole.select(*(F.col(c).alias(k) for k, c in own), "doc_id", host, "text", F.xxhash64("doc_id", host, "text").alias("_row"))
     often = frequent_lines(docs, host, min_docs, max_share)
     salted = often.select("_host", "_line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     lines = docs.select("_row", F.xxhash64(host).alias("_host"), F.explode(F.transform(normal_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))).alias("_x"))
@@ -98,7 +100,7 @@ def line_frequency_rules(docs: DataFrame, host: str = "source", min_docs: int =
     out = rows.join(hits, "_row", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("removed_chars", "n_removed_lines")})
     depleted = (F.col("line_chars") - F.col("removed_chars")) < F.col("line_chars") * min_kept
     done = out.withColumn("kept", ~F.col("base_failed") & ~depleted).withColumn("clean_text", _without(F.col("text"), F.col("_gone")))
-    return done.select(*(F.col("_whole")[c].alias(c) for c in whole.columns), *new)
+    return done.select(*(F.col(k).alias(c) for k, c in own), *new)
 
 
 def _without(text: Column, gone: Column) -> Column:
