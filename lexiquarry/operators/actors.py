@@ -94,3 +94,19 @@ def ranking(rows: DataFrame, order: str = "speech_rate") -> DataFrame:
     kept = rows.filter("sufficient").withColumn("ordering", usable)
     value = F.when(F.col("ordering") == order, F.col(order).cast("double")).otherwise(F.col("speech_rate"))
     return kept.withColumn("rank", F.row_number().over(Window.orderBy(value.desc_nulls_last(), "country_org")))
+
+
+def standing_order(standing: DataFrame) -> DataFrame:
+    """standing and place: by most speeches held, then the largest seated share, then the name.
+
+    One row a speaker, so they are numbered in one task.
+    """
+    order = Window.orderBy(F.desc("held"), F.desc_nulls_last("seated_share"), "country_org")
+    return standing.withColumn("place", F.row_number().over(order))
+
+
+def period_problems(frame: DataFrame, slices: tuple[tuple[int, int], ...]) -> DataFrame:
+    """year, rows and slices of the years of frame that lie in no slice or in several (both ends belong to a slice)."""
+    inside = sum((F.col("year").between(a, b).cast("int") for a, b in slices), F.lit(0))
+    years = frame.groupBy("year").agg(F.count("*").alias("rows")).withColumn("slices", F.coalesce(inside, F.lit(0)))
+    return years.filter("slices != 1")

@@ -126,3 +126,15 @@ def store_error(frame: DataFrame, vector: str) -> DataFrame:
         return F.when(v == 0, 0.0).otherwise(F.abs(v - F.rint(v / unit) * unit))
 
     return frame.agg(F.max(F.array_max(F.transform(vector, half))).alias("largest"))
+
+
+def strongest(measured: DataFrame) -> DataFrame:
+    """attribute and lift of the row of measured with the largest lift; ties by name, null lifts left out."""
+    return measured.filter("lift IS NOT NULL").orderBy(F.desc("lift"), "attribute").limit(1).select("attribute", "lift")
+
+
+def projection_agreement(points: DataFrame, key: str, clustered: str, projected: str, k: int) -> DataFrame:
+    """points, loss and trustworthiness of a projection of a sample: neighbours that it loses, and ranks that those it adds cost."""
+    first, second = (neighbours(points, points, key, v, k, "euclidean") for v in (clustered, projected))
+    sizes = points.agg(F.count("*").alias("points"))
+    return sizes.join(F.broadcast(neighbour_loss(first, second))).join(F.broadcast(trustworthiness(points, key, clustered, projected, k)))

@@ -128,3 +128,17 @@ def register_shares(long: DataFrame) -> DataFrame:
 def reader_tally(occurrences: DataFrame, meeting: str) -> DataFrame:
     """Spans per register in one meeting."""
     return occurrences.filter(F.col("meeting_symbol") == meeting).groupBy("register").agg(F.count("*").alias("spans"))
+
+
+def grid_export(cells: DataFrame) -> DataFrame:
+    """kind, name, year, month, state, measure and value: a heatmap (held, value, weight) in long form."""
+    long = cells.select("kind", "name", "year", "month", "state", F.col("held").cast("double").alias("held"), F.col("value").cast("double").alias("value"), F.col("weight").cast("double").alias("weight"))
+    return long.unpivot(["kind", "name", "year", "month", "state"], ["held", "value", "weight"], "measure", "amount").withColumnRenamed("amount", "value")
+
+
+def publishing_order(keyness: DataFrame) -> DataFrame:
+    """keyness (speaker, pairs, withheld) with section and place: published ones by most pairs, withheld ones by fewest, then `unpaired`; ties by name."""
+    pairs = F.coalesce("pairs", F.lit(0))
+    section = F.when(pairs == 0, "unpaired").when(F.col("withheld"), "withheld").otherwise("published")
+    order = Window.partitionBy("section").orderBy(F.when(F.col("section") == "published", -pairs).otherwise(pairs), "speaker")
+    return keyness.withColumn("section", section).withColumn("place", F.row_number().over(order))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexiquarry.functions import text
 from lexiquarry.operators import actors, lemmas, lexicon, series, tokens, topics, vectors, views
 from lexiquarry.plans import core
-from lexiquarry.plans.adapter import ENTITIES_SQL, FLAGGED_SQL, LEXICON, SLICES, SPEECHES_SQL, STOP, entities, flagged, long_sql, speeches
+from lexiquarry.plans.adapter import ENTITIES_SQL, FLAGGED_SQL, LEXICON, MEMBERSHIP_SQL, SLICES, SPEECHES_SQL, STOP, entities, flagged, long_sql, speeches
 from lexiquarry.plans.analysis import OCC_SQL, STOP_SQL, TERMS_SQL
 from lexiquarry.plans.registry import query
 
@@ -234,3 +234,45 @@ def reader_tally(spark, d):
 def events_per_kind(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.groupBy(F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query("standing_order", f"{WITH}, {ENTITIES_SQL}, {MEMBERSHIP_SQL}, grouped AS ({core._grouped}), st AS ({core._standing}) SELECT country_org, held, seated_share, row_number() OVER (ORDER BY held DESC, seated_share DESC NULLS LAST, country_org)::INT AS place FROM st")
+def standing_order(spark, d):
+    return actors.standing_order(core.standing_pivot(spark, d)).select("country_org", "held", "seated_share", "place")
+
+
+@query("period_problems", f"{WITH}, y AS (SELECT year(date)::INT AS year, count(*) AS n FROM speeches GROUP BY ALL), z AS (SELECT *, coalesce((year BETWEEN 1992 AND 1999)::INT + (year BETWEEN 1998 AND 2005)::INT, 0) AS slices FROM y) SELECT year, n::BIGINT AS rows, slices FROM z WHERE slices <> 1")
+def period_problems(spark, d):
+    """With two slices that overlap and don't reach to the end, so that both kinds of problem are there."""
+    return actors.period_problems(speeches(spark, d), ((1992, 1999), (1998, 2005)))
+
+
+@query("heatmap_export", f"{WITH_FLAGS}, {_monthly}, c AS (SELECT period, kind, name, held, CASE WHEN held = 0 THEN 'unobserved' WHEN sufficient THEN 'drawn' ELSE 'withheld' END AS state, CASE WHEN held > 0 AND sufficient THEN speech_rate END AS value FROM w), x AS (SELECT *, CASE WHEN value IS NOT NULL AND max(value) OVER (PARTITION BY kind, name) > 0 THEN value / max(value) OVER (PARTITION BY kind, name) ELSE 0 END AS weight FROM c), l AS (SELECT kind, name, period, state, unnest(['held', 'value', 'weight']) AS measure, unnest([held::DOUBLE, value, weight]) AS value FROM x) SELECT kind, name, left(period, 4)::INT AS year, substr(period, 6, 2)::INT AS month, state, measure, round(value, 6) AS value FROM l")
+def heatmap_export(spark, d):
+    return views.grid_export(views.heatmap(_withheld(spark, d))).withColumn("value", F.round("value", 6))
+
+
+@query("publishing_order", f"{WITH}, k AS (SELECT country_org AS speaker, count(*) FILTER (lang = 'fr') AS pairs, count(*) FILTER (lang = 'fr') < 40 AS withheld FROM speeches GROUP BY country_org), s AS (SELECT *, CASE WHEN pairs = 0 THEN 'unpaired' WHEN withheld THEN 'withheld' ELSE 'published' END AS section FROM k) SELECT speaker, pairs::BIGINT AS pairs, section, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN section = 'published' THEN -pairs ELSE pairs END, speaker)::INT AS place FROM s")
+def publishing_order(spark, d):
+    """The French speeches of a speaker stand in for its pairs."""
+    k = speeches(spark, d).groupBy(F.col("country_org").alias("speaker")).agg(F.count_if(F.col("lang") == "fr").alias("pairs"))
+    return views.publishing_order(k.withColumn("withheld", F.col("pairs") < 40)).select("speaker", "pairs", "section", "place")
+
+
+@query("strongest_attribute", f"WITH {_knn}, e AS (SELECT vec_id, label::VARCHAR AS label, (vec_id % 2)::VARCHAR AS parity FROM embeddings), l AS (SELECT vec_id, unnest(['label', 'parity']) AS attribute, unnest([label, parity]) AS v FROM e), m AS (SELECT q.attribute, avg((q.v = n.v)::INT) AS m FROM nn JOIN l q ON q.vec_id = query JOIN l n ON n.vec_id = neighbour AND n.attribute = q.attribute WHERE rank <= 5 GROUP BY q.attribute), s AS (SELECT attribute, v, count(*) AS c FROM l GROUP BY ALL), b AS (SELECT attribute, sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)) AS b FROM s GROUP BY attribute) SELECT attribute, round(m / b, 2) AS lift FROM m JOIN b USING (attribute) ORDER BY lift DESC, attribute LIMIT 1")
+def strongest_attribute(spark, d):
+    e, found = _embeddings(spark, d).withColumn("parity", F.col("vec_id") % 2), _nearest(spark, d)
+    rows = [vectors.purity(found, e, "vec_id", c).select(F.lit(c).alias("attribute"), "lift") for c in ("label", "parity")]
+    return vectors.strongest(rows[0].union(rows[1]))
+
+
+@query("projection_agreement")
+def projection_agreement(spark, d):
+    """Of 4,000 vectors at most; their first two components stand in for a projection."""
+    e = _embeddings(spark, d).orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(4000).withColumn("low", F.slice("embedding", 1, 2))
+    return vectors.projection_agreement(e, "vec_id", "embedding", "low", 5)
+
+
+@query("grouped_others", f"{WITH}, t AS (SELECT country_org FROM speeches GROUP BY country_org ORDER BY count(*) DESC, country_org LIMIT 5) SELECT coalesce(t.country_org, 'other') AS country_org, count(*)::BIGINT AS n FROM speeches s LEFT JOIN t ON s.country_org = t.country_org GROUP BY 1")
+def grouped_others(spark, d):
+    return topics.group_others(speeches(spark, d).select("country_org"), "country_org", 5).groupBy("country_org").agg(F.count("*").alias("n"))
