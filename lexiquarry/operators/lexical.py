@@ -126,16 +126,19 @@ def stability(frame: DataFrame, terms: DataFrame, words: DataFrame, is_target: s
 def speaker_pairs(frame: DataFrame, strata: list[str], seed: int) -> DataFrame:
     """Matched pairs of every speaker against all others: country_org, strata, k, target_id, control_id.
 
-    Controls are ranked per speaker and stratum only as far as the speaker has targets there.
+    A stratum's rows are ranked once. A speaker with n rows there needs the first n of the
+    others, which are among the first 2 n of all, so only these ranks are joined.
     """
     order = stats.hash_order(seed, "pair", F.col("row_id"))
     rows = frame.select("row_id", "country_org", *strata).withColumn("_o", order)
     own = rows.withColumn("k", F.row_number().over(Window.partitionBy("country_org", *strata).orderBy("_o", "row_id")))
     wanted = own.groupBy("country_org", *strata).agg(F.count("*").alias("_want")).select(F.col("country_org").alias("_who"), *[F.col(c).alias(f"_{c}") for c in strata], "_want")
-    same = F.col("country_org") != F.col("_who")
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy("_o", "row_id")))
+    asked = wanted.withColumn("_at", F.explode(F.sequence(F.lit(1), (2 * F.col("_want")).cast("int"))))
+    same = (F.col("_r") == F.col("_at")) & (F.col("country_org") != F.col("_who"))
     for c in strata:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    control = rows.join(wanted, same)
+    control = ranked.join(asked, same)
     place = Window.partitionBy("_who", *[f"_{c}" for c in strata]).orderBy("_o", "row_id")
     control = control.withColumn("_k", F.row_number().over(place)).filter("_k <= _want")
     control = control.select("_who", *[f"_{c}" for c in strata], "_k", F.col("row_id").alias("control_id"))

@@ -209,7 +209,10 @@ def choropleth_states(spark, d):
     return views.choropleth(rows, actors.describe(speeches(spark, d), entities(spark))).select("iso3", "holders", "state")
 
 
-@query("standing_bands")
+_group_counts = ", ".join(f"({i}, '{g}')" for i, g in enumerate(actors.GROUPS))
+
+
+@query("standing_bands", f"{WITH}, {ENTITIES_SQL}, {MEMBERSHIP_SQL}, grouped AS ({core._grouped}), g(i, grp) AS (VALUES {_group_counts}), c AS (SELECT country_org, i, grp, count(*) AS n FROM grouped JOIN g ON speaker_group = grp GROUP BY ALL), h AS (SELECT country_org, count(*) AS held FROM grouped GROUP BY country_org), b AS (SELECT *, sum(n) OVER w AS upto, lead(i) OVER w AS following FROM c JOIN h USING (country_org) WINDOW w AS (PARTITION BY country_org ORDER BY i)) SELECT country_org, grp, n::BIGINT AS count, round((upto - n) * 100.0 / held, 6) AS \"from\", round(CASE WHEN following IS NULL THEN 100.0 ELSE least(upto * 100.0 / held, 100.0) END, 6) AS \"to\" FROM b")
 def standing_bands(spark, d):
     return views.standing_bands(core.standing_pivot(spark, d), actors.GROUPS)
 
