@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import stats, text
@@ -25,16 +26,30 @@ class Term:
     enabled: bool = True
     examples: tuple[str, ...] = ()
 
-    def present(self, body: Column) -> Column:
-        low = F.lower(body)
-        return reduce(lambda a, b: a | b, [low.contains(x) for x in self.literals])
+    def present(self, low: Column) -> Column:
+        """Whether a text in lower case holds one of the literals."""
+        return reduce(lambda a, b: a | b, [low.contains(x.lower()) for x in self.literals])
 
-    def count(self, body: Column, prefilter: bool = True, flags: str = "(?iU)") -> Column:
-        """Matches in body; without one of the literals none, unless prefilter is off."""
+    def count(self, body: Column, prefilter: bool = True, flags: str = "(?iU)", low: Column | None = None) -> Column:
+        """Matches in body; without one of the literals none, unless prefilter is off. low is body in lower case, if at hand."""
         n = F.regexp_count(body, F.lit(flags + self.pattern))
-        n = F.when(self.present(body), n).otherwise(F.lit(0)) if prefilter else n
+        n = F.when(self.present(F.lower(body) if low is None else low), n).otherwise(F.lit(0)) if prefilter else n
         return F.coalesce(n, F.lit(0)).cast("long")
 
+    def problems(self) -> list[str]:
+        """A pattern that isn't one, examples it misses or no literal covers, and no examples or literals at all."""
+        found = [f"{self.name}: no {what}" for what in ("examples", "literals") if not getattr(self, what)]
+        try:
+            pattern = re.compile(self.pattern, re.I)
+        except re.error as error:
+            return [*found, f"{self.name}: {self.pattern!r} is no pattern ({error})"]
+        for example in self.examples:
+            if not pattern.search(example):
+                found.append(f"{self.name}: example {example!r} does not match")
+            if not any(x.lower() in example.lower() for x in self.literals):
+                found.append(f"{self.name}: no literal covers {example!r}")
+        return found
+
 
 @dataclass(frozen=True)
 class Lexicon:
@@ -47,8 +62,7 @@ class Lexicon:
         problems = [f"{t.name}: unknown parent {t.nested_under}" for t in self.terms if t.nested_under and t.nested_under not in names]
         problems += [f"{s}: unknown member {m}" for s, own in self.sets.items() for m in own if m not in names]
         for t in self.terms:
-            problems += [f"{t.name}: example {e!r} does not match" for e in t.examples if not re.search(t.pattern, e, re.I)]
-            problems += [f"{t.name}: no literal covers {e!r}" for e in t.examples if not any(x in e.lower() for x in t.literals)]
+            problems += t.problems()
         if len(names) != len(self.terms):
             problems.append("term names repeat")
         if problems:
@@ -74,6 +88,20 @@ class Lexicon:
         return [(kind, name, *columns_for(kind, name)) for kind, name in rows]
 
 
+def read_lexicon(spark: SparkSession, path: str) -> Lexicon:
+    """A lexicon out of a JSON object: version, terms (name to the fields of Term) and sets (name to its members).
+
+    Without a tier a term is `adjacent`, without a register `other`. Raises if anything is wrong with it.
+    """
+    raw = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    lists = ("literals", "examples")
+    terms = []
+    for name, own in raw["terms"].items():
+        given = {"tier": "adjacent", "register": "other", "literals": [], "examples": []} | own
+        terms.append(Term(name, **{k: tuple(map(str, v)) if k in lists else v for k, v in given.items()}))
+    return Lexicon(tuple(terms), {k: tuple(v) for k, v in raw.get("sets", {}).items()}, str(raw.get("version", "0")))
+
+
 def columns_for(kind: str, name: str) -> tuple[str, str | None]:
     if kind not in PREFIX:
         raise ValueError(f"unknown kind {kind!r}")
@@ -83,7 +111,8 @@ def columns_for(kind: str, name: str) -> tuple[str, str | None]:
 
 def flag(speeches: DataFrame, lexicon: Lexicon, body: str = "text", prefilter: bool = True, flags: str = "(?iU)") -> DataFrame:
     """speeches with counts and flags of every active term, register and set, and the totals, from one scan."""
-    counted = speeches.withColumns({f"n_{t.name}": t.count(F.col(body), prefilter, flags) for t in lexicon.active})
+    low = speeches.withColumn("_low", F.lower(F.col(body)))
+    counted = low.withColumns({f"n_{t.name}": t.count(F.col(body), prefilter, flags, F.col("_low")) for t in lexicon.active}).drop("_low")
     active = {t.name for t in lexicon.active}
     total = lambda names: reduce(lambda a, b: a + b, [F.col(f"n_{n}") for n in names], F.lit(0))
     new = {f"has_{n}": F.col(f"n_{n}") > 0 for n in active}
@@ -128,6 +157,14 @@ def summary(flagged: DataFrame, lexicon: Lexicon) -> DataFrame:
     return out.select("m.kind", "m.name", "m.speeches", F.round(stats.rate(F.col("m.speeches"), F.col("_n")), 6).alias("share"), F.coalesce("m.occurrences", F.when(F.col("m.kind") != "sets", F.lit(0).cast("long"))).alias("occurrences"))
 
 
+def documented_figures(flagged: DataFrame, lexicon: Lexicon, documented: dict[str, tuple[int, int]]) -> DataFrame:
+    """term, speeches, occurrences, both as documented, agrees; documented names that are no active term are left out."""
+    own = flagged.sparkSession.createDataFrame([(k, *v) for k, v in sorted(documented.items())], "term string, expected_speeches long, expected_occurrences long")
+    found = summary(flagged, lexicon).filter("kind = 'terms'").select(F.col("name").alias("term"), "speeches", "occurrences")
+    same = (F.col("speeches") == F.col("expected_speeches")) & (F.col("occurrences") == F.col("expected_occurrences"))
+    return found.join(own, "term").withColumn("agrees", same)
+
+
 def occurrences(speeches: DataFrame, lexicon: Lexicon, keep: list[str], body: str = "text", flags: str = "(?iU)") -> DataFrame:
     """One row per match of an active term: keep, term, tier, register, ordinal, start, end.
 
@@ -135,12 +172,13 @@ def occurrences(speeches: DataFrame, lexicon: Lexicon, keep: list[str], body: st
     a literal are searched.
     """
     def spans(t: Term) -> Column:
-        found = F.when(t.present(F.col(body)), text.matches(F.col(body), flags + t.pattern))
+        found = F.when(t.present(F.col("_low")), text.matches(F.col(body), flags + t.pattern))
         return F.transform(found, lambda s, i: F.struct(F.lit(t.name).alias("term"), F.lit(t.tier).alias("tier"), F.lit(t.register).alias("register"), (i + 1).alias("ordinal"), s["start"].alias("start"), s["end"].alias("end")))
 
     empty = F.array().cast("array<struct<term:string,tier:string,register:string,ordinal:int,start:int,end:int>>")
     every = F.flatten(F.array(*[F.coalesce(spans(t), empty) for t in lexicon.active]))
-    return speeches.select(*keep, F.explode(every).alias("m")).select(*keep, "m.*")
+    low = speeches.withColumn("_low", F.lower(F.col(body)))
+    return low.select(*keep, F.explode(every).alias("m")).select(*keep, "m.*")
 
 
 def audit_sample(occurrence_rows: DataFrame, size: int, seed: int, key: str = "row_id", stratum: tuple[str, ...] = ("term", "decade")) -> DataFrame:

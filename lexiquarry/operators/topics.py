@@ -111,6 +111,29 @@ def calibration(shares: DataFrame, null_shares: DataFrame, k: int, quantile: flo
     return shares.join(F.broadcast(t)).groupBy("threshold").agg(F.round(F.avg((F.col("share") < F.col("threshold")).cast("double")), 6).alias("unassigned")).select(F.round("threshold", 6).alias("threshold"), F.lit(round(1 / k, 6)).alias("floor"), (F.col("threshold") > 1 / k).alias("binds"), "unassigned")
 
 
+def spread(shares: DataFrame) -> DataFrame:
+    """p05, median, p90, p95, p99 and mean of share."""
+    at = {"p05": 0.05, "median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    one = shares.agg(F.percentile("share", F.array(*map(F.lit, at.values()))).alias("q"), F.round(F.avg("share"), 4).alias("mean"))
+    return one.select(*[F.round(F.get("q", F.lit(i)), 4).alias(name) for i, name in enumerate(at)], "mean")
+
+
+def abstention_curve(shares: DataFrame, null_shares: DataFrame, k: int, points: tuple[float, ...], quantile: float = 0.95) -> DataFrame:
+    """min_weight, unassigned (share of documents below it), chosen: at each of points and the calibrated threshold, from 1/k on.
+
+    Documents are counted once, by how many points they reach; the points are few.
+    """
+    chosen = null_shares.agg(F.percentile("share", F.lit(quantile)).alias("_t"))
+    every = F.array_sort(F.array_distinct(F.concat(F.array(*map(F.lit, points)), F.array("_t"))))
+    grid = chosen.select("_t", F.filter(every, lambda x: x >= 1 / k).alias("_p"))
+    reach = shares.join(F.broadcast(grid)).select(F.size(F.filter("_p", lambda x: x <= F.col("share"))).alias("at"))
+    reached = reach.groupBy("at").agg(F.count("*").alias("n"))
+    counted = reached.agg(F.collect_list(F.struct("at", "n")).alias("_c"), F.sum("n").alias("_n"))
+    rows = grid.join(F.broadcast(counted)).select("_t", "_c", "_n", F.posexplode("_p").alias("_i", "_x"))
+    below = F.aggregate(F.filter("_c", lambda c: c["at"] <= F.col("_i")), F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    return rows.select(F.round("_x", 6).alias("min_weight"), F.round(below / F.col("_n"), 6).alias("unassigned"), (F.col("_x") == F.col("_t")).alias("chosen"))
+
+
 def relabel(assigned: DataFrame, threshold: float) -> DataFrame:
     """assigned (topic, share) with weak shares unassigned."""
     return assigned.withColumn("topic", F.when(F.col("share") >= threshold, F.col("topic")).otherwise(F.lit(UNASSIGNED)))

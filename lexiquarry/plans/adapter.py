@@ -14,13 +14,13 @@ STOP = ["the", "of", "and", "to", "in", "a", "that", "de", "la", "der", "die", "
 LEXICON = Lexicon(
     terms=(
         Term("that", r"\bthat[a-z]*", ("that",), "core", "plain", examples=("That", "thatness")),
-        Term("of_the", r"\bof\s+the\b", ("of the",), "core", "plain"),
+        Term("of_the", r"\bof\s+the\b", ("of the",), "core", "plain", examples=("of the",)),
         Term("license", r"\blicense[a-z]*", ("license",), "core", "legal", examples=("Licensed",)),
-        Term("mit_license", r"\bmit\s+license\b", ("mit license",), "core", "legal", nested_under="license"),
-        Term("hea", r"\bhea[a-z]*", ("hea",), "wide", "sound"),
-        Term("and_word", r"\band\b", ("and",), "wide", "sound"),
-        Term("in_the", r"\bin\s+the\b", ("in the",), "wide", "sound"),
-        Term("hea_split", r"\bh\s?ea[a-z]*", ("hea", "h ea"), "wide", "sound", enabled=False),
+        Term("mit_license", r"\bmit\s+license\b", ("mit license",), "core", "legal", nested_under="license", examples=("MIT License",)),
+        Term("hea", r"\bhea[a-z]*", ("hea",), "wide", "sound", examples=("heart",)),
+        Term("and_word", r"\band\b", ("and",), "wide", "sound", examples=("and",)),
+        Term("in_the", r"\bin\s+the\b", ("in the",), "wide", "sound", examples=("in the",)),
+        Term("hea_split", r"\bh\s?ea[a-z]*", ("hea", "h ea"), "wide", "sound", enabled=False, examples=("h ear",)),
     ),
     sets={"legal": ("license", "mit_license"), "mixed": ("that", "in_the", "hea_split")},
     version="1",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import stats, text
-from lexiquarry.operators import actors, dims, lexicon, series
+from lexiquarry.operators import actors, dims, lexicon, normalise, series
 from lexiquarry.plans.adapter import ENTITIES_SQL, FLAGGED_SQL, LEXICON, MEMBERSHIP_SQL, SLICES, SPEECHES_SQL, STOP, aliases, entities, flagged, long_sql, speeches, terms_of_office
 from lexiquarry.plans.registry import query
 
@@ -78,12 +78,56 @@ def delivery_language(spark, d):
     return docs.select("doc_id", text.delivery_language(spoken, mode).alias("language"))
 
 
-@query("form_of_address", "SELECT doc_id, length('Mr. Levitte (France) (spoke in French): ')::INT AS body_start, 'French' AS language FROM documents")
+# Openings put before the texts: three forms of address, and none.
+OPENINGS = ("Mr. Levitte (France) (spoke in French): ", "The President: ", "Mrs. Ivanova (spoke in Russlan):\n", "")
+_said_sql = "said AS (SELECT *, CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN {repr(o) if chr(10) not in o else repr(o[:-1]) + ' || chr(10)'}" for i, o in enumerate(OPENINGS)) + " END || coalesce(text, '') AS whole FROM documents)"
+_address_sql = f"addressed AS (SELECT *, regexp_extract(substr(whole, 1, {text.ADDRESS_WITHIN}), '{text.ADDRESS}') AS address FROM said)"
+_body_sql = "CASE WHEN address <> '' THEN length(address) + length(regexp_extract(substr(whole, length(address) + 1), '^[ \\t\\n]*')) ELSE 0 END::INT"
+_marker_sql = r"regexp_extract(address, '(?i)\(\s*(?:spoke|spoken|interpretation|interpreted)([^)]{0,90})\)', 1)"
+
+
+def _said():
+    which = F.col("doc_id") % len(OPENINGS)
+    opening = F.lit("")
+    for i, words in enumerate(OPENINGS):
+        opening = F.when(which == i, words).otherwise(opening)
+    return F.concat(opening, F.coalesce("text", F.lit("")))
+
+
+@query("form_of_address", f"WITH {_said_sql}, {_address_sql} SELECT doc_id, address, {_body_sql} AS body_start, nullif({_marker_sql}, '') AS marker, CASE WHEN {_marker_sql} = ' in French' THEN 'French' END AS language FROM addressed")
 def form_of_address(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("whole", _said())
+    marker = text.language_marker(F.col("address"))
+    opened = docs.withColumn("address", text.address(F.col("whole")))
+    return opened.select("doc_id", "address", text.body_start(F.col("whole")).alias("body_start"), marker.alias("marker"), text.exact_language(marker).alias("language"))
+
+
+_spoken_sql = f"CASE {_marker_sql} WHEN ' in French' THEN 'French' WHEN ' in Russlan' THEN 'Russian' END"
+
+
+@query(
+    "normalised",
+    f"""WITH {_said_sql}, {_address_sql}, {ENTITIES_SQL},
+    spoken AS (SELECT doc_id, {_body_sql} AS body_start, {_spoken_sql} AS spoken_language, coalesce({_marker_sql} = ' in Russlan', false) AS spoken_fuzzy,
+      CASE source WHEN 'src1' THEN 'src0' WHEN 'src17' THEN 'src16' ELSE source END AS country_org FROM addressed)
+    SELECT doc_id, body_start, spoken_language, spoken_fuzzy, coalesce(spoken_language, CASE WHEN doc_id % 5 = 0 THEN 'English (inferred, in-person)' WHEN doc_id % 5 = 1 THEN 'Unknown (VTC)' ELSE 'Unknown' END) AS delivery_language,
+      'A' || (doc_id % 7) AS agenda, country_org, entity_type,
+      CASE WHEN entity_type = 'state' THEN CASE WHEN substr(country_org, 4)::INT < 5 THEN 'P5' WHEN substr(country_org, 4)::INT < 15 THEN 'E10' ELSE 'Non-member state' END WHEN entity_type = 'un' THEN 'UN' ELSE 'Non-state' END AS speaker_group
+    FROM spoken LEFT JOIN entities USING (country_org)""",
+)
+def normalised(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    full = F.concat(F.lit("Mr. Levitte (France) (spoke in French): "), F.col("text"))
-    marker = text.language_marker(text.address(full))
-    return docs.select("doc_id", text.body_start(full).alias("body_start"), text.exact_language(marker).alias("language"))
+    i = F.col("doc_id")
+    agenda = F.concat(F.lit("A"), (i % 7).cast("string"))
+    raw = docs.select(
+        "doc_id", _said().alias("text"), F.col("source").alias("country_org"), (1992 + i % 32).cast("int").alias("year"),
+        F.when(i % 5 == 0, "In-Person").when(i % 5 == 1, "VTC").alias("participation"), F.when(i % 9 == 0, F.lower(agenda)).otherwise(agenda).alias("agenda"),
+    )
+    state = F.col("entity_type") == "state"
+    placed = entities(spark).withColumns({c: F.when(state, F.coalesce(c, F.lit(0.0))) for c in ("lat", "lon")})
+    seats = spark.createDataFrame([(f"src{k}", 1992, 2023, "permanent" if k < 5 else "elected") for k in range(15)], "country_org string, start_year int, end_year int, seat string")
+    out = normalise.normalise(raw, aliases(spark), placed, seats, ("state", "un", "other"), cased=("agenda",), silent=True)
+    return out.select("doc_id", "body_start", "spoken_language", "spoken_fuzzy", "delivery_language", "agenda", "country_org", "entity_type", "speaker_group")
 
 
 @query("line_id_parts", "SELECT doc_id, 'M' || (doc_id // 10) AS meeting, (doc_id % 10 + 1)::INT AS speech, (doc_id % 3 + 1)::INT AS ordinal FROM documents")
@@ -124,6 +168,14 @@ def lexicon_prefilter_effect(spark, d):
     return s.select("row_id", term.count(F.col("t")).alias("gated"), term.count(F.col("t"), prefilter=False).alias("ungated"))
 
 
+DOCUMENTED = {"that": (1, 1), "hea": (0, 0), "unheard_of": (3, 3)}
+
+
+@query("documented_figures", f"{WITH_FLAGS}, e(term, es, eo) AS (VALUES ('that', 1, 1), ('hea', 0, 0)), n AS (SELECT 'that' AS term, count(*) FILTER (has_that) AS s, sum(n_that) AS o FROM flagged UNION ALL SELECT 'hea', count(*) FILTER (has_hea), sum(n_hea) FROM flagged) SELECT term, s::BIGINT AS speeches, o::BIGINT AS occurrences, es::BIGINT AS expected_speeches, eo::BIGINT AS expected_occurrences, s = es AND o = eo AS agrees FROM n JOIN e USING (term)")
+def documented_figures(spark, d):
+    return lexicon.documented_figures(flagged(spark, d), LEXICON, DOCUMENTED)
+
+
 @query("register_rollup", f"{WITH_FLAGS} SELECT row_id, {', '.join(f'n_register_{r}, has_register_{r}' for r in LEXICON.by('register'))} FROM flagged")
 def register_rollup(spark, d):
     return flagged(spark, d).select("row_id", *[c for r in LEXICON.by("register") for c in (f"n_register_{r}", f"has_register_{r}")])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import text
-from lexiquarry.operators import actors, lemmas, lexicon, series, tokens, topics, vectors, views
+from lexiquarry.operators import actors, lemmas, lexicon, quality, series, tokens, topics, vectors, views
 from lexiquarry.plans import core
 from lexiquarry.plans.adapter import ENTITIES_SQL, FLAGGED_SQL, LEXICON, MEMBERSHIP_SQL, SLICES, SPEECHES_SQL, STOP, entities, flagged, long_sql, speeches
 from lexiquarry.plans.analysis import OCC_SQL, STOP_SQL, TERMS_SQL
@@ -131,6 +131,33 @@ def null_deal(spark, d):
     return topics.deal_words(t, 5).groupBy("row_id").agg(F.count("*").alias("n"), F.countDistinct("word").alias("words"))
 
 
+_share_sql = "share AS (SELECT doc_id, greatest(a, b, c) / (a + b + c)::DOUBLE AS share FROM (SELECT doc_id, doc_id % 5 + 1 AS a, doc_id % 7 + 1 AS b, doc_id % 11 + 1 AS c FROM documents)), nulls AS (SELECT greatest(a, b, c) / (a + b + c)::DOUBLE AS share FROM (SELECT doc_id * 3 % 13 + 9 AS a, doc_id * 5 % 17 + 9 AS b, doc_id % 19 + 9 AS c FROM documents))"
+POINTS = (0.3, 0.4, 0.45, 0.6, 0.7)
+
+
+def _shares(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    own = lambda *x: topics.dominant_share(F.array(*[v.cast("double") for v in x])).alias("share")
+    i = F.col("doc_id")
+    return docs.select("doc_id", own(i % 5 + 1, i % 7 + 1, i % 11 + 1)), docs.select(own(i * 3 % 13 + 9, i * 5 % 17 + 9, i % 19 + 9))
+
+
+@query("share_spread", f"WITH {_share_sql} SELECT " + ", ".join(f"round(quantile_cont(share, {q}), 4) AS {n}" for n, q in (("p05", 0.05), ("median", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))) + ", round(avg(share), 4) AS mean FROM share")
+def share_spread(spark, d):
+    return topics.spread(_shares(spark, d)[0])
+
+
+@query("abstention_curve", f"WITH {_share_sql}, t AS (SELECT quantile_cont(share, 0.95) AS t FROM nulls), p AS (SELECT DISTINCT x FROM (SELECT unnest([{', '.join(map(str, POINTS))}])::DOUBLE AS x UNION ALL SELECT t FROM t) WHERE x >= 1 / 3.0::DOUBLE) SELECT round(x, 6) AS min_weight, round((SELECT count(*) FROM share WHERE share < x) / (SELECT count(*) FROM share), 6) AS unassigned, x = (SELECT t FROM t) AS chosen FROM p")
+def abstention_curve(spark, d):
+    return topics.abstention_curve(*_shares(spark, d), 3, POINTS)
+
+
+@query("relabelled", f"WITH {_share_sql} SELECT doc_id, CASE WHEN share >= 0.5 THEN doc_id % 3 ELSE -1 END::INT AS topic, round(share, 6) AS share FROM share")
+def relabelled(spark, d):
+    assigned = _shares(spark, d)[0].withColumn("topic", (F.col("doc_id") % 3).cast("int"))
+    return topics.relabel(assigned, 0.5).withColumn("share", F.round("share", 6))
+
+
 @query("intrusion_items")
 def intrusion_items(spark, d):
     return topics.intrusion(topics.ctfidf(_terms(spark, d), _labels(spark, d)), 9, "lang").withColumn("words", F.array_join("words", "|"))
@@ -279,3 +306,13 @@ def projection_agreement(spark, d):
 @query("grouped_others", f"{WITH}, t AS (SELECT country_org FROM speeches GROUP BY country_org ORDER BY count(*) DESC, country_org LIMIT 5) SELECT coalesce(t.country_org, 'other') AS country_org, count(*)::BIGINT AS n FROM speeches s LEFT JOIN t ON s.country_org = t.country_org GROUP BY 1")
 def grouped_others(spark, d):
     return topics.group_others(speeches(spark, d).select("country_org"), "country_org", 5).groupBy("country_org").agg(F.count("*").alias("n"))
+
+
+@query("event_problems", "WITH e AS (SELECT event_id::VARCHAR AS label, CASE WHEN event_id % 101 = 0 THEN '2024-02-30' WHEN event_id % 103 = 0 THEN strftime(ts, '%d.%m.%Y') ELSE strftime(ts, '%Y-%m-%d') END AS date, event_type AS kind, CASE WHEN event_id % 53 = 0 THEN 'http' WHEN event_id % 59 <> 0 THEN 'https' END || '://example.org/' || event_id AS source_url FROM events) SELECT label, 'date' AS problem FROM e WHERE NOT coalesce(regexp_full_match(date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(date AS DATE) IS NOT NULL, false) UNION ALL SELECT label, 'kind' FROM e WHERE NOT coalesce(kind IN ('view', 'signup', 'purchase', 'click'), false) UNION ALL SELECT label, 'source' FROM e WHERE NOT coalesce(starts_with(source_url, 'https://'), false)")
+def event_problems(spark, d):
+    i = F.col("event_id")
+    e = spark.read.parquet(f"{d}/events.parquet")
+    day = F.when(i % 101 == 0, "2024-02-30").when(i % 103 == 0, F.date_format("ts", "dd.MM.yyyy")).otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    url = F.concat(F.when(i % 53 == 0, "http").when(i % 59 != 0, "https"), F.lit("://example.org/"), i.cast("string"))
+    rows = e.select(i.cast("string").alias("label"), day.alias("date"), F.col("event_type").alias("kind"), url.alias("source_url"))
+    return quality.event_problems(rows, ("view", "signup", "purchase", "click"))
