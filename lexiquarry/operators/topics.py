@@ -42,11 +42,11 @@ def tfidf(terms: DataFrame, min_df: int = 5, max_share: float = 0.5, features: i
 def ctfidf(terms: DataFrame, labels: DataFrame, top: int = 12, minimum: int = 3, key: str = "row_id") -> DataFrame:
     """topic, word, score, rank: words by frequency in the topic against all assigned topics."""
     own = terms.join(labels.filter(F.col("topic") != UNASSIGNED).select(key, "topic"), key).groupBy("topic", "word").agg(F.sum("n").alias("n"))
-    per = Window.partitionBy("topic")
-    sized = own.withColumns({"size": F.sum("n").over(per), "overall": F.sum("n").over(Window.partitionBy("word"))})
+    sizes = own.groupBy("topic").agg(F.sum("n").alias("size"))
+    sized = own.withColumn("overall", F.sum("n").over(Window.partitionBy("word"))).join(F.broadcast(sizes), "topic")
     average = own.agg((F.sum("n") / F.countDistinct("topic")).alias("avg"))
     scored = sized.filter(F.col("n") >= minimum).join(F.broadcast(average)).select("topic", "word", F.round(F.col("n") / F.col("size") * F.ln(1 + F.col("avg") / F.col("overall")), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(per.orderBy(F.desc("score"), "word"))).filter(F.col("rank") <= top)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("score"), "word"))).filter(F.col("rank") <= top)
 
 
 def coherence(topic_words: DataFrame, terms: DataFrame, documents: int, top: int = 10, key: str = "row_id") -> DataFrame:

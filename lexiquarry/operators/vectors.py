@@ -138,3 +138,11 @@ def projection_agreement(points: DataFrame, key: str, clustered: str, projected:
     first, second = (neighbours(points, points, key, v, k, "euclidean") for v in (clustered, projected))
     sizes = points.agg(F.count("*").alias("points"))
     return sizes.join(F.broadcast(neighbour_loss(first, second))).join(F.broadcast(trustworthiness(points, key, clustered, projected, k)))
+
+
+def for_sample(sample: DataFrame, embeddings: DataFrame, key: str) -> DataFrame:
+    """embeddings of the sample's keys; raises, with the first of them, if any has none. Keys of the sample are distinct."""
+    missing = [r[0] for r in sample.select(key).join(embeddings.select(key), key, "left_anti").orderBy(key).limit(8).collect()]
+    if missing:
+        raise ValueError(f"no vector for {missing}")
+    return embeddings.join(sample.select(key), key, "left_semi")

@@ -128,6 +128,29 @@ def collocates_sliced(spark, d):
     return lexical.compare(target, tokens.vocabulary(_tokens(spark, d)), ["slice"], STOP, limit=40)
 
 
+def _collocates_by_sql(label: str, source: str = "dated d") -> str:
+    """collocates_sliced with another label of the speech, over the speeches of source."""
+    return f"{WITH}, {NODE_SQL}, top AS (SELECT country_org FROM dated GROUP BY country_org ORDER BY count(*) DESC, country_org LIMIT 5), f AS (SELECT {label} AS label, word, count(*) AS a FROM near JOIN {source} USING (row_id) WHERE dist BETWEEN 1 AND 8 GROUP BY ALL), t AS (SELECT label, sum(a) AS n1 FROM f GROUP BY label), c AS (SELECT label, word, a, v.n - a AS b, n1, greatest((SELECT sum(n) FROM vocab) - n1, 1) AS n2 FROM f JOIN t USING (label) JOIN vocab v USING (word) WHERE a >= 5 AND word NOT IN ({STOP_SQL})) {scored_sql('c', 'label', 40)}"
+
+
+def _collocates_by(spark, d, labels):
+    """labels: row_id and label of the speeches that count."""
+    target = _near(spark, d).filter("dist <= 8").join(labels, "row_id").groupBy("label", "word").agg(F.count("*").alias("n"))
+    return lexical.compare(target, tokens.vocabulary(_tokens(spark, d)), ["label"], STOP, limit=40)
+
+
+@query("collocates_grouped", _collocates_by_sql("d.speaker_group"))
+def collocates_grouped(spark, d):
+    return _collocates_by(spark, d, speeches(spark, d).select("row_id", F.col("speaker_group").alias("label")))
+
+
+@query("collocates_speakers", _collocates_by_sql("d.country_org", "(SELECT row_id, country_org FROM dated JOIN top USING (country_org)) d"))
+def collocates_speakers(spark, d):
+    rows = speeches(spark, d).select("row_id", F.col("country_org").alias("label"))
+    top = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(5).select("label")
+    return _collocates_by(spark, d, rows.join(F.broadcast(top), "label"))
+
+
 # --- matched controls -----------------------------------------------------
 
 WIDE = ["speaker_group", "month"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import stats, text
-from lexiquarry.operators import actors, dims, lexicon, normalise, series
+from lexiquarry.operators import actors, dims, lexicon, normalise, quality, series
 from lexiquarry.plans.adapter import ENTITIES_SQL, FLAGGED_SQL, LEXICON, MEMBERSHIP_SQL, SLICES, SPEECHES_SQL, STOP, aliases, entities, flagged, long_sql, speeches, terms_of_office
 from lexiquarry.plans.registry import query
 
@@ -130,6 +130,36 @@ def normalised(spark, d):
     return out.select("doc_id", "body_start", "spoken_language", "spoken_fuzzy", "delivery_language", "agenda", "country_org", "entity_type", "speaker_group")
 
 
+@query("join_keys", "SELECT doc_id, 'S_PV_' || (doc_id // 10) AS document FROM documents")
+def join_keys(spark, d):
+    name = F.format_string("S_PV_%d_spch%04d.txt", F.expr("doc_id div 10"), F.col("doc_id") % 10 + 1)
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.join_key(name).alias("document"))
+
+
+@query("slugs", "SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM pages")
+def slugs(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.slug(F.col("url")).alias("slug"))
+
+
+@query("names_folded", "SELECT c_custkey, trim(regexp_replace(lower(replace(replace(c_name || ' Émile Żak, ' || c_mktsegment, 'É', 'E'), 'Ż', 'Z')), '[^a-z0-9]+', ' ', 'g')) AS name FROM customer")
+def names_folded(spark, d):
+    name = F.concat("c_name", F.lit(" Émile Żak, "), "c_mktsegment")
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", text.name_fold(name).alias("name"))
+
+
+@query("orphans", "WITH l AS (SELECT doc_id FROM documents WHERE doc_id % 3 > 0), r AS (SELECT doc_id FROM labels) SELECT doc_id, 'left' AS side FROM (SELECT doc_id FROM l EXCEPT SELECT doc_id FROM r) UNION ALL SELECT doc_id, 'right' FROM (SELECT doc_id FROM r EXCEPT SELECT doc_id FROM l)")
+def orphans(spark, d):
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.orphans(docs.filter("doc_id % 3 > 0"), labels, "doc_id")
+
+
+@query("build_problems", "WITH r AS (SELECT doc_id % 900 AS id, CASE WHEN doc_id % 11 > 0 THEN source END AS source, lang FROM documents), n AS (SELECT 'rows' AS \"check\", count(*) - 500 AS count FROM r UNION ALL SELECT 'repeated id', count(id) - count(DISTINCT id) FROM r UNION ALL SELECT 'missing source', count(*) FILTER (source IS NULL) FROM r UNION ALL SELECT 'missing lang', count(*) FILTER (lang IS NULL) FROM r) SELECT * FROM n WHERE count <> 0")
+def build_problems(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = docs.select((F.col("doc_id") % 900).alias("id"), F.when(F.col("doc_id") % 11 > 0, F.col("source")).alias("source"), "lang")
+    return quality.build_problems(rows, 500, "id", ["source", "lang"])
+
+
 @query("line_id_parts", "SELECT doc_id, 'M' || (doc_id // 10) AS meeting, (doc_id % 10 + 1)::INT AS speech, (doc_id % 3 + 1)::INT AS ordinal FROM documents")
 def line_id_parts(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")

@@ -316,3 +316,24 @@ def event_problems(spark, d):
     url = F.concat(F.when(i % 53 == 0, "http").when(i % 59 != 0, "https"), F.lit("://example.org/"), i.cast("string"))
     rows = e.select(i.cast("string").alias("label"), day.alias("date"), F.col("event_type").alias("kind"), url.alias("source_url"))
     return quality.event_problems(rows, ("view", "signup", "purchase", "click"))
+
+
+@query("sample_vectors", "SELECT vec_id, label FROM embeddings WHERE vec_id % 50 = 0")
+def sample_vectors(spark, d):
+    e = _embeddings(spark, d)
+    return vectors.for_sample(e.filter("vec_id % 50 = 0").select("vec_id"), e, "vec_id").select("vec_id", "label")
+
+
+@query("actor_plan", f"{WITH_FLAGS}, {ENTITIES_SQL}, {core._described}, j AS (SELECT country_org, speeches >= 40 AS ok FROM described WHERE country_org <> 'src3') SELECT count(*) FILTER (ok)::BIGINT AS drawable, count(*) FILTER (NOT ok)::BIGINT AS under, ((SELECT count(*) FROM described) - count(*))::BIGINT AS absent, CASE WHEN count(*) FILTER (ok) = 0 THEN 'none-sufficient' END AS refusal FROM j")
+def actor_plan(spark, d):
+    described = core.describe_speakers(spark, d)
+    rows = described.filter("country_org != 'src3'").withColumn("sufficient", F.col("speeches") >= 40)
+    return views.actor_plan(rows, described)
+
+
+@query("lines_pivoted", f"{WITH} SELECT yq AS period, " + ", ".join(f"nullif(count(*) FILTER (speaker_group = '{g}'), 0)::DOUBLE / count(*) AS \"{g}\"" for g in ("P5", "E10", "UN")) + " FROM dated GROUP BY yq")
+def lines_pivoted(spark, d):
+    s = speeches(spark, d)
+    cells = s.groupBy(F.col("yq").alias("period"), F.col("speaker_group").alias("category")).agg(F.count("*").alias("n"))
+    shares = cells.join(s.groupBy(F.col("yq").alias("period")).agg(F.count("*").alias("held")), "period").withColumn("speech_rate", F.col("n") / F.col("held"))
+    return views.pivot_lines(shares, ["P5", "E10", "UN"])
