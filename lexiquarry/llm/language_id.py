@@ -24,7 +24,9 @@ SAMPLE, CENTROIDS, ROUNDS = 800, 4, 8
 #: Rejected: a cosine below this share of the language's 1 % quantile in training.
 MARGIN = 0.5
 #: Texts are counted in pieces of so many bytes, so a long one needs no more memory.
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: Rows that are vectors at a time.
+ROWS = 64
 
 
 def _gram_counts(pieces: list[bytes], out: np.ndarray) -> None:
@@ -198,8 +200,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             langs, score, rejected = [], [], []
             values = texts.tolist()
-            for at in range(0, len(values), 256):
-                a, b, c = shared.value.predict(values[at : at + 256])
+            for at in range(0, len(values), ROWS):
+                a, b, c = shared.value.predict(values[at : at + ROWS])
                 langs += a
                 score.append(b)
                 rejected.append(c)

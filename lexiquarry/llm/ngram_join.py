@@ -55,7 +55,7 @@ NODE = 8
 HEADS = 8
 SKETCH_BITS = 21
 SLICES = 64
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 18
 #: Up to so many rows of documents whose sets are needed are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -202,7 +202,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
     for part in _parts(batches):
         found = np.concatenate(shingle_sets(part["text"].tolist()))
-        counts += np.bincount((found & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+        np.add.at(counts, (found & np.uint64(len(counts) - 1)).astype(np.int64), np.uint32(1))
     yield pd.DataFrame({"slice": range(SLICES), "counts": [x.tobytes() for x in counts.reshape(SLICES, -1)]})
 
 
