@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import fingerprints, language_id, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_fst, sharding, toxicity, warc_fixity
+from lexiquarry.llm import chat_tree, fingerprints, importance, language_id, line_dedup, mixing, ngram_join, periodic_runs, quality_rules, sentencepiece_fst, sharding, toxicity, warc_fixity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,9 +15,14 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_warc_fixity": warc_fixity.op10_warc_fixity,
+    "op11_chat_tree": chat_tree.op11_chat_tree,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_importance": importance.op13_importance,
 }
 
 SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op11_chat_tree": chat_tree.OP11_SQL,
+    "op13_importance": importance.OP13_SQL,
 }
