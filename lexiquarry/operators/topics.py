@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import stats
+from lexiquarry.operators.vectors import normalise
 
 UNASSIGNED = -1
 
@@ -29,14 +29,24 @@ def resample(frame: DataFrame, seed: int, fraction: float = 0.9, key: str = "row
     return frame.filter(F.conv(F.substring(stats.hash_order(seed, "resample", F.col(key)), 1, 8), 16, 10).cast("long") < limit)
 
 
-def tfidf(terms: DataFrame, min_df: int = 5, max_share: float = 0.5, features: int = 50_000, key: str = "row_id") -> DataFrame:
-    """key, word, weight: n * (ln((1 + N) / (1 + df)) + 1), each document at length 1; the most frequent words in bounds."""
-    n_docs = terms.select(key).distinct().agg(F.count("*").alias("_N"))
-    df = terms.groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("cf")).join(F.broadcast(n_docs))
-    kept = df.filter((F.col("df") >= min_df) & (F.col("df") <= F.col("_N") * max_share)).orderBy(F.desc("cf"), "word").limit(features)
-    kept = kept.withColumn("idf", F.ln((1 + F.col("_N")) / (1 + F.col("df"))) + 1).select("word", "idf")
-    raw = terms.join(kept, "word").select(key, "word", (F.col("n") * F.col("idf")).alias("x"))
-    return raw.withColumn("weight", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))).drop("x")
+def tfidf(terms: DataFrame, min_df: int = 5, max_share: float = 0.5, features: int = 50_000, key: str = "row_id", by: str | None = None) -> DataFrame:
+    """key, word, weight: n * (ln((1 + N) / (1 + df)) + 1), each document at length 1; the most frequent words in bounds.
+
+    With by, a column of terms, each of its values is a corpus of its own.
+    """
+    on = [by] if by else []
+    n_docs = terms.select(*on, key).distinct().groupBy(*on).agg(F.count("*").alias("_N"))
+    counted = terms.groupBy(*on, "word").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
+    df = counted.join(F.broadcast(n_docs), on) if by else counted.join(F.broadcast(n_docs))
+    bounded = df.filter((F.col("df") >= min_df) & (F.col("df") <= F.col("_N") * max_share))
+    if by:
+        ranked = bounded.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("cf"), "word")))
+        kept = ranked.filter(F.col("_r") <= features)
+    else:
+        kept = bounded.orderBy(F.desc("cf"), "word").limit(features)
+    kept = kept.withColumn("idf", F.ln((1 + F.col("_N")) / (1 + F.col("df"))) + 1).select(*on, "word", "idf")
+    raw = terms.join(kept, [*on, "word"]).select(*on, key, "word", (F.col("n") * F.col("idf")).alias("x"))
+    return raw.withColumn("weight", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(*on, key)))).drop("x")
 
 
 def ctfidf(terms: DataFrame, labels: DataFrame, top: int = 12, minimum: int = 3, key: str = "row_id") -> DataFrame:
@@ -157,12 +167,6 @@ def sensitivity(frame: DataFrame, labels: DataFrame, slice_column: str, bearing:
     return out.select("topic", "documents", F.round(F.get("_q", F.lit(0)), 6).alias("median_tokens"), F.round(F.get("_q", F.lit(1)), 6).alias("p90_tokens"), "slice", F.round(F.col("c") / F.col("documents"), 6).alias("slice_share"), "bearing_share")
 
 
-def spearman(frame: DataFrame, a: str, b: str) -> DataFrame:
-    """rho over average ranks; the table (a row per topic) is ranked by one task."""
-    avg = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-    return frame.select(avg(a).alias("x"), avg(b).alias("y")).agg(F.round(F.corr("x", "y"), 6).alias("rho"))
-
-
 def intrusion(topic_words: DataFrame, seed: int, model: str, shown: int = 5) -> DataFrame:
     """item, model, topic, words (own and an intruder, shuffled), intruder, intruder_position, intruder_from.
 
@@ -194,69 +198,11 @@ def group_others(frame: DataFrame, column: str, n: int, other: str = "other") ->
     return frame.join(F.broadcast(top), column, "left").withColumn(column, F.when(F.col("_top"), F.col(column)).otherwise(other)).drop("_top")
 
 
-def nmf(weights: DataFrame, k: int, seed: int, rounds: int = 30, key: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    """(key, topic, weight; topic, word, weight) by multiplicative updates of weights (key, word, weight).
-
-    Word factors (features x k numbers, bounded by the feature limit of tfidf) live on
-    the driver; each round is one pass over documents grouped by key, whose factors are
-    solved where they lie, and one sum of k x features partial results.
-    """
-    docs = weights.groupBy(key).agg(F.collect_list(F.struct("word", "weight")).alias("_w")).cache()
-    vocab = {r[0]: i for i, r in enumerate(weights.select("word").distinct().orderBy("word").collect())}
-    rng = np.random.default_rng(seed)
-    h = rng.random((k, len(vocab))) + 0.01
-    eps = 1e-9
-
-    def solve(rows: pd.DataFrame, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        out, gram = [], h @ h.T
-        for own in rows["_w"]:
-            at = np.array([vocab[x["word"]] for x in own])
-            v = np.array([x["weight"] for x in own])
-            w, part = np.full(k, 1.0 / k), h[:, at] @ v
-            for _ in range(20):
-                w *= part / (gram @ w + eps)
-            out.append((w, at, v))
-        return out
-
-    for _ in range(rounds):
-        held = docs.sparkSession.sparkContext.broadcast(h)
-
-        def partial(batches):
-            num, gram = np.zeros((k, len(vocab))), np.zeros((k, k))
-            for rows in batches:
-                for w, at, v in solve(rows, held.value):
-                    num[:, at] += np.outer(w, v)
-                    gram += np.outer(w, w)
-            yield pd.DataFrame({"num": [num.tobytes()], "gram": [gram.tobytes()]})
-
-        parts = docs.select("_w").mapInPandas(partial, "num binary, gram binary").collect()
-        num = sum(np.frombuffer(bytes(r.num)).reshape(k, -1) for r in parts)
-        gram = sum(np.frombuffer(bytes(r.gram)).reshape(k, k) for r in parts)
-        h = h * num / (gram @ h + eps)
-        h /= np.maximum(np.linalg.norm(h, axis=1, keepdims=True), eps)
-    held = docs.sparkSession.sparkContext.broadcast(h)
-
-    def assign(batches):
-        for rows in batches:
-            solved = solve(rows, held.value)
-            yield pd.DataFrame([(i, t, float(x)) for i, (w, _, _) in zip(rows[key], solved) for t, x in enumerate(w)], columns=[key, "topic", "weight"])
-
-    kind = dict(weights.dtypes)[key]
-    words = sorted(vocab, key=vocab.get)
-    table = docs.sparkSession.createDataFrame([(t, w, float(h[t, i])) for t in range(k) for i, w in enumerate(words)], "topic int, word string, weight double")
-    return docs.mapInPandas(assign, f"{key} {kind}, topic int, weight double"), table
-
-
 def cluster(points: DataFrame, key: str, vector: str, k: int, seed: int, abstain: float = 0.95) -> DataFrame:
     """key, topic, distance by k-means over unit vectors; points beyond the `abstain` quantile of distances are unassigned.
 
-    A stand-in for density clustering, which Spark has not: labels and -1 mean the same.
+    For where spherical clusters will do; see operators.density for clusters of any form.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    from lexiquarry.operators.vectors import normalise
-
     x = points.select(key, array_to_vector(normalise(F.col(vector))).alias("_v"))
     model = KMeans(featuresCol="_v", predictionCol="topic", k=k, seed=seed, maxIter=30).fit(x)
     centres = {i: [float(v) for v in c] for i, c in enumerate(model.clusterCenters())}

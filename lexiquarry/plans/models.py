@@ -131,45 +131,11 @@ def null_deal(spark, d):
     return topics.deal_words(t, 5).groupBy("row_id").agg(F.count("*").alias("n"), F.countDistinct("word").alias("words"))
 
 
-_share_sql = "share AS (SELECT doc_id, greatest(a, b, c) / (a + b + c)::DOUBLE AS share FROM (SELECT doc_id, doc_id % 5 + 1 AS a, doc_id % 7 + 1 AS b, doc_id % 11 + 1 AS c FROM documents)), nulls AS (SELECT greatest(a, b, c) / (a + b + c)::DOUBLE AS share FROM (SELECT doc_id * 3 % 13 + 9 AS a, doc_id * 5 % 17 + 9 AS b, doc_id % 19 + 9 AS c FROM documents))"
-POINTS = (0.3, 0.4, 0.45, 0.6, 0.7)
-
-
-def _shares(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
-    own = lambda *x: topics.dominant_share(F.array(*[v.cast("double") for v in x])).alias("share")
-    i = F.col("doc_id")
-    return docs.select("doc_id", own(i % 5 + 1, i % 7 + 1, i % 11 + 1)), docs.select(own(i * 3 % 13 + 9, i * 5 % 17 + 9, i % 19 + 9))
-
-
-@query("share_spread", f"WITH {_share_sql} SELECT " + ", ".join(f"round(quantile_cont(share, {q}), 4) AS {n}" for n, q in (("p05", 0.05), ("median", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))) + ", round(avg(share), 4) AS mean FROM share")
-def share_spread(spark, d):
-    return topics.spread(_shares(spark, d)[0])
-
-
-@query("abstention_curve", f"WITH {_share_sql}, t AS (SELECT quantile_cont(share, 0.95) AS t FROM nulls), p AS (SELECT DISTINCT x FROM (SELECT unnest([{', '.join(map(str, POINTS))}])::DOUBLE AS x UNION ALL SELECT t FROM t) WHERE x >= 1 / 3.0::DOUBLE) SELECT round(x, 6) AS min_weight, round((SELECT count(*) FROM share WHERE share < x) / (SELECT count(*) FROM share), 6) AS unassigned, x = (SELECT t FROM t) AS chosen FROM p")
-def abstention_curve(spark, d):
-    return topics.abstention_curve(*_shares(spark, d), 3, POINTS)
-
-
-@query("relabelled", f"WITH {_share_sql} SELECT doc_id, CASE WHEN share >= 0.5 THEN doc_id % 3 ELSE -1 END::INT AS topic, round(share, 6) AS share FROM share")
-def relabelled(spark, d):
-    assigned = _shares(spark, d)[0].withColumn("topic", (F.col("doc_id") % 3).cast("int"))
-    return topics.relabel(assigned, 0.5).withColumn("share", F.round("share", 6))
-
-
 @query("intrusion_items")
 def intrusion_items(spark, d):
     return topics.intrusion(topics.ctfidf(_terms(spark, d), _labels(spark, d)), 9, "lang").withColumn("words", F.array_join("words", "|"))
 
 
-@query("nmf")
-def nmf(spark, d):
-    sample = topics.frozen_sample(speeches(spark, d).withColumn("slice", F.lit("all")), 20_000, 3, "slice")
-    t = tokens.document_terms(tokens.token_table(sample, ["row_id"]))
-    return topics.nmf(topics.tfidf(t, features=5000), 10, 1, rounds=20)[0]
-
-
 @query("cluster_labels")
 def cluster_labels(spark, d):
     return topics.cluster(_embeddings(spark, d), "vec_id", "embedding", 10, 1)
