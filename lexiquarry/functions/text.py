@@ -156,50 +156,11 @@ def period(date: Column, frequency: str) -> Column:
     raise ValueError(f"unknown frequency {frequency!r}")
 
 
-def flat(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
-
-
-def window(text: Column, start: Column, end: Column, width: int = 150) -> Column:
-    """(left, kw, right) of a span: `width` characters to each side, white space as single blanks."""
-    begin = F.greatest(start - width, F.lit(0))
-    return F.struct(
-        flat(F.substr(text, begin + 1, start - begin)).alias("left"),
-        flat(F.substr(text, start + 1, end - start)).alias("kw"),
-        flat(F.substr(text, end + 1, F.lit(width))).alias("right"),
-    )
-
-
 def tokens(text: Column) -> Column:
     """Words of a text in lower case; digits part them."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """(start, end) of all matches: the pieces between them and their lengths give the offsets."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    both = F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n")))
-    step = F.filter(both, lambda x: x["n"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def add(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        return F.struct((begin + x["n"]).alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), (begin + x["n"]).alias("end")))).alias("out"))
-
-    return F.aggregate(step, start, add)["out"]
-
-
-def token_spans(text: Column) -> Column:
-    """Words with their place and offset: array of (pos, word, start).
-
-    Offsets are running sums taken once per text over an exploded row, see
-    operators.tokens; this form suits short texts.
-    """
-    lower = F.lower(text)
-    spans = matches(lower, TOKEN)
-    return F.transform(spans, lambda s, i: F.struct(i.alias("pos"), F.substr(lower, s["start"] + 1, s["end"] - s["start"]).alias("word"), s["start"].alias("start")))
-
-
 def without(words: Column, stop: list[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(stop)) if stop else words
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from lexiquarry.functions import text
-from lexiquarry.operators.lexicon import Lexicon, occurrences
+from lexiquarry.operators.lexicon import Lexicon, scan, term_columns
 
 # Words whose full stop doesn't end a sentence.
 ABBREVIATIONS = (
@@ -21,23 +21,20 @@ ABBREVIATIONS = (
     "inc", "ltd", "co", "corp", "u.s", "u.n", "u.k", "a.m", "p.m",
     "jan", "feb", "mar", "apr", "jun", "jul", "aug", "sept", "sep", "oct", "nov", "dec",
 )
-# Fixed value: what ends a sentence and what may begin the next.
-BOUNDARY = re.compile("[.!?]+[\"'’”)\\]]*(\\s+)(?=[\"'‘“(\\[]*[A-Z0-9])")
-
-
-def _abbreviated(source: str, stop: int) -> bool:
-    """Whether the full stop at stop belongs to an initial or an abbreviation: to the letters and full stops right before it."""
-    begin = stop
-    while begin and (source[begin - 1].isalpha() or source[begin - 1] == "."):
-        begin -= 1
-    word = source[begin:stop].strip(".")
-    return source[stop] == "." and (word.lower() in ABBREVIATIONS or len(word) == 1 and word.isupper())
+# Fixed value: what ends a sentence and what may begin the next. Before it, the letters and full stops that it follows.
+BOUNDARY = re.compile("(?<![^\\W\\d_.])((?:[^\\W\\d_]|\\.)*?)([.!?]+)[\"'’”)\\]]*(\\s+)(?=[\"'‘“(\\[]*[A-Z0-9])")
+# Fixed value: white space as Unicode has it.
+BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 
 def split_sentences(source: str | None) -> list[tuple[int, int]]:
-    """Spans of the sentences, without the white space between them."""
-    source = source or ""
-    gaps = [m.span(1) for m in BOUNDARY.finditer(source) if not _abbreviated(source, m.start())]
+    """Spans of the sentences, without the white space between them; neither an initial nor an abbreviation ends one."""
+    source, gaps = source or "", []
+    for m in BOUNDARY.finditer(source):
+        word, marks = m[1], m[2]
+        initial = len(word) == 1 and word.isupper()
+        if not (marks[0] == "." and (initial or word.strip(".").lower() in ABBREVIATIONS)):
+            gaps.append(m.span(3))
     begins, ends = [0, *(b for _, b in gaps)], [*(a for a, _ in gaps), len(source)]
     return [span for span in zip(begins, ends) if span[0] < span[1]]
 
@@ -48,26 +45,42 @@ def sentence_spans(texts: pd.Series) -> pd.Series:
     return pd.Series([[{"start": a, "end": b} for a, b in split_sentences(t)] for t in texts], dtype=object)
 
 
-def sentence_at(source: Column, spans: Column, position: Column) -> Column:
-    """The last sentence that starts at or before position, flattened."""
-    hit = F.array_max(F.filter(spans, lambda s: s["start"] <= position))
-    return text.flat(F.coalesce(F.substr(source, hit["start"] + 1, hit["end"] - hit["start"]), F.lit("")))
+def flat(source: str) -> str:
+    return BLANKS.sub(" ", source).strip(" ")
+
+
+LINE = "array<struct<i:int,ordinal:int,start:int,end:int,left:string,kw:string,right:string,sent:string>>"
 
 
 def lines(speeches: DataFrame, lexicon: Lexicon, keep: list[str], width: int = 150, sentences: bool = True, body: str = "text") -> DataFrame:
     """One concordance line per match: keep, term, ordinal, start, end, id, left, kw, right, sent.
 
-    The id is the meeting, the speech number and the match's place in the speech.
+    The id is the meeting, the speech number and the match's place in the speech; sent is
+    the last sentence that starts at or before the match. One scan of a text gives all its
+    lines, so that the text isn't copied to each of them.
     """
-    if sentences:
-        speeches = speeches.withColumn("_spans", sentence_spans(F.col(body)))
-    found = occurrences(speeches, lexicon, [*keep, "meeting_symbol", "speech_number", body, *(["_spans"] if sentences else [])])
-    w = text.window(F.col(body), F.col("start"), F.col("end"), width)
-    out = found.withColumn("_w", w).withColumn("id", F.format_string("%s_spch%04d#%d", "meeting_symbol", "speech_number", "ordinal"))
-    if sentences:
-        out = out.withColumn("sent", sentence_at(F.col(body), F.col("_spans"), F.col("start")))
-    last = ["sent"] if sentences else []
-    return out.select(*keep, "meeting_symbol", "speech_number", "term", "ordinal", "start", "end", "id", "_w.left", "_w.kw", "_w.right", *last)
+    terms = lexicon.active
+
+    def of(source: str) -> list[dict]:
+        spans = split_sentences(source) if sentences else []
+        begins, said, out = [a for a, _ in spans], {-1: ""}, []
+        for i, k, start, end in scan(source, terms):
+            at = bisect_right(begins, start) - 1
+            if at not in said:
+                said = {-1: "", at: flat(source[slice(*spans[at])])}
+            context = (source[max(start - width, 0) : start], source[start:end], source[end : end + width])
+            left, kw, right = map(flat, context)
+            out.append({"i": i, "ordinal": k, "start": start, "end": end, "left": left, "kw": kw, "right": right, "sent": said[at]})
+        return out
+
+    @F.pandas_udf(LINE)
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else of(t) for t in texts], dtype=object)
+
+    rows = speeches.select(*keep, "meeting_symbol", "speech_number", F.explode(found(F.col(body))).alias("_m"))
+    last = ["_m.sent"] if sentences else []
+    name = F.format_string("%s_spch%04d#%d", "meeting_symbol", "speech_number", "_m.ordinal").alias("id")
+    return rows.select(*keep, "meeting_symbol", "speech_number", term_columns(terms, F.col("_m.i"))[0], "_m.ordinal", "_m.start", "_m.end", name, "_m.left", "_m.kw", "_m.right", *last)
 
 
 def index(concordance: DataFrame) -> DataFrame:

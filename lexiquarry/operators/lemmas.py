@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import text
@@ -12,19 +12,26 @@ from lexiquarry.operators.tokens import token_table
 def align(frame: DataFrame, tagged: DataFrame, key: str = "row_id", body: str = "text") -> DataFrame:
     """key, pos, word, lemma, refused for every token; tagged has (key, start, end, lemma).
 
-    The lemma of a tagger span is taken if the span covers the whole token and the
-    lemma is itself one word; a span that covers only the token's start, or another
-    lemma, is refused and the word stands. Texts that change length in lower case
-    keep their words.
+    Of the tagger's spans the last one that starts at or before a token counts (of equal
+    starts the longest). Its lemma is taken if it covers the whole token and the lemma is
+    itself one word; a span that covers only the token's start, or another lemma, is
+    refused and the word stands. Texts that change length in lower case keep their words.
+
+    Tokens and spans are merged by offset, spans first, and the last span is carried
+    forward: one sort, whatever the number of spans.
     """
-    tokens = token_table(frame, [key], body, offsets=True)
-    steady = frame.filter(F.length(F.lower(body)) == F.length(body)).select(key, F.lit(True).alias("_ok"))
-    spans = tagged.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.lower(F.trim("lemma")).alias("_l"))
-    covers = (F.col(key) == F.col("_k")) & (F.col("start") >= F.col("_s")) & (F.col("start") < F.col("_e"))
-    j = tokens.join(spans, covers, "left").join(steady, key, "left")
-    good = F.coalesce(F.col("_ok"), F.lit(False)) & (F.col("_e") >= F.col("start") + F.length("word")) & F.col("_l").rlike(f"^{text.TOKEN}$")
-    good = F.coalesce(good, F.lit(False))
-    return j.select(key, "pos", "word", F.when(good, F.col("_l")).otherwise(F.col("word")).alias("lemma"), (~good & F.col("_k").isNotNull()).alias("refused"))
+    steady = (F.length(F.lower(body)) == F.length(body)).alias("_ok")
+    tokens = token_table(frame.select(key, body, steady), [key, "_ok"], body, offsets=True)
+    span = F.struct(F.col("end").cast("int").alias("end"), F.lower(F.trim("lemma")).alias("lemma"))
+    events = tokens.select(key, F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_long"), "pos", "word", "_ok")
+    events = events.withColumn("_span", F.lit(None).cast("struct<end:int,lemma:string>"))
+    spans = tagged.select(key, F.col("start").cast("int"), F.lit(0), F.col("end").cast("int"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("boolean"), span)
+    so_far = Window.partitionBy(key).orderBy("_at", "_kind", "_long").rowsBetween(Window.unboundedPreceding, 0)
+    last = events.union(spans).withColumn("_last", F.last("_span", ignorenulls=True).over(so_far)).filter("_kind = 1")
+    covered = F.coalesce(F.col("_last.end") > F.col("_at"), F.lit(False))
+    whole = F.col("_ok") & (F.col("_last.end") >= F.col("_at") + F.length("word"))
+    good = F.coalesce(covered & whole & F.col("_last.lemma").rlike(f"^{text.TOKEN}$"), F.lit(False))
+    return last.select(key, "pos", "word", F.when(good, F.col("_last.lemma")).otherwise(F.col("word")).alias("lemma"), (covered & ~good).alias("refused"))
 
 
 def encode(aligned: DataFrame, key: str = "row_id") -> DataFrame:
@@ -44,8 +51,6 @@ def mismatched(frame: DataFrame, layer: DataFrame, key: str = "row_id", body: st
 
 def mapping(aligned: DataFrame) -> DataFrame:
     """lemma, surface, n, forms (surfaces of the lemma) of every pair."""
-    from pyspark.sql import Window
-
     pairs = aligned.groupBy("lemma", F.col("word").alias("surface")).agg(F.count("*").alias("n"))
     return pairs.withColumn("forms", F.count("*").over(Window.partitionBy("lemma")))
 

@@ -50,10 +50,16 @@ def compare(target: DataFrame, reference: DataFrame, by: list[str], stop: list[s
 
 
 def node_tokens(tokens: DataFrame, spans: DataFrame, key: str = "row_id") -> DataFrame:
-    """(key, pos) of the tokens that start inside a span (key, start, end)."""
-    s = spans.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    inside = (F.col(key) == F.col("_k")) & (F.col("start") >= F.col("_s")) & (F.col("start") < F.col("_e"))
-    return tokens.join(s, inside).select(key, "pos").distinct()
+    """(key, pos) of the tokens (key, pos, start) that start inside a span (key, start, end).
+
+    Tokens and spans are merged by offset, spans first; a token lies in a span if the
+    furthest end so far is beyond its start. One sort, whatever the number of spans.
+    """
+    none = F.lit(None).cast("int")
+    events = tokens.select(key, F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.col("pos").cast("int").alias("pos"), none.alias("_end"))
+    events = events.union(spans.select(key, "start", F.lit(0), none, F.col("end").cast("int")))
+    so_far = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("_open", F.max("_end").over(so_far)).filter("pos IS NOT NULL AND _open > _at").select(key, "pos")
 
 
 def contexts(tokens: DataFrame, nodes: DataFrame, width: int, key: str = "row_id") -> DataFrame:

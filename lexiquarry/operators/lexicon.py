@@ -7,10 +7,11 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiquarry.functions import stats, text
+from lexiquarry.functions import stats
 
 PREFIX = {"terms": "", "registers": "register_", "sets": "set_"}
 
@@ -30,6 +31,12 @@ class Term:
         """Whether a text in lower case holds one of the literals."""
         return reduce(lambda a, b: a | b, [low.contains(x.lower()) for x in self.literals])
 
+    def spans(self, source: str, low: str) -> list[tuple[int, int]]:
+        """(start, end) of the matches in source, searched only if low (source in lower case) holds a literal."""
+        if not any(x.lower() in low for x in self.literals):
+            return []
+        return [m.span() for m in re.finditer(self.pattern, source, re.I)]
+
     def count(self, body: Column, prefilter: bool = True, flags: str = "(?iU)", low: Column | None = None) -> Column:
         """Matches in body; without one of the literals none, unless prefilter is off. low is body in lower case, if at hand."""
         n = F.regexp_count(body, F.lit(flags + self.pattern))
@@ -165,20 +172,32 @@ def documented_figures(flagged: DataFrame, lexicon: Lexicon, documented: dict[st
     return found.join(own, "term").withColumn("agrees", same)
 
 
-def occurrences(speeches: DataFrame, lexicon: Lexicon, keep: list[str], body: str = "text", flags: str = "(?iU)") -> DataFrame:
+def scan(source: str, terms: list[Term]) -> list[tuple[int, int, int, int]]:
+    """(number of the term, ordinal, start, end) of every match of every term in one text."""
+    low = source.lower()
+    return [(i, k, start, end) for i, t in enumerate(terms) for k, (start, end) in enumerate(t.spans(source, low), 1)]
+
+
+def term_columns(terms: list[Term], number: Column) -> list[Column]:
+    """term, tier and register of a term's number."""
+    return [F.get(F.array(*[F.lit(getattr(t, name)) for t in terms]), number).alias(alias) for alias, name in (("term", "name"), ("tier", "tier"), ("register", "register"))]
+
+
+def occurrences(speeches: DataFrame, lexicon: Lexicon, keep: list[str], body: str = "text") -> DataFrame:
     """One row per match of an active term: keep, term, tier, register, ordinal, start, end.
 
-    Terms are alternatives of one explode: the text is read once and only texts with
-    a literal are searched.
+    All terms are found in one Arrow-batched scan of the text, in time that grows with
+    the text and its matches; built-in expressions give matches, but their offsets only
+    by summing what lies between them, once more for each match.
     """
-    def spans(t: Term) -> Column:
-        found = F.when(t.present(F.col("_low")), text.matches(F.col(body), flags + t.pattern))
-        return F.transform(found, lambda s, i: F.struct(F.lit(t.name).alias("term"), F.lit(t.tier).alias("tier"), F.lit(t.register).alias("register"), (i + 1).alias("ordinal"), s["start"].alias("start"), s["end"].alias("end")))
+    terms = lexicon.active
 
-    empty = F.array().cast("array<struct<term:string,tier:string,register:string,ordinal:int,start:int,end:int>>")
-    every = F.flatten(F.array(*[F.coalesce(spans(t), empty) for t in lexicon.active]))
-    low = speeches.withColumn("_low", F.lower(F.col(body)))
-    return low.select(*keep, F.explode(every).alias("m")).select(*keep, "m.*")
+    @F.pandas_udf("array<struct<i:int,ordinal:int,start:int,end:int>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [{"i": i, "ordinal": k, "start": a, "end": b} for i, k, a, b in scan(t, terms)] for t in texts], dtype=object)
+
+    rows = speeches.select(*keep, F.explode(found(F.col(body))).alias("_m"))
+    return rows.select(*keep, *term_columns(terms, F.col("_m.i")), "_m.ordinal", "_m.start", "_m.end")
 
 
 def audit_sample(occurrence_rows: DataFrame, size: int, seed: int, key: str = "row_id", stratum: tuple[str, ...] = ("term", "decade")) -> DataFrame:

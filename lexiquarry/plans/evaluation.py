@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lexiquarry.functions import text
 from lexiquarry.operators import density, evaluation, factorise, tokens, topics
-from lexiquarry.operators.vectors import normalise
 from lexiquarry.plans import core
 from lexiquarry.plans.adapter import FLAGGED_SQL, SLICES, SPEECHES_SQL, flagged, speeches
 from lexiquarry.plans.analysis import TERMS_SQL
@@ -99,9 +98,12 @@ def relabelled(spark, d):
 # --- factorisation and density --------------------------------------------
 
 
+def _sample(spark, d):
+    return topics.frozen_sample(speeches(spark, d).withColumn("slice", text.slice_label(F.col("year"), SLICES)), SAMPLE, 3, "slice")
+
+
 def _sampled_terms(spark, d):
-    sample = topics.frozen_sample(speeches(spark, d).withColumn("slice", text.slice_label(F.col("year"), SLICES)), SAMPLE, 3, "slice")
-    return tokens.document_terms(tokens.token_table(sample, ["row_id"]))
+    return tokens.document_terms(tokens.token_table(_sample(spark, d), ["row_id"]))
 
 
 @query("nmf")
@@ -118,10 +120,16 @@ def nmf_stability(spark, d):
     return evaluation.stability(evaluation.agreement(factorise.labelled(found.documents, 0.2)))
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçñáíóú"
+
+
 @query("density_clusters")
 def density_clusters(spark, d):
-    e = density.reduced(_embeddings(spark, d), "vec_id", normalise(F.col("embedding")))
-    return density.density_clusters(e, "vec_id", F.col("reduced"), 20).withColumn("strength", F.round("strength", 6))
+    """Speeches of the frozen sample by their shares of letters, in five principal components: languages are what is dense in them."""
+    low = F.lower("text")
+    shares = F.array(*[(F.length("_t") - F.length(F.replace("_t", F.lit(c)))) / F.length("_t") for c in LETTERS])
+    points = density.reduced(_sample(spark, d).withColumn("_t", low), "row_id", shares)
+    return density.density_clusters(points, "row_id", F.col("reduced")).withColumn("strength", F.round("strength", 6))
 
 
 # --- what topics are made of: the language of a document stands in for its topic
