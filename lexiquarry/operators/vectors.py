@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
-import numpy as np
-import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of vectors.
-BLOCK = 4096
+#: Rows of a block of vectors, and of its product with another one at a time.
+BLOCK, ROWS = 4096, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,16 +57,25 @@ def neighbours(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k:
     right = corpus.select(F.col(key).alias("id"), unit.alias("v"), every(n_q).alias("a"), block(n_c).alias("b"))
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        ids = c["id"].to_numpy()
-        y = np.stack(c["v"].to_numpy()).astype(float) if len(c) else np.zeros((0, 0))
-        for query, x in zip(q["id"], q["v"]) if len(c) else ():
-            x = np.asarray(x, dtype=float)
-            score = np.round(y @ x if metric == "cosine" else np.sqrt(((y - x) ** 2).sum(axis=1)), 9)
-            order = np.lexsort((ids, -score if metric == "cosine" else score))
-            order = order[ids[order] != query][:k]
-            out += zip([query] * len(order), ids[order], score[order])
-        return pd.DataFrame(out, columns=["query", "neighbour", "score"])
+        if not len(q) or not len(c):
+            return pd.DataFrame(columns=["query", "neighbour", "score"])
+        x, y = (np.stack(t["v"].to_numpy()).astype(float) for t in (q, c))
+        asked, ids, out = q["id"].to_numpy(), c["id"].to_numpy(), []
+        for at in range(0, len(x), ROWS):
+            part = x[at : at + ROWS]
+            # far is small for near rows: a cosine turned round, or a distance.
+            far = -(part @ y.T) if metric == "cosine" else np.sqrt(np.maximum((part * part).sum(1)[:, None] + (y * y).sum(1) - 2 * (part @ y.T), 0))
+            far = np.round(far, 9)
+            far[asked[at : at + ROWS, None] == ids] = np.inf
+            last = np.partition(far, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+            rows, columns = np.nonzero((far <= last[:, None]) & np.isfinite(far))  # with all ties of the last one
+            order = np.lexsort((ids[columns], far[rows, columns], rows))
+            rows, columns = rows[order], columns[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            rows, columns = rows[place < k], columns[place < k]
+            score = far[rows, columns]
+            out.append(pd.DataFrame({"query": asked[at + rows], "neighbour": ids[columns], "score": -score if metric == "cosine" else score}))
+        return pd.concat(out)
 
     pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(meet, f"query {kind}, neighbour {kind}, score double")
     best = F.desc("score") if metric == "cosine" else F.asc("score")
@@ -128,6 +135,59 @@ def store_error(frame: DataFrame, vector: str) -> DataFrame:
     return frame.agg(F.max(F.array_max(F.transform(vector, half))).alias("largest"))
 
 
+#: The largest difference that storing may make.
+LOSS = 1e-2
+
+
+def packed(vector: str, kind: str = "float16") -> Column:
+    """vector as bytes, little-endian, at half or single precision; a null stays. Raises where half precision would lose more than LOSS of a component."""
+    if kind not in ("float16", "float32"):
+        raise ValueError(f"vectors aren't stored as {kind}")
+
+    @F.pandas_udf("binary")
+    def run(vectors: pd.Series) -> pd.Series:
+        def one(v):
+            if v is None:
+                return None
+            x = np.asarray(v, dtype=np.float32)
+            with np.errstate(over="ignore"):
+                out = x.astype(f"<{'f2' if kind == 'float16' else 'f4'}")
+            lost = float(np.abs(out.astype(np.float32) - x).max(initial=0))
+            if not lost <= LOSS:
+                raise ValueError(f"{kind} would lose {lost:.4f} of a component; store float32")
+            return out.tobytes()
+
+        return pd.Series([one(v) for v in vectors], dtype=object)
+
+    return run(F.col(vector))
+
+
+def unpacked(bytes_: str, kind: str = "float16") -> Column:
+    """The vector in what packed made, at single precision."""
+    width = "<f2" if kind == "float16" else "<f4"
+
+    @F.pandas_udf("array<float>")
+    def run(stored: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else np.frombuffer(b, dtype=width).astype(np.float32) for b in stored], dtype=object)
+
+    return run(F.col(bytes_))
+
+
+def write_store(frame: DataFrame, path: str, key: str, vector: str, kind: str = "float16") -> None:
+    """A store of vectors: key, bytes and kind as Parquet. Raises, before anything takes the place of an old store, if precision would be lost."""
+    gone = frame.agg(F.max(F.octet_length(packed(vector, kind)))).first()  # every vector is packed once to find out
+    if gone is not None:
+        frame.select(key, packed(vector, kind).alias("bytes"), F.lit(kind).alias("kind")).write.mode("overwrite").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str, vector: str = "embedding") -> DataFrame:
+    """key and vector of a store; rows that say they are of different kinds are read each as their own."""
+    rows = spark.read.parquet(path)
+    half, single = rows.filter("kind = 'float16'"), rows.filter("kind = 'float32'")
+    names = [c for c in rows.columns if c not in ("bytes", "kind")]
+    return half.select(*names, unpacked("bytes", "float16").alias(vector)).union(single.select(*names, unpacked("bytes", "float32").alias(vector)))
+
+
 def strongest(measured: DataFrame) -> DataFrame:
     """attribute and lift of the row of measured with the largest lift; ties by name, null lifts left out."""
     return measured.filter("lift IS NOT NULL").orderBy(F.desc("lift"), "attribute").limit(1).select("attribute", "lift")

@@ -7,46 +7,65 @@ import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 
-def repair_records(lines: Iterator[str], columns: int) -> Iterator[tuple[list[str], bool]]:
-    """Records of `columns` fields from physical lines: (fields, was joined).
+def repaired_records(spark: SparkSession, path: str, columns: int) -> DataFrame:
+    """file, record (number in its file), value and joined: the records of `columns` tab-separated fields that lines make up.
 
-    A line with too few tabs is joined with the next by a blank. Too many tabs, or a
-    record that the text's end cuts off, are errors.
+    Lines are joined by a blank until they have enough tabs; empty ones before the first
+    word of a record vanish. A record with too many tabs, or one that the end of its file
+    cuts off, raises when it is read.
+
+    Files are split like others. A line's record follows from the tabs before it: those of
+    earlier splits of the file, one number a split, and a running sum inside its own. Only
+    lines that aren't whole records, and the first of each split, are grouped.
     """
-    held, parts = "", 0
-    for line in lines:
-        held, parts = (f"{held} {line}" if parts else line), parts + 1
-        tabs = held.count("\t")
-        if tabs >= columns:
-            raise ValueError(f"a record has {tabs + 1} fields, {columns} are expected")
-        if tabs == columns - 1:
-            yield held.split("\t"), parts > 1
-            held, parts = "", 0
-    if parts:
-        raise ValueError("the last record is incomplete")
+    n = columns - 1
+    tabs = F.length("value") - F.length(F.replace("value", F.lit("\t")))
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.withColumn("tabs", tabs.cast("long"))
+    split, inside = Window.partitionBy("file", "block"), ["file", "block"]
+    upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = lines.groupBy(*inside).agg(F.sum("tabs").alias("_t")).select(*inside, F.coalesce(F.sum("_t").over(upto), F.lit(0)).alias("_base"))
+    own = F.sum("tabs").over(split.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - F.col("tabs")
+    placed = lines.withColumn("_own", own).join(bases, inside).withColumn("_before", F.col("_base") + F.col("_own"))
+    # Without tabs to count (one column) a line is a record.
+    record, taken = (F.expr(f"_before div {n}"), F.pmod("_before", F.lit(n))) if n else (F.col("at"), F.lit(0))
+    placed = placed.select("file", "block", "at", "value", "tabs", record.alias("record"), taken.alias("_taken"))
+    placed = placed.withColumn("_last", F.lag("record").over(split.orderBy("at")))
+    whole = (F.col("tabs") == n) & (F.col("_taken") == 0) & F.coalesce(F.col("_last") != F.col("record"), F.lit(False)) | F.lit(n == 0)
+    over = F.col("_taken") + F.col("tabs") > n
+    checked = F.when(over, F.raise_error(F.concat(F.lit("too many fields in a record: "), "value"))).otherwise(F.col("value"))
+    single = placed.filter(whole).select("file", "record", "value", F.lit(False).alias("joined"))
+    parts = placed.filter(~whole).groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("block", "at", checked.alias("value")))).alias("_l"), F.sum("tabs").alias("_t"))
+    first = F.filter(F.transform("_l", lambda x, i: F.when(x["value"] != "", i + 1)), lambda i: i.isNotNull())
+    text = F.array_join(F.transform(F.slice("_l", F.coalesce(F.get(first, F.lit(0)), F.lit(1)), F.size("_l")), lambda x: x["value"]), " ")
+    parts = parts.select("file", "record", text.alias("value"), (F.size("_l") > 1).alias("joined"), "_t").filter((F.col("_t") > 0) | (F.trim("value") != ""))
+    whole_text = F.when(F.col("_t") == n, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("the last record is incomplete: "), "value")))
+    return single.union(parts.select("file", "record", whole_text.alias("value"), "joined"))
 
 
 def read_repaired_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated file with a header as strings; blank and NA are null; `_repaired` marks joined records.
+    """Tab-separated files with a header as strings; blank and NA are null; `_repaired` marks joined records.
 
-    A record may span lines, so each file is read by one task; many files are read by many.
+    A header that isn't that of the other files raises.
     """
-    head = spark.read.text(path).first()
+    head = spark.read.option("lineSep", "\n").text(path).first()
+    if head is None:
+        raise ValueError(f"{path} has no header")
     names = head[0].rstrip("\r").split("\t")
-    schema = StructType([StructField(n, StringType()) for n in names] + StructType.fromDDL("_repaired boolean").fields)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for raw in batch["value"]:
-                rows = raw.replace("\r\n", "\n").rstrip("\n").split("\n")[1:]
-                yield pd.DataFrame([[None if f in ("", "NA") else f for f in fields] + [joined] for fields, joined in repair_records(iter(rows), len(names))], columns=schema.names)
-
-    return spark.read.text(path, wholetext=True).mapInPandas(run, schema)
+    rows = repaired_records(spark, path, len(names))
+    top = F.min("record").over(Window.partitionBy("file")) if len(names) == 1 else F.lit(0)
+    rows = rows.withColumn("_top", top == F.col("record"))
+    wrong = F.col("_top") & (F.col("value") != "\t".join(names))
+    below = F.when(wrong, F.raise_error(F.concat(F.lit("another header: "), "value")).cast("boolean")).otherwise(~F.col("_top"))
+    rows = rows.filter(below).select(F.split("value", "\t", -1).alias("_f"), "joined")
+    field = lambda i: F.get("_f", F.lit(i))
+    return rows.select(*[F.when(~field(i).isin("", "NA"), field(i)).alias(name) for i, name in enumerate(names)], F.col("joined").alias("_repaired"))
 
 
 def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:

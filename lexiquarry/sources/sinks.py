@@ -41,8 +41,10 @@ def write_artefact(rows: DataFrame, path: str, meta: dict, name: str = "rows") -
     write_bytes(path, json.dumps({"meta": meta, name: data}, ensure_ascii=False, separators=(",", ":"), allow_nan=False).encode())
 
 
-def write_per_group(df: DataFrame, path: str, key: str) -> None:
-    """A folder of JSON lines for each value of key; large groups keep several files."""
+def write_per_group(df: DataFrame, path: str, key: str, order: list[str] | None = None) -> None:
+    """A folder of JSON lines for each value of key, in order within a file; large groups keep several files, cut by range of order."""
+    if order:
+        df = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
     df.write.mode("overwrite").partitionBy(key).json(path)
 
 

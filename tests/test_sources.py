@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import tarfile
 
 import pytest
@@ -9,12 +10,60 @@ from lexiquarry.sources import files, sinks
 from lexiquarry.streaming import events
 
 
-def test_repair():
-    assert list(files.repair_records(iter(["a\tb", "c", "d\te"]), 2))[0] == (["a", "b"], False)
-    assert list(files.repair_records(iter(["a", "x\tb"]), 2)) == [(["a x", "b"], True)]
-    for bad in (["a\tb\tc"], ["a"]):
-        with pytest.raises(ValueError):
-            list(files.repair_records(iter(bad), 2))
+def joined(lines, tabs):
+    """Records by the rule, one line after another; None for an error."""
+    out, held, parts = [], "", 0
+    for line in lines:
+        held, parts = (f"{held} {line}" if held else line), parts + 1
+        if held.count("\t") > tabs:
+            return None
+        if held.count("\t") == tabs:
+            out.append((held, parts > 1))
+            held, parts = "", 0
+    return None if held.strip() else out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repair_over_splits(spark, tmp_path, seed):
+    """Files cut into many splits, records of several lines, empty lines and lines without tabs."""
+    rng, want = random.Random(seed), []
+    for name in "ab":
+        lines = ["id\tname\tnote"]
+        for k in range(300):
+            record = f"{k}\t{rng.choice(['', 'x y', 'NA'])}\t{'word ' * rng.randint(0, 9)}"
+            for _ in range(rng.choice([0, 0, 0, 1, 2])):
+                at = rng.randint(0, len(record))
+                record = record[:at] + rng.choice(["\n", "\n\n", "\r\n"]) + record[at:]
+            lines += record.replace("\r", "").split("\n")
+        lines.append("last\tx\ty")  # what is left of the one before joins it
+        records = joined(lines, 2)
+        (tmp_path / f"{name}.tsv").write_text("\n".join(lines) + "\n")
+        want += [(*[None if f in ("", "NA") else f for f in value.split("\t")], more) for value, more in records[1:]]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        frame = files.read_repaired_tsv(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        assert sorted(map(tuple, frame.collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("text", ["a\tb\n1\t2\t3\n", "a\tb\n1\t2\nrest\n", "a\tb\n1\n"])
+def test_broken_records(spark, tmp_path, text):
+    (tmp_path / "x.tsv").write_text(text)
+    with pytest.raises(Exception, match="too many fields|incomplete"):
+        files.read_repaired_tsv(spark, str(tmp_path / "x.tsv")).collect()
+
+
+def test_headers(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("a\tb\n1\t2\n")
+    (tmp_path / "b.tsv").write_text("a\tc\n1\t2\n")
+    with pytest.raises(Exception, match="another header"):
+        files.read_repaired_tsv(spark, str(tmp_path)).collect()
+    (tmp_path / "one.tsv").write_text("a\nx\n\ny\n")
+    assert sorted(str(r.a) for r in files.read_repaired_tsv(spark, str(tmp_path / "one.tsv")).collect()) == ["None", "x", "y"]
 
 
 def test_tsv_and_casts(spark, tmp_path):
