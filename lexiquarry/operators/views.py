@@ -92,13 +92,18 @@ def artefact_problems(monthly: DataFrame, periods: int) -> DataFrame:
 
 
 def word_cloud(words: DataFrame, floor: int, limit: int, value: str = "target") -> DataFrame:
-    """word, n, size (square root, 0 to 1) of the first words above the floor, with what each step removed."""
-    total = Window.partitionBy(F.lit(1))
-    tagged = words.withColumns({"_ok": F.col(value) >= floor}).withColumn("below_floor", F.count_if(~F.col("_ok")).over(total)).filter("_ok")
-    ranked = tagged.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(value), "word"))).withColumn("cut", F.greatest(F.count("*").over(total) - limit, F.lit(0)))
-    kept = ranked.filter(F.col("_r") <= limit)
-    low, high = F.sqrt(F.min(value).over(total)), F.sqrt(F.max(value).over(total))
-    return kept.select("word", F.col(value).alias("n"), F.round(F.when(high > low, (F.sqrt(value) - low) / (high - low)).otherwise(F.lit(1.0)), 6).alias("size"), "below_floor", "cut")
+    """word, n, size (square root, 0 to 1) of the first words above the floor, with what each step removed.
+
+    The vocabulary is counted by an aggregate and cut by a top-k; only the words shown
+    meet in one task.
+    """
+    enough = F.col(value) >= floor
+    counts = words.agg(F.count_if(~enough).alias("below_floor"), F.greatest(F.count_if(enough) - limit, F.lit(0)).alias("cut"))
+    kept = words.filter(enough).orderBy(F.desc(value), "word").limit(limit)
+    bounds = kept.agg(F.sqrt(F.min(value)).alias("_low"), F.sqrt(F.max(value)).alias("_high"))
+    rows = kept.join(F.broadcast(bounds)).join(F.broadcast(counts))
+    size = F.when(F.col("_high") > F.col("_low"), (F.sqrt(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(F.lit(1.0))
+    return rows.select("word", F.col(value).alias("n"), F.round(size, 6).alias("size"), "below_floor", "cut")
 
 
 def cloud_refusal(words: DataFrame, floor: int, value: str = "target") -> DataFrame:

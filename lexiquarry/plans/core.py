@@ -276,16 +276,6 @@ def entity_join(spark, d):
     return dims.attach(speeches(spark, d).select("row_id", "country_org"), entities(spark))
 
 
-@query("entity_problems", f"WITH {ENTITIES_SQL} SELECT country_org, unnest(list_filter([CASE WHEN entity_type NOT IN ('state', 'un') THEN 'type' END, CASE WHEN entity_type = 'state' AND iso3 IS NULL THEN 'state without iso3' END, CASE WHEN entity_type = 'state' AND (lat IS NULL OR lon IS NULL) THEN 'state without place' END, CASE WHEN entity_type <> 'state' AND (lat IS NOT NULL OR lon IS NOT NULL) THEN 'place without state' END], lambda x: x IS NOT NULL)) AS problem FROM entities")
-def entity_problems(spark, d):
-    return dims.entity_problems(entities(spark), ("state", "un"))
-
-
-@query("membership_expand", f"WITH {MEMBERSHIP_SQL} SELECT country_org, year, seat FROM membership")
-def membership_expand(spark, d):
-    return dims.membership_by_year(terms_of_office(spark))
-
-
 _grouped = "SELECT row_id, s.country_org, s.year, CASE WHEN entity_type = 'state' AND seat = 'permanent' THEN 'P5' WHEN entity_type = 'state' AND seat = 'elected' THEN 'E10' WHEN entity_type = 'state' THEN 'Non-member state' WHEN entity_type = 'un' THEN 'UN' ELSE 'Non-state' END AS speaker_group FROM dated s LEFT JOIN entities e ON s.country_org = e.country_org LEFT JOIN membership m ON m.country_org = s.country_org AND m.year = s.year"
 
 
@@ -300,23 +290,11 @@ def silent_members_anti(spark, d):
     return dims.silent_members(dims.membership_by_year(terms_of_office(spark)), speeches(spark, d))
 
 
-@query("roster_validate", f"WITH {MEMBERSHIP_SQL} SELECT y::INT AS year, count(*) FILTER (seat = 'permanent')::BIGINT AS permanent, count(*) FILTER (seat = 'elected')::BIGINT AS elected, count(*) FILTER (seat = 'permanent') = 5 AND count(*) FILTER (seat = 'elected') = 8 AS valid FROM range(1990, 2026) r(y) LEFT JOIN membership m ON m.year = y GROUP BY y")
-def roster_validate(spark, d):
-    return dims.roster(dims.membership_by_year(terms_of_office(spark)), 1990, 2025, 5, 8)
-
-
 @query("unseen_speakers", f"{WITH}, {ENTITIES_SQL} SELECT DISTINCT country_org FROM speeches WHERE country_org NOT IN (SELECT country_org FROM entities WHERE country_org <> 'src7')")
 def unseen_speakers(spark, d):
     return dims.unseen(speeches(spark, d), entities(spark).filter("country_org <> 'src7'"))
 
 
-@query("crosswalk_drift", f"WITH {ENTITIES_SQL} SELECT 'lat' AS \"column\", count(*) FILTER (country_org = 'src2')::BIGINT AS rows FROM entities UNION ALL SELECT 'iso3', count(*) FILTER (country_org IN ('src3', 'src19'))::BIGINT FROM entities")
-def crosswalk_drift(spark, d):
-    now = entities(spark)
-    stored = now.withColumn("lat", F.when(F.col("country_org") == "src2", F.col("lat") + 0.5).otherwise(F.col("lat") + 1e-9)).withColumn("iso3", F.when(F.col("country_org").isin("src3", "src19"), F.lit("XXX")).otherwise(F.col("iso3")))
-    return dims.drift(stored, now, "country_org", ["lat", "iso3"])
-
-
 # --- series ---------------------------------------------------------------
 
 
@@ -338,11 +316,6 @@ def series_quarterly(spark, d):
 GRID_SQL = "grid AS (SELECT y || '-' || lpad(m::VARCHAR, 2, '0') AS period FROM range(1992, 2024) a(y), range(1, 13) b(m))"
 
 
-@query("month_grid", f"WITH {GRID_SQL} SELECT period FROM grid")
-def month_grid(spark, d):
-    return series.month_grid(spark, 1992, 2023)
-
-
 @query("series_monthly_grid", f"{WITH_FLAGS}, {GRID_SQL}, long AS ({long_sql('ym', grid='grid')}) SELECT * FROM long")
 def series_monthly_grid(spark, d):
     return _long(spark, d, "ym", series.month_grid(spark, 1992, 2023))

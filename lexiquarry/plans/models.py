@@ -176,11 +176,6 @@ def heatmap_states(spark, d):
     return views.heatmap(_withheld(spark, d)).select("period", "kind", "name", "state", "weight")
 
 
-@query("artefact_problems", f"{WITH_FLAGS}, {_monthly} SELECT kind, name, 'none' AS problem FROM w WHERE speeches > held")
-def artefact_problems(spark, d):
-    return views.artefact_problems(_withheld(spark, d), 384)
-
-
 @query("available_units", f"{WITH_FLAGS}, long AS ({long_sql('year::VARCHAR')}) SELECT kind, name, CASE WHEN count(occurrences) > 0 THEN 'speech_rate|token_rate|occurrences' ELSE 'speech_rate' END AS units FROM long GROUP BY kind, name")
 def available_units(spark, d):
     return views.available_units(core.series_annual(spark, d))
@@ -210,10 +205,10 @@ def standing_bands(spark, d):
     return views.standing_bands(core.standing_pivot(spark, d), actors.GROUPS)
 
 
-@query("wordcloud_plan", f"{WITH}, {TERMS_SQL}, k AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS r FROM vocab WHERE n >= 50) SELECT word, n::BIGINT AS n FROM k WHERE r <= 30")
+@query("wordcloud_plan", f"{WITH}, {TERMS_SQL}, k AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS r FROM vocab WHERE n >= 50), b AS (SELECT sqrt(min(n)) AS lo, sqrt(max(n)) AS hi FROM k WHERE r <= 30) SELECT word, n::BIGINT AS n, round(CASE WHEN hi > lo THEN (sqrt(n) - lo) / (hi - lo) ELSE 1 END, 6) AS size, (SELECT count(*) FROM vocab WHERE n < 50)::BIGINT AS below_floor, greatest((SELECT count(*) FROM k) - 30, 0)::BIGINT AS cut FROM k, b WHERE r <= 30")
 def wordcloud_plan(spark, d):
     v = tokens.vocabulary(tokens.token_table(speeches(spark, d), ["row_id"]))
-    return views.word_cloud(v, 50, 30, "n").select("word", "n")
+    return views.word_cloud(v, 50, 30, "n")
 
 
 @query("concordance_links", f"{WITH_FLAGS}, long AS ({long_sql('year::VARCHAR')}), m AS (SELECT * FROM (VALUES ('legal', 'license'), ('legal', 'mit_license'), ('mixed', 'that'), ('mixed', 'in_the'), ('mixed', 'hea_split')) v(name, term)) SELECT kind, long.name, period, term FROM long JOIN m ON kind = 'sets' AND long.name = m.name WHERE speeches >= 1 UNION ALL SELECT kind, name, period, name FROM long WHERE kind = 'terms' AND speeches >= 1")
