@@ -46,6 +46,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as no column of df has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """Array of the words of text; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

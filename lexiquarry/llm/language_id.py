@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import documents
+from lexiquarry.llm.common import documents, free_name
 
 DIMENSIONS = 4096
 #: Rows per language that the model is fitted on, and centroids per language.
@@ -208,8 +208,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": np.concatenate(score) if score else [], "rejected": np.concatenate(rejected) if rejected else []})
 
     names = ("lang_pred", "score", "rejected")
-    out = docs.drop(*names).withColumn("_p", predict("text"))
-    return out.select(*docs.drop(*names).columns, *[F.col(f"_p.{n}").alias(n) for n in names])
+    rest, found = docs.drop(*names), free_name(docs, "_p")
+    return rest.withColumn(found, predict("text")).select(*rest.columns, *[F.col(f"{found}.{n}").alias(n) for n in names])
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -4,10 +4,12 @@ Every document of a source has the same inclusion: target words / words of the
 source. Its whole part is taken outright. Its fraction is an inclusion probability
 that the cube method's flight moves to 0 or 1 inside the null space of two
 constraints, number of documents and number of words, three documents at a time.
-Blocks of a source fly on their own; the at most two open documents of each block
-fly again with those of other blocks, then with all of the source. About ten
-documents of each source stay out of the flight; with the at most two that it left
-open they make the landing problem, solved by the corner nearest to the words wanted.
+Documents that hold much of their source are drawn first, and the probabilities of the
+others make up for them. Blocks of a source fly on their own; the at most two open
+documents of each block fly again with those of other blocks, then with all of the
+source. About ten documents of each source stay out of the flight; with the at most two
+that it left open they make the landing problem, solved by the corner nearest to the
+words wanted.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import checkpointed, documents, global_row_numbers, words
+from lexiquarry.llm.common import checkpointed, documents, free_name, global_row_numbers, words
 
 WEIGHTS = (5, 2, 1)
 SHARE, CEILING = 1.5, 2.0
 BLOCK, FAN = 2048, 1024
+#: A document with more than this part of its source's words is settled before the flight, which then makes up for it.
+LARGE = 1 / 20
 #: Documents of a source kept for the landing: about so many are drawn, at most so many used.
 HELD, LANDED = 10, 12
 #: Up to so many sources the table of sources is broadcast; beyond, it is joined by shuffle.
@@ -104,6 +108,23 @@ def source_plan(sized: DataFrame, weights: Iterable[int] = WEIGHTS, share: float
     return final.select("source", "source_rank", "source_rows", "source_size", target.alias("target"))
 
 
+def _settle_large(start: DataFrame, seed: int, few: bool) -> DataFrame:
+    """start (checkpointed) with the large documents of each source drawn one by one, and the rest's p such that the expected words stay.
+
+    A source whose rest can't make up for the draw is flown as it is.
+    """
+    is_open = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "row_number"), F.lit(2**31)) / 2**31
+    marked = checkpointed(start.withColumn("_large", is_open & (F.col("size") > F.col("source_size") * LARGE)).withColumn("_open", is_open).withColumn("_drawn", (draw < F.col("p")).cast("double")))
+    rest = F.sum(F.when(F.col("_open") & ~F.col("_large"), F.col("size")))
+    owed = F.sum(F.when(F.col("_large"), (F.col("p") - F.col("_drawn")) * F.col("size")))
+    shifts = marked.filter("_open").groupBy("source_rank").agg((owed / rest).alias("_shift"), F.min(F.when(~F.col("_large"), F.col("p"))).alias("_least"), F.max(F.when(~F.col("_large"), F.col("p"))).alias("_most"))
+    shifts = checkpointed(shifts.filter("_least + _shift > 0 AND _most + _shift < 1").select("source_rank", "_shift"))
+    joined = marked.join(F.broadcast(shifts) if few else shifts, "source_rank", "left")
+    p = F.when(F.col("_shift").isNull() | ~F.col("_open"), F.col("p")).when(F.col("_large"), F.col("_drawn")).otherwise(F.col("p") + F.col("_shift"))
+    return joined.withColumn("p", p).select(*start.columns)
+
+
 def mix(docs: DataFrame, weights: Iterable[int] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, seed: int = 0) -> DataFrame:
     """How often the mix takes each row of docs (doc_id, text, source): one row per input row.
 
@@ -142,7 +163,7 @@ def mix(docs: DataFrame, weights: Iterable[int] = WEIGHTS, share: float = SHARE,
         return run
 
     is_open = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)
-    start = checkpointed(start)
+    start = _settle_large(start, seed, few)
     done, left = [start.filter(~is_open)], start.filter(is_open & ~F.col("held"))
     for _ in range(2):
         flown = checkpointed(left.groupBy("source_rank", "block").applyInPandas(fly(False), schema))
@@ -157,13 +178,19 @@ def mix(docs: DataFrame, weights: Iterable[int] = WEIGHTS, share: float = SHARE,
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """docs with each row repeated as often as mixed takes it; rows taken 0 times go."""
+    """docs with each row repeated as often as mixed takes it; rows taken 0 times go.
+
+    Of rows equal in id, source and text, those with the smaller hash of all columns are
+    taken as the first ones of mixed, so that reruns agree. All columns stay as they are.
+    """
     key = ["doc_id", "source", "_text"]
-    keyed = docs.withColumn("_text", F.xxhash64("text")).withColumn("_k", F.xxhash64(*key))
-    taken = mixed.groupBy(*key).agg(F.collect_list("copies").alias("_copies")).withColumn("_k", F.xxhash64(*key)).select("_k", "_copies")
-    nth = F.when(F.size("_copies") == 1, F.lit(0)).otherwise(F.row_number().over(Window.partitionBy("_k").orderBy(F.lit(1))) - 1)
-    joined = keyed.join(taken.filter(F.exists("_copies", lambda c: c > 0)), "_k").withColumn("_c", F.get("_copies", nth))
-    return joined.filter(F.col("_c") > 0).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_c"))).select(*docs.columns)
+    text, name, count, nth = (free_name(docs, x) for x in ("_text", "_k", "_c", "_i"))
+    whole = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    keyed = docs.withColumn(text, F.xxhash64("text")).withColumn(name, F.xxhash64("doc_id", "source", text))
+    taken = mixed.groupBy(*key).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_copies")).select(F.xxhash64(*key).alias(name), F.col("_copies").alias(count))
+    place = F.when(F.size(count) == 1, F.lit(0)).otherwise(F.row_number().over(Window.partitionBy(name).orderBy(whole)) - 1)
+    joined = keyed.join(taken.filter(F.exists(count, lambda c: c > 0)), name).withColumn(count, F.get(count, place))
+    return joined.filter(F.col(count) > 0).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), count))).select(*docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexiquarry.llm.common import documents
+from lexiquarry.llm.common import documents, free_name
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -314,13 +314,14 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, keep: list[str] | N
 
     names = ("ids", "n_tokens", "n_byte_tokens", "round_trip")
     kept = [c for c in docs.columns if c not in names and (keep is None or c in keep)]
+    source = free_name(docs, "_input")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                texts = part["_input"].to_pylist()
+                texts = part[source].to_pylist()
                 found = [machine.ids_of(t) for t in texts]
                 n_tokens = [len(x) for x in found]
                 ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n_tokens]), pa.int32()), pa.array(np.concatenate(found), pa.int32()))
@@ -330,7 +331,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, keep: list[str] | N
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names])
 
     schema = StructType([*(docs.schema[c] for c in kept), *StructType.fromDDL("ids array<int>, n_tokens long, n_byte_tokens long, round_trip boolean").fields])
-    return docs.select(*kept, F.col("text").alias("_input")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col("text").alias(source)).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm.common import documents
+from lexiquarry.llm.common import documents, free_name
 
 #: Labelled rows that the model is fitted on, words that it may use, folds.
 SAMPLE, FEATURES, FOLDS = 10_000, 512, 5
@@ -218,8 +218,9 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
             yield pd.DataFrame(np.concatenate([shared.value.probabilities(shared.value.matrix(part)) for part in parts]), columns=names)
 
     base = docs.drop(*names, "toxic")
-    out = base.withColumn("_p", predict("text"))
-    return out.select(*base.columns, *[F.col(f"_p.{n}").alias(n) for n in names], (F.col("_p.p_toxic") >= threshold).alias("toxic"))
+    found = free_name(docs, "_p")
+    out = base.withColumn(found, predict("text"))
+    return out.select(*base.columns, *[F.col(f"{found}.{n}").alias(n) for n in names], (F.col(f"{found}.p_toxic") >= threshold).alias("toxic"))
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
