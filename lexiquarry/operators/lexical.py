@@ -49,27 +49,37 @@ def compare(target: DataFrame, reference: DataFrame, by: list[str], stop: list[s
     return _ranked(scored, by, limit)
 
 
-def node_tokens(tokens: DataFrame, spans: DataFrame, key: str = "row_id") -> DataFrame:
-    """(key, pos) of the tokens (key, pos, start) that start inside a span (key, start, end).
+def _opened(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+    """tokens (key, pos, word, start) and _node: whether a span (key, start, end) is open at its start.
 
     Tokens and spans are merged by offset, spans first; a token lies in a span if the
     furthest end so far is beyond its start. One sort, whatever the number of spans.
     """
     none = F.lit(None).cast("int")
-    events = tokens.select(key, F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.col("pos").cast("int").alias("pos"), none.alias("_end"))
-    events = events.union(spans.select(key, "start", F.lit(0), none, F.col("end").cast("int")))
+    events = tokens.select(key, F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.col("pos").cast("int").alias("pos"), "word", none.alias("_end"))
+    events = events.union(spans.select(key, "start", F.lit(0), none, F.lit(None).cast("string"), F.col("end").cast("int")))
     so_far = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("_open", F.max("_end").over(so_far)).filter("pos IS NOT NULL AND _open > _at").select(key, "pos")
+    marked = events.withColumn("_node", F.coalesce(F.max("_end").over(so_far) > F.col("_at"), F.lit(False)))
+    return marked.filter("pos IS NOT NULL").select(key, "pos", "word", "_at", "_node")
+
+
+def node_tokens(tokens: DataFrame, spans: DataFrame, key: str = "row_id") -> DataFrame:
+    """(key, pos) of the tokens that start inside a span (key, start, end)."""
+    return _opened(tokens, spans, key).filter("_node").select(key, "pos")
 
 
-def contexts(tokens: DataFrame, nodes: DataFrame, width: int, key: str = "row_id") -> DataFrame:
-    """Tokens within `width` of a node, each once, nodes left out, with dist to the nearest node.
+def span_contexts(tokens: DataFrame, spans: DataFrame, width: int, key: str = "row_id") -> DataFrame:
+    """Tokens (key, pos, word) within `width` of a token inside a span, each once, those inside left out, with dist to the nearest one.
 
-    One pass serves all narrower windows: filter on dist.
+    One pass serves all narrower windows: filter on dist. The last such token before a
+    token and the first one after it are carried along, so that nothing is joined.
     """
-    near = nodes.select(key, F.col("pos").alias("_node"), F.explode(F.sequence(F.col("pos") - width, F.col("pos") + width)).alias("pos"))
-    near = near.groupBy(key, "pos").agg(F.min(F.abs(F.col("pos") - F.col("_node"))).alias("dist"))
-    return tokens.join(near.filter("dist > 0"), [key, "pos"])
+    node = F.when(F.col("_node"), F.col("pos"))
+    up = Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(key).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = _opened(tokens, spans, key).withColumn("_before", F.last(node, ignorenulls=True).over(up)).withColumn("_after", F.last(node, ignorenulls=True).over(down))
+    dist = F.least(F.col("pos") - F.col("_before"), F.col("_after") - F.col("pos"))
+    return placed.select(key, "pos", "word", dist.alias("dist")).filter((F.col("dist") > 0) & (F.col("dist") <= width))
 
 
 def matched_pairs(frame: DataFrame, is_target: str, strata: list[str], seed: int | Column, key: str = "row_id", by: list[str] | None = None) -> DataFrame:

@@ -97,7 +97,7 @@ def _near(spark, d):
     some = speeches(spark, d).filter("contains(lower(text), 'of the')")
     toks = tokens.token_table(some, ["row_id"], offsets=True)
     spans = lexicon.occurrences(some, LEXICON, ["row_id"]).filter("term = 'of_the'")
-    return lexical.contexts(toks, lexical.node_tokens(toks, spans), 15)
+    return lexical.span_contexts(toks, spans, 15)
 
 
 @query("context_tokens", f"{WITH}, {NODE_SQL} SELECT row_id, pos::INT AS pos, word, dist::INT AS dist FROM near WHERE dist > 0")

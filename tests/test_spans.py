@@ -23,6 +23,9 @@ def test_nodes_and_lemmas(spark):
     rows = [r.asDict() for r in table.collect()]
     inside = {(r.row_id, r.pos) for r in lexical.node_tokens(table, spans).collect()}
     assert inside == {(r["row_id"], r["pos"]) for r in rows if any(k == r["row_id"] and a <= r["start"] < b for k, a, b, _ in tagged)} and inside
+    near = {(r.row_id, r.pos): r.dist for r in lexical.span_contexts(table, spans, 3).collect()}
+    gaps = {(r["row_id"], r["pos"]): min((abs(r["pos"] - p) for k, p in inside if k == r["row_id"]), default=99) for r in rows}
+    assert near == {k: d for k, d in gaps.items() if 0 < d <= 3}
     got = {(r.row_id, r.pos): (r.word, r.lemma, r.refused) for r in lemmas.align(frame, spans).collect()}
     want = {}
     for r in rows:
