@@ -52,6 +52,18 @@ def flat(source: str) -> str:
 LINE = "array<struct<i:int,ordinal:int,start:int,end:int,left:string,kw:string,right:string,sent:string>>"
 
 
+def review_sheet(drawn: DataFrame, speeches: DataFrame, key: str = "row_id", body: str = "text", width: int = 150, keep: tuple[str, ...] = ()) -> DataFrame:
+    """drawn (of lexicon.audit_units) with columns of the speeches, the match in its context, and the reviewer's columns, empty.
+
+    What is drawn is bounded by the sizes asked for, so it is broadcast to the texts.
+    """
+    rows = speeches.select(key, *keep, F.col(body).alias("_body")).join(F.broadcast(drawn), key)
+    begin = F.greatest(F.col("start") - width, F.lit(0))
+    cuts = {"left": (begin, F.col("start") - begin), "keyword": (F.col("start"), F.col("end") - F.col("start")), "right": (F.col("end"), F.lit(width))}
+    parts = {c: F.trim(F.regexp_replace(F.substring("_body", at + 1, n), BLANKS.pattern, " ")) for c, (at, n) in cuts.items()}
+    return rows.withColumns(parts | {c: F.lit("") for c in ("verdict", "source_checked", "phenomenon", "comment")}).drop("_body")
+
+
 def lines(speeches: DataFrame, lexicon: Lexicon, keep: list[str], width: int = 150, sentences: bool = True, body: str = "text") -> DataFrame:
     """One concordance line per match: keep, term, ordinal, start, end, id, left, kw, right, sent.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from dataclasses import dataclass, field
 from functools import reduce
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import stats
+from lexiquarry.sources.files import read_object
 
 PREFIX = {"terms": "", "registers": "register_", "sets": "set_"}
 
@@ -96,17 +96,18 @@ class Lexicon:
 
 
 def read_lexicon(spark: SparkSession, path: str) -> Lexicon:
-    """A lexicon out of a JSON object: version, terms (name to the fields of Term) and sets (name to its members).
+    """A lexicon out of a JSON object or YAML mapping: version, terms (name to the fields of Term) and sets (name to its members).
 
-    Without a tier a term is `adjacent`, without a register `other`. Raises if anything is wrong with it.
+    Literals may be named prefilters; notes are passed over. Without a tier a term is
+    `adjacent`, without a register `other`. Raises if anything is wrong with it.
     """
-    raw = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    raw = read_object(spark, path)
     lists = ("literals", "examples")
     terms = []
     for name, own in raw["terms"].items():
-        given = {"tier": "adjacent", "register": "other", "literals": [], "examples": []} | own
-        terms.append(Term(name, **{k: tuple(map(str, v)) if k in lists else v for k, v in given.items()}))
-    return Lexicon(tuple(terms), {k: tuple(v) for k, v in raw.get("sets", {}).items()}, str(raw.get("version", "0")))
+        given = {"tier": "adjacent", "register": "other", "literals": own.get("prefilters") or [], "examples": []} | own
+        terms.append(Term(name, **{k: tuple(map(str, v or ())) if k in lists else v for k, v in given.items() if k not in ("note", "prefilters")}))
+    return Lexicon(tuple(terms), {k: tuple(v) for k, v in (raw.get("sets") or {}).items()}, str(raw.get("version", "0")))
 
 
 def columns_for(kind: str, name: str) -> tuple[str, str | None]:
@@ -152,6 +153,17 @@ def tolerant_delta(speeches: DataFrame, lexicon: Lexicon, key: str = "row_id", b
     return out
 
 
+def tolerant_finds(speeches: DataFrame, lexicon: Lexicon, key: str = "row_id", body: str = "text", flags: str = "(?iU)") -> DataFrame:
+    """key, term, tier, n and extra (whether no enabled term of the tier is there) of every speech that a disabled term finds, from one scan."""
+    low = speeches.withColumn("_low", F.lower(F.col(body)))
+    cells = [F.lit(None).cast("struct<term:string,tier:string,n:bigint,extra:boolean>")]
+    for t in lexicon.disabled:
+        n = t.count(F.col(body), flags=flags, low=F.col("_low"))
+        known = reduce(lambda a, b: a | b, [F.col(f"has_{x.name}") for x in lexicon.active if x.tier == t.tier], F.lit(False))
+        cells.append(F.when(n > 0, F.struct(F.lit(t.name).alias("term"), F.lit(t.tier).alias("tier"), n.alias("n"), (~known).alias("extra"))))
+    return low.select(key, F.explode(F.array_compact(F.array(*cells))).alias("_m")).select(key, "_m.*")
+
+
 def summary(flagged: DataFrame, lexicon: Lexicon) -> DataFrame:
     """kind, name, speeches, share, occurrences (null for sets) in one pass."""
     rows = lexicon.measures()
@@ -205,3 +217,10 @@ def audit_sample(occurrence_rows: DataFrame, size: int, seed: int, key: str = "r
     order = stats.hash_order(seed, "audit", F.concat_ws(":", F.col(key).cast("string"), "term", F.col("start").cast("string")))
     ranked = occurrence_rows.withColumn("_o", order).withColumn("_k", F.row_number().over(Window.partitionBy(*stratum).orderBy("_o", key, "start")))
     return ranked.orderBy((F.col("_k") > 1).cast("int"), "_o", key, "start").limit(size).drop("_o", "_k")
+
+
+def audit_units(occurrence_rows: DataFrame, size: int, seed: int, key: str = "row_id", stratum: tuple[str, ...] = ("term", "decade")) -> DataFrame:
+    """occurrence_rows (as of `occurrences`) drawn for review, with unit: at most `size` occurrences, and as many speeches of a term, each by the term's first occurrence in it."""
+    each = audit_sample(occurrence_rows, size, seed, key, stratum).withColumn("unit", F.lit("occurrence"))
+    whole = audit_sample(occurrence_rows.filter("ordinal = 1"), size, seed + 2, key, stratum).withColumn("unit", F.lit("speech"))
+    return each.unionByName(whole)

@@ -91,6 +91,22 @@ def neighbour_summary(found: DataFrame, attributes: DataFrame, key: str, value:
     return first.agg(F.count("*").alias("queries"), F.round(F.median("score"), 6).alias("median_score"), F.round(F.avg(F.col("_qv").eqNullSafe(F.col("_nv")).cast("double")), 6).alias("same"))
 
 
+def neighbour_hits(found: DataFrame, attributes: DataFrame, key: str, flag: str, same: list[str]) -> DataFrame:
+    """One row: queries, median top-1 score, shares of flagged rows among top-1 neighbours, all neighbours and all of attributes, and per column of same the share of top-1 neighbours with the query's value.
+
+    A null is equal to nothing. Without neighbours the shares are null.
+    """
+    a = attributes.select(F.col(key).alias("query"), *[F.col(c).alias(f"_q{i}") for i, c in enumerate(same)])
+    b = attributes.select(F.col(key).alias("neighbour"), F.col(flag).alias("_flag"), *[F.col(c).alias(f"_n{i}") for i, c in enumerate(same)])
+    both, first = found.join(a, "query").join(b, "neighbour"), F.col("rank") == 1
+    share = lambda x, among: F.round(F.avg(F.when(among, F.coalesce(x, F.lit(False)).cast("double"))), 4)
+    hits = both.agg(
+        F.count_if(first).alias("queries"), F.round(F.median(F.when(first, F.col("score"))), 4).alias("top1_score_median"), share(F.col("_flag"), first).alias(f"top1_{flag}"),
+        share(F.col("_flag"), F.lit(True)).alias(f"any_{flag}"), *[share(F.col(f"_q{i}") == F.col(f"_n{i}"), first).alias(f"top1_same_{c}") for i, c in enumerate(same)],
+    )
+    return hits.crossJoin(attributes.agg(share(F.col(flag), F.lit(True)).alias(f"corpus_{flag}")))
+
+
 def purity(found: DataFrame, attributes: DataFrame, key: str, value: str) -> DataFrame:
     """mean share of neighbours with the point's value, base_rate, lift, points, distinct_values, missing; null is a value."""
     a = attributes.select(F.col(key).alias("query"), F.col(value).alias("_qv"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import stats, text
-from lexiquarry.operators import actors, dims, lexicon, normalise, quality, series
+from lexiquarry.operators import actors, dims, kwic, lexicon, normalise, quality, series
 from lexiquarry.plans.adapter import ENTITIES_SQL, FLAGGED_SQL, LEXICON, MEMBERSHIP_SQL, SLICES, SPEECHES_SQL, STOP, aliases, entities, flagged, long_sql, speeches, terms_of_office
 from lexiquarry.plans.registry import query
 
@@ -229,6 +229,11 @@ def ocr_delta(spark, d):
     return lexicon.tolerant_delta(flagged(spark, d), LEXICON).withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), "|"))
 
 
+@query("ocr_finds", f"{WITH_FLAGS} SELECT row_id, 'hea_split' AS term, 'wide' AS tier, n_hea_split AS n, NOT ({_wide}) AS extra FROM flagged WHERE n_hea_split > 0")
+def ocr_finds(spark, d):
+    return lexicon.tolerant_finds(flagged(spark, d), LEXICON)
+
+
 _summary = " UNION ALL ".join(f"SELECT '{k}' AS kind, '{v}' AS name, count(*) FILTER ({h})::BIGINT AS speeches, round(count(*) FILTER ({h}) / count(*), 6) AS share, {f'sum({n})::BIGINT' if n else 'NULL::BIGINT'} AS occurrences FROM flagged" for k, v, h, n in MEASURES)
 
 
@@ -263,6 +268,23 @@ def audit_sample(spark, d):
     return lexicon.audit_sample(lexicon.occurrences(s, LEXICON, ["row_id", "decade"]), 40, 7).select("row_id", "term", "decade", "start")
 
 
+def _drawn_sql(unit: str, seed: int, of: str) -> str:
+    """The audit's draw of one unit, as SQL over `dec`."""
+    return f"""(SELECT row_id, term, register, decade, s, n, '{unit}' AS unit FROM (SELECT *, row_number() OVER (PARTITION BY term, decade ORDER BY h, row_id, s) AS r FROM (SELECT *, md5('{seed}:audit:' || row_id || ':' || term || ':' || s) AS h FROM dec WHERE {of})) ORDER BY (r > 1)::INT, h, row_id, s LIMIT 60)"""
+
+
+@query("audit_units", f"""{WITH}, {OCC_SQL}, dec AS (SELECT occ.*, (d.year // 10 * 10) || 's' AS decade FROM occ JOIN dated d USING (row_id)),
+  drawn AS ({_drawn_sql('occurrence', 11, 'true')} UNION ALL {_drawn_sql('speech', 13, 'ordinal = 1')})
+  SELECT unit, row_id, country_org, agenda, term, register, decade, s AS "start", trim(regexp_replace(substr(text, greatest(s - 60, 0) + 1, s - greatest(s - 60, 0)), '\\s+', ' ', 'g')) AS "left", trim(regexp_replace(substr(text, s + 1, n), '\\s+', ' ', 'g')) AS keyword,
+  trim(regexp_replace(substr(text, s + n + 1, 60), '\\s+', ' ', 'g')) AS "right" FROM drawn JOIN speeches USING (row_id)""")
+def audit_units(spark, d):
+    """The reviewers' sheet: occurrences and speeches by term and decade, in their context."""
+    s = speeches(spark, d).withColumn("decade", text.decade(F.col("year")))
+    drawn = lexicon.audit_units(lexicon.occurrences(s, LEXICON, ["row_id", "decade"]), 60, 11)
+    sheet = kwic.review_sheet(drawn, s, width=60, keep=("country_org", "agenda"))
+    return sheet.select("unit", "row_id", "country_org", "agenda", "term", "register", "decade", "start", "left", "keyword", "right")
+
+
 # --- dimensions -----------------------------------------------------------
 
 

@@ -46,6 +46,13 @@ def neighbour_summary(spark, d):
     return vectors.neighbour_summary(_nearest(spark, d), _embeddings(spark, d), "vec_id", "label")
 
 
+@query("neighbour_hits", f"""{WITH_FLAGS}, {_knn}, b AS (SELECT nn.*, q.year AS qy, q.country_org AS qc, n.year AS ny, n.country_org AS nc, n.has_of_the AS f FROM nn JOIN flagged q ON q.row_id = query JOIN flagged n ON n.row_id = neighbour WHERE rank <= 5)
+  SELECT count(*) FILTER (rank = 1)::BIGINT AS queries, round(median(score) FILTER (rank = 1), 4) AS top1_score_median, round(avg(coalesce(f, false)::INT) FILTER (rank = 1), 4) AS top1_has_of_the, round(avg(coalesce(f, false)::INT), 4) AS any_has_of_the,
+  round(avg(coalesce(qy = ny, false)::INT) FILTER (rank = 1), 4) AS top1_same_year, round(avg(coalesce(qc = nc, false)::INT) FILTER (rank = 1), 4) AS top1_same_country_org, (SELECT round(avg(coalesce(has_of_the, false)::INT), 4) FROM flagged) AS corpus_has_of_the FROM b""")
+def neighbour_hits(spark, d):
+    return vectors.neighbour_hits(_nearest(spark, d), flagged(spark, d), "row_id", "has_of_the", ["year", "country_org"])
+
+
 @query("neighbourhood_purity", f"WITH {_knn}, m AS (SELECT avg((q.label = n.label)::INT) AS m FROM nn JOIN embeddings q ON q.vec_id = query JOIN embeddings n ON n.vec_id = neighbour WHERE rank <= 5), s AS (SELECT label, count(*) AS c FROM embeddings GROUP BY label), b AS (SELECT sum(c) AS points, sum(c * (c - 1)) / (sum(c) * (sum(c) - 1)) AS b, count(*) AS dv FROM s) SELECT round(m, 4) AS mean, round(b, 4) AS base_rate, round(m / b, 2) AS lift, points::BIGINT AS points, dv::BIGINT AS distinct_values, 0::BIGINT AS missing FROM m, b")
 def neighbourhood_purity(spark, d):
     return vectors.purity(_nearest(spark, d), _embeddings(spark, d), "vec_id", "label")
@@ -162,6 +169,28 @@ def lemma_mapping(spark, d):
     return lemmas.mapping(lemmas.align(speeches(spark, d), _tagged(spark, d)))
 
 
+@query("lemma_layer", f"{_lemma_sql} SELECT row_id, string_agg(lemma, ' ' ORDER BY pos) AS lemmas FROM a GROUP BY row_id")
+def lemma_layer(spark, d):
+    return lemmas.encode(lemmas.align(speeches(spark, d), _tagged(spark, d)))
+
+
+@query("lemma_mismatched", f"{_lemma_sql}, n AS (SELECT row_id, lang, count(*) AS n FROM a JOIN speeches USING (row_id) GROUP BY ALL) SELECT row_id, n::INT AS tokens, CASE WHEN lang = 'fr' THEN 0 ELSE n - 1 END::INT AS lemmas FROM n WHERE lang IN ('fr', 'de') AND NOT (lang = 'de' AND n = 0)")
+def lemma_mismatched(spark, d):
+    """French speeches are missing from the layer, German ones have lost their first word."""
+    s = speeches(spark, d)
+    layer = lemmas.encode(lemmas.align(s, _tagged(spark, d))).join(s.select("row_id", "lang"), "row_id")
+    layer = layer.filter("lang IS NULL OR lang != 'fr'").withColumn("lemmas", F.when(F.col("lang") == "de", F.regexp_replace("lemmas", "^[^ ]+ ?", "")).otherwise(F.col("lemmas")))
+    return lemmas.mismatched(s, layer.drop("lang"))
+
+
+LEAKING = ["this", "is", "his", "was", "as", "these", "in", "the"]
+
+
+@query("stopword_leaks", f"{_lemma_sql} SELECT word AS surface, lemma, count(*)::BIGINT AS n FROM a WHERE word IN ({', '.join(repr(w) for w in LEAKING)}) AND lemma NOT IN ({', '.join(repr(w) for w in LEAKING)}) GROUP BY word, lemma")
+def stopword_leaks(spark, d):
+    return lemmas.stopword_leaks(lemmas.mapping(lemmas.align(speeches(spark, d), _tagged(spark, d))), LEAKING)
+
+
 # --- views ----------------------------------------------------------------
 
 _monthly = f"{core.GRID_SQL}, long AS ({long_sql('ym', grid='grid')}), w AS (SELECT *, held >= 3 AS sufficient FROM long)"

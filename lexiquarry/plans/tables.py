@@ -40,6 +40,14 @@ def written_csv(spark, d):
     return files.read_config(spark, folder, "customer long, years string, n long")
 
 
+@query("tar_texts", "SELECT doc_id || '.txt' AS filename, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL")
+def tar_texts(spark, d):
+    """All documents into tar archives, and read back by ranges of their members."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    name = F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return files.read_tar_texts(spark, sinks.write_tar(docs.select(name.alias("filename"), "text"), scratch(spark)))
+
+
 @query("per_group_files", "SELECT n_regionkey::INT AS region, n_nationkey::INT AS nation, s_suppkey::BIGINT AS supplier FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def per_group_files(spark, d):
     folder = scratch(spark)

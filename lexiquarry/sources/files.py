@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-import io
+import json
+import re
 import tarfile
 from collections.abc import Iterator
+from dataclasses import MISSING, dataclass, field, fields
+from itertools import groupby, islice
+from typing import Any, BinaryIO
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+try:
+    import yaml
+except ImportError:  # YAML files can't be read then, all else can
+    yaml = None
+
 
 def repaired_records(spark: SparkSession, path: str, columns: int) -> DataFrame:
     """file, record (number in its file), value and joined: the records of `columns` tab-separated fields that lines make up.
@@ -73,18 +83,161 @@ def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(k) for c, k in kinds.items()})
 
 
-def read_tar_texts(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
-    """filename and text (strict UTF-8) of the members of tar archives."""
+def opened(address: str) -> BinaryIO:
+    """A file to read at any offset, on the file system that its address names."""
+    if re.match(r"file:|/", address):
+        return open(re.sub("^file:/*", "/", address), "rb")
+    system, inside = pafs.FileSystem.from_uri(address)
+    return system.open_input_file(inside)
+
+
+def _members(tar: tarfile.TarFile, suffix: str) -> Iterator[tarfile.TarInfo]:
+    while (member := tar.next()) is not None:
+        tar.members.clear()  # the list would grow with the archive
+        if member.isreg() and member.name.endswith(suffix):
+            if member.issparse():
+                raise ValueError(f"{member.name} is sparse")
+            yield member
+
+
+def tar_members(spark: SparkSession, path: str | list[str], suffix: str = ".txt") -> DataFrame:
+    """archive, name, offset and size of the files in tar archives, from their headers alone.
+
+    A compressed archive can't be entered in the middle: it is one row without a name,
+    at offset -1. One that breaks off raises.
+    """
+
+    def index(archive: str) -> Iterator[tuple]:
+        with opened(archive) as file:
+            try:
+                tar = tarfile.open(fileobj=file, mode="r:")
+            except tarfile.ReadError:
+                yield archive, None, -1, 0
+                return
+            with tar:
+                for member in _members(tar, suffix):
+                    yield archive, member.name, member.offset_data, member.size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for raw in batch["content"]:
-                with tarfile.open(fileobj=io.BytesIO(raw)) as tar:
-                    for member in tar:
-                        if member.isfile() and member.name.endswith(suffix):
-                            yield pd.DataFrame({"filename": [member.name.rpartition("/")[2]], "text": [tar.extractfile(member).read().decode("utf-8")]})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "filename string, text string")
+        found = (row for batch in batches for archive in batch["path"] for row in index(archive))
+        while rows := list(islice(found, 10_000)):
+            yield pd.DataFrame(rows, columns=["archive", "name", "offset", "size"])
+
+    archives = spark.read.format("binaryFile").load(path).select("path")
+    return archives.mapInPandas(run, "archive string, name string, offset long, size long")
+
+
+def read_tar_texts(spark: SparkSession, path: str | list[str], suffix: str = ".txt", split_bytes: int = 64 << 20) -> DataFrame:
+    """filename (without its folder) and text (strict UTF-8) of the files in tar archives.
+
+    The headers are read first, one task an archive; its members are then dealt by
+    ranges of split_bytes and read from their offsets, so that a large archive is read by many
+    tasks and a task holds one member and about 1 MB of texts. Members keep no order.
+    Compressed archives are streamed, one task each.
+    """
+
+    def decoded(name: str, raw: bytes, size: int) -> tuple[str, str]:
+        if len(raw) < size:
+            raise ValueError(f"{name} breaks off")
+        try:
+            return name.rpartition("/")[2], raw.decode("utf-8")
+        except UnicodeDecodeError as error:
+            raise ValueError(f"{name}: {error}") from error
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, str]]:
+        members = (m for batch in batches for m in batch.itertuples(index=False))
+        for archive, own in groupby(members, key=lambda m: m.archive):
+            with opened(archive) as file:
+                for m in own:
+                    if m.offset < 0:
+                        with tarfile.open(fileobj=file, mode="r|*") as tar:
+                            for member in _members(tar, suffix):
+                                yield decoded(member.name, tar.extractfile(member).read(), member.size)
+                    else:
+                        file.seek(m.offset)
+                        yield decoded(m.name, file.read(m.size), m.size)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        for row in texts(batches):
+            rows.append(row)
+            size += len(row[1])
+            if size > 1 << 20 or len(rows) == 1_000:
+                yield pd.DataFrame(rows, columns=["filename", "text"])
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["filename", "text"])
+
+    # The number is given, as adaptive execution would join partitions of rows so small.
+    parts = spark.read.format("binaryFile").load(path).agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0]
+    dealt = tar_members(spark, path, suffix).repartition(max(parts or 1, 1), "archive", F.expr(f"offset div {split_bytes}"))
+    return dealt.sortWithinPartitions("archive", "offset").mapInPandas(run, "filename string, text string")
+
+
+def read_object(spark: SparkSession, path: str) -> dict[str, Any]:
+    """A JSON object, or a YAML mapping out of a file named .yml or .yaml, if PyYAML is there."""
+    raw = spark.read.text(path, wholetext=True).first()
+    if not path.endswith((".yml", ".yaml")):
+        found = json.loads(raw[0]) if raw else None
+    elif yaml is None:
+        raise ValueError(f"{path}: reading YAML needs PyYAML")
+    else:
+        found = yaml.safe_load(raw[0]) if raw else None
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no object")
+    return found
+
+
+@dataclass(frozen=True)
+class ModelSpec:
+    key: str
+    repo: str
+    dimensions: int
+    max_tokens: int
+    batch_size: int
+    revision: str = "main"
+    torch_dtype: str = "float32"
+    licence: str = "unknown"
+    note: str = ""
+    tokenizer_kwargs: dict[str, Any] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class ModelRegistry:
+    version: int
+    default: str
+    models: dict[str, ModelSpec]
+
+    def pick(self, key: str | None = None) -> ModelSpec:
+        """The model named, or the default one."""
+        if (key or self.default) not in self.models:
+            raise ValueError(f"unknown model {key}; there are {', '.join(sorted(self.models))}")
+        return self.models[key or self.default]
+
+
+def read_models(spark: SparkSession, path: str) -> ModelRegistry:
+    """The registry of embedding models: version, default and models, each by the fields of ModelSpec. Raises with all that is wrong."""
+    raw = read_object(spark, path)
+    problems = [f"no {k}" for k in ("version", "default", "models") if k not in raw]
+    given = raw.get("models") if isinstance(raw.get("models"), dict) else {}
+    if not given:
+        problems.append("models is no mapping or empty")
+    shape = {f.name: f for f in fields(ModelSpec) if f.name != "key"}
+    specs = {}
+    for key, own in given.items():
+        own = own or {}
+        wrong = [f"{key}: no {k}" for k, f in shape.items() if f.default is MISSING and f.default_factory is MISSING and k not in own]
+        wrong += [f"{key}: {k} is no positive whole number" for k in ("dimensions", "max_tokens", "batch_size") if k in own and not (str(own[k]).isdigit() and int(own[k]) > 0)]
+        problems += wrong
+        if not wrong:
+            kept = {k: v for k, v in own.items() if k in shape and v is not None}
+            kinds = {"int": int, "str": lambda v: str(v).strip()}
+            specs[key] = ModelSpec(key, **{k: kinds.get(shape[k].type, dict)(v) for k, v in kept.items()})
+    if given and raw.get("default") not in given:
+        problems.append(f"default {raw.get('default')} is none of the models")
+    if problems:
+        raise ValueError(f"{path}: " + "; ".join(problems))
+    return ModelRegistry(int(raw["version"]), str(raw["default"]), specs)
 
 
 def read_config(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sinks: Parquet, JSON artefacts and staged folders."""
+"""Sinks: Parquet, JSON artefacts, tar archives and staged folders."""
 
 from __future__ import annotations
 
@@ -7,10 +7,17 @@ import csv
 import io
 import json
 import os
+import re
 import shutil
+import tarfile
 import tempfile
+import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
+import pandas as pd
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,3 +92,36 @@ def write_csv(df: DataFrame, path: str) -> None:
     """CSV with array columns joined by |."""
     lists = {c: F.array_join(F.col(c).cast("array<string>"), "|") for c, k in df.dtypes if k.startswith("array")}
     df.withColumns(lists).write.mode("overwrite").csv(path, header=True)
+
+
+def _created(address: str) -> BinaryIO:
+    """A new file, with its folder, on the file system that its address names."""
+    if re.match(r"file:|/", address):
+        inside = re.sub("^file:/*", "/", address)
+        os.makedirs(os.path.dirname(inside), exist_ok=True)
+        return open(inside, "wb")
+    system, inside = pafs.FileSystem.from_uri(address)
+    system.create_dir(os.path.dirname(inside))
+    return system.open_output_stream(inside)
+
+
+def write_tar(df: DataFrame, folder: str) -> list[str]:
+    """filename and text as members of tar archives in a folder that all executors see, one archive a task; the archives' addresses.
+
+    Rows without a name or text are left out. A task that runs again writes another
+    archive; the one of the attempt that failed is not among the addresses.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        address = f"{folder}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.tar"
+        with _created(address) as file, tarfile.open(fileobj=file, mode="w|", format=tarfile.PAX_FORMAT) as tar:
+            for batch in batches:
+                for name, text in batch.dropna().itertuples(index=False):
+                    raw = text.encode()
+                    info = tarfile.TarInfo(name)
+                    info.size = len(raw)
+                    tar.addfile(info, io.BytesIO(raw))
+                    tar.members.clear()
+        yield pd.DataFrame({"address": [address]})
+
+    return [r.address for r in df.select("filename", "text").mapInPandas(run, "address string").collect()]

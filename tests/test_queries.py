@@ -9,7 +9,7 @@ import pytest
 from lexiquarry.plans import analysis, core, evaluation, models, registry, tables  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ["series_annual", "lexicon_counts", "breakdown_topn", "by_country_periods", "standing_pivot", "compare_ranked", "matched_pairs", "kwic_filtered", "span_merge", "wbs_gains", "neighbourhood_purity", "ctfidf"]
+SAMPLE = ["series_annual", "lexicon_counts", "breakdown_topn", "by_country_periods", "standing_pivot", "compare_ranked", "matched_pairs", "kwic_filtered", "span_merge", "wbs_gains", "neighbourhood_purity", "ctfidf", "tar_texts", "ocr_finds", "audit_units", "neighbour_hits", "lemma_mismatched"]
 
 
 def cell(v):

@@ -6,6 +6,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from lexiquarry.operators import lexicon
 from lexiquarry.sources import files, sinks
 from lexiquarry.streaming import events
 
@@ -80,6 +81,75 @@ def test_tar(spark, tmp_path):
     assert [tuple(r) for r in files.read_tar_texts(spark, str(tmp_path / "a.tar")).collect()] == [("one.txt", "éé")]
 
 
+def tarred(path, members, mode="w"):
+    with tarfile.open(path, mode) as tar:
+        for name, raw in members:
+            info = tarfile.TarInfo(name)
+            info.size = len(raw)
+            tar.addfile(info, io.BytesIO(raw))
+
+
+@pytest.mark.parametrize("mode", ["w", "w:gz"])
+def test_tar_by_ranges(spark, tmp_path, mode):
+    """Several archives over many tasks: empty and long members, long names, an archive inside, other files, none at all."""
+    rng, want = random.Random(3), []
+    for a in "ab":
+        inner = io.BytesIO()
+        with tarfile.open(fileobj=inner, mode="w") as tar:
+            tar.addfile(tarfile.TarInfo("hidden.txt"), io.BytesIO())
+        members = [(f"{a}/{'n' * rng.choice([1, 150])}{k}.txt", ("é" * rng.choice([0, 1, 511, 70_000])).encode()) for k in range(40)]
+        want += [(name.rpartition("/")[2], raw.decode()) for name, raw in members]
+        tarred(tmp_path / f"{a}.tar", [*members, (f"{a}/inner.tar", inner.getvalue()), ("notes.md", b"x")], mode)
+    tarred(tmp_path / "empty.tar", [], mode)
+    frame = files.read_tar_texts(spark, str(tmp_path), split_bytes=100_000)
+    assert sorted(map(tuple, frame.collect())) == sorted(want)
+    if mode == "w":
+        assert frame.rdd.getNumPartitions() > 20
+        assert sum(n > 0 for n in frame.rdd.glom().map(len).collect()) > 10
+        assert files.tar_members(spark, str(tmp_path)).count() == len(want)
+
+
+def test_tar_faults(spark, tmp_path):
+    tarred(tmp_path / "latin.tar", [("x.txt", "é".encode("latin-1"))])
+    with pytest.raises(Exception, match="x.txt"):
+        files.read_tar_texts(spark, str(tmp_path / "latin.tar")).collect()
+    tarred(tmp_path / "whole.tar", [("x.txt", b"x" * 5_000), ("y.txt", b"y" * 5_000)])
+    (tmp_path / "short.tar").write_bytes((tmp_path / "whole.tar").read_bytes()[:7_000])
+    with pytest.raises(Exception, match="breaks off|unexpected end"):
+        files.read_tar_texts(spark, str(tmp_path / "short.tar")).collect()
+
+
+def test_tar_written(spark, tmp_path):
+    rows = [("a.txt", "é"), ("b.txt", ""), ("c.txt", None), (None, "x"), ("a.txt", "again")]
+    archives = sinks.write_tar(spark.createDataFrame(rows, "filename string, text string"), str(tmp_path / "out"))
+    assert len(set(archives)) == len(archives)
+    assert sorted(map(tuple, files.read_tar_texts(spark, archives).collect())) == [("a.txt", "again"), ("a.txt", "é"), ("b.txt", "")]
+
+
+def test_model_registry(spark, tmp_path):
+    good = {"version": 1, "default": "m", "models": {"m": {"repo": "a/b", "dimensions": 8, "max_tokens": "512", "batch_size": 4, "note": " n "}}}
+    (tmp_path / "m.json").write_text(json.dumps(good))
+    found = files.read_models(spark, str(tmp_path / "m.json"))
+    assert found.pick() == files.ModelSpec("m", "a/b", 8, 512, 4, note="n") and found.version == 1
+    with pytest.raises(ValueError, match="unknown model x"):
+        found.pick("x")
+    bad = good | {"default": "x", "models": {"m": {"repo": "a/b", "dimensions": 0}, "n": None}}
+    (tmp_path / "m.json").write_text(json.dumps(bad))
+    with pytest.raises(ValueError, match="m: no max_tokens.*m: dimensions is no positive.*n: no repo.*default x"):
+        files.read_models(spark, str(tmp_path / "m.json"))
+
+
+def test_yaml(spark, tmp_path):
+    pytest.importorskip("yaml")
+    terms = "terms:\n  peace:\n    pattern: 'peace\\w*'\n    prefilters: [peace]\n    examples: [peaceful]\n    note: kept out\nsets: {all: [peace]}\nversion: 2\n"
+    (tmp_path / "l.yml").write_text(terms)
+    found = lexicon.read_lexicon(spark, str(tmp_path / "l.yml"))
+    assert found.terms[0].literals == ("peace",) and found.version == "2" and found.sets == {"all": ("peace",)}
+    (tmp_path / "l.yml").write_text("- x\n")
+    with pytest.raises(ValueError, match="no object"):
+        lexicon.read_lexicon(spark, str(tmp_path / "l.yml"))
+
+
 def test_config(spark, tmp_path):
     (tmp_path / "c.csv").write_text("# note\nname,n\nNA,1\n,x\n")
     assert [tuple(r) for r in files.read_config(spark, str(tmp_path / "c.csv"), "name string, n int").collect()] == [("NA", 1), (None, None)]
