@@ -186,6 +186,46 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
+def label(name: Column) -> Column:
+    """A term's name as readers see it."""
+    return F.replace(name, F.lit("_"), F.lit(" "))
+
+
+def byte_label(n: Column) -> Column:
+    """A size in B, whole kB, or MB and GB with one decimal."""
+    scaled = lambda unit, form: F.format_string(f"{form} {unit}", n / {"kB": 1e3, "MB": 1e6, "GB": 1e9}[unit])
+    return F.when(n >= 1e9, scaled("GB", "%.1f")).when(n >= 1e6, scaled("MB", "%.1f")).when(n >= 1e3, scaled("kB", "%.0f")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+
+
+def month_label(period: Column) -> Column:
+    """January 1992 for 1992-01; other labels stay."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(period, F.lit("yyyy-MM")), "MMMM yyyy"), period)
+
+
+def day_label(date: Column) -> Column:
+    """2 January 1992 for 1992-01-02; what is no date stays."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(date, F.lit("yyyy-MM-dd")), "d MMMM yyyy"), date)
+
+
+def listed(names: Column) -> Column:
+    """Names in a sentence: commas, and before the last one `and`."""
+    head = F.array_join(F.slice(names, 1, F.size(names) - 1), ", ")
+    return F.when(F.size(names) < 2, F.array_join(names, "")).otherwise(F.concat(head, F.lit(" and "), F.element_at(names, -1)))
+
+
+def escaped(text: Column) -> Column:
+    """text inside markup."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&#39;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text
+
+
+def file_name(parts: list[Column], extension: str) -> Column:
+    """The slugs of the parts that have one, joined, or `export`; with the extension."""
+    slugs = F.concat_ws("-", *[F.nullif(F.regexp_replace(slug(p.cast("string")), "^-+|-+$", ""), F.lit("")) for p in parts])
+    return F.concat(F.when(slugs == "", "export").otherwise(slugs), F.lit("." + extension.removeprefix(".")))
+
+
 @F.pandas_udf(StringType())
 def name_fold(names: pd.Series) -> pd.Series:
     """Lower-case ASCII letters and digits with single blanks."""

@@ -185,7 +185,7 @@ def matching_effect(unmatched: DataFrame, matched: DataFrame, top: int = 15) ->
 
 
 def pmi_network(flags: DataFrame, terms: list, minimum: int, by: list[str] | None = None) -> DataFrame:
-    """Edges (by, source, target, speeches, pmi, npmi) between terms of the same speeches.
+    """Edges (by, source, target, speeches, pmi, npmi) between terms of the same speeches, by npmi, then name.
 
     flags has a has_<term> column per term. Nested pairs and pairs below the minimum
     are left out. Counts of single terms and pairs come from one pass.
@@ -200,4 +200,4 @@ def pmi_network(flags: DataFrame, terms: list, minimum: int, by: list[str] | Non
     cells = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.col(f"p_{i}").alias("speeches"), F.col(f"s_{a}").alias("a"), F.col(f"s_{b}").alias("b")) for i, (a, b) in enumerate(pairs)])
     rows = wide.select(*by, "_n", F.explode(cells).alias("e")).select(*by, "_n", "e.*").filter(F.col("speeches") >= minimum)
     x = [F.col(c) for c in ("speeches", "a", "b", "_n")]
-    return rows.withColumns({"pmi": F.round(stats.pmi(*x), 4), "npmi": F.round(stats.npmi(*x), 4)}).drop("_n", "a", "b")
+    return rows.withColumns({"pmi": F.round(stats.pmi(*x), 4), "npmi": F.round(stats.npmi(*x), 4)}).drop("_n", "a", "b").orderBy(*by, F.desc("npmi"), "source", "target")

@@ -195,9 +195,12 @@ def term_columns(terms: list[Term], number: Column) -> list[Column]:
     return [F.get(F.array(*[F.lit(getattr(t, name)) for t in terms]), number).alias(alias) for alias, name in (("term", "name"), ("tier", "tier"), ("register", "register"))]
 
 
-def occurrences(speeches: DataFrame, lexicon: Lexicon, keep: list[str], body: str = "text") -> DataFrame:
+def occurrences(speeches: DataFrame, lexicon: Lexicon, keep: list[str], body: str = "text", begin: str | None = None) -> DataFrame:
     """One row per match of an active term: keep, term, tier, register, ordinal, start, end.
 
+    With begin, a column of where the body begins, only what follows is searched; start
+    and end count from the start of the whole text all the same.
+
     All terms are found in one Arrow-batched scan of the text, in time that grows with
     the text and its matches; built-in expressions give matches, but their offsets only
     by summing what lies between them, once more for each match.
@@ -208,8 +211,10 @@ def occurrences(speeches: DataFrame, lexicon: Lexicon, keep: list[str], body: st
     def found(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else [{"i": i, "ordinal": k, "start": a, "end": b} for i, k, a, b in scan(t, terms)] for t in texts], dtype=object)
 
-    rows = speeches.select(*keep, F.explode(found(F.col(body))).alias("_m"))
-    return rows.select(*keep, *term_columns(terms, F.col("_m.i")), "_m.ordinal", "_m.start", "_m.end")
+    shift = F.coalesce(F.col(begin).cast("int"), F.lit(0)) if begin else F.lit(0)
+    source = F.substr(F.col(body), shift + 1) if begin else F.col(body)
+    rows = speeches.select(*keep, shift.alias("_s"), F.explode(found(source)).alias("_m"))
+    return rows.select(*keep, *term_columns(terms, F.col("_m.i")), "_m.ordinal", *[(F.col(f"_m.{c}") + F.col("_s")).alias(c) for c in ("start", "end")])
 
 
 def audit_sample(occurrence_rows: DataFrame, size: int, seed: int, key: str = "row_id", stratum: tuple[str, ...] = ("term", "decade")) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import stats
+from lexiquarry.operators.state import kept
 
 PER = 100_000
 
@@ -63,6 +66,39 @@ def breakdown(frame: DataFrame, period: Column, by: str, has: str, count: str |
     return out.withColumns({"speech_rate": F.round(stats.rate(F.col("speeches"), F.col("held")), 6), "token_rate": F.round(stats.rate(F.col("occurrences"), F.col("tokens"), PER), 4)})
 
 
+def breakdowns(frame: DataFrame, period: Column, columns: dict[str, int | None], measures: dict[str, tuple[str, str | None]], other: str = "Other", missing: str = "Unknown") -> DataFrame:
+    """breakdown of many columns and measures: column, measure, period, category and what breakdown gives.
+
+    columns maps a column to how many of its categories are kept; measures maps a name
+    to its flag and its count, if any. The frame is scanned once and aggregated by every
+    category; the rest works on those sums. Columns that the frame lacks are left out with a warning.
+    """
+    lacking = sorted(set(columns) - set(frame.columns))
+    if lacking:
+        warnings.warn(f"no column {', '.join(lacking)}", stacklevel=2)
+    columns = {c: top for c, top in columns.items() if c not in lacking}
+    no_cells = F.array().cast("array<struct<column:string,category:string>>")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(missing)).alias("category")) for c in columns]) if columns else no_cells
+    flags = [F.col(has).alias(f"_h{i}") for i, (has, _) in enumerate(measures.values())]
+    counts = [(F.col(n) if n else F.lit(None)).cast("long").alias(f"_n{i}") for i, (_, n) in enumerate(measures.values())]
+    long = frame.select(period.alias("period"), "tokens", *flags, *counts, F.explode(cells).alias("_c")).select("*", "_c.column", "_c.category")
+    each = range(len(measures))
+    sums = [F.count("*").alias("held"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("tokens")] + [F.count_if(f"_h{i}").alias(f"_h{i}") for i in each] + [F.sum(f"_n{i}").alias(f"_n{i}") for i in each]
+    full = kept(long.groupBy("column", "period", "category").agg(*sums))
+    limit = F.lit(None).cast("int")
+    for c, top in columns.items():
+        limit = F.when(F.col("column") == c, top).otherwise(limit)
+    sizes = full.groupBy("column", "category").agg(F.sum("held").alias("_s"))
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("_s"), "category"))
+    largest = sizes.filter(limit.isNotNull()).withColumn("_r", place).filter(F.col("_r") <= max([t for t in columns.values() if t is not None], default=0))
+    largest = largest.filter(F.col("_r") <= limit).select("column", "category", F.lit(True).alias("_top"))
+    folded = full.join(F.broadcast(largest), ["column", "category"], "left").withColumn("category", F.when(limit.isNull() | F.col("_top"), F.col("category")).otherwise(other))
+    again = folded.groupBy("column", "period", "category").agg(*[F.sum(c).cast("long").alias(c) for c in ("held", "tokens", *[f"_h{i}" for i in each], *[f"_n{i}" for i in each])])
+    rows = F.array(*[F.struct(F.lit(name).alias("measure"), F.col(f"_h{i}").alias("speeches"), F.col(f"_n{i}").alias("occurrences")) for i, name in enumerate(measures)])
+    out = again.select("column", "period", "category", "held", "tokens", F.explode(rows).alias("_m")).select("column", "_m.measure", "period", "category", "held", "tokens", "_m.speeches", "_m.occurrences")
+    return out.withColumns({"speech_rate": F.round(stats.rate(F.col("speeches"), F.col("held")), 6), "token_rate": F.round(stats.rate(F.col("occurrences"), F.col("tokens"), PER), 4)})
+
+
 def calendar(frame: DataFrame, has: str, excluded: tuple[int, ...] = ()) -> DataFrame:
     """month 1 to 12, pooled over years, all and without the excluded years."""
     keep = ~F.col("year").isin(*excluded) if excluded else F.lit(True)

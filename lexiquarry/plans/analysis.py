@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import stats, text
-from lexiquarry.operators import changepoint, kwic, lexical, lexicon, tokens
+from lexiquarry.operators import changepoint, kwic, lexical, lexicon, tokens, views
 from lexiquarry.plans.adapter import FLAGGED_SQL, LEXICON, SLICES, SPEECHES_SQL, STOP, flagged, speeches
 from lexiquarry.plans.core import OCC_SQL, SLICE_CASE
 from lexiquarry.plans.registry import query
@@ -78,8 +78,20 @@ def g2_log_ratio(spark, d):
 _compare_src = "c AS (SELECT f.word, a, v.n - a AS b, (SELECT sum(a) FROM f) AS n1, greatest((SELECT sum(n) FROM vocab) - (SELECT sum(a) FROM f), 1) AS n2 FROM f JOIN vocab v USING (word) WHERE a >= 5 AND word NOT IN ({0}))".format(STOP_SQL)
 
 
-@query("compare_ranked", f"{WITH}, {TERMS_SQL}, f AS (SELECT word, sum(n) AS a FROM dt WHERE row_id IN (SELECT row_id FROM speeches WHERE lang = 'fr') GROUP BY word), {_compare_src} {scored_sql('c', limit=100)}")
+_compare_sql = f"{WITH}, {TERMS_SQL}, f AS (SELECT word, sum(n) AS a FROM dt WHERE row_id IN (SELECT row_id FROM speeches WHERE lang = 'fr') GROUP BY word), {_compare_src} {scored_sql('c', limit=100)}"
+
+
+@query("compare_ranked", _compare_sql)
 def compare_ranked(spark, d):
+    return _compared(spark, d)
+
+
+@query("keyness_bars", f"SELECT word, rank, g2, round(g2 / max(g2) OVER (), 6) AS width FROM ({_compare_sql}) WHERE rank <= 20")
+def keyness_bars(spark, d):
+    return views.bars(_compared(spark, d), 20).select("word", "rank", "g2", "width")
+
+
+def _compared(spark, d):
     terms = tokens.document_terms(_tokens(spark, d))
     target = tokens.totals(terms, speeches(spark, d).filter("lang = 'fr'"))
     return lexical.compare(target, terms.groupBy("word").agg(F.sum("n").alias("n")), [], STOP, limit=100)
@@ -255,6 +267,16 @@ def pmi_network(spark, d):
     return lexical.pmi_network(flagged(spark, d), LEXICON.active, 20)
 
 
+_term_sums = " UNION ALL ".join(f"SELECT '{t.name}' AS term, sum(n_{t.name})::BIGINT AS occurrences FROM flagged" for t in LEXICON.active)
+
+
+@query("network_nodes", f"{WITH_FLAGS}, e AS (SELECT unnest([source, target]) AS term FROM ({_pmi_sql('', 20)})), o AS ({_term_sums}) SELECT term, count(*)::BIGINT AS degree, any_value(occurrences)::BIGINT AS occurrences FROM e JOIN o USING (term) GROUP BY term")
+def network_nodes(spark, d):
+    f = flagged(spark, d)
+    counts = lexicon.summary(f, LEXICON).filter("kind = 'terms'").select(F.col("name").alias("term"), "occurrences")
+    return views.network_view(lexical.pmi_network(f, LEXICON.active, 20), counts)
+
+
 @query("pmi_by_period", _pmi_sql(SLICE_CASE, 10))
 def pmi_by_period(spark, d):
     f = flagged(spark, d).withColumn("slice", text.slice_label(F.col("year"), SLICES))

@@ -141,6 +141,19 @@ def slugs(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", text.slug(F.col("url")).alias("slug"))
 
 
+@query("labels_formatted", r"""SELECT page_id, replace(url, '_', ' ') AS label, CASE WHEN page_id * 7919 >= 1e9 THEN format('{:.1f} GB', page_id * 7919 / 1e9) WHEN page_id * 7919 >= 1e6 THEN format('{:.1f} MB', page_id * 7919 / 1e6) WHEN page_id * 7919 >= 1e3 THEN format('{:.0f} kB', page_id * 7919 / 1e3) ELSE page_id * 7919 || ' B' END AS size,
+  strftime(DATE '1992-01-01' + (page_id % 900)::INT, '%B %Y') AS month, strftime(DATE '1992-01-01' + (page_id % 900)::INT, '%-d %B %Y') AS day, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(39), '&#39;'), '"', '&quot;') AS escaped,
+  trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') || '-' || page_id || '.csv' AS file, CASE page_id % 3 WHEN 0 THEN 'year' WHEN 1 THEN 'year and agenda' ELSE 'year, agenda and group' END AS matched FROM pages""")
+def labels_formatted(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    date = F.date_add(F.lit("1992-01-01").cast("date"), (F.col("page_id") % 900).cast("int"))
+    names = F.slice(F.array(F.lit("year"), F.lit("agenda"), F.lit("group")), 1, (F.col("page_id") % 3 + 1).cast("int"))
+    return p.select(
+        "page_id", text.label(F.col("url")).alias("label"), text.byte_label(F.col("page_id") * 7919).alias("size"), text.month_label(F.date_format(date, "yyyy-MM")).alias("month"),
+        text.day_label(date.cast("string")).alias("day"), text.escaped(F.col("url")).alias("escaped"), text.file_name([F.col("url"), F.lit(" "), F.col("page_id"), F.lit(None)], ".csv").alias("file"), text.listed(names).alias("matched"),
+    )
+
+
 @query("names_folded", "SELECT c_custkey, trim(regexp_replace(lower(replace(replace(c_name || ' Émile Żak, ' || c_mktsegment, 'É', 'E'), 'Ż', 'Z')), '[^a-z0-9]+', ' ', 'g')) AS name FROM customer")
 def names_folded(spark, d):
     name = F.concat("c_name", F.lit(" Émile Żak, "), "c_mktsegment")
@@ -273,6 +286,26 @@ def _drawn_sql(unit: str, seed: int, of: str) -> str:
     return f"""(SELECT row_id, term, register, decade, s, n, '{unit}' AS unit FROM (SELECT *, row_number() OVER (PARTITION BY term, decade ORDER BY h, row_id, s) AS r FROM (SELECT *, md5('{seed}:audit:' || row_id || ':' || term || ':' || s) AS h FROM dec WHERE {of})) ORDER BY (r > 1)::INT, h, row_id, s LIMIT 60)"""
 
 
+@query("body_occurrences", f"{WITH}, {OCC_SQL.replace('FROM dated', 'FROM cut').replace('found AS', 'cut AS (SELECT row_id, substr(text, row_id % 7 * 9 + 1) AS text FROM speeches), found AS', 1)} SELECT row_id, term, ordinal, (s + row_id % 7 * 9)::INT AS \"start\", (s + n + row_id % 7 * 9)::INT AS \"end\" FROM occ")
+def body_occurrences(spark, d):
+    """Matches behind an address of 0 to 54 characters, in the whole text's offsets."""
+    s = speeches(spark, d).withColumn("body_start", F.col("row_id") % 7 * 9)
+    return lexicon.occurrences(s, LEXICON, ["row_id"], begin="body_start").select("row_id", "term", "ordinal", "start", "end")
+
+
+@query("load_problems", f"""{WITH}, {ENTITIES_SQL}, x AS (SELECT country_org FROM entities WHERE country_org <> 'src3' UNION ALL SELECT 'src4')
+SELECT 'rows' AS "check", NULL::VARCHAR AS "value", 1::BIGINT AS "rows" UNION ALL SELECT 'missing country_org', NULL, count(*) FROM speeches WHERE country_org IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'not in crosswalk', country_org, count(*) FROM speeches WHERE country_org IS NOT NULL AND country_org NOT IN (SELECT country_org FROM x) GROUP BY country_org
+UNION ALL SELECT 'twice in crosswalk', country_org, count(*) FROM x GROUP BY country_org HAVING count(*) > 1
+UNION ALL SELECT CASE WHEN year = 2008 THEN 'in several periods' ELSE 'in no period' END, year::VARCHAR, count(*) FROM dated WHERE year IN (2008, 2000) GROUP BY year
+UNION ALL SELECT 'keys not 0 to n - 1', NULL, count(row_id) FROM speeches HAVING min(row_id) <> 0 OR max(row_id) <> count(row_id) - 1 OR count(DISTINCT row_id) <> count(row_id)""")
+def load_problems(spark, d):
+    """A crosswalk without src3 and with src4 twice, periods that skip 2000 and share 2008, one speech too many."""
+    s, e = speeches(spark, d), entities(spark).select("country_org")
+    crosswalk = e.filter("country_org != 'src3'").union(e.filter("country_org = 'src4'"))
+    return quality.load_problems(s, crosswalk, [(1992, 1999), (2001, 2008), (2008, 2030)], s.count() - 1)
+
+
 @query("audit_units", f"""{WITH}, {OCC_SQL}, dec AS (SELECT occ.*, (d.year // 10 * 10) || 's' AS decade FROM occ JOIN dated d USING (row_id)),
   drawn AS ({_drawn_sql('occurrence', 11, 'true')} UNION ALL {_drawn_sql('speech', 13, 'ordinal = 1')})
   SELECT unit, row_id, country_org, agenda, term, register, decade, s AS "start", trim(regexp_replace(substr(text, greatest(s - 60, 0) + 1, s - greatest(s - 60, 0)), '\\s+', ' ', 'g')) AS "left", trim(regexp_replace(substr(text, s + 1, n), '\\s+', ' ', 'g')) AS keyword,
@@ -375,6 +408,27 @@ def breakdown_topn(spark, d):
     return series.breakdown(flagged(spark, d), F.col("year").cast("string"), "country_org", "has_that", "n_that", top=5)
 
 
+BROKEN_DOWN = {"agenda": 4, "country_org": 5, "speaker_group": None}
+_measures = {"that": ("has_that", "n_that"), "legal": ("has_set_legal", None)}
+
+
+def _breakdowns_sql() -> str:
+    parts = []
+    for c, top in BROKEN_DOWN.items():
+        label = f"coalesce({c}, 'Unknown')"
+        largest = f"(SELECT c FROM (SELECT {label} AS c, count(*) AS n FROM flagged GROUP BY c ORDER BY n DESC, c LIMIT {top}))"
+        category = f"CASE WHEN {label} IN {largest} THEN {label} ELSE 'Other' END" if top else label
+        for name, (has, n) in _measures.items():
+            parts.append(f"SELECT '{c}' AS \"column\", '{name}' AS measure, year::VARCHAR AS period, {category} AS category, tokens, {has} AS h, {n or 'NULL::BIGINT'} AS n FROM flagged")
+    return f"""{WITH_FLAGS}, b AS ({' UNION ALL '.join(parts)}) SELECT "column", measure, period, category, count(*)::BIGINT AS held, sum(tokens)::BIGINT AS tokens, count(*) FILTER (h)::BIGINT AS speeches, sum(n)::BIGINT AS occurrences,
+      round(count(*) FILTER (h) / count(*), 6) AS speech_rate, CASE WHEN sum(tokens) > 0 THEN round(sum(n) * 100000.0 / sum(tokens), 4) END AS token_rate FROM b GROUP BY ALL"""
+
+
+@query("breakdowns", _breakdowns_sql())
+def breakdowns(spark, d):
+    return series.breakdowns(flagged(spark, d), F.col("year").cast("string"), BROKEN_DOWN, _measures)
+
+
 @query("breakdown_orders", "WITH b AS (SELECT year(o_orderdate)::VARCHAR AS period, c_mktsegment AS category, o_totalprice > 250000 AS h FROM orders JOIN customer ON o_custkey = c_custkey) SELECT period, category, count(*)::BIGINT AS held, count(*) FILTER (h)::BIGINT AS speeches, round(count(*) FILTER (h) / count(*), 6) AS speech_rate FROM b GROUP BY ALL")
 def breakdown_orders(spark, d):
     o, c = spark.read.parquet(f"{d}/orders.parquet"), spark.read.parquet(f"{d}/customer.parquet")

@@ -48,6 +48,14 @@ def tar_texts(spark, d):
     return files.read_tar_texts(spark, sinks.write_tar(docs.select(name.alias("filename"), "text"), scratch(spark)))
 
 
+@query("csv_lists", "SELECT DISTINCT o_custkey::BIGINT AS customer, year(o_orderdate)::INT AS year FROM orders")
+def csv_lists(spark, d):
+    """The same, its joined years split back by the declared type."""
+    folder, o = scratch(spark), spark.read.parquet(f"{d}/orders.parquet")
+    sinks.write_csv(o.groupBy(F.col("o_custkey").alias("customer")).agg(F.sort_array(F.collect_set(F.year("o_orderdate"))).alias("years")), folder)
+    return files.read_config(spark, folder, "customer long, years array<int>").select("customer", F.explode("years").alias("year"))
+
+
 @query("per_group_files", "SELECT n_regionkey::INT AS region, n_nationkey::INT AS nation, s_suppkey::BIGINT AS supplier FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def per_group_files(spark, d):
     folder = scratch(spark)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 try:
     import yaml
@@ -241,13 +241,17 @@ def read_models(spark: SparkSession, path: str) -> ModelRegistry:
 
 
 def read_config(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV table with a header and # comments; blanks are null, NA is a value. A header without a declared column is an error."""
+    """A CSV table with a header and # comments; blanks are null, NA is a value. A header without a declared column is an error.
+
+    Columns declared as arrays are split at |.
+    """
     first = next((r[0] for r in spark.read.text(path).toLocalIterator() if not r[0].startswith("#")), "")
     missing = [f.name for f in StructType.fromDDL(schema).fields if f.name not in first.lstrip("﻿").split(",")]
     if missing:
         raise ValueError(f"{path} lacks {missing}")
     rows = spark.read.csv(path, header=True, comment="#", nullValue="", encoding="UTF-8")
-    return rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema).fields])
+    value = lambda f: F.transform(F.split(f.name, r"\|"), lambda x: x.try_cast(f.dataType.elementType)) if isinstance(f.dataType, ArrayType) else F.col(f.name).try_cast(f.dataType)
+    return rows.select(*[value(f).alias(f.name) for f in StructType.fromDDL(schema).fields])
 
 
 def read_stop_words(spark: SparkSession, path: str) -> list[str]:
