@@ -23,12 +23,13 @@ Round 1 puts each class into its least and its most crowded block, in chunks of
 classes, and connects what links there. The leaders of the largest groups of a block's
 chunks meet again.
 Round 2 looks at all blocks, but only for links between different components. A block's
-members are homes in chunks of CHUNK; those outside the block's largest component also
-visit every chunk, in parties of CHUNK. So no task holds more than one chunk of sets, and a
-crowded block is dealt over many tasks. In both rounds the vectors come first: only members
-that they leave a candidate get their sets and are verified, in the block, and what leaves
-the block are the links of a spanning forest. No pair that could connect two components goes
-unverified.
+members are homes; those outside the block's largest component also visit them. A block whose
+vectors fit into ROUND_BYTES is one group, so that each member is sent once or twice. A more
+crowded one is cut into ranges of sizes first, as only sets of like size link, and each range
+into chunks of homes and parties of visitors of ROUND_BYTES, each party for every chunk. In
+both rounds the vectors come first: only members that they leave a candidate get their sets
+and are verified, in the block, and what leaves the block are the links of a spanning forest.
+No pair that could connect two components goes unverified.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiquarry.llm.common import SPACE_CHARS, checkpointed, documents
@@ -50,6 +51,10 @@ WORDS = 5
 GROUPS = 64
 PER_GROUP = 4
 CHUNK = 128
+#: Bytes of vectors of a chunk or a party of round 2; their sets have about 32 times as many at most.
+ROUND_BYTES = 1 << 17
+#: Sets of which one is larger by more than a quarter don't link; a little more, so that no rounding parts two that do.
+LEVEL = 1.2501
 NODE = 8
 #: So many of a class's blocks tell in round 2 that a pair meets in an earlier one.
 HEADS = 8
@@ -352,44 +357,52 @@ def join_block(sets: list[np.ndarray]) -> Forest:
     return forest
 
 
+KEYS = ["token", "level", "chunk", "party"]
+
+
 def _met(visitor: tuple, home: tuple) -> bool:
-    """Whether a visitor looks at a home: components differ; of two that both visit, the lesser looks at the greater."""
-    return visitor[5] != home[5] and (home[5] == home[6] or visitor[4] < home[4])
+    """Whether a visitor looks at a home (rows guest, lower, cls, comp, base after the keys): components differ.
+
+    Of two that both visit, the lesser looks at the greater; two that are both of the lower
+    range met in a level of their own.
+    """
+    (_, low_a, a, comp_a, _), (_, low_b, b, comp_b, base) = visitor[4:9], home[4:9]
+    return comp_a != comp_b and (comp_b == base or a < b) and not (low_a and low_b)
 
 
 def _visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows token, chunk, party, guest, cls, comp, base, vector, n, heads -> those whose vectors leave a visitor and a home that may link.
+    """Rows of KEYS, guest, lower, cls, comp, base, vector, n, heads -> those whose vectors leave a visitor and a home that may link.
 
     Two that share one of the first tokens of both meet in that token's block too; they
     are left to it if it comes before this one.
     """
 
     def rows() -> Iterator[tuple]:
-        for _, group in _groups(batches, 3):
+        for _, group in _groups(batches, len(KEYS)):
             homes = []
-            for guest, some in groupby(group, key=lambda row: row[3]):
+            for guest, some in groupby(group, key=lambda row: row[4]):
                 if not guest:
                     homes = list(some)
-                    chunk = Chunk([unpacked(r[7]) for r in homes], [r[8] for r in homes])
-                    earlier = [{t for t in r[9] if t < r[0]} for r in homes]
+                    chunk = Chunk([unpacked(r[9]) for r in homes], [r[10] for r in homes])
+                    earlier = [{t for t in r[11] if t < r[0]} for r in homes]
                     live = [False] * len(homes)
                 elif homes:
                     for r in some:
-                        found = [j for j in chunk.near(unpacked(r[7]), r[8]) if _met(r, homes[j]) and earlier[j].isdisjoint(r[9])]
+                        found = [j for j in chunk.near(unpacked(r[9]), r[10]) if _met(r, homes[j]) and earlier[j].isdisjoint(r[11])]
                         for j in found:
                             live[j] = True
                         if found:
-                            yield r[:7]
-                    yield from (h[:7] for h, found in zip(homes, live) if found)
+                            yield r[:9]
+                    yield from (h[:9] for h, found in zip(homes, live) if found)
 
-    return _frames(rows(), ["token", "chunk", "party", "guest", "cls", "comp", "base"], 10_000)
+    return _frames(rows(), [*KEYS, "guest", "lower", "cls", "comp", "base"], 10_000)
 
 
 def _round_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows token, chunk, party, guest, cls, comp, base, hashes -> links of a spanning forest of each group's components."""
+    """Rows of KEYS, guest, lower, cls, comp, base, hashes -> links of a spanning forest of each group's components."""
 
     def rows() -> Iterator[tuple]:
-        for _, group in _groups(batches, 3):
+        for _, group in _groups(batches, len(KEYS)):
             homes, up = [], {}
 
             def root(c: bytes) -> bytes:
@@ -397,20 +410,20 @@ def _round_two(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     c = up[c]
                 return c
 
-            for guest, some in groupby(group, key=lambda row: row[3]):
-                some = (next(same) for _, same in groupby(some, key=lambda row: row[4]))
+            for guest, some in groupby(group, key=lambda row: row[4]):
+                some = (next(same) for _, same in groupby(some, key=lambda row: row[6]))
                 if not guest:
                     homes = list(some)
-                    sets = [np.frombuffer(r[7], dtype=np.uint64) for r in homes]
+                    sets = [np.frombuffer(r[9], dtype=np.uint64) for r in homes]
                     chunk = Chunk([count_vector(s) for s in sets], [len(s) for s in sets])
                     continue
                 for r in some if homes else ():
-                    own = np.frombuffer(r[7], dtype=np.uint64)
+                    own = np.frombuffer(r[9], dtype=np.uint64)
                     for j in chunk.near(count_vector(own), len(own)):
-                        a, b = root(r[5]), root(homes[j][5])
+                        a, b = root(r[7]), root(homes[j][7])
                         if a != b and _met(r, homes[j]) and links(len(own), len(sets[j]), _shared(own, sets[j])):
                             up[max(a, b)] = min(a, b)
-                            yield r[4], homes[j][4]
+                            yield r[6], homes[j][6]
 
     return _frames(rows(), ["a", "b"], 10_000)
 
@@ -460,12 +473,36 @@ def blocks(classes: DataFrame) -> DataFrame:
     Blocks are compared by their count, least and greatest member and two checksums of
     64 bits.
     """
-    each = classes.select(F.explode("tokens").alias("token"), "short")
-    whole = Window.partitionBy("token")
-    facts = {"members": F.count("*"), "lo": F.min("short"), "hi": F.max("short"), "x": F.bit_xor("short"), "y": F.bit_xor(F.xxhash64("short"))}
-    rows = checkpointed(each.withColumns({k: v.over(whole) for k, v in facts.items()}).filter("lo != hi"))
-    one = rows.groupBy(*facts).agg(F.min("token").alias("token")).select("token")
-    return rows.select("token", "short", "members").join(one, "token", "left_semi")
+    each = classes.select(F.explode("tokens").alias("token"), "short").repartition("token")
+    facts = {"members": F.count("*"), "lo": F.min("short"), "hi": F.max("short"), "x": F.bit_xor(F.xxhash64("short")), "y": F.bit_xor(F.xxhash64(F.lit("y"), "short"))}
+    shared = each.groupBy("token").agg(*(v.alias(k) for k, v in facts.items())).filter("lo != hi")
+    one = shared.groupBy(*facts).agg(F.min("token").alias("token")).select("token", "members")
+    return each.join(one, "token").select("token", "short", "members")
+
+
+def dealt(crossed: DataFrame) -> DataFrame:
+    """Rows of crossed blocks (token, cls, comp, base, vector, n, heads, bytes) with their groups of round 2: homes once a party, visitors once a chunk.
+
+    bytes is that of the block's vectors. Of a block beyond ROUND_BYTES a member goes to the
+    range of its size and, as one of the lower, to the next; ranges without visitors are left out.
+    """
+    size, visits = F.length("vector"), F.col("comp") != F.col("base")
+    level = F.floor(F.log(LEVEL, "n")).cast("int")
+    columns = ["token", "level", "lower", "cls", "comp", "base", "vector", "n", "heads", "chunks", "parties"]
+    one = {"level": F.lit(-1), "lower": F.lit(False), "chunks": F.lit(1), "parties": F.lit(1)}
+    calm = crossed.filter(F.col("bytes") <= ROUND_BYTES).withColumns(one).select(columns)
+    wide = crossed.filter(F.col("bytes") > ROUND_BYTES).withColumn("level", F.explode(F.array(level, level + 1))).withColumn("lower", F.col("level") > level)
+    shares = wide.groupBy("token", "level").agg(F.sum(size).alias("home"), F.sum(F.when(visits, size)).alias("visiting")).filter("visiting > 0")
+    count = {k: F.ceil(F.col(v) / ROUND_BYTES).cast("int") for k, v in (("chunks", "home"), ("parties", "visiting"))}
+    rows = calm.union(wide.join(shares, ["token", "level"]).withColumns(count).select(columns))
+
+    def place(salt: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(salt), "cls", "token"), F.col(n)).cast("int")
+
+    at_home = rows.withColumns({"chunk": place("home", "chunks"), "party": F.explode(F.sequence(F.lit(0), F.col("parties") - 1)), "guest": F.lit(False)})
+    visiting = rows.filter(visits).withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "party": place("visit", "parties"), "guest": F.lit(True)})
+    columns = [*KEYS, "guest", "lower", "cls", "comp", "base", "vector", "n", "heads"]
+    return at_home.select(columns).union(visiting.select(columns))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -483,7 +520,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     member = described.drop("vector", "tokens")
     first = F.min(F.struct("row", "twin", "n", "vector", "tokens")).alias("first")
     known = described.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), first).select("cls", "rep", "first.*")
-    classes = checkpointed(known.withColumn("short", F.conv(F.substring(F.hex("cls"), 1, 15), 16, 10).cast("long")))
+    classes = checkpointed(known.withColumn("short", F.monotonically_increasing_id()))
 
     rows = checkpointed(blocks(classes))
     rank = F.struct("members", "token")
@@ -491,12 +528,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     homes = homes.select("short", F.explode(F.array_distinct(F.array("x", "y"))).alias("h")).select("short", F.col("h.token").alias("token"), F.col("h.members").alias("members"))
     points = classes.select("short", "cls", "vector", "n")
 
-    def dealt(n: str) -> Column:
-        """How many chunks so many members have."""
-        return F.ceil(F.col(n) / CHUNK).cast("int")
-
-    own = F.pmod(F.xxhash64("cls", "token"), dealt("members")).cast("int")
-    placed = homes.join(points, "short").select("token", own.alias("chunk"), "cls", "vector", "n", dealt("members").alias("chunks"))
+    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64("cls", "token"), chunks).cast("int")
+    placed = homes.join(points, "short").select("token", own.alias("chunk"), "cls", "vector", "n", chunks.alias("chunks"))
     live = checkpointed(_by_group(placed, ["token", "chunk"]).mapInPandas(_live, "token long, chunk int, cls binary, chunks int"))
 
     def sets_for(names: DataFrame) -> DataFrame:
@@ -523,21 +557,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = checkpointed(components(edges, vertices))
     heads = rows.groupBy("short").agg(F.slice(F.sort_array(F.collect_list("token")), 1, HEADS).alias("heads"))
     marked = labels.select(F.col("v").alias("cls"), F.col("l").alias("comp")).join(points, "cls").join(heads, "short")
-    inside = rows.join(marked.select("short", "comp"), "short").groupBy("token", "comp").agg(F.count("*").alias("c"))
-    mixed = inside.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("c", "comp")).alias("top"))
-    mixed = mixed.filter("lo != hi").select("token", F.col("top.comp").alias("base"), F.col("top.c").alias("stay"))
-    crossed = rows.join(mixed, "token").withColumn("guests", F.col("members") - F.col("stay"))
-    crossed = checkpointed(crossed.join(marked, "short").select("token", "cls", "comp", "base", "vector", "n", "heads", own.alias("own"), dealt("members").alias("chunks"), dealt("guests").alias("parties")))
-    party = F.pmod(F.xxhash64("token", "cls"), F.col("parties")).cast("int")
-    at_home = crossed.withColumns({"chunk": F.col("own"), "party": F.explode(F.sequence(F.lit(0), F.col("parties") - 1)), "guest": F.lit(False)})
-    visiting = crossed.filter("comp != base").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "party": party, "guest": F.lit(True)})
-    columns = ["token", "chunk", "party", "guest", "cls", "comp", "base"]
-    met = at_home.select(*columns, "vector", "n", "heads").union(visiting.select(*columns, "vector", "n", "heads"))
-    visits = checkpointed(_by_group(met, columns[:3], "guest").mapInPandas(_visits, "token long, chunk int, party int, guest boolean, cls binary, comp binary, base binary"))
+    sized = rows.join(marked.select("short", "comp", F.length("vector").alias("size")), "short")
+    inside = sized.groupBy("token", "comp").agg(F.sum("size").alias("s"))
+    mixed = inside.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("s", "comp")).alias("top"), F.sum("s").alias("bytes"))
+    mixed = mixed.filter("lo != hi").select("token", F.col("top.comp").alias("base"), "bytes")
+    crossed = checkpointed(rows.select("token", "short").join(mixed, "token").join(marked, "short").select("token", "cls", "comp", "base", "vector", "n", "heads", "bytes"))
+    kinds = "token long, level int, chunk int, party int, guest boolean, lower boolean, cls binary, comp binary, base binary"
+    visits = checkpointed(_by_group(dealt(crossed), KEYS, "guest").mapInPandas(_visits, kinds))
 
     if not visits.isEmpty():
-        asked = visits.join(sets_for(visits.select("cls")), "cls").select(*columns, "hashes")
-        crossing = checkpointed(_by_group(asked, columns[:3], "guest", "cls").mapInPandas(_round_two, "a binary, b binary"))
+        asked = visits.join(sets_for(visits.select("cls")), "cls").select(*visits.columns, "hashes")
+        crossing = checkpointed(_by_group(asked, KEYS, "guest", "cls").mapInPandas(_round_two, "a binary, b binary"))
         if not crossing.isEmpty():
             labels = checkpointed(components(edges.union(crossing), vertices))
     least = labels.join(classes.select(F.col("cls").alias("v"), "rep"), "v").groupBy("l").agg(F.min("rep").alias("least"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -219,20 +220,8 @@ def test_jaccard_join(spark, docs, none):
     assert len([r for r in kept if r.doc_id in (3, 60)]) == 1
 
 
-def test_crowded_blocks(spark):
-    """Hundreds of texts that share a passage but don't link, and of near copies that do: as brute force says."""
-    rng = random.Random(31)
-    passage = [f"p{k}" for k in range(60)]
-    rows = []
-    for i in range(300):
-        own = [f"d{i}x{k}" for k in range(12)]
-        rows.append((i, " ".join(own[:6] + passage + own[6:])))
-    near = [f"n{k}" for k in range(80)]
-    for i in range(300, 600):
-        text = list(near)
-        text[rng.randrange(80)] = f"own{i}"
-        rows.append((i, " ".join(text)))
-    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+def connected(sets):
+    """Each key with the least key that links reach, by brute force."""
     up = {i: i for i in sets}
 
     def root(i):
@@ -241,12 +230,66 @@ def test_crowded_blocks(spark):
         return i
 
     for i in sets:
-        for j in range(i):
-            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+        for j in sets:
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
-    out = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    assert {r.doc_id: r.component_id for r in out} == {i: root(i) for i in sets} and len(set(map(root, sets))) > 290
+    return {i: root(i) for i in sets}
+
+
+def shingles(text):
+    words = text.split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+@pytest.mark.parametrize("limit", [ngram_join.ROUND_BYTES, 1 << 10])
+def test_crowded_blocks(spark, monkeypatch, limit):
+    """Hundreds of texts that share a passage but don't link, near copies that do, some of them by a change of size, null ids and a long text: as brute force says."""
+    monkeypatch.setattr(ngram_join, "ROUND_BYTES", limit)
+    rng = random.Random(31)
+    passage, near = [f"p{k}" for k in range(60)], [f"n{k}" for k in range(80)]
+    texts = []
+    for i in range(300):
+        own = [f"d{i}x{k}" for k in range(12)]
+        texts.append(" ".join(own[:6] + passage + own[6:]))
+    for i in range(240):
+        text = list(near)
+        text[rng.randrange(80)] = f"own{i}"
+        texts.append(" ".join(text))
+    for i in range(60):
+        texts.append(" ".join(passage + [f"p{60 + k}" for k in range(rng.randrange(60))] + [f"e{i}x{k}" for k in range(rng.randrange(9))]))
+    texts.append(" ".join(rng.choices(WORDS + near, k=30_000)))
+    texts.append(texts[-1] + " more words at the end of it")
+    expected = connected(dict(enumerate(map(shingles, texts))))
+    named = [(None if k % 50 == 7 else k, t) for k, t in enumerate(texts)]
+    out = ngram_join.near_duplicates(spark.createDataFrame(named, "doc_id long, text string").repartition(4)).collect()
+    members = {}
+    for k, root in expected.items():
+        members.setdefault(root, []).append(named[k][0])
+    least = {root: min((i for i in ids if i is not None), default=None) for root, ids in members.items()}
+    assert sorted((r.doc_id, r.component_id) for r in out if r.doc_id is not None) == sorted((named[k][0], least[root]) for k, root in expected.items() if named[k][0] is not None)
+    assert Counter(r.component_id for r in out if r.doc_id is None) == Counter(least[root] for k, root in expected.items() if named[k][0] is None)
+    assert len(set(expected.values())) > 290
+
+
+def test_rows_of_crowded_blocks(spark, monkeypatch):
+    """Texts made of shared passages, next to none of which link: what round 2 sends grows in proportion to them."""
+    sent, dealt = [], ngram_join.dealt
+
+    def counted(crossed):
+        rows = dealt(crossed)
+        sent.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(ngram_join, "dealt", counted)
+    rng = random.Random(5)
+    passages = [[f"s{p}w{k}" for k in range(50)] for p in range(30)]
+    for n in (300, 600, 1200):
+        texts = [(i, " ".join(w for p in rng.sample(range(30), 4) for w in passages[p])) for i in range(n)]
+        expected = connected(dict((i, shingles(t)) for i, t in texts)) if n == 300 else None
+        out = ngram_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+        assert len(out) == n and (expected is None or {r.doc_id: r.component_id for r in out} == expected)
+    assert sent[1] < 3 * sent[0] and sent[2] < 2.4 * sent[1]
 
 
 def test_keep_one_repeated_ids(spark):
