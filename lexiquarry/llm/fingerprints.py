@@ -10,6 +10,7 @@ digests with their lengths; containment is the share of one set's bytes in anoth
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ LEAST, NORMAL, LARGEST = 16, 32, 128
 HARD_BITS, EASY_BITS = 7, 4
 #: Texts of at least so many bytes together are cut in one go.
 BATCH_BYTES = 1 << 21
+#: So many id ranges at most, and partitions: the driver and every task hold the first row's id and hash of each.
 MAX_BUCKETS = 65_536
 
 _x = np.arange(256, dtype=np.uint64)
@@ -113,10 +115,10 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, str, str]]:
     """(doc_id, text, next text) from rows in order; each bucket ends with the first row of the next one."""
     last = None
     for batch in batches:
-        for bucket, guest, doc_id, text in zip(batch["_bucket"], batch["_guest"], batch["doc_id"], batch["text"]):
+        for bucket, guest, doc_id, null, text in zip(*(batch[c].tolist() for c in ("_bucket", "_guest", "doc_id", "_null", "text"))):
             if last is not None and last[0] == bucket:
                 yield last[1], last[2], text
-            last = None if guest else (bucket, None if pd.isna(doc_id) else int(doc_id), text)
+            last = None if guest else (bucket, None if null else doc_id, text)
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,8 +139,8 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at += 1
             sha = hashlib.sha256(texts_of_edit(text, following)).hexdigest()
             rows.append((doc_id, len(text), sha, as_string(own), as_string(new), containment(own, new), containment(own, follower)))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
+        out = pd.DataFrame([r[1:] for r in rows], columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        out.insert(0, "doc_id", pd.array([r[0] for r in rows], dtype="Int64"))
         return out
 
     for doc_id, text, following in _pairs(batches):
@@ -155,6 +157,32 @@ def texts_of_edit(text: str, following: str) -> bytes:
     return edited(text, following).encode("utf-8", "surrogatepass")
 
 
+class Ranges:
+    """Numbers of ranges in descending order of id, then of hash.
+
+    Ids at or above the k-th cut, and below the one before, are a range. An id that is several
+    quantiles has as many ranges of the hash after its own; null ids come last, in so many.
+    """
+
+    def __init__(self, quantiles: list[float], nulls: int):
+        cuts = sorted(Counter(quantiles).items(), reverse=True)
+        self.cuts = -np.array([c for c, _ in cuts])
+        # Ids beyond 2 ** 53 aren't told apart as doubles, so none of them is split.
+        self.split = np.array([k if k > 1 and abs(c) < 1 << 53 else 0 for c, k in cuts] + [0])
+        self.first = np.cumsum(1 + self.split) - (1 + self.split)
+        self.nulls = max(nulls, 1)
+
+    def number(self, ids: pd.Series, hashes: np.ndarray) -> np.ndarray:
+        value = -ids.to_numpy(dtype=float, na_value=np.nan)
+        null, at = np.isnan(value), np.searchsorted(self.cuts, value, side="left")
+        at = np.minimum(at, len(self.cuts))
+        equal = value == np.append(self.cuts, np.nan)[at]
+        pieces = np.where(null, self.nulls, np.where(equal, self.split[at], 0))
+        piece = np.minimum(np.floor((2.0**63 - hashes.astype(float)) / 2.0**64 * pieces), pieces - 1)
+        base = np.where(null, self.first[-1], self.first[at])
+        return (base + np.where(pieces > 0, 1 + piece, 0)).astype(np.int32)
+
+
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of docs (doc_id, text) and of their edited texts; see SCHEMA.
 
@@ -163,23 +191,23 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     with equal ids follow each other by the hash of the text, rows with null ids come
     last. Other columns aren't read; an empty table gives no rows.
 
-    Rows are dealt over id ranges; only the first row of each range is copied into
-    the range before it, so texts are shuffled once.
+    Rows are dealt over id ranges; an id that many rows repeat, and the null ids, have ranges
+    of the hash instead. Only the first row of each range is copied into the range before
+    it, so texts are shuffled once. Ids are whole numbers (or text of them).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
-    chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // (32 << 20))
+    chars, some, all_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("doc_id"), F.count("*")).first()
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // (32 << 20)), MAX_BUCKETS)
     n = min(8 * parts, MAX_BUCKETS)
-    cuts = sorted(set(rows.approxQuantile("doc_id", [k / n for k in range(1, n)], min(0.001, 0.5 / n))), reverse=True)
-    bounds = spark.sparkContext.broadcast(-np.array(cuts))
+    quantiles = rows.approxQuantile("doc_id", [k / n for k in range(1, n)], min(0.001, 0.5 / n))
+    ranges = spark.sparkContext.broadcast(Ranges(quantiles, n * (all_rows - some) // max(all_rows, 1)))
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(bounds.value, -ids.to_numpy(dtype=float, na_value=-np.inf), side="left")
-        return pd.Series(np.where(ids.isna(), len(bounds.value) + 1, at)).astype("int32")
+    def bucket(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(ranges.value.number(ids, hashes.to_numpy()))
 
-    dealt = rows.withColumn("_bucket", bucket("doc_id"))
+    dealt = rows.withColumn("_bucket", bucket("doc_id", "_h"))
     firsts = sorted((r["_bucket"], r["f"][0], r["f"][1]) for r in dealt.groupBy("_bucket").agg(F.max(F.struct("doc_id", "_h")).alias("f")).collect())
     before = [(firsts[k - 1][0], *firsts[k][1:]) for k in range(len(firsts))]
     guests = spark.createDataFrame(before, "_bucket int, _id long, _hash long")
@@ -187,7 +215,9 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     extra = dealt.drop("_bucket").join(F.broadcast(guests), first).dropDuplicates(["_bucket"]).select("doc_id", "text", "_h", "_bucket", F.lit(1).alias("_guest"))
     ordered = dealt.withColumn("_guest", F.lit(0)).select(*extra.columns).union(extra).repartition(parts, "_bucket")
     ordered = ordered.sortWithinPartitions("_bucket", "_guest", F.col("doc_id").desc_nulls_last(), F.col("_h").desc())
-    return ordered.select("_bucket", "_guest", "doc_id", "text").mapInPandas(_profile, SCHEMA)
+    # A null among numbers would make doubles of them.
+    ordered = ordered.withColumn("_null", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    return ordered.select("_bucket", "_guest", "doc_id", "_null", "text").mapInPandas(_profile, SCHEMA)
 
 
 def op6_fingerprints(spark, sf_dir: str) -> DataFrame:
