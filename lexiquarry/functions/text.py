@@ -191,10 +191,26 @@ def label(name: Column) -> Column:
     return F.replace(name, F.lit("_"), F.lit(" "))
 
 
+def _tenths(x: Column) -> Column:
+    """x, at least 1, with one decimal: its exact binary value rounded, half to even, as C prints it.
+
+    format_string rounds the shortest decimal form half up, which differs where n / unit
+    is written as a tie (395.95 lies below it). Ten times the 52 bits of the fraction are
+    a whole number.
+    """
+    whole = F.floor(x)
+    scaled = F.floor((x - whole) * F.lit(2.0**52)).cast("long") * 10
+    rest, down = scaled.bitwiseAND(F.lit(2**52 - 1)), F.shiftright(scaled, 52)
+    up = (rest > 2**51) | ((rest == 2**51) & (down % 2 == 1))
+    total = whole * 10 + down + up.cast("int")
+    return F.concat(F.floor(total / 10).cast("string"), F.lit("."), (total % 10).cast("string"))
+
+
 def byte_label(n: Column) -> Column:
     """A size in B, whole kB, or MB and GB with one decimal."""
-    scaled = lambda unit, form: F.format_string(f"{form} {unit}", n / {"kB": 1e3, "MB": 1e6, "GB": 1e9}[unit])
-    return F.when(n >= 1e9, scaled("GB", "%.1f")).when(n >= 1e6, scaled("MB", "%.1f")).when(n >= 1e3, scaled("kB", "%.0f")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    mega = lambda unit, size: F.concat(_tenths(n / size), F.lit(f" {unit}"))
+    kilo = F.concat(F.rint(n / 1e3).cast("long").cast("string"), F.lit(" kB"))
+    return F.when(n >= 1e9, mega("GB", 1e9)).when(n >= 1e6, mega("MB", 1e6)).when(n >= 1e3, kilo).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def month_label(period: Column) -> Column:
