@@ -110,8 +110,11 @@ def length_correlation(frame: DataFrame, labels: DataFrame, key: str = "row_id")
 
 
 def formulaic_shares(terms: DataFrame, formulaic: DataFrame, key: str = "row_id") -> DataFrame:
-    """key and formulaic_share: the part of each document's words that are formulaic (word)."""
-    marked = terms.join(formulaic.select("word", F.lit(1).alias("_f")), "word", "left")
+    """key and formulaic_share: the part of each document's words that are formulaic (word).
+
+    Words in half of the documents are few, whatever the corpus, so they are broadcast.
+    """
+    marked = terms.join(F.broadcast(formulaic.select("word", F.lit(1).alias("_f"))), "word", "left")
     return marked.groupBy(key).agg((F.sum(F.when(F.col("_f") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("formulaic_share"))
 
 

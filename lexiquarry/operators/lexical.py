@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.functions import stats
-from lexiquarry.operators.tokens import self_reference
+from lexiquarry.operators.tokens import occurring, self_reference
 
 MIN_COUNT = 5
 
@@ -110,14 +110,19 @@ def coverage(pairs: DataFrame, frame: DataFrame, is_target: str) -> DataFrame:
 
 
 def keyness(terms: DataFrame, pairs: DataFrame, stop: list[str], by: list[str], limit: int | None = None, minimum: int = MIN_COUNT) -> DataFrame:
-    """Words of the targets of pairs against those of targets and controls."""
-    side = lambda c: terms.join(pairs.select(*by, F.col(c).alias("row_id")), "row_id").groupBy(*by, "word").agg(F.sum("n").alias("n"))
-    t, c = side("target_id"), side("control_id")
-    totals = c.groupBy(*by).agg(F.sum("n").alias("_ct")) if by else c.agg(F.sum("n").alias("_ct"))
-    t = _with_total(t, by)
-    joined = t.filter((F.col("n") >= minimum) & (~F.col("word").isin(stop) if stop else F.lit(True)))
-    joined = joined.join(c.withColumnRenamed("n", "_c"), [*by, "word"], "left")
-    joined = joined.join(totals, by, "left") if by else joined.join(F.broadcast(totals))
+    """Words of the targets of pairs against those of targets and controls.
+
+    terms is a table (row_id, word, n), or the speeches themselves (row_id, text): then a
+    text travels once to the pairs that it is in, and is parted into words only there.
+    """
+    member = lambda c, target: F.struct(F.col(c).alias("row_id"), F.lit(target).alias("_t"))
+    members = pairs.select(*by, F.explode(F.array(member("target_id", True), member("control_id", False))).alias("_m")).select(*by, "_m.*")
+    rows = terms.join(members.hint("shuffle_hash"), "row_id")
+    rows = rows if "word" in terms.columns else occurring(rows, [*by, "_t"])
+    counted = rows.groupBy(*by, "word").agg(F.sum(F.when(F.col("_t"), F.col("n"))).alias("n"), F.sum(F.when(~F.col("_t"), F.col("n"))).alias("_c"))
+    totals = counted.groupBy(*by).agg(F.sum("n").alias("_tt"), F.sum("_c").alias("_ct"))
+    joined = counted.filter((F.col("n") >= minimum) & (~F.col("word").isin(stop) if stop else F.lit(True)))
+    joined = joined.join(totals, by) if by else joined.join(F.broadcast(totals))
     ref, total = F.coalesce("_c", F.lit(0)), F.coalesce("_ct", F.lit(0))
     scored = joined.select(*by, "word", F.col("n").alias("target"), ref.alias("control"), F.round(stats.log_likelihood(F.col("n"), ref, F.col("_tt"), total), 3).alias("g2"), F.round(stats.log_ratio(F.col("n"), ref, F.col("_tt"), total), 3).alias("log_ratio"))
     return _ranked(scored, by, limit)
@@ -131,7 +136,7 @@ def stability(frame: DataFrame, terms: DataFrame, words: DataFrame, is_target: s
     both = pairs.select("seed", F.explode(F.array(F.struct(F.col("target_id").alias("row_id"), F.lit(True).alias("t")), F.struct(F.col("control_id").alias("row_id"), F.lit(False).alias("t")))).alias("m")).select("seed", "m.row_id", "m.t")
     size = terms.groupBy("row_id").agg(F.sum("n").alias("size"))
     totals = both.join(size, "row_id").groupBy("seed").agg(F.sum(F.when(F.col("t"), F.col("size"))).alias("n1"), F.sum(F.when(~F.col("t"), F.col("size"))).alias("n2"))
-    chosen = terms.join(F.broadcast(words.select("word")), "word")
+    chosen = terms.join(F.broadcast(words.select("word")), "word").groupBy("row_id", "word").agg(F.sum("n").alias("n"))
     counts = both.join(chosen, "row_id").groupBy("seed", "word").agg(F.coalesce(F.sum(F.when(F.col("t"), F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(~F.col("t"), F.col("n"))), F.lit(0)).alias("b"))
     grid = words.select("word").join(totals)
     ratios = grid.join(counts, ["seed", "word"], "left").fillna(0, ["a", "b"]).withColumn("r", stats.log_ratio(F.col("a"), F.col("b"), F.col("n1"), F.col("n2")))

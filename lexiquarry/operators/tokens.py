@@ -35,5 +35,25 @@ def totals(terms: DataFrame, chosen: DataFrame, key: str = "row_id") -> DataFram
     return terms.join(chosen.select(key).distinct(), key, "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def occurring(frame: DataFrame, keep: list[str], body: str = "text") -> DataFrame:
+    """keep, word and n = 1 of every token: its sums are those of document_terms, without a shuffle of the tokens."""
+    return token_table(frame, keep, body).select(*keep, "word", F.lit(1).cast("long").alias("n"))
+
+
+def distinct_words(frame: DataFrame, keep: list[str], body: str = "text") -> DataFrame:
+    """keep and word, once for each row of frame and word in it, without a shuffle."""
+    return frame.select(*keep, F.explode(F.array_distinct(text.tokens(F.col(body)))).alias("word"))
+
+
+def subset_counts(frame: DataFrame, chosen: Column, body: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(word, n) over the rows of frame that chosen holds for, and over all of them.
+
+    Words are counted where the texts lie, so that only counts of words travel.
+    """
+    rows = occurring(frame.select(body, F.coalesce(chosen, F.lit(False)).alias("_in")), ["_in"], body)
+    both = rows.groupBy("word").agg(F.sum("n").alias("_all"), F.count_if("_in").alias("_own"))
+    return both.filter("_own > 0").select("word", F.col("_own").alias("n")), both.select("word", F.col("_all").alias("n"))
+
+
 def self_reference(word: Column, name: Column) -> Column:
     return F.array_contains(text.tokens(name), word)

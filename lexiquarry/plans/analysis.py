@@ -92,9 +92,8 @@ def keyness_bars(spark, d):
 
 
 def _compared(spark, d):
-    terms = tokens.document_terms(_tokens(spark, d))
-    target = tokens.totals(terms, speeches(spark, d).filter("lang = 'fr'"))
-    return lexical.compare(target, terms.groupBy("word").agg(F.sum("n").alias("n")), [], STOP, limit=100)
+    target, whole = tokens.subset_counts(speeches(spark, d), F.col("lang") == "fr")
+    return lexical.compare(target, whole, [], STOP, limit=100)
 
 
 # The node of the collocation queries is the term of_the: two tokens, `of` and `the`.
@@ -197,20 +196,18 @@ _keyness_sql = f"{WITH_FLAGS}, {TERMS_SQL}, {pairs_sql(WIDE, 'has_hea')}, {_keyn
 
 def _matched(spark, d):
     f = flagged(spark, d).select("row_id", "has_hea", *WIDE)
-    return f, lexical.matched_pairs(f, "has_hea", WIDE, 11), tokens.document_terms(_tokens(spark, d))
+    return f, lexical.matched_pairs(f, "has_hea", WIDE, 11)
 
 
 @query("keyness_matched", f"{_keyness_sql} SELECT word, target, reference AS control, g2, log_ratio, rank FROM ({scored_sql('k', limit=60)})")
 def keyness_matched(spark, d):
-    _, pairs, terms = _matched(spark, d)
-    return lexical.keyness(terms, pairs, STOP, [], limit=60)
+    return lexical.keyness(speeches(spark, d).select("row_id", "text"), _matched(spark, d)[1], STOP, [], limit=60)
 
 
 @query("keyness_unmatched", f"{WITH_FLAGS}, {TERMS_SQL}, f AS (SELECT word, sum(n) AS a FROM dt WHERE row_id IN (SELECT row_id FROM flagged WHERE has_hea) GROUP BY word), {_compare_src} {scored_sql('c', limit=60)}")
 def keyness_unmatched(spark, d):
-    terms = tokens.document_terms(_tokens(spark, d))
-    target = tokens.totals(terms, flagged(spark, d).filter("has_hea"))
-    return lexical.compare(target, terms.groupBy("word").agg(F.sum("n").alias("n")), [], STOP, limit=60)
+    target, whole = tokens.subset_counts(flagged(spark, d), F.col("has_hea"))
+    return lexical.compare(target, whole, [], STOP, limit=60)
 
 
 _unmatched = f"uf AS (SELECT word, sum(n) AS a FROM dt WHERE row_id IN (SELECT row_id FROM flagged WHERE has_hea) GROUP BY word), uc AS (SELECT uf.word, a, v.n - a AS b, (SELECT sum(a) FROM uf) AS n1, greatest((SELECT sum(n) FROM vocab) - (SELECT sum(a) FROM uf), 1) AS n2 FROM uf JOIN vocab v USING (word) WHERE a >= 5 AND word NOT IN ({STOP_SQL}))"
@@ -223,7 +220,7 @@ def matching_effect(spark, d):
 
 @query("keyness_stability", f"{WITH_FLAGS}, {TERMS_SQL}, {pairs_sql(WIDE, 'has_hea', 'SELECT unnest(range(11, 16)) AS seed')}, both_sides AS (SELECT seed, target_id AS row_id, true AS t FROM pairs UNION ALL SELECT seed, control_id, false FROM pairs), w AS (SELECT word FROM vocab WHERE word NOT IN ({STOP_SQL}) ORDER BY n DESC, word LIMIT 20), tot AS (SELECT seed, sum(n) FILTER (t) AS n1, sum(n) FILTER (NOT t) AS n2 FROM both_sides JOIN dt USING (row_id) GROUP BY seed), cnt AS (SELECT seed, word, sum(n) FILTER (t) AS a, sum(n) FILTER (NOT t) AS b FROM both_sides JOIN dt USING (row_id) GROUP BY ALL), r AS (SELECT w.word, tot.seed, {lr_sql('coalesce(a, 0)', 'coalesce(b, 0)', 'n1', 'n2')} AS r FROM w CROSS JOIN tot LEFT JOIN cnt ON cnt.word = w.word AND cnt.seed = tot.seed) SELECT word, round(quantile_cont(r, 0.5), 3) AS median, round(quantile_cont(r, 0.05), 3) AS p05, round(quantile_cont(r, 0.95), 3) AS p95 FROM r GROUP BY word")
 def keyness_stability(spark, d):
-    f, _, terms = _matched(spark, d)
+    f, terms = _matched(spark, d)[0], tokens.occurring(speeches(spark, d), ["row_id"])
     words = terms.groupBy("word").agg(F.sum("n").alias("n")).filter(~F.col("word").isin(STOP)).orderBy(F.desc("n"), "word").limit(20)
     return lexical.stability(f, terms, words, "has_hea", WIDE, 11, 5)
 
@@ -244,13 +241,15 @@ _gates = "gates AS (SELECT h.country_org, held::BIGINT AS held, coalesce(pairs,
 
 @query("speaker_gates", f"{WITH}, {_speaker_pairs}, {_gates} SELECT country_org, held, pairs, coverage, array_to_string(list_filter([CASE WHEN pairs < 45 THEN 'pairs' END, CASE WHEN coverage < 0.9 THEN 'coverage' END], lambda x: x IS NOT NULL), '|') AS withheld_because FROM gates")
 def speaker_gates(spark, d):
-    gates, _ = lexical.speaker_keyness(speeches(spark, d), tokens.document_terms(_tokens(spark, d)), WIDE, 11, STOP, 45, 0.9, 40)
+    s = speeches(spark, d)
+    gates, _ = lexical.speaker_keyness(s, s.select("row_id", "text"), WIDE, 11, STOP, 45, 0.9, 40)
     return gates.withColumn("withheld_because", F.array_join("withheld_because", "|"))
 
 
 @query("speaker_keyness", f"{WITH}, {TERMS_SQL}, {_speaker_pairs}, {_gates}, p AS (SELECT sp.* FROM sp JOIN gates USING (country_org) WHERE gates.pairs >= 45 AND coverage >= 0.9), t AS (SELECT country_org, word, sum(n) AS a FROM dt JOIN p ON row_id = target_id GROUP BY ALL), c AS (SELECT country_org, word, sum(n) AS b FROM dt JOIN p ON row_id = control_id GROUP BY ALL), k AS (SELECT t.country_org, word, a, coalesce(b, 0) AS b, n1, n2 FROM t JOIN (SELECT country_org, sum(a) AS n1 FROM t GROUP BY ALL) USING (country_org) JOIN (SELECT country_org, sum(b) AS n2 FROM c GROUP BY ALL) USING (country_org) LEFT JOIN c USING (country_org, word) WHERE a >= 5 AND word NOT IN ({STOP_SQL})) SELECT country_org, word, target, reference AS control, g2, log_ratio, rank, list_contains(regexp_extract_all(lower(country_org), '[a-z][a-z''’-]*'), word) AS self_reference FROM ({scored_sql('k', 'country_org', 20)})")
 def speaker_keyness(spark, d):
-    return lexical.speaker_keyness(speeches(spark, d), tokens.document_terms(_tokens(spark, d)), WIDE, 11, STOP, 45, 0.9, 20)[1]
+    s = speeches(spark, d)
+    return lexical.speaker_keyness(s, s.select("row_id", "text"), WIDE, 11, STOP, 45, 0.9, 20)[1]
 
 
 def _pmi_sql(by: str, minimum: int) -> str:

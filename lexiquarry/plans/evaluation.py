@@ -9,7 +9,7 @@ from lexiquarry.operators import density, evaluation, factorise, tokens, topics
 from lexiquarry.plans import core
 from lexiquarry.plans.adapter import FLAGGED_SQL, SLICES, SPEECHES_SQL, flagged, speeches
 from lexiquarry.plans.analysis import TERMS_SQL
-from lexiquarry.plans.models import _ctfidf, _dot, _embeddings, _labels, _terms, _topic, _unit
+from lexiquarry.plans.models import _ctfidf, _dot, _embeddings, _labels, _topic, _topic_words, _unit
 from lexiquarry.plans.registry import query
 
 WITH, WITH_FLAGS = f"WITH {SPEECHES_SQL}", f"WITH {FLAGGED_SQL}"
@@ -145,8 +145,9 @@ made AS (SELECT x.topic, count(*)::BIGINT AS documents, floor(quantile_cont(toke
 
 
 def _made_of(spark, d):
-    terms = _terms(spark, d)
-    common = topics.formulaic(terms, spark.read.parquet(f"{d}/documents.parquet").count())
+    s = speeches(spark, d)
+    terms = tokens.occurring(s, ["row_id"])
+    common = topics.formulaic(tokens.distinct_words(s, ["row_id"]), spark.read.parquet(f"{d}/documents.parquet").count())
     f = flagged(spark, d).withColumn("slice0", text.slice_label(F.col("year"), SLICES)).join(evaluation.formulaic_shares(terms, common), "row_id", "left")
     return evaluation.composition(f, _labels(spark, d), "slice0", "has_hea")
 
@@ -170,9 +171,8 @@ def rank_correlation(spark, d):
 SELECT 'lang' AS model, made.topic, string_agg(word, '|' ORDER BY rank) AS words, round(sum(score), 6) AS scores, any_value(documents) AS documents, any_value(dominant_period) AS dominant_period,
   any_value(coalesce((SELECT documents FROM made WHERE topic = -1), 0))::BIGINT AS unassigned FROM made JOIN tw USING (topic) WHERE rank <= 12 GROUP BY made.topic""")
 def topic_payload(spark, d):
-    terms, labels = _terms(spark, d), _labels(spark, d)
-    words = topics.ctfidf(terms, labels)
-    coherence = topics.coherence(words, terms, spark.read.parquet(f"{d}/documents.parquet").count())
+    words = _topic_words(spark, d)
+    coherence = topics.coherence(words, tokens.occurring(speeches(spark, d), ["row_id"]), spark.read.parquet(f"{d}/documents.parquet").count())
     record = evaluation.payload("lang", {"k": "3"}, words, coherence, _made_of(spark, d))
     each = record.select("model", "unassigned", F.explode("topics").alias("t"))
     scores = F.round(F.aggregate("t.words_scored", F.lit(0.0), lambda s, w: s + w["score"]), 6)
