@@ -69,11 +69,16 @@ def lines(speeches: DataFrame, lexicon: Lexicon, keep: list[str], width: int = 1
 
     The id is the meeting, the speech number and the match's place in the speech; sent is
     the last sentence that starts at or before the match. One scan of a text gives all its
-    lines, so that the text isn't copied to each of them.
+    lines, so that the text isn't copied to each of them. Rows go to Python by the hundred
+    and come back as tuples, not as Arrow batches of 10,000 texts with all their lines, so
+    that a worker's memory doesn't grow with the table.
     """
     terms = lexicon.active
 
-    def of(source: str) -> list[dict]:
+    @F.udf(LINE, useArrow=False)
+    def found(source: str | None) -> list[tuple] | None:
+        if source is None:
+            return None
         spans = split_sentences(source) if sentences else []
         begins, said, out = [a for a, _ in spans], {-1: ""}, []
         for i, k, start, end in scan(source, terms):
@@ -82,13 +87,9 @@ def lines(speeches: DataFrame, lexicon: Lexicon, keep: list[str], width: int = 1
                 said = {-1: "", at: flat(source[slice(*spans[at])])}
             context = (source[max(start - width, 0) : start], source[start:end], source[end : end + width])
             left, kw, right = map(flat, context)
-            out.append({"i": i, "ordinal": k, "start": start, "end": end, "left": left, "kw": kw, "right": right, "sent": said[at]})
+            out.append((i, k, start, end, left, kw, right, said[at]))
         return out
 
-    @F.pandas_udf(LINE)
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else of(t) for t in texts], dtype=object)
-
     rows = speeches.select(*keep, "meeting_symbol", "speech_number", F.explode(found(F.col(body))).alias("_m"))
     last = ["_m.sent"] if sentences else []
     name = F.format_string("%s_spch%04d#%d", "meeting_symbol", "speech_number", "_m.ordinal").alias("id")

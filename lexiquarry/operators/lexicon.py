@@ -6,7 +6,6 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -201,15 +200,15 @@ def occurrences(speeches: DataFrame, lexicon: Lexicon, keep: list[str], body: st
     With begin, a column of where the body begins, only what follows is searched; start
     and end count from the start of the whole text all the same.
 
-    All terms are found in one Arrow-batched scan of the text, in time that grows with
-    the text and its matches; built-in expressions give matches, but their offsets only
+    All terms are found in one scan of the text, in time that grows with the text and its
+    matches, a hundred rows a batch, so that a worker's memory doesn't grow with the table; built-in expressions give matches, but their offsets only
     by summing what lies between them, once more for each match.
     """
     terms = lexicon.active
 
-    @F.pandas_udf("array<struct<i:int,ordinal:int,start:int,end:int>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [{"i": i, "ordinal": k, "start": a, "end": b} for i, k, a, b in scan(t, terms)] for t in texts], dtype=object)
+    @F.udf("array<struct<i:int,ordinal:int,start:int,end:int>>", useArrow=False)
+    def found(source: str | None) -> list[tuple] | None:
+        return None if source is None else scan(source, terms)
 
     shift = F.coalesce(F.col(begin).cast("int"), F.lit(0)) if begin else F.lit(0)
     source = F.substr(F.col(body), shift + 1) if begin else F.col(body)
