@@ -2,36 +2,76 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lexiquarry.functions import text
-from lexiquarry.operators.tokens import token_table
+from lexiquarry.operators.tokens import token_starts
 
 
-def align(frame: DataFrame, tagged: DataFrame, key: str = "row_id", body: str = "text") -> DataFrame:
-    """key, pos, word, lemma, refused for every token; tagged has (key, start, end, lemma).
+@F.pandas_udf(ArrayType(IntegerType()))
+def last_spans(tokens: pd.Series, starts: pd.Series, ends: pd.Series, steady: pd.Series) -> pd.Series:
+    """Per token start twice the place (from 0; -1 for none) of the last span that starts at or before it (of equal starts the longest), plus 1 for a steady text."""
+
+    def of(t: np.ndarray, a: np.ndarray, b: np.ndarray, ok: bool) -> np.ndarray:
+        order = np.lexsort((b, a))
+        places = np.append(order, -1)[np.searchsorted(a[order], t, "right") - 1]
+        return (2 * places + int(ok)).astype("int32")
+
+    return pd.Series([of(*(np.asarray(x, dtype="int64") for x in row[:3]), row[3]) for row in zip(tokens, starts, ends, steady)], dtype=object)
+
+
+def aligned(frame: DataFrame, tagged: DataFrame | None = None, key: str = "row_id", body: str = "text", spans: str = "spans", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, keep and aligned: an array of (pos, word, lemma, refused) of the row's tokens.
+
+    tagged has (key, start, end, lemma). Without it, frame has them itself, as an array in
+    the column spans: a tagger's answer to one text. Then nothing is shuffled; else one
+    array per text is.
 
     Of the tagger's spans the last one that starts at or before a token counts (of equal
     starts the longest). Its lemma is taken if it covers the whole token and the lemma is
     itself one word; a span that covers only the token's start, or another lemma, is
     refused and the word stands. Texts that change length in lower case keep their words.
-
-    Tokens and spans are merged by offset, spans first, and the last span is carried
-    forward: one sort, whatever the number of spans.
     """
-    steady = (F.length(F.lower(body)) == F.length(body)).alias("_ok")
-    tokens = token_table(frame.select(key, body, steady), [key, "_ok"], body, offsets=True)
-    span = F.struct(F.col("end").cast("int").alias("end"), F.lower(F.trim("lemma")).alias("lemma"))
-    events = tokens.select(key, F.col("start").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_long"), "pos", "word", "_ok")
-    events = events.withColumn("_span", F.lit(None).cast("struct<end:int,lemma:string>"))
-    spans = tagged.select(key, F.col("start").cast("int"), F.lit(0), F.col("end").cast("int"), F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("boolean"), span)
-    so_far = Window.partitionBy(key).orderBy("_at", "_kind", "_long").rowsBetween(Window.unboundedPreceding, 0)
-    last = events.union(spans).withColumn("_last", F.last("_span", ignorenulls=True).over(so_far)).filter("_kind = 1")
-    covered = F.coalesce(F.col("_last.end") > F.col("_at"), F.lit(False))
-    whole = F.col("_ok") & (F.col("_last.end") >= F.col("_at") + F.length("word"))
-    good = F.coalesce(covered & whole & F.col("_last.lemma").rlike(f"^{text.TOKEN}$"), F.lit(False))
-    return last.select(key, "pos", "word", F.when(good, F.col("_last.lemma")).otherwise(F.col("word")).alias("lemma"), (covered & ~good).alias("refused"))
+    if tagged is not None:
+        listed = tagged.groupBy(key).agg(F.collect_list(F.struct("start", "end", "lemma")).alias("_given"))
+        rows = frame.select(key, *keep, body).join(listed, key, "left")
+    else:
+        rows = frame.select(key, *keep, body, F.col(spans).alias("_given"))
+    given = F.coalesce("_given", F.array().cast("array<struct<start:int,end:int,lemma:string>>"))
+    known = F.filter(given, lambda s: s["start"].isNotNull())
+    span = lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), F.lower(F.trim(s["lemma"])).alias("lemma"))
+    low = F.lower(F.coalesce(body, F.lit("")))
+    steady = F.coalesce(F.length(F.lower(body)) == F.length(body), F.lit(False))
+    # A generator of one row: else the optimiser may compute the spans anew for every token that looks one up.
+    once = F.inline(F.array(F.struct(low.alias("_low"), steady.alias("_ok"), F.transform(known, span).alias("_spans"))))
+    rows = rows.select(key, *keep, once).withColumn("_at", token_starts(F.col("_low")))
+    ends = F.transform("_spans", lambda s: F.coalesce(s["end"], F.lit(-1)))
+    rows = rows.withColumn("_last", last_spans("_at", F.col("_spans")["start"], ends, "_ok"))
+    words = F.regexp_extract_all("_low", F.lit(f"({text.TOKEN})"), F.lit(1))
+
+    def one(x: Column, pos: Column) -> Column:
+        word, last = x["word"], F.when(x["last"] >= 0, F.get("_spans", F.shiftright(x["last"], 1)))
+        covered = F.coalesce(last["end"] > x["at"], F.lit(False))
+        whole = (x["last"] % 2 == 1) & (last["end"] >= x["at"] + F.length(word))
+        good = F.coalesce(covered & whole & last["lemma"].rlike(f"^{text.TOKEN}$"), F.lit(False))
+        return F.struct(pos.alias("pos"), word.alias("word"), F.when(good, last["lemma"]).otherwise(word).alias("lemma"), (covered & ~good).alias("refused"))
+
+    return rows.select(key, *keep, F.transform(F.arrays_zip(words.alias("word"), F.col("_at").alias("at"), F.col("_last").alias("last")), one).alias("aligned"))
+
+
+def align(frame: DataFrame, tagged: DataFrame | None = None, key: str = "row_id", body: str = "text", spans: str = "spans") -> DataFrame:
+    """key, pos, word, lemma, refused for every token; see aligned."""
+    return aligned(frame, tagged, key, body, spans).select(key, F.explode("aligned").alias("_x")).select(key, "_x.*")
+
+
+def layer(frame: DataFrame, tagged: DataFrame | None = None, key: str = "row_id", body: str = "text", spans: str = "spans", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, keep and the lemmas of each text with words, as of encode, without exploding the tokens."""
+    rows = aligned(frame, tagged, key, body, spans, keep).select(key, *keep, F.col("aligned.lemma").alias("_l"))
+    return rows.filter(F.size("_l") > 0).select(key, *keep, F.array_join("_l", " ").alias("lemmas"))
 
 
 def encode(aligned: DataFrame, key: str = "row_id") -> DataFrame:
@@ -45,8 +85,9 @@ def decode(lemmas: Column) -> Column:
 
 def mismatched(frame: DataFrame, layer: DataFrame, key: str = "row_id", body: str = "text") -> DataFrame:
     """Rows whose layer is missing or has another number of words than the text."""
-    j = frame.select(key, F.size(text.tokens(F.col(body))).alias("tokens")).join(layer, key, "left")
-    return j.select(key, "tokens", F.size(decode(F.coalesce("lemmas", F.lit("")))).alias("lemmas")).filter("tokens != lemmas")
+    held = layer.select(key, F.size(decode(F.coalesce("lemmas", F.lit("")))).alias("lemmas"))
+    j = frame.select(key, F.size(text.tokens(F.col(body))).alias("tokens")).join(held, key, "left")
+    return j.select(key, "tokens", F.coalesce("lemmas", F.lit(0)).alias("lemmas")).filter("tokens != lemmas")
 
 
 def mapping(aligned: DataFrame) -> DataFrame:

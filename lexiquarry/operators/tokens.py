@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lexiquarry.functions import text
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def token_starts(low: pd.Series) -> pd.Series:
+    """Where the tokens of a text in lower case start, in code points.
+
+    A token is what follows the first letter of a run of its characters. Built-in
+    expressions give offsets only by summing along the exploded and shuffled tokens.
+    """
+
+    def of(source: str) -> np.ndarray:
+        c = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        letter = (c >= ord("a")) & (c <= ord("z"))
+        inside = letter | (c == ord("'")) | (c == ord("’")) | (c == ord("-"))
+        outside = np.flatnonzero(~inside)
+        at = np.flatnonzero(letter)
+        run = np.searchsorted(outside, at)  # what lies outside before a letter names its run
+        return at[np.diff(run, prepend=-1) != 0].astype("int32")
+
+    return pd.Series([of(t) for t in low], dtype=object)
+
+
 def token_table(frame: DataFrame, keep: list[str], body: str = "text", offsets: bool = False) -> DataFrame:
     """keep, pos and word of every token; with offsets also start."""
     if not offsets:
         return frame.select(*keep, F.posexplode(text.tokens(F.col(body))).alias("pos", "word"))
     low = F.lower(F.coalesce(body, F.lit("")))
     words = F.regexp_extract_all(low, F.lit(f"({text.TOKEN})"), F.lit(1))
-    gaps = F.transform(F.split(low, text.TOKEN, -1), lambda p: F.length(p))
-    rows = frame.select(*keep, F.posexplode(F.arrays_zip(words.alias("word"), gaps.alias("gap"))).alias("pos", "z"))
-    rows = rows.select(*keep, "pos", F.col("z.word").alias("word"), F.col("z.gap").alias("gap")).filter("word IS NOT NULL")
-    upto = Window.partitionBy(*keep).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ends = F.sum(F.col("gap") + F.length("word")).over(upto)
-    return rows.withColumn("start", (ends - F.length("word")).cast("int")).drop("gap")
+    rows = frame.select(*keep, F.posexplode(F.arrays_zip(words.alias("word"), token_starts(low).alias("start"))).alias("pos", "z"))
+    return rows.select(*keep, "pos", F.col("z.word").alias("word"), F.col("z.start").alias("start"))
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:

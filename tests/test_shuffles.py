@@ -38,3 +38,18 @@ def test_counts_without_term_table(spark):
     terms = tokens.document_terms(tokens.token_table(frame, ["row_id"]))
     x, y = topics.ctfidf(terms, frame.select("row_id", "topic"), minimum=1), topics.ctfidf(tokens.occurring(frame, ["topic"]), minimum=1)
     assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect())) and x.count() == 4
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
+@pytest.mark.parametrize("name", ["lemma_align", "lemma_layer", "token_offsets"])
+def test_offsets_stay_in_their_row(spark, name):
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
+@pytest.mark.parametrize("name", ["kwic_lines", "kwic_sort_agenda", "collocates_w5", "collocates_w15", "collocates_sliced"])
+def test_matches_come_row_by_row(spark, name):
+    """Texts with all their matches are not gathered by the 10,000 in a Python worker."""
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython [found(" in plan and "ArrowEvalPython [found(" not in plan
