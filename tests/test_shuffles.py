@@ -1,5 +1,6 @@
 """What travels: counts of words and whole texts, not every token of the corpus."""
 
+import hashlib
 import os
 import re
 
@@ -53,3 +54,14 @@ def test_matches_come_row_by_row(spark, name):
     """Texts with all their matches are not gathered by the 10,000 in a Python worker."""
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython [found(" in plan and "ArrowEvalPython [found(" not in plan
+
+
+def test_deal_by_hash(spark):
+    """Words at the places that the digits of their hashes give; the digits travel as numbers, not as text."""
+    rows = [(k, p, f"w{(k * 7 + p) % 11}") for k in range(30) for p in range(20)]
+    dealt = topics.deal_words(spark.createDataFrame(rows, "row_id long, pos int, word string"), 5)
+    of = lambda salt, r: (hashlib.md5(f"{salt}{r[0]}:{r[1]}".encode()).hexdigest(), r[0], r[1])
+    words, places = sorted(rows, key=lambda r: of("5:deal:", r)), sorted(rows, key=lambda r: of("", r))
+    assert {(r.row_id, r.pos): r.word for r in dealt.collect()} == {p[:2]: w[2] for p, w in zip(places, words)}
+    orders = re.findall(r"row_number\(\) windowspecdefinition\(([^)]*)\)", dealt._jdf.queryExecution().optimizedPlan().toString())
+    assert orders and all("_p#" in o for o in orders)
