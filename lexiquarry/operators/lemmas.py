@@ -2,76 +2,77 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from lexiquarry.functions import text
-from lexiquarry.operators.tokens import token_starts
+from lexiquarry.operators.tokens import located
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def last_spans(tokens: pd.Series, starts: pd.Series, ends: pd.Series, steady: pd.Series) -> pd.Series:
-    """Per token start twice the place (from 0; -1 for none) of the last span that starts at or before it (of equal starts the longest), plus 1 for a steady text."""
+def last_spans(tokens: Column, spans: Column) -> Column:
+    """Per token start the last span (start, end, lemma) that starts at or before it, or null; both are in order.
 
-    def of(t: np.ndarray, a: np.ndarray, b: np.ndarray, ok: bool) -> np.ndarray:
-        order = np.lexsort((b, a))
-        places = np.append(order, -1)[np.searchsorted(a[order], t, "right") - 1]
-        return (2 * places + int(ok)).astype("int32")
-
-    return pd.Series([of(*(np.asarray(x, dtype="int64") for x in row[:3]), row[3]) for row in zip(tokens, starts, ends, steady)], dtype=object)
+    Sorted together, spans first, a token has as many spans before it as its place has moved.
+    """
+    starts = spans["start"]
+    events = F.sort_array(F.concat(F.transform(starts, lambda a: a.cast("long") * 2), F.transform(tokens, lambda t: t.cast("long") * 2 + 1)))
+    moved = F.filter(F.transform(events, lambda e, place: F.when(e % 2 != 0, place)), lambda x: x.isNotNull())
+    return F.when(starts == tokens, spans).otherwise(F.transform(moved, lambda place, k: F.get(spans, place - k - 1)))
 
 
-def aligned(frame: DataFrame, tagged: DataFrame | None = None, key: str = "row_id", body: str = "text", spans: str = "spans", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, keep and aligned: an array of (pos, word, lemma, refused) of the row's tokens.
+def aligned(
+    frame: DataFrame, tagged: DataFrame | None = None, key: str = "row_id", body: str = "text", spans: str = "spans", keep: tuple[str, ...] = (), tokens: str | None = None
+) -> DataFrame:
+    """key, keep and aligned: an array of (word, lemma, refused) of the row's tokens.
 
     tagged has (key, start, end, lemma). Without it, frame has them itself, as an array in
     the column spans: a tagger's answer to one text. Then nothing is shuffled; else one
-    array per text is.
+    array per text is. tokens names a column of what tokens.located gives for body, if
+    frame has it.
 
     Of the tagger's spans the last one that starts at or before a token counts (of equal
     starts the longest). Its lemma is taken if it covers the whole token and the lemma is
     itself one word; a span that covers only the token's start, or another lemma, is
     refused and the word stands. Texts that change length in lower case keep their words.
     """
+    found = (F.col(tokens) if tokens else located(F.col(body))).alias("_tokens")
     if tagged is not None:
         listed = tagged.groupBy(key).agg(F.collect_list(F.struct("start", "end", "lemma")).alias("_given"))
-        rows = frame.select(key, *keep, body).join(listed, key, "left")
+        rows = frame.select(key, *keep, body, found).join(listed, key, "left")
     else:
-        rows = frame.select(key, *keep, body, F.col(spans).alias("_given"))
+        rows = frame.select(key, *keep, body, found, F.col(spans).alias("_given"))
     given = F.coalesce("_given", F.array().cast("array<struct<start:int,end:int,lemma:string>>"))
-    known = F.filter(given, lambda s: s["start"].isNotNull())
-    span = lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), F.lower(F.trim(s["lemma"])).alias("lemma"))
-    low = F.lower(F.coalesce(body, F.lit("")))
+    ordered = F.sort_array(F.filter(given, lambda s: s["start"].isNotNull()))
     steady = F.coalesce(F.length(F.lower(body)) == F.length(body), F.lit(False))
     # A generator of one row: else the optimiser may compute the spans anew for every token that looks one up.
-    once = F.inline(F.array(F.struct(low.alias("_low"), steady.alias("_ok"), F.transform(known, span).alias("_spans"))))
-    rows = rows.select(key, *keep, once).withColumn("_at", token_starts(F.col("_low")))
-    ends = F.transform("_spans", lambda s: F.coalesce(s["end"], F.lit(-1)))
-    rows = rows.withColumn("_last", last_spans("_at", F.col("_spans")["start"], ends, "_ok"))
-    words = F.regexp_extract_all("_low", F.lit(f"({text.TOKEN})"), F.lit(1))
+    once = F.inline(F.array(F.struct(F.col("_tokens").alias("_found"), steady.alias("_ok"), ordered.alias("_spans"))))
+    rows = rows.select(key, *keep, once)
+
+    def judged(token: Column, span: Column) -> Column:
+        lemma, covered = F.lower(F.trim(span["lemma"])), F.coalesce(span["end"] > token["start"], F.lit(False))
+        good = covered & F.col("_ok") & (span["end"] >= token["start"] + F.length(token["word"])) & lemma.rlike(f"^{text.TOKEN}$")
+        return F.struct(token["word"].alias("word"), F.when(good, lemma).alias("lemma"), covered.alias("covered"))
 
-    def one(x: Column, pos: Column) -> Column:
-        word, last = x["word"], F.when(x["last"] >= 0, F.get("_spans", F.shiftright(x["last"], 1)))
-        covered = F.coalesce(last["end"] > x["at"], F.lit(False))
-        whole = (x["last"] % 2 == 1) & (last["end"] >= x["at"] + F.length(word))
-        good = F.coalesce(covered & whole & last["lemma"].rlike(f"^{text.TOKEN}$"), F.lit(False))
-        return F.struct(pos.alias("pos"), word.alias("word"), F.when(good, last["lemma"]).otherwise(word).alias("lemma"), (covered & ~good).alias("refused"))
+    def settled(x: Column) -> Column:
+        return F.struct(x["word"].alias("word"), F.coalesce(x["lemma"], x["word"]).alias("lemma"), (x["covered"] & x["lemma"].isNull()).alias("refused"))
 
-    return rows.select(key, *keep, F.transform(F.arrays_zip(words.alias("word"), F.col("_at").alias("at"), F.col("_last").alias("last")), one).alias("aligned"))
+    last = last_spans(F.col("_found")["start"], F.col("_spans"))
+    return rows.select(key, *keep, F.transform(F.zip_with("_found", last, judged), settled).alias("aligned"))
 
 
-def align(frame: DataFrame, tagged: DataFrame | None = None, key: str = "row_id", body: str = "text", spans: str = "spans") -> DataFrame:
+def align(frame: DataFrame, tagged: DataFrame | None = None, key: str = "row_id", body: str = "text", spans: str = "spans", tokens: str | None = None) -> DataFrame:
     """key, pos, word, lemma, refused for every token; see aligned."""
-    return aligned(frame, tagged, key, body, spans).select(key, F.explode("aligned").alias("_x")).select(key, "_x.*")
+    # posexplode would have the optimiser compute the array once more, for a filter on its size.
+    rows = aligned(frame, tagged, key, body, spans, tokens=tokens).select(key, F.posexplode_outer("aligned").alias("pos", "_x"))
+    return rows.filter("pos IS NOT NULL").select(key, "pos", "_x.*")
 
 
-def layer(frame: DataFrame, tagged: DataFrame | None = None, key: str = "row_id", body: str = "text", spans: str = "spans", keep: tuple[str, ...] = ()) -> DataFrame:
+def layer(
+    frame: DataFrame, tagged: DataFrame | None = None, key: str = "row_id", body: str = "text", spans: str = "spans", keep: tuple[str, ...] = (), tokens: str | None = None
+) -> DataFrame:
     """key, keep and the lemmas of each text with words, as of encode, without exploding the tokens."""
-    rows = aligned(frame, tagged, key, body, spans, keep).select(key, *keep, F.col("aligned.lemma").alias("_l"))
-    return rows.filter(F.size("_l") > 0).select(key, *keep, F.array_join("_l", " ").alias("lemmas"))
+    rows = aligned(frame.filter(F.lower(body).rlike("[a-z]")), tagged, key, body, spans, keep, tokens)
+    return rows.select(key, *keep, F.array_join("aligned.lemma", " ").alias("lemmas"))
 
 
 def encode(aligned: DataFrame, key: str = "row_id") -> DataFrame:

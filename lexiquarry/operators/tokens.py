@@ -2,43 +2,41 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from lexiquarry.functions import text
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def token_starts(low: pd.Series) -> pd.Series:
+def token_starts(low: Column) -> Column:
     """Where the tokens of a text in lower case start, in code points.
 
-    A token is what follows the first letter of a run of its characters. Built-in
-    expressions give offsets only by summing along the exploded and shuffled tokens.
+    The first letter of each token becomes a capital, which no such text has, and the
+    capitals are looked up by pieces of 65,536 characters: time grows with the text, and
+    what a task holds besides the tokens is one piece.
     """
+    marked = F.regexp_replace(low, "[a-z]([a-z'’-]*)", "A$1")
+    pieces = F.regexp_extract_all(marked, F.lit("(?s).{1,65536}"), F.lit(0))
 
-    def of(source: str) -> np.ndarray:
-        c = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        letter = (c >= ord("a")) & (c <= ord("z"))
-        inside = letter | (c == ord("'")) | (c == ord("’")) | (c == ord("-"))
-        outside = np.flatnonzero(~inside)
-        at = np.flatnonzero(letter)
-        run = np.searchsorted(outside, at)  # what lies outside before a letter names its run
-        return at[np.diff(run, prepend=-1) != 0].astype("int32")
+    def found(piece: Column, k: Column) -> Column:
+        return F.filter(F.transform(F.split(piece, ""), lambda c, i: F.when(c == "A", k * 65536 + i)), lambda x: x.isNotNull())
 
-    return pd.Series([of(t) for t in low], dtype=object)
+    return F.flatten(F.transform(pieces, found))
+
+
+def located(body: Column) -> Column:
+    """The tokens of a text as an array of (word, start)."""
+    low = F.lower(F.coalesce(body, F.lit("")))
+    return F.arrays_zip(F.regexp_extract_all(low, F.lit(text.TOKEN), F.lit(0)).alias("word"), token_starts(low).alias("start"))
 
 
 def token_table(frame: DataFrame, keep: list[str], body: str = "text", offsets: bool = False) -> DataFrame:
     """keep, pos and word of every token; with offsets also start."""
     if not offsets:
         return frame.select(*keep, F.posexplode(text.tokens(F.col(body))).alias("pos", "word"))
-    low = F.lower(F.coalesce(body, F.lit("")))
-    words = F.regexp_extract_all(low, F.lit(f"({text.TOKEN})"), F.lit(1))
-    rows = frame.select(*keep, F.posexplode(F.arrays_zip(words.alias("word"), token_starts(low).alias("start"))).alias("pos", "z"))
-    return rows.select(*keep, "pos", F.col("z.word").alias("word"), F.col("z.start").alias("start"))
+    # posexplode would have the optimiser compute the tokens once more, for a filter on their number.
+    rows = frame.select(*keep, F.posexplode_outer(located(F.col(body))).alias("pos", "z"))
+    return rows.filter("pos IS NOT NULL").select(*keep, "pos", F.col("z.word").alias("word"), F.col("z.start").alias("start"))
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
