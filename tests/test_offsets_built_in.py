@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are absent")
-@pytest.mark.parametrize("name", ["lemma_align", "token_offsets", "lemma_mapping", "lemma_layer", "lemma_mismatched"])
+@pytest.mark.parametrize("name", ["lemma_align", "token_offsets", "lemma_mapping", "lemma_layer", "lemma_mismatched", "stopword_leaks"])
 def test_offsets_without_python(spark, name):
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan
